@@ -1,10 +1,13 @@
 """The queries of the text operators, and their SQL where SQL can express them."""
 
-from . import bpe, quality, sharding, warc
+from . import bpe, fingerprints, packing, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_secret_scans": secrets.op4_secret_scans,
+    "op5_packing": packing.op5_packing,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_bpe": bpe.op7_bpe,
     "op9_sharding": sharding.op9_sharding,
 }

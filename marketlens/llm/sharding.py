@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import read, write_table
 
 
-def _bits(n: int, rows_each: int = 20_000, least: int = 4, most: int = 16) -> int:
+def _bits(n: int, rows_each: int = 20_000, least: int = 8, most: int = 16) -> int:
     """Enough hash bits for buckets of about rows_each rows."""
     return min(most, max(least, ceil(log2(n / rows_each + 1))))
 
