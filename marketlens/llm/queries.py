@@ -1,6 +1,6 @@
 """The queries of the text operators, and their SQL where SQL can express them."""
 
-from . import bpe, fingerprints, packing, quality, secrets, sharding, warc
+from . import bpe, fingerprints, neardup, packing, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,10 +10,12 @@ QUERIES = {
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_bpe": bpe.op7_bpe,
     "op9_sharding": sharding.op9_sharding,
+    "op10_near_dedup": neardup.op10_near_dedup,
 }
 
 SQL = {
     "op1_warc": warc.OP1_SQL,
     "op3_quality_rules": quality.OP3_SQL,
     "op9_sharding": sharding.OP9_SQL,
+    "op10_near_dedup": neardup.OP10_SQL,
 }
