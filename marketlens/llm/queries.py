@@ -1,9 +1,10 @@
 """The queries of the text operators, and their SQL where SQL can express them."""
 
-from . import bpe, fingerprints, neardup, packing, quality, secrets, sharding, warc
+from . import bpe, fingerprints, neardup, packing, quality, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op5_packing": packing.op5_packing,
