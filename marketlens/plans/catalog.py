@@ -1,5 +1,10 @@
 """All queries of the analytics operators over the driver's tables, with their SQL."""
 
+from . import leadlag_queries
+
 QUERIES: dict = {}
 SQL: dict = {}
+for part in (leadlag_queries,):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
 FLAGSHIP = "e16_stability"
