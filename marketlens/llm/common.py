@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ready
+
 #: The six ASCII white-space characters that separate words.
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -40,14 +40,7 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Keeps Arrow batches for Python workers small whatever the length of the texts, and gives workers this package."""
-    home = Path(__file__).resolve().parents[2]
-    sc = spark.sparkContext
-    if str(home) not in os.environ.get("PYTHONPATH", "").split(":") and not any("marketlens" in x for x in sc.listFiles):
-        to = Path(tempfile.mkdtemp(prefix="marketlens-"), "marketlens.zip")
-        with zipfile.ZipFile(to, "w") as z:
-            for p in sorted((home / "marketlens").rglob("*.py")):
-                z.write(p, p.relative_to(home))
-        sc.addPyFile(str(to))
+    ready(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
