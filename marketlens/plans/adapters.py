@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import leadlag
-
 LATENCY = 10_800
 
 
@@ -57,6 +55,11 @@ M = """w as (select l_partkey, sum(l_extendedprice::decimal(18, 2))::double as l
 m as (select case when p_partkey % 2 = 0 then 'a' else 'b' end as venue, p_partkey as market_id, p_name || ' ' || p_type as title, p_brand as tag, p_size::varchar as win, p_retailprice as volume, coalesce(liquidity, 0) as liquidity from part left join w on l_partkey = p_partkey)"""
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, most: int = 200) -> DataFrame:
-    m = leadlag.with_tokens(markets(spark, sf_dir))
-    return leadlag.score_pairs(leadlag.candidate_pairs(m.where("venue = 'a'"), m.where("venue = 'b'")))
+def page_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as markets: texts of their own, so that few pairs share many words."""
+    p = table(spark, sf_dir, "pages")
+    return p.select(
+        F.when(F.col("page_id") % 2 == 0, "a").otherwise("b").alias("venue"), F.col("page_id").alias("market_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit("").alias("resolution_text"),
+        F.array(F.concat(F.lit("page"), (F.col("page_id") % 9).cast("string"))).alias("tags"), F.concat(F.lit("window"), (F.col("page_id") % 5).cast("string")).alias("resolution_window"), F.length("html").cast("double").alias("volume"),
+        ((F.col("page_id") % 7) * 10000.0).alias("liquidity"), F.lit(0.0).alias("open_interest"), F.lit(True).alias("is_active"),
+    )

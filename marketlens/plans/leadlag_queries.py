@@ -217,10 +217,12 @@ def c7(spark, d):
     return tk.shared_topics(m.where("venue = 'a'"), m.where("venue = 'b'"), "topics")
 
 
-# Pair scores are taken over the first 1,000 part keys' worth of tags: markets of Brand#1 to Brand#5 of either venue.
-SMALL = "tag in ('Brand#1', 'Brand#2', 'Brand#3')"
+# Pair scores are taken over pages as markets: their titles, of either venue by turns.
+PT = "title || '  ' || tag"
+PM = f"""mt as (select *, {toks(PT)} as toks, {toks(PT, tk.THEME)} as theme, list_sort({toks("title", tk.THEME)}) as title_theme, {toks(PT, tk.TOPICS)} as topics, {toks("win")} as wt from
+ (select case when page_id % 2 = 0 then 'a' else 'b' end as venue, page_id as market_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, 'page' || (page_id % 9) as tag, 'window' || (page_id % 5) as win, length(html)::double as volume, (page_id % 7) * 10000.0::double as liquidity from pages))"""
 DR, AS = _list(tk.DRIVERS), _list(tk.ASSETS)
-PS = f"""{MT}, ms as (select * from mt where {SMALL}),
+PS = f"""{PM}, ms as (select * from mt),
 c as (select a.market_id as l, b.market_id as r, a.volume as lv, a.liquidity as ll, b.volume as rv, {jac("a.theme", "b.theme")} as jt, {jac("a.toks", "b.toks")} as js, len(list_intersect(a.topics, b.topics)) as ns, len(list_intersect(a.theme, b.theme)) as ov,
   {jac("a.title_theme", "b.title_theme")} as jtt, {jac("a.wt", "b.wt")} as jw, a.title_theme = b.title_theme as eq, len(list_intersect(a.toks, {DR})) as ld, len(list_intersect(a.toks, {AS})) as la, len(list_intersect(b.toks, {DR})) as rd, len(list_intersect(b.toks, {AS})) as ra
   from ms a, ms b where a.venue = 'a' and b.venue = 'b'),
@@ -233,28 +235,28 @@ s4 as (select *, case when pair_type = 'logical_equivalent' then case when ns >=
 s5 as (select *, (0.35 * semantic + 0.30 * causal + 0.20 * resolution) * case pair_type when 'logical_equivalent' then 1.0 when 'shared_driver' then 0.9 else 0.75 end as composite from s4)"""
 
 
-def _small(spark, d):
-    m = ll.with_tokens(ad.markets(spark, d).where(F.col("event_slug").isin("Brand#1", "Brand#2", "Brand#3")))
+def _catalog(spark, d):
+    m = ll.with_tokens(ad.page_markets(spark, d))
     return m.where("venue = 'a'"), m.where("venue = 'b'")
 
 
 def _scored(spark, d):
-    return ll.score_pairs(ll.candidate_pairs(*_small(spark, d)))
+    return ll.score_pairs(ll.candidate_pairs(*_catalog(spark, d)))
 
 
 @query("d1_candidate_pairs", f"with {PS} select l as l_market_id, r as r_market_id from c where js > 0")
 def d1(spark, d):
-    return ll.candidate_pairs(*_small(spark, d)).select("l_market_id", "r_market_id")
+    return ll.candidate_pairs(*_catalog(spark, d)).select("l_market_id", "r_market_id")
 
 
 @query("k1_pair_similarity", f"with {PS} select l as l_market_id, r as r_market_id, pair_type, round(semantic, 6) as semantic, round(resolution, 6) as resolution from s3 where js > 0")
 def k1(spark, d):
-    return ll.pair_similarity(ll.candidate_pairs(*_small(spark, d))).select("l_market_id", "r_market_id", "pair_type", R("semantic"), R("resolution"))
+    return ll.pair_similarity(ll.candidate_pairs(*_catalog(spark, d))).select("l_market_id", "r_market_id", "pair_type", R("semantic"), R("resolution"))
 
 
 @query("k2_pair_direction", f"with {PS} select l as l_market_id, r as r_market_id, left_leads, round(causal, 6) as causal from s4 where js > 0")
 def k2(spark, d):
-    return ll.pair_direction(ll.pair_similarity(ll.candidate_pairs(*_small(spark, d)))).select("l_market_id", "r_market_id", "left_leads", R("causal"))
+    return ll.pair_direction(ll.pair_similarity(ll.candidate_pairs(*_catalog(spark, d)))).select("l_market_id", "r_market_id", "left_leads", R("causal"))
 
 
 @query("d2_scored_pairs", f"with {PS} select l as l_market_id, r as r_market_id, pair_type, round(composite, 6) as composite from s5 where js > 0 and composite >= 0.38")
@@ -269,7 +271,7 @@ def g1(spark, d):
 
 @query("k15_coverage", f"with {PS}, n as (select count(*) filter (venue = 'a') as left_markets, count(*) filter (venue = 'b') as right_markets from ms), q as (select count(*) as pairs, 0::bigint as eligible, round(max(composite), 6) as best from s5 where js > 0 and composite >= 0.38) select *, case when left_markets = 0 or right_markets = 0 then 'needs_sync' when pairs > 0 then 'watch_only' else 'insufficient_overlap' end as status from n, q")
 def k15(spark, d):
-    a, b = _small(spark, d)
+    a, b = _catalog(spark, d)
     return ll.coverage_status(_scored(spark, d), a, b).withColumn("best", F.round("best", 6))
 
 
@@ -322,7 +324,7 @@ D10_SQL = f"""with {PS}, q as (select 'a' as venue, l as id, composite from s5 w
 @query("d10_select_markets", D10_SQL)
 def d10(spark, d):
     p = _scored(spark, d).select(F.lit("a").alias("leader_venue"), F.col("l_market_id").alias("leader_id"), F.lit("b").alias("follower_venue"), F.col("r_market_id").alias("follower_id"), "is_trade_eligible", F.round("composite", 9).alias("composite"), F.lit(True).alias("is_active"))
-    return ll.select_markets(ad.markets(spark, d), p, "a").select("market_id")
+    return ll.select_markets(ad.page_markets(spark, d), p, "a").select("market_id")
 
 
 @query("d5_asset_lookup", f"with {M} select market_id::varchar || x.s as asset_id, venue, market_id, x.side as side from (select venue, market_id, unnest([struct_pack(s := '-1', side := 'yes'), struct_pack(s := '-2', side := 'no')]) as x from m)")
