@@ -83,7 +83,7 @@ def json_string_list(c: Column) -> Column:
 
 def distinct_ci(arr: Column) -> Column:
     """The elements in order, each spelling but the first of a word dropped whatever its case; blanks dropped."""
-    kept = F.filter(F.transform(arr, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(arr, lambda x: F.trim(x)), lambda x: x != "")
     low = F.transform(kept, F.lower)
     return F.filter(kept, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 

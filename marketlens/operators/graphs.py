@@ -141,7 +141,7 @@ def clean_nodes(nodes: DataFrame) -> DataFrame:
     """Metadata without a label or value and blank snippets dropped; an empty summary or source title filled in."""
     return nodes.withColumns({
         "metadata": F.filter(F.coalesce("metadata", F.array().cast("array<struct<label:string,value:string>>")), lambda m: (F.trim(m["label"]) != "") & (F.trim(m["value"]) != "")),
-        "snippets": F.filter(F.transform(F.coalesce("snippets", F.array().cast("array<string>")), F.trim), lambda s: s != ""),
+        "snippets": F.filter(F.transform(F.coalesce("snippets", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda s: s != ""),
         "summary": F.when(_some("summary"), F.col("summary")).otherwise(F.concat(F.col("type"), F.lit(": "), F.col("label"))),
     })
 
