@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, read, semi_by_size, write_table
 
-ROWS, SAMPLES, BITS = 4, 128, 512
+ROWS, SAMPLES, BITS, FULL_BITS = 4, 128, 512, 2048
 SKETCH = "doc_id {kind}, tie long, n long, cls binary, bands array<long>, sketch array<long>"
 
 
@@ -56,11 +56,15 @@ def minhash(shingles: np.ndarray, k: int = SAMPLES, block: int = 1 << 13) -> np.
     return out
 
 
+def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of how many hashes fall on each of bits bits, as longs."""
+    odd = (np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(">u8").astype(np.uint64).view(np.int64)
+
+
 def odd_sketch(minima: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Parities of the minima's bits: where two sketches differ is where an odd number of unequal minima fell."""
-    at = mix(minima + np.arange(len(minima), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)
-    odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(odd).view(">u8").astype(np.uint64).view(np.int64)
+    return parity(mix(minima + np.arange(len(minima), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), bits)
 
 
 def estimate(a: Column, b: Column, samples: int = SAMPLES, bits: int = BITS) -> Column:
@@ -70,6 +74,18 @@ def estimate(a: Column, b: Column, samples: int = SAMPLES, bits: int = BITS) ->
     return 1 + F.lit(bits / (4 * samples)) * F.log(F.greatest(1 - 2 * ones / F.lit(bits), F.lit(1e-9)))
 
 
+def full_parity(shingles: np.ndarray, bits: int = FULL_BITS) -> np.ndarray:
+    """Parities of a whole set's bits: two of them differ in nearly as many bits as the sets do in elements."""
+    return parity(mix(shingles), bits)
+
+
+def full_estimate(a: Column, b: Column, na: Column, nb: Column, bits: int = FULL_BITS) -> Column:
+    """Similarity of two sets of na and nb elements by their full parities."""
+    ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.lit(-bits / 2) * F.log(F.greatest(1 - 2 * ones / F.lit(bits), F.lit(1e-9)))
+    return (na + nb - apart) / (na + nb + apart)
+
+
 def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
     """Per row of docs (doc_id, text): set size, a 128-bit class of equal sets, band hashes and the odd sketch."""
     bounded_batches(docs.sparkSession)
@@ -120,6 +136,16 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def parities(texts: DataFrame, size: int) -> DataFrame:
+    """cls and the full parity of its set. texts: cls, text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"cls": batch["cls"], "parity": [full_parity(shingle_set(x, size)) for x in batch["text"]]})
+
+    return texts.select("cls", "text").mapInPandas(run, "cls binary, parity array<long>")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets have 100 * intersection >= percent * union. texts: cls, text."""
 
@@ -170,7 +196,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, doc_id: s
     classes = write_table(classes, "classes")
     banded = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     groups = banded.groupBy("key").agg(F.count("*").alias("g"), F.min(F.struct(F.xxhash64("cls", "band").alias("r"), "cls")).alias("p")).where("g > 1")
-    groups = banded.join(groups.select("key", F.col("p.cls").alias("pivot")), "key").select("key", "cls", "pivot")
+    groups = banded.join(groups.select("key", F.col("p.cls").alias("pivot")), "key").select("key", "band", "cls", "pivot")
     groups = write_table(groups, "groups")
 
     facts = classes.select("cls", "n", "sketch")
@@ -209,18 +235,23 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, doc_id: s
     if second.limit(1).count():
         links = links.unionByName(check(second))
         roots = components(links)
-    # At last, in groups that hold several components, classes outside the largest against all others.
+    # At last, in groups that hold several components, classes outside the largest against all others. These few get a
+    # parity sketch of their full sets, which leaves only pairs close to the threshold; each pair is taken in its first common band.
     rooted = groups.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("main")).where("k > 1")
-    rooted = write_table(rooted.join(mixed.select("key", "main"), "key").select("key", "cls", "root", (F.col("root") == F.col("main")).alias("major")), "mixed")
-    rooted = rooted.join(facts, "cls")
-    minor = rooted.where("not major").select("key", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    other = rooted.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), "major")
+    rooted = write_table(rooted.join(mixed.select("key", "main"), "key").select("key", "band", "cls", "root", (F.col("root") == F.col("main")).alias("major")), "mixed")
+    sharp = write_table(parities(texts(rooted.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct()), size), "parities")
+    rooted = rooted.join(classes.select("cls", "n", "sketch", "bands").join(sharp, "cls"), "cls")
+    side = lambda df, k, *more: df.select("key", F.col("cls").alias(k), *(F.col(c).alias(f"{n}{k}") for n, c in (("r", "root"), ("n", "n"), ("s", "sketch"), ("f", "parity"), ("k", "bands"))), *more)
+    minor, other = side(rooted.where("not major"), "a", "band"), side(rooted, "b", "major")
     once = F.col("major") | (F.col("a") < F.col("b"))
     alike = estimate(F.col("sa"), F.col("sb")) >= percent / 100 - slack
-    third = minor.join(other, "key").where((F.col("ra") != F.col("rb")) & once & fits & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    third = write_table(third.join(pairs, ["a", "b"], "left_anti"), "third")
+    known = (F.col("na") + F.col("nb")) * (100 - percent) < F.lit(FULL_BITS * 0.4) * (100 + percent)
+    close = ~known | (full_estimate(F.col("fa"), F.col("fb"), F.col("na"), F.col("nb")) >= percent / 100 - 0.03)
+    first_common = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), True) == F.col("band") + 1
+    third = minor.join(other, "key").where((F.col("ra") != F.col("rb")) & once & fits & alike & close & first_common).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    third = write_table(third.join(pairs, ["a", "b"], "left_anti").distinct(), "third")
     if third.limit(1).count():
         links = links.unionByName(check(third))
         roots = components(links)
