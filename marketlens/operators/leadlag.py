@@ -192,21 +192,32 @@ def candidate_pairs(left: DataFrame, right: DataFrame, mode: str = "blocked") ->
     return pairs.join(a, ["l_venue", "l_market_id"]).join(b, ["r_venue", "r_market_id"])
 
 
+def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """df with cols, each computed once a row however often later expressions and filters use it.
+
+    A generator of one row stands between: the optimizer copies no expression past it.
+    """
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))).alias("_once")
+    return df.select("*", made).select(*df.columns, *(F.col(f"_once.{n}") for n in cols))
+
+
 def pair_similarity(pairs: DataFrame) -> DataFrame:
     """semantic, resolution, title_sim and pair_type of candidate pairs."""
-    theme, shared = jaccard(F.col("l_theme"), F.col("r_theme")), token_overlap(F.col("l_topics"), F.col("r_topics"))
-    out = pairs.withColumns({"j_theme": theme, "n_shared": shared, "overlap": token_overlap(F.col("l_theme"), F.col("r_theme"))})
+    hits = {f"{p}_{k}": f(F.col(f"{p}_toks")) for p in "lr" for k, f in (("drivers", driver_hits), ("assets", asset_hits))}
+    out = once(pairs, {
+        "j_theme": jaccard(F.col("l_theme"), F.col("r_theme")), "n_shared": token_overlap(F.col("l_topics"), F.col("r_topics")), "overlap": token_overlap(F.col("l_theme"), F.col("r_theme")), "j_all": jaccard(F.col("l_toks"), F.col("r_toks")),
+        "j_title": jaccard(F.col("l_title_theme"), F.col("r_title_theme")), "j_window": jaccard(F.col("l_window_toks"), F.col("r_window_toks")), "same_title": F.col("l_title_theme") == F.col("r_title_theme"), **hits,
+    })
     topical = F.least(0.22 * F.col("n_shared"), F.lit(0.88))
     enough = (F.col("n_shared") >= 2) & ((F.col("j_theme") >= 0.2) | (F.col("overlap") >= 3))
-    out = out.withColumn("semantic", F.greatest(jaccard(F.col("l_toks"), F.col("r_toks")), F.round(0.95 * F.col("j_theme"), 4), topical, F.when(enough, 0.52).otherwise(0.0)))
-    out = out.withColumn("title_sim", F.greatest(jaccard(F.col("l_title_theme"), F.col("r_title_theme")), F.col("j_theme")))
+    out = once(out, {"semantic": F.greatest("j_all", F.round(0.95 * F.col("j_theme"), 4), topical, F.when(enough, 0.52).otherwise(0.0)), "title_sim": F.greatest("j_title", "j_theme")})
     near = F.when((F.col("n_shared") >= 1) & (F.col("j_theme") >= 0.35), 0.55).otherwise(0.0)
-    out = out.withColumn("resolution", F.greatest(jaccard(F.col("l_window_toks"), F.col("r_window_toks")), 0.65 * F.col("semantic"), 0.8 * F.col("title_sim"), near))
-    equal = ((F.col("semantic") >= 0.62) & (F.col("resolution") >= 0.55)) | (F.col("l_title_theme") == F.col("r_title_theme")) | (F.col("title_sim") >= 0.72)
+    out = once(out, {"resolution": F.greatest(F.col("j_window"), 0.65 * F.col("semantic"), 0.8 * F.col("title_sim"), near)})
+    equal = ((F.col("semantic") >= 0.62) & (F.col("resolution") >= 0.55)) | F.col("same_title") | (F.col("title_sim") >= 0.72)
     equal = equal | ((F.col("n_shared") >= 2) & ((F.col("j_theme") >= 0.28) | (F.col("overlap") >= 3) | (F.col("resolution") >= 0.45)))
-    drivers = (driver_hits(F.col("l_toks")) + driver_hits(F.col("r_toks")) > 0) & (asset_hits(F.col("l_toks")) + asset_hits(F.col("r_toks")) > 0)
+    drivers = (F.col("l_drivers") + F.col("r_drivers") > 0) & (F.col("l_assets") + F.col("r_assets") > 0)
     kind = F.when(equal, "logical_equivalent").when(drivers & ((F.col("j_theme") >= 0.18) | (F.col("semantic") >= 0.24)), "shared_driver").otherwise("narrative_spillover")
-    return out.withColumn("pair_type", kind)
+    return once(out, {"pair_type": kind})
 
 
 def pair_direction(pairs: DataFrame) -> DataFrame:
@@ -214,15 +225,15 @@ def pair_direction(pairs: DataFrame) -> DataFrame:
     left = F.when(F.col("l_liquidity") != 0, F.col("l_liquidity")).otherwise(F.col("l_volume"))
     right = F.when(F.col("r_open_interest") != 0, F.col("r_open_interest")).otherwise(F.col("r_volume"))
     same = F.col("pair_type") == "logical_equivalent"
-    strength = lambda p: 0.18 * driver_hits(F.col(f"{p}_toks")) + 0.05 * asset_hits(F.col(f"{p}_toks"))
+    strength = lambda p: 0.18 * F.col(f"{p}_drivers") + 0.05 * F.col(f"{p}_assets")
     out = pairs.withColumn("left_leads", F.when(same, left >= right).otherwise(strength("l") >= strength("r")))
     lead = F.when(F.col("left_leads"), strength("l")).otherwise(strength("r"))
-    other = F.when(F.col("left_leads"), asset_hits(F.col("r_toks"))).otherwise(asset_hits(F.col("l_toks")))
+    other = F.when(F.col("left_leads"), F.col("r_assets")).otherwise(F.col("l_assets"))
     liquid = 0.58 + F.least(F.abs(left - right) / 100000, F.lit(0.2))
     liquid = F.when((F.col("n_shared") >= 2) & (F.col("j_theme") >= 0.35), F.greatest(liquid, F.lit(0.66))).otherwise(liquid)
     worded = F.least(0.42 + lead + 0.08 * other, F.lit(0.95))
     thin = (F.col("pair_type") == "narrative_spillover") & (F.col("j_theme") < 0.15) & (F.col("n_shared") == 0)
-    return out.withColumn("causal", F.when(same, liquid).when(thin, F.least(worded, F.lit(0.35))).otherwise(worded))
+    return once(out, {"causal": F.when(same, liquid).when(thin, F.least(worded, F.lit(0.35))).otherwise(worded)})
 
 
 def pair_composite(pairs: DataFrame, min_score: float = 0.38) -> DataFrame:
@@ -231,7 +242,7 @@ def pair_composite(pairs: DataFrame, min_score: float = 0.38) -> DataFrame:
         pairs = pairs.withColumns({"stability": F.lit(0.0), "ready": F.lit(False)})
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in PAIR_WEIGHTS.items() for x in kv)), F.col("pair_type"))
     score = (0.35 * F.col("semantic") + 0.30 * F.col("causal") + 0.20 * F.col("resolution") + 0.15 * F.col("stability")) * weight
-    out = pairs.withColumn("composite", score).where(F.col("composite") >= min_score)
+    out = once(pairs, {"composite": score}).where(F.col("composite") >= min_score)
     fit = (F.col("composite") >= 0.58) & (F.col("resolution") >= 0.35) & (F.col("causal") >= 0.5) & F.col("ready")
     return out.withColumns({"is_trade_eligible": fit, "expected_latency_seconds": F.when(F.col("pair_type") == "logical_equivalent", 45).otherwise(120)})
 
