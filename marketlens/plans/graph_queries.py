@@ -55,9 +55,9 @@ fe as (select run_id, count(*) as edge_count, avg(confidence) as avg_edge_confid
 ff as (select *, edge_count / case when node_count > 1 then node_count * (node_count - 1) else 1 end as density from fn join fe using (run_id))"""
 
 
-@query("e13_graph_features", f"with {FE} select run_id, node_count, n_relatedmarket, n_evidence, edge_count, edge_type_diversity, round(avg_node_confidence, 6) as avg_node_confidence, round(avg_edge_confidence, 6) as avg_edge_confidence, min_edge_confidence, max_edge_confidence, round(density, 9) as density, round(related_volume, 2) as related_volume from ff")
+@query("e13_graph_features", f"with {FE} select run_id, node_count, n_relatedmarket, n_evidence, edge_count, edge_type_diversity, round(avg_node_confidence, 9) as avg_node_confidence, round(avg_edge_confidence, 9) as avg_edge_confidence, min_edge_confidence, max_edge_confidence, round(density, 9) as density, round(related_volume, 2) as related_volume from ff")
 def e13(spark, d):
-    return gr.graph_features(*graph(spark, d)).select("run_id", "node_count", "n_relatedmarket", "n_evidence", "edge_count", "edge_type_diversity", R("avg_node_confidence"), R("avg_edge_confidence"), "min_edge_confidence", "max_edge_confidence", R("density", 9), R("related_volume", 2))
+    return gr.graph_features(*graph(spark, d)).select("run_id", "node_count", "n_relatedmarket", "n_evidence", "edge_count", "edge_type_diversity", R("avg_node_confidence", 9), R("avg_edge_confidence", 9), "min_edge_confidence", "max_edge_confidence", R("density", 9), R("related_volume", 2))
 
 
 @query("k13_graph_quality", f"with {FE} select run_id, round(least(0.5 + case when node_count >= 8 then 0.1 else 0 end + case when n_relatedmarket >= 2 then 0.08 else 0 end + case when n_evidence >= 2 then 0.07 else 0 end + case when avg_edge_confidence > 0.7 + 1e-12 then 0.05 else 0 end + case when edge_type_diversity >= 4 then 0.05 else 0 end + case when density > 0.1 then 0.03 else 0 end, 0.95)::double, 2) as quality from ff")
