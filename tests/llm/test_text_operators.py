@@ -259,6 +259,22 @@ def test_passages_against_brute(spark, docs):
     assert all(brute.best_similarity(rows, d) >= 0.85 for d in set(got) - set(want))
 
 
+def test_second_passage_beside_a_confirmed_one(spark):
+    """A passage of 50 words from B between A's words: windows that reach into A's part stay open for it."""
+    import numpy as np
+
+    rng, rows, want = np.random.default_rng(7), [], {}
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    for k in range(60):
+        a, b = new(300), new(50)
+        rows += [(3 * k, " ".join(a)), (3 * k + 1, " ".join(new(20) + b + new(20))), (3 * k + 2, " ".join(a[:150] + b + a[150:]))]
+        want[3 * k + 2] = 350
+    got = {k: 0 for k in want}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] += r.n_words
+    assert got == want
+
+
 def test_passages_cut(spark, odd, empty):
     shared = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, "head one " + shared + " tail", 9), (2, "other start\n" + shared + " other end", 9), (3, shared, 9), (4, "w1 w2 w3 alone", 9), (None, shared, 9)], "doc_id long, text string, tie int")
