@@ -275,6 +275,30 @@ def test_second_passage_beside_a_confirmed_one(spark):
     assert got == want
 
 
+def test_shared_spans_split_and_repeated_shingles():
+    """Two near copies side by side that stand apart, or swapped, in the other text; an exact passage whose shingle stands earlier there."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    new = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    hashed = lambda w: passages.quick_shingles(" ".join(w))
+    one, two = new(80), new(80)
+    edit = lambda w: w[:40] + ["edited"] + w[41:]
+    mine = hashed(new(30) + edit(one) + edit(two) + new(30))
+    for theirs in (new(10) + one + new(100) + two, two + one, two + new(100) + one):
+        held = {k for s, e in passages.shared_spans(mine, hashed(theirs), 46, 80) for k in range(s, e + 1)}
+        assert set(range(30, 106)) <= held and set(range(110, 186)) <= held
+    words = new(60)
+    a, b = hashed(words), hashed(words[28:33] + new(100) + words[:10] + words + new(50))
+    assert {k for s, e in passages.shared_spans(a, b, 46, 80) for k in range(s, e + 1)} == set(range(56))
+    # Chance text on both sides fails the whole; the passage stands as an exact run though a shingle of it stands earlier.
+    odd = np.concatenate((a[10:56], a[10:56]))
+    far = np.concatenate((a[30:31], a[:5], a[10:56], hashed(new(300)), a[10:56]))
+    assert {k for s, e in passages.shared_spans(odd, far, 46, 80) for k in range(s, e + 1)} == set(range(92))
+    h = passages.run_hashes(np.arange(200, dtype=np.uint64) % np.uint64(70), 46)
+    assert len(h) == 155 and h[0] == h[70] and len(set(h.tolist())) == 70
+
+
 def test_passages_cut(spark, odd, empty):
     shared = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, "head one " + shared + " tail", 9), (2, "other start\n" + shared + " other end", 9), (3, shared, 9), (4, "w1 w2 w3 alone", 9), (None, shared, 9)], "doc_id long, text string, tie int")
