@@ -275,6 +275,19 @@ def test_second_passage_beside_a_confirmed_one(spark):
     assert got == want
 
 
+def test_near_copies_found(spark):
+    """Of 300 passages of 50 words with one word changed (41 of 51 shingles), ten at most may be missed."""
+    import numpy as np
+
+    rng, rows = np.random.default_rng(11), []
+    new = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+    for k in range(300):
+        w = new(50)
+        rows += [(2 * k, " ".join(new(40) + w + new(40))), (2 * k + 1, " ".join(new(40) + w[:24] + ["changed"] + w[25:] + new(40)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in got}) >= 290
+
+
 def test_shared_spans_split_and_repeated_shingles():
     """Two near copies side by side that stand apart, or swapped, in the other text; an exact passage whose shingle stands earlier there."""
     import numpy as np
