@@ -275,6 +275,24 @@ def test_second_passage_beside_a_confirmed_one(spark):
     assert got == want
 
 
+def test_earlier_shorter_holder(spark):
+    """The first document holds 44 words of a passage of 50, or a worse copy; two later ones all of it."""
+    import numpy as np
+
+    rng, rows, want = np.random.default_rng(13), [], {}
+    new = lambda n: [f"s{x}" for x in rng.integers(0, 10**9, n)]
+    for k in range(60):
+        w = new(50)
+        short = w[:44] if k % 2 else w[:12] + ["x"] + w[13:36] + ["y"] + w[37:]
+        rows += [(4 * k + i, " ".join(new(30) + x + new(30))) for i, x in enumerate((short, short[:40], w, w))]
+        want[4 * k + 3] = w
+    text, got = {i: t.split() for i, t in rows}, {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(text[r.doc_id][r.start_word : r.start_word + r.n_words])
+    lost = [i for i, w in want.items() if not set(w) <= got.get(i, set())]
+    assert lost == []
+
+
 def test_near_copies_found(spark):
     """Of 300 passages of 50 words with one word changed (41 of 51 shingles), ten at most may be missed."""
     import numpy as np
