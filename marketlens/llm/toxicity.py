@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log1p
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -59,7 +60,8 @@ def dense_features(text: str, weights: dict[str, float], known: dict[str, float]
     seeds = sum(w in INSULTS for w in found)
     you = sum(w in SECOND for w in found)
     close = sum(any(w in SECOND for w in found[max(0, i - 5) : i + 6]) for i in at)
-    dense = max((sum(1 for j in at[k:] if j < i + 20) for k, i in enumerate(at[:200])), default=0)
+    places = np.array(at, dtype=np.int64)
+    dense = (np.searchsorted(places, places + 20) - np.arange(len(places))).max(initial=0)
     masked = MASKED.findall(low)
     unmasked = [m.translate(PLAIN) for m in masked]
     letters = max(sum(map(len, found)), 1)

@@ -94,6 +94,12 @@ def test_dense_features_masks():
     assert len(plain) == len(masked) and masked[-2] > plain[-2] and masked[-1] >= 1
 
 
+def test_dense_counts_late_hits():
+    """300 hits far apart, then six within 20 words."""
+    text = ("bad " + "fine " * 30) * 300 + "bad " * 6
+    assert toxicity.dense_features(text, {"=bad": 1.0}, {})[11] == 6.0 and toxicity.dense_features("fine", {"=bad": 1.0}, {})[11] == 0.0
+
+
 # ---- quality ----
 
 
