@@ -13,7 +13,7 @@ from .common import bind, read, write_table
 BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
 NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
 ASSIGNED = NAME + r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"',;]{6,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,80}+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 CANDIDATE = f"{BLOCK}|{ASSIGNED}|{TOKEN}"
 KEY = "^" + NAME + r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 
@@ -33,7 +33,9 @@ http https www com org net html image images photo video document documents repo
 der die das und mit von auf für ist nicht eine les des une dans pour est pas que los las del una por con para como
 """.split()
 
-FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "dictionary", "vowels", "slashes", "assigned", "block", "credential", "harmless", "stand_in", "test_path"]
+FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "dictionary", "vowels", "slashes", "hex", "longest_letters", "issued", "block", "assigned", "credential", "harmless", "credential_after", "harmless_after", "stand_in", "test_path"]
+#: The features before these tell of a value alone, these of what stands around it or in its place.
+AROUND = FEATURES.index("assigned")
 
 
 def _lengths_before(lengths: Column, step: int = 128) -> Column:
@@ -58,7 +60,7 @@ def candidates(text: Column, path: Column) -> Column:
             spans = F.transform(found, lambda m, k: F.length(F.get(gaps, k)) + F.length(m))
             one = lambda m, k, s: F.struct(
                 (F.get(s, k) + F.length(F.get(gaps, k))).cast("long").alias("start"), m.alias("match"), F.regexp_replace(m, KEY, "").alias("value"),
-                F.right(F.get(gaps, k), F.lit(40)).alias("before"), F.substring(F.get(gaps, k + 1), 1, 20).alias("after"), F.lower(F.coalesce(path.cast("string"), F.lit(""))).alias("path"),
+                F.right(F.get(gaps, k), F.lit(40)).alias("before"), F.substring(F.get(gaps, k + 1), 1, 40).alias("after"), F.lower(F.coalesce(path.cast("string"), F.lit(""))).alias("path"),
             )
             return bind(bind(spans, lambda x: _lengths_before(x)), lambda s: F.transform(found, lambda m, k: one(m, k, s)))
 
@@ -77,8 +79,9 @@ def features(c: Column) -> Column:
         F.least(n, F.lit(200)), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[^A-Za-z0-9]"),
         share("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"), F.size(F.array_distinct(F.split(v, ""))) / n,
         F.length(F.array_join(words, "")) / n, share("[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])"), share("/"),
-        flag(F.length(c["match"]) > F.length(v)), flag(c["match"].startswith("-----BEGIN")), flag(c["before"].rlike(CREDENTIAL) | (F.length(c["match"]) > F.length(v))),
-        flag(c["before"].rlike(HARMLESS)), flag(v.rlike(STAND_IN)), flag(c["path"].rlike("test|example|sample|mock|fixture")),
+        flag(v.rlike("^[0-9a-fA-F]+$")), F.least(F.array_max(F.transform(F.split(v, "[^A-Za-z]+", -1), lambda x: F.length(x))), F.lit(40)), flag(v.rlike(ISSUED)), flag(c["match"].startswith("-----BEGIN")),
+        flag(F.length(c["match"]) > F.length(v)), flag(c["before"].rlike(CREDENTIAL) | (F.length(c["match"]) > F.length(v))), flag(c["before"].rlike(HARMLESS)),
+        flag(c["after"].rlike(CREDENTIAL)), flag(c["after"].rlike(HARMLESS)), flag(v.rlike(STAND_IN)), flag(c["path"].rlike("test|example|sample|mock|fixture")),
     ]
     return F.array(*(x.cast("double") for x in out))
 
@@ -92,40 +95,56 @@ def weak_label(c: Column) -> Column:
     return F.when(v.rlike(ISSUED), F.lit(1)).when(harmless, F.lit(0)).when(assigned & mixed, F.lit(1))
 
 
-def seed_findings(spark: SparkSession, n: int = 1_200) -> DataFrame:
+def seed_findings(spark: SparkSession, n: int = 3_000) -> DataFrame:
     """Labelled findings (text, path, label) of published formats and of common look-alikes, filled in by hashing 0 to n - 1.
 
-    They make sure that a forest knows each kind, whatever the corpus holds; findings from the corpus are added to them.
+    A kind whose form tells what it is stands in three surroundings by turns: its usual one, words of no meaning, and words
+    that go with the other label; any other stands in its usual one. Findings from the corpus are added to these.
     """
-    hx, b64 = F.sha2(F.col("id").cast("string"), 256), F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 512)))
+    salt = lambda k: F.sha2(F.concat_ws("-", F.col("id"), F.lit(k)), 512)
+    b64 = F.concat(F.base64(F.unhex(salt(1))), F.base64(F.unhex(salt(2))))
+    hx, safe, url = salt(3), F.translate(b64, "+/=", "xyz"), F.translate(b64, "+/=", "-_x")
+    upper, digits, alnum = F.upper(F.translate(b64, "+/=", "ABC")), F.translate(hx, "abcdef", "123456"), F.translate(b64, "+/=", "a1b")
     word = lambda k: F.element_at(F.array(*(F.lit(x) for x in DICTIONARY)), (F.abs(F.hash("id", F.lit(k))) % len(DICTIONARY) + 1).cast("int"))
-    upper, digits = F.upper(F.translate(b64, "+/=", "ABC")), F.translate(hx, "abcdef", "123456")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    part = lambda x, k, size: F.substring(x, k, size)
+    # label, whether the form alone tells it, usual words before, the candidate, usual words after
     kinds = [
-        (1, F.concat(F.lit("key AKIA"), F.substring(upper, 1, 16))), (1, F.concat(F.lit("password="), F.substring(hx, 1, 18))),
-        (1, F.concat(F.lit('token = "'), F.substring(hx, 1, 40), F.lit('"'))), (1, F.concat(F.lit("api_key: "), F.substring(F.translate(b64, "+/=", "xyz"), 1, 32))),
-        (1, F.concat(F.lit("Authorization: Bearer "), F.translate(b64, "+/=", "-_x"))), (1, F.concat(F.lit("secret key "), F.substring(b64, 1, 40))),
-        (0, F.concat(F.lit("card "), F.substring(digits, 1, 16))), (0, F.concat(F.lit("and "), F.substring(digits, 1, 18))), (0, F.concat(F.lit("commit "), F.substring(hx, 1, 40))),
-        (0, F.concat(F.lit("request id "), F.substring(hx, 1, 8), F.lit("-"), F.substring(hx, 9, 4), F.lit("-4"), F.substring(hx, 13, 3), F.lit("-a"), F.substring(hx, 16, 3), F.lit("-"), F.substring(hx, 20, 12))),
-        (0, F.concat(F.lit("see "), word(1), F.lit("-"), word(2), F.lit("-"), word(3), F.lit("-"), word(4), F.col("id"))),
-        (0, F.concat(F.lit("in /"), word(1), F.lit("/"), word(2), F.lit("/"), word(3), F.col("id") % 10, F.lit("/"), word(4))),
-        (0, F.concat(F.lit("password="), F.when(F.col("id") % 2 == 0, F.lit("changeme")).otherwise(F.lit("example")), F.col("id"))),
-        (0, F.concat(F.lit("token: <"), word(1), F.lit("_"), word(2), F.lit(">"))),
+        (1, True, "key ", text("AKIA", part(upper, 1, 16)), " secret"), (1, True, "use ", text("ghp_", part(alnum, 1, 36)), " to pull"), (1, True, "bot ", text("xoxb-", part(digits, 1, 11), "-", part(alnum, 3, 24)), ""),
+        (1, True, "pay ", text("sk_live_", part(alnum, 5, 24)), ""), (1, True, "map ", text("AIza", part(url, 1, 35)), " key"), (1, True, "Authorization: Bearer ", text("eyJ", part(url, 1, 60)), ""),
+        (1, True, "", text("password=", part(hx, 1, 18)), ""), (1, True, "", text('token = "', part(hx, 1, 40), '"'), ""), (1, True, "", text("api_key: ", part(safe, 1, 32)), ""), (1, True, "", text("pwd=", part(safe, 1, 6), "!", part(digits, 1, 6)), " login"),
+        (1, False, "Authorization: Bearer ", part(url, 1, 86), ""), (1, False, "secret key ", part(b64, 1, 40), " password"), (1, False, "credential ", part(hx, 1, 64), " token"),
+        (0, True, "card ", part(digits, 1, 16), " expires"), (0, True, "account ", part(digits, 1, 22), " order"), (0, False, "commit ", part(hx, 1, 40), " merged"), (0, False, "sha256 ", part(hx, 1, 64), " checksum"), (0, False, "md5 ", part(hx, 1, 32), " file"),
+        (0, True, "request id ", text(part(hx, 1, 8), "-", part(hx, 9, 4), "-4", part(hx, 13, 3), "-a", part(hx, 16, 3), "-", part(hx, 20, 12)), " order"),
+        (0, True, "see ", text(word(1), "-", word(2), "-", word(3), "-", word(4), F.col("id")), " page"), (0, True, "in ", text("/", word(1), "/", word(2), "/", word(3), F.col("id") % 10, "/", word(4)), " version"),
+        (0, True, "run ", text(word(1), "_", word(2), "_", word(3), "_v", F.col("id") % 30), " build"), (0, True, "", text("password=", F.when(F.col("id") % 2 == 0, "changeme").otherwise("example"), F.col("id")), ""), (0, True, "", text("token: <", word(1), "_", word(2), ">"), ""),
+        (0, True, "", text("auth: ", word(1), word(2), word(3)), " section"), (0, True, "phone ", text("+1-", part(digits, 1, 3), "-", part(digits, 4, 3), "-", part(digits, 7, 4), "-", part(digits, 11, 3)), " call"),
     ]
-    text, label = F.lit(""), F.lit(0)
-    for k, (y, t) in enumerate(kinds):
-        text, label = F.when(F.col("id") % len(kinds) == k, t).otherwise(text), F.when(F.col("id") % len(kinds) == k, F.lit(y)).otherwise(label)
-    return spark.range(n).select(text.alias("text"), F.lit("").alias("path"), label.alias("label"))
+    turn, kind = F.floor(F.col("id") / len(kinds)) % 3, F.col("id") % len(kinds)
+    plain, other = text(word(5), " ", word(6), " "), {1: "page version build ", 0: "the secret token "}
+    body, label = F.lit(""), F.lit(0)
+    for k, (y, clear, before, value, after) in enumerate(kinds):
+        usual = F.lit(not clear) | (turn == 0)
+        ahead = F.when(usual, F.lit(before)).when(turn == 1, plain).otherwise(F.lit(other[y]))
+        body = F.when(kind == k, F.concat(ahead, value, F.when(usual, F.lit(after)).otherwise(F.concat(F.lit(" "), word(7))))).otherwise(body)
+        label = F.when(kind == k, F.lit(y)).otherwise(label)
+    return spark.range(n).select(body.alias("text"), F.lit("").alias("path"), label.alias("label"))
 
 
 def labelled_findings(docs: DataFrame, text: str, path: str, max_rows: int, key: str) -> DataFrame:
-    """Features and weak labels of the candidates of about max_rows documents, chosen by a hash of key."""
+    """Features and weak labels of the candidates of about max_rows documents, chosen by a hash of key.
+
+    Each is given twice, the second time without the features of its surroundings, which weak labels draw on.
+    """
     n = docs.count()
     part = docs if n <= max_rows else docs.where(F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1_000_000)) < int(1e6 * max_rows / n))
     found = part.select(F.explode(candidates(F.col(text), F.col(path))).alias("c"))
-    return found.select(features(F.col("c")).alias("x"), weak_label(F.col("c")).alias("y")).where("y is not null")
+    known = found.select(features(F.col("c")).alias("x"), weak_label(F.col("c")).alias("y")).where("y is not null")
+    bare = F.transform("x", lambda v, i: F.when(i < AROUND, v).otherwise(0.0))
+    return known.select(F.explode(F.array("x", bare)).alias("x"), "y")
 
 
-def fit_forest(labelled: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> list:
+def fit_forest(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> list:
     """Trees of a random forest over labelled features (x array<double>, y 0/1), each as nested (feature, threshold, left, right) or a leaf's probability of 1."""
     rows = labelled.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
@@ -186,7 +205,10 @@ def scan_secrets(docs: DataFrame, trees: list | None = None, text: str = "text",
 
 
 def redact_secrets(docs: DataFrame, trees: list | None = None, text: str = "text", path: str = "source", doc_id: str = "doc_id", threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the values of secrets in text replaced by mark; all else, null texts too, stays as it is."""
+    """docs with the values of secrets in text replaced by mark; all else, null texts too, stays as it is.
+
+    Repeated rows are redacted alike; a null path is an empty one; an empty table gives no rows.
+    """
     trees = trees or train(docs, text, path, key=doc_id)
 
     def masked(found: Column) -> Column:
