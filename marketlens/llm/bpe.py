@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import bounded_batches, read
 
-LEAF = 1 << 13
+#: Characters of a leaf: few enough that the tree encodes ordinary texts, many enough that seams cost little.
+LEAF = 1 << 8
 IDS = "ids array<int>"
 
 
