@@ -100,6 +100,24 @@ def test_dense_counts_late_hits():
     assert toxicity.dense_features(text, {"=bad": 1.0}, {})[11] == 6.0 and toxicity.dense_features("fine", {"=bad": 1.0}, {})[11] == 0.0
 
 
+def test_toxicity_of_given_documents(spark):
+    """Held-out recall, precision and ranking on the given tables, in all and in the language with fewest labels."""
+    d = "/root/testdata/sf0.1"
+    rows = toxicity.op2_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").select("score", "predicted", "toxic", "lang").collect()
+    for lang, recall, auc in ((None, 0.85, 0.95), ("en", 0.85, 0.93), ("es", 0.75, 0.9), ("de", 0.75, 0.9), ("fr", 0.75, 0.9)):
+        part = [r for r in rows if lang in (None, r.lang)]
+        yes, no = ([r for r in part if r.toxic == y] for y in (1, 0))
+        assert sum(r.predicted for r in yes) >= recall * len(yes) and sum(r.predicted for r in no) <= 0.01 * len(no)
+        assert sum((a.score > b.score) + 0.5 * (a.score == b.score) for a in yes for b in no) >= auc * len(yes) * len(no)
+
+
+def test_dense_features_wherever_a_word_stands():
+    """A form that marks toxic texts when it comes twice counts alike at the start and at the end of a long text."""
+    weights, calm = {"2:slur": 4.0, "=bad": 1.0}, "fine " * 20_000
+    early, late = (toxicity.dense_features(t, weights, {}) for t in ("slurry slurs bad " + calm, calm + "slurry slurs bad"))
+    assert early == late and early[-6] > 0 and toxicity.dense_features("slurry " + calm, weights, {})[-6] == 0
+
+
 # ---- quality ----
 
 
@@ -152,7 +170,43 @@ def test_secrets(spark, odd, empty):
     clean = {r.doc_id: r.text for r in secrets.redact_secrets(df, trees).collect()}
     assert "AKIASJ" not in clean[1] and "password=[SECRET]" in clean[1] and "4382604899412335" in clean[1]
     assert secrets.scan_secrets(odd, trees).where("is_secret = 1").count() == 0 and secrets.redact_secrets(odd, trees).where("text is null").count() == 1
-    assert secrets.scan_secrets(empty).count() == 0
+    assert secrets.scan_secrets(empty).count() == 0 and secrets.redact_secrets(empty).count() == 0
+
+
+def test_secrets_planted(spark):
+    """Of 400 planted keys 95 % are found and of 400 look-alikes 3 % taken for one, wherever in a text and in whatever words they stand."""
+    import random
+    import string
+
+    rng = random.Random(5)
+    some = lambda n, of=string.ascii_letters + string.digits: "".join(rng.choice(of) for _ in range(n))
+    prose = lambda n: " ".join(rng.choice("rain fell over quiet hills while people sold bread and old books near the river".split()) for _ in range(n))
+    hexed, digits = "0123456789abcdef", string.digits
+    keys = [
+        lambda: ("", "AKIA" + some(16, string.ascii_uppercase + digits)), lambda: ("", "ghp_" + some(36)), lambda: ("", "xoxb-" + some(12, digits) + "-" + some(24)), lambda: ("", "sk_live_" + some(24)),
+        lambda: ("password=", some(14)), lambda: ('"api_key": "', some(32)), lambda: ("token = ", some(40, hexed)), lambda: ("Authorization: Bearer ", "eyJ" + some(50)), lambda: ("secret access key ", some(39) + "7"),
+    ]
+    others = [
+        lambda: ("card ", some(16, digits)), lambda: ("", some(20, digits)), lambda: ("commit ", some(40, hexed)), lambda: ("", "-".join(some(n, hexed) for n in (8, 4, 4, 4, 12))), lambda: ("checksum ", some(64, hexed)),
+        lambda: ("see ", "the-quiet-river-near-hills-2024"), lambda: ("", "/usr/share/doc/python3/examples"), lambda: ("password=", "changeme123"), lambda: ("order number ", "2024-11-" + some(10, digits)), lambda: ("", "release_notes_final_version2"),
+    ]
+    rows = []
+    for k in range(800):
+        lead, value = (keys if k % 2 else others)[k // 2 % (len(keys) if k % 2 else len(others))]()
+        rows.append((k, f"{prose(rng.randint(5, 400))} {lead}{value} {prose(rng.randint(5, 30))}", value, k % 2))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("source", F.lit("src1"))
+    found = {(r.doc_id, r.value_sha256) for r in secrets.scan_secrets(df).where("is_secret = 1").collect()}
+    hit = [(i, hashlib.sha256(v.encode()).hexdigest()) in found for i, _, v, y in rows]
+    assert sum(h for h, r in zip(hit, rows, strict=True) if r[3]) >= 380
+    assert sum(h for h, r in zip(hit, rows, strict=True) if not r[3]) <= 12
+    assert len(found) <= sum(hit) + 8
+
+
+def test_secret_candidate_with_a_late_digit(spark):
+    """A token whose first digit comes after 90 letters is a candidate as one with an early digit is."""
+    df = spark.createDataFrame([(n, f"see {'abCD' * (n // 4)}9xyz here") for n in (40, 92, 4000)], "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    got = {r.doc_id: r.n for r in df.select("doc_id", F.size(secrets.candidates(F.col("text"), F.col("source"))).alias("n")).collect()}
+    assert got == {40: 1, 92: 1, 4000: 1}
 
 
 # ---- packing ----
@@ -349,12 +403,67 @@ def test_passages_cut(spark, odd, empty):
 def test_compact_windows_cover_each_run_once():
     import numpy as np
 
-    h = np.random.default_rng(3).integers(0, 10**9, 90).astype(np.uint64)
-    found = passages.compact_windows(h, 10)
-    for i in range(81):
-        for j in range(i + 9, 90):
-            c = i + int(h[i : j + 1].argmin())
-            assert sum(lo <= i <= m <= j <= hi for lo, m, hi in found) == 1 and any(m == c for lo, m, hi in found if lo <= i and j <= hi and i <= m <= j)
+    rng, least = np.random.default_rng(3), 10
+    for most in (10**9, 4):  # all different, and ties everywhere
+        texts = [rng.integers(1, most, n).astype(np.uint64) << np.uint64(20) for n in (90, 7, 0, 60)]
+        ends = np.cumsum([len(x) + 1 for x in texts]) - 1
+        found = passages.compact_windows(np.concatenate([np.append(x, np.uint64(0)) for x in texts]), ends, least).tolist()
+        for x, end in zip(texts, ends.tolist(), strict=True):
+            first = end - len(x)
+            mine = [(lo - first, c - first, hi - first) for lo, c, hi in found if first <= c < end]
+            assert all(0 <= lo and hi < len(x) for lo, _, hi in mine)
+            for i in range(len(x) - least + 1):
+                for j in range(i + least - 1, len(x)):
+                    c = i + int(x[i : j + 1].argmin())
+                    assert [m for lo, m, hi in mine if lo <= i <= m <= j <= hi] == [c]
+
+
+def test_chain_of_near_copies(spark):
+    """Triples A, B, C of 60 words in texts of their own: each has one word changed from the one before, so C is like B and unlike A."""
+    import numpy as np
+
+    rng, rows, near = np.random.default_rng(17), [], {}
+    new = lambda n: [f"c{x}" for x in rng.integers(0, 10**9, n)]
+    for k in range(200):
+        a = new(60)
+        b = [*a[:20], "first", *a[21:]]
+        c = [*b[:40], "second", *b[41:]]
+        rows += [(3 * k + i, " ".join(new(30) + x + new(30))) for i, x in enumerate((a, b, c))]
+    got = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (1, 2):
+        assert sum(3 * k + i in got for k in range(200)) >= 190
+
+
+def test_near_passages_against_all_pairs(spark, docs):
+    """Of the documents that hold a run of 46 shingles similar to one of an earlier document by 0.8 or more, nine tenths are found."""
+    import numpy as np
+
+    rows = [(r.doc_id, passages.quick_shingles(r.text or "")) for r in docs.orderBy("doc_id").collect()]
+    want = []
+    for k, (i, s) in enumerate(rows):
+        for _, t in rows[:k]:
+            hit = np.isin(s, t)
+            if len(s) >= 46 and len(t) >= 46 and hit.sum() >= 41:
+                near = np.flatnonzero(np.convolve(hit, np.ones(46), "valid") >= 41)
+                at = np.argsort(t, kind="stable")
+                if any(_best(s[x : x + 46], t, at) >= 0.8 for x in near):
+                    want.append(i)
+                    break
+    got = {r.doc_id for r in passages.repeated_passages(docs).collect()}
+    assert len(want) > 20 and len(set(want) & got) >= 0.9 * len(want)
+
+
+def _best(run, text, order):
+    """The best similarity of a run of shingles to a stretch of text around the places of its own."""
+    import numpy as np
+
+    places = np.sort(order[np.isin(text[order], run)])
+    best = 0.0
+    for lo in places:
+        for hi in places[(places >= lo) & (places < lo + 60)][-1:]:
+            x, y = set(run.tolist()), set(text[lo : hi + 1].tolist())
+            best = max(best, len(x & y) / len(x | y))
+    return best
 
 
 # ---- sharding ----
