@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bind, read
+from .common import bind, read, small, write_table
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = """
@@ -17,15 +17,15 @@ el los las de y en por con para del al lo su como más pero sus o si sobre entre
 
 
 def signatures(text: Column, chain: int = 2) -> Column:
-    """The distinct signatures of a text as a sorted array<int>.
+    """The distinct signatures of a text as a sorted array<string>.
 
-    A signature is the hash of an anchor and the next chain content words; anchors and content words are lower-case
+    A signature is the first eight hex digits of the MD5 of an anchor and the next chain content words; anchors and content words are lower-case
     runs of letters and digits. Anchors near the end take what content words there are, one at least. A text without
     any signature of this kind takes every word as an anchor and the words after it as its chain, so that texts without
     common words can be compared too. Null, empty and wordless texts have none.
     """
     stop = [F.lit(x) for x in dict.fromkeys(ANCHORS)]
-    spot = lambda anchor, content, i: F.hash(anchor, *(F.get(content, i + k) for k in range(chain)))
+    spot = lambda anchor, content, i: F.left(F.md5(F.concat_ws(" ", anchor, *(F.get(content, i + k) for k in range(chain)))), F.lit(8))
 
     def spots(w: Column) -> Column:
         def chains(content: Column) -> Column:
@@ -46,7 +46,7 @@ def signatures(text: Column, chain: int = 2) -> Column:
 
 def fingerprint(sigs: Column) -> Column:
     """Signatures as text: eight hex digits each, in order. Equal texts have equal fingerprints."""
-    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    return F.array_join(sigs, "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -56,27 +56,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(bind(inter, lambda x: x / (union - x)))
 
 
-def with_next(docs: DataFrame, buckets: int = 256) -> DataFrame:
+def with_next(docs: DataFrame, run_bytes: int = 4 << 20, quantiles: int = 64) -> DataFrame:
     """Adds next_text and next_sigs: those of the row that follows by descending doc_id, and for the last row of the first.
 
-    docs has doc_id, text and sigs. Rows are dealt into runs of ids by quantiles; each run is given the first row of the
-    run after it as a guest, so that a window over a run finds every row's follower. Only ids, at most buckets of them,
-    reach the driver. Rows that repeat an id follow by the hash of their text; rows without an id come last.
+    docs has doc_id (an integer), text and sigs. Rows are dealt into runs of ids of about run_bytes of text, eight or so to a
+    task: by quantiles, within them by equal steps, rows without an id, which come last, by the hash of their text. Each run is given the first
+    row of the run after it as a guest, so that a window over a run finds every row's follower. Only the quantiles reach
+    the driver; the table of runs has a row for each. Rows that repeat an id follow by the hash of their text.
     """
-    bounds = docs.where("doc_id is not null").select(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10_000).alias("q")).first()["q"] or []
-    bounds = sorted({int(x) for x in bounds}, reverse=True)
-    run = F.size(F.filter(F.array(*(F.lit(x) for x in bounds)).cast("array<bigint>"), lambda x: x > F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
-    rows = docs.withColumn("_run", run).withColumn("_tie", F.xxhash64("text"))
-    heads = rows.groupBy("_run").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("h")).select("_run", "h.doc_id").collect()  # a row for each run
-    heads = sorted((x["_run"], x["doc_id"]) for x in heads)
-    before = {r: (heads[k - 1][0], k == 0) for k, (r, _) in enumerate(heads)}
-    ids = [x for _, x in heads if x is not None]
-    first = F.col("doc_id").isin(*ids) if ids else F.lit(False)
-    if any(x is None for _, x in heads):
-        first = first | F.col("doc_id").isNull()
-    to = F.create_map(*(F.lit(x) for r, (b, _) in before.items() for x in (r, b))) if before else F.create_map(F.lit(0), F.lit(0))
-    guests = rows.where(first).withColumn("_run", to[F.col("_run")])
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("doc_id must be an integer")
+    none = F.col("doc_id").isNull()
+    size = F.octet_length("text").cast("long") + 16
+    facts = docs.agg(F.percentile_approx("doc_id", [k / quantiles for k in range(quantiles + 1)], 10_000).alias("q"), F.sum(size).alias("all"), F.sum(F.when(none, size)).alias("bare")).first()
+    cuts = sorted({int(x) for x in facts["q"] or [0]}, reverse=True)
+    parts = lambda n, of: max(1, -(-(n or 0) // (of * run_bytes)))
+    steps, bare = parts((facts["all"] or 0) - (facts["bare"] or 0), len(cuts)), parts(facts["bare"], 1)
+    # Cut k holds the ids from cuts[k] down to just above cuts[k + 1]; the last one its own cut.
+    array = F.array(*(F.lit(x) for x in cuts)).cast("array<bigint>")
+    k = F.greatest(F.size(F.filter(array, lambda x: x >= F.col("doc_id"))) - 1, F.lit(0))
+    top, end = F.get(array, k), F.coalesce(F.get(array, k + 1), F.get(array, k) - 1)
+    step = F.least(F.floor((top - F.col("doc_id")) / F.greatest(top - end, F.lit(1)) * steps), F.lit(steps - 1))
+    share = (F.col("_tie").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    run = F.when(none, len(cuts) * steps + F.least(F.floor(share * bare), F.lit(bare - 1))).otherwise(k * steps + F.greatest(step, F.lit(0)))
+    rows = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_run", run.cast("long"))
+    heads = rows.groupBy("_run").agg(F.max("doc_id").alias("_id"), F.min(F.when(none, F.col("_tie"))).alias("_t"))
+    order = Window.orderBy("_run")  # a row for each run
+    heads = write_table(heads, "runs").withColumn("_to", F.coalesce(F.lag("_run").over(order), F.max("_run").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    head = (F.col("doc_id") == F.col("_id")) | (none & (F.col("_tie") == F.col("_t")))
+    guests = rows.join(F.broadcast(heads) if small(heads, 1_000_000) else heads, "_run").where(head).withColumn("_run", F.col("_to")).select(rows.columns)
     dealt = rows.withColumn("_guest", F.lit(0)).unionByName(guests.withColumn("_guest", F.lit(1)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (facts["all"] or 0) // (8 * run_bytes))
+    dealt = dealt.repartition(tasks, "_run")
     order = Window.partitionBy("_run").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "_tie")
     found = dealt.withColumns({"next_text": F.lead("text").over(order), "next_sigs": F.lead("sigs").over(order)})
     return found.where("_guest = 0").drop("_run", "_guest", "_tie")
@@ -114,7 +125,8 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = 2, doc_id:
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text (its last half replaced from the next document) and their likeness.
 
-    Null text counts as empty; repeated rows give a row each; extra columns are ignored; an empty table gives no rows.
+    doc_id is an integer; rows without one follow all others, by a hash of their text. Null text counts as empty; repeated
+    rows give a row each; extra columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = with_next(rows.withColumn("sigs", signatures(F.col("text"))))
@@ -130,3 +142,25 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+_ANCHORS = "[" + ", ".join(f"'{x}'" for x in dict.fromkeys(ANCHORS)) + "]"
+
+
+def _sigs_sql(text: str) -> str:
+    spot = lambda a, b, c: f"substr(md5(concat_ws(' ', {a}, {b}, {c})), 1, 8)"
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"""(select list_sort(list_distinct(case when len(s) > 0 then s else list_transform(range(len(w)), lambda i: {spot("w[i + 1]", "w[i + 2]", "w[i + 3]")}) end)) from
+  (select w, list_filter(list_transform(range(len(p)), lambda j: case when p[j + 1] - j < len(c) then {spot("w[p[j + 1] + 1]", "c[p[j + 1] - j + 1]", "c[p[j + 1] - j + 2]")} end), lambda x: x is not null) as s from
+   (select w, list_filter(w, lambda x: not list_contains({_ANCHORS}, x)) as c, list_filter(range(len(w)), lambda i: list_contains({_ANCHORS}, w[i + 1])) as p from (select {words} as w))))"""
+
+
+OP6_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+n as (select doc_id, t, coalesce(lead(t) over w, first_value(t) over w) as nt from d window w as (order by doc_id desc)),
+e as (select doc_id, t, nt, left(t, length(t) - length(t) // 2) || left(nt, length(t) // 2) as e from n),
+s as (select doc_id, length(t)::bigint as n_chars, sha256(e) as edited_sha256, {_sigs_sql("t")} as a, {_sigs_sql("e")} as b, {_sigs_sql("nt")} as c from e)
+select doc_id, n_chars, edited_sha256, array_to_string(a, '') as fingerprint, array_to_string(b, '') as edited_fingerprint,
+  case when len(a) + len(b) = 0 then 1.0::double else len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) end as near_edited,
+  case when len(a) + len(c) = 0 then 1.0::double else len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))) end as near_next from s
+"""

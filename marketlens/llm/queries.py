@@ -18,6 +18,7 @@ QUERIES = {
 SQL = {
     "op1_warc": warc.OP1_SQL,
     "op3_quality_rules": quality.OP3_SQL,
+    "op6_fingerprints": fingerprints.OP6_SQL,
     "op9_sharding": sharding.OP9_SQL,
     "op10_near_dedup": neardup.OP10_SQL,
 }
