@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_dir, read, write_table
+from .common import bounded_batches, new_dir, read, small, write_table
 
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -26,6 +26,12 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """path as a URI; one without a scheme lies in the file system that is Spark's default, as for any table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def _header(url: object) -> str:
     """A URL as one header line: blanks and control characters percent-encoded."""
     return "" if url is None else "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in str(url))
@@ -62,14 +68,17 @@ def write_archives(pages: DataFrame, out_dir: str, min_payload: int = 0, file_by
     the others revisits of it. Rows that repeat the smallest page_id are responses too, as are rows without a page_id;
     null html is an empty payload; a null url is an empty one. Extra columns are ignored; an empty table gives an empty
     index. Each task attempt writes files of its own and the index names only those of attempts that ended, so that a
-    lost executor costs its tasks, not the archive. Only digests and ids are grouped, never payloads.
+    lost executor costs its tasks, not the archive. Only digests and ids are grouped, never payloads; the table of
+    repeated digests is broadcast up to 500,000 rows, of under 100 bytes each, and joined by a shuffle beyond.
     """
     bounded_batches(pages.sparkSession)
+    out_dir = _qualified(pages.sparkSession, out_dir)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("_hex", F.sha1(F.encode("html", "UTF-8")))
     heads = rows.where(F.octet_length("html") >= min_payload).groupBy("_hex").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     first = F.when(F.octet_length("html") >= min_payload, F.col("_first"))
-    rows = rows.join(heads.select("_hex", "_first"), "_hex", "left").select("page_id", "url", "html", F.when(first != F.col("page_id"), first).alias("refers_to"))
+    heads = write_table(heads.select("_hex", "_first"), "warc-heads")
+    rows = rows.join(F.broadcast(heads) if small(heads, 500_000) else heads, "_hex", "left").select("page_id", "url", "html", F.when(first != F.col("page_id"), first).alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _store(out_dir)
@@ -100,14 +109,18 @@ def write_archives(pages: DataFrame, out_dir: str, min_payload: int = 0, file_by
     return write_table(rows.mapInPandas(write, INDEX), "warc-index")
 
 
-def read_records(selected: DataFrame, in_dir: str, gap: int = 64 << 10, most: int = 8 << 20, payloads: bool = True) -> DataFrame:
+def read_records(selected: DataFrame, in_dir: str, gap: int = 64 << 10, most: int = 8 << 20, payloads: bool = True, slice_bytes: int = 64 << 20) -> DataFrame:
     """The records of selected rows of an index, read back from the archives in in_dir.
 
-    Index rows are dealt out by (file, offset) ranges and sorted; a task joins neighbours that lie at most gap bytes
-    apart into one read of at most most bytes (or of one larger record). The digest of each response is checked.
+    Index rows are dealt out by slices of slice_bytes of a file, about one to a task, and sorted; a task joins neighbours
+    that lie at most gap bytes apart into one read of at most most bytes (or of one larger record). The digest of each
+    response is checked. An empty selection gives no rows.
     """
     bounded_batches(selected.sparkSession)
-    order = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    in_dir = _qualified(selected.sparkSession, in_dir)
+    dealt = selected.select("file", "offset", "length", F.floor(F.col("offset") / slice_bytes).alias("_slice"))
+    n = dealt.select("file", "_slice").distinct().count()
+    order = dealt.repartitionByRange(max(n, 1), "file", "_slice").sortWithinPartitions("file", "offset").drop("_slice")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _store(in_dir)
