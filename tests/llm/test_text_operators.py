@@ -236,9 +236,29 @@ def test_packing(spark, odd, docs, empty):
             assert [r.offset for r in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))]
             size = sum(r.length for r in parts)
             assert size <= 1024 and size & (size - 1) == 0 and size == parts[0].tier
+        groups, steps = {}, {}
+        for k, parts in seqs.items():
+            groups.setdefault((parts[0].tier, parts[0].step_group), set()).add(k)
+            steps.setdefault(parts[0].step_group, set()).add(parts[0].step)
+        assert sorted(x for v in steps.values() for x in v) == list(range(len(groups)))
+        for tier in {t for t, _ in groups}:
+            short = [g for t, g in groups if t == tier and len(groups[t, g]) * tier != 8192]
+            assert len(short) <= 1 and short in ([], [max(g for t, g in groups if t == tier)])
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_by_tiers(spark):
+    """Every tier packs sequences of its own, also where gaps could take all short documents, and groups of all tiers alternate."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(6000)
+    rows = packing.pack_documents(df.repartition(4), public_tokenizers.path("byte_bpe_50k.json")).select("sequence_id", "tier", "step_group", "step").distinct().collect()
+    tokens = {t: sum(r.tier for r in rows if r.tier == t) for t in (128, 256, 512, 1024)}
+    assert all(n > 0.004 * sum(tokens.values()) for n in tokens.values())
+    last = max(r.step for r in rows)
+    for t in tokens:
+        at = sorted({r.step for r in rows if r.tier == t})
+        assert max(b - a for a, b in zip([-1, *at], [*at, last + 1], strict=True)) <= 2.5 * (last + 1) / len(at) + len({r.tier for r in rows})
+
+
 def test_packing_encoder_equals_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
@@ -246,7 +266,7 @@ def test_packing_encoder_equals_library():
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
     for t in ["", " ", "  two  blanks", "a\n b", "tab\t x", "it's we'll 12ab", "ü ñ ✓ ​ x", "a<|endoftext|>b", "end ", " em space x", "x \x1c y"]:
-        assert packing.encoder(path)(t) == plain.encode(t, add_special_tokens=False).ids
+        assert packing.encoder(path)(t).tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 # ---- fingerprints ----
@@ -262,6 +282,11 @@ def test_fingerprints(spark, odd, docs, empty):
     for k, (i, t) in enumerate(rows):
         nxt, h = rows[(k + 1) % len(rows)][1], len(t) // 2
         assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()
+    for size in (40_000, 3_000):  # several runs, also of rows without an id and of single rows
+        many = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+        found = fingerprints.with_next(many.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sigs", F.array("text")), size, 7)
+        ranked = sorted(((r.doc_id is None, -(r.doc_id or 0), r.h, r.text, r.next_text) for r in found.withColumn("h", F.xxhash64("text")).collect()), key=lambda r: r[:3])
+        assert all(a[4] == b[3] for a, b in zip(ranked, [*ranked[1:], ranked[0]], strict=True))
     one = docs.limit(1)
     r = fingerprints.edited_fingerprints(one).first()
     assert r.near_next == 1.0
@@ -269,7 +294,34 @@ def test_fingerprints(spark, odd, docs, empty):
     assert odd.where("doc_id = 4").select(fingerprints.fingerprint(fingerprints.signatures(F.col("text"))).alias("f")).distinct().count() == 1
 
 
-def test_near_pairs_against_all_pairs(spark, docs):
+def plain_signatures(text):
+    """Chains of two content words after each anchor, hashed; of every word where there are none."""
+    w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+    anchors = set(fingerprints.ANCHORS)
+    spot = lambda parts: hashlib.md5(" ".join(parts).encode()).hexdigest()[:8]
+    found = {spot([x, *[y for y in w[i + 1 :] if y not in anchors][:2]]) for i, x in enumerate(w) if x in anchors and any(y not in anchors for y in w[i + 1 :])}
+    return found or {spot(w[i : i + 3]) for i in range(len(w))}
+
+
+def test_signatures_and_likeness_against_plain(spark, docs):
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k in [*range(0, len(rows), 5), len(rows) - 1]:
+        (i, t), nxt = rows[k], rows[(k + 1) % len(rows)][1]
+        a, b, c = (plain_signatures(x) for x in (t, t[: len(t) - len(t) // 2] + nxt[: len(t) // 2], nxt))
+        r = got[i]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(t), "".join(sorted(a)), "".join(sorted(b)))
+        assert r.near_edited == pytest.approx(alike(a, b)) and r.near_next == pytest.approx(alike(a, c))
+
+
+def test_fingerprints_need_integer_ids(docs):
+    with pytest.raises(TypeError):
+        fingerprints.edited_fingerprints(docs.withColumn("doc_id", F.lit("a")))
+
+
+def test_near_pairs_against_all_pairs(spark, docs, odd, empty):
+    assert fingerprints.near_pairs(odd).count() == len(ODD) and fingerprints.near_pairs(empty).count() == 0
     sets = {r.doc_id: frozenset(r.s) for r in docs.select("doc_id", fingerprints.signatures(F.col("text")).alias("s")).collect()}
     classes = {}
     for i in sorted(sets):
