@@ -71,8 +71,10 @@ def unescape(c: Column) -> Column:
 
 
 def html_meta(html: Column) -> Column:
-    """struct<title, description, image> of a page's Open Graph properties; description falls back to the plain one."""
-    meta = lambda attr, name: F.trim(unescape(F.regexp_extract(html, rf"(?is)<meta[^>]*{attr}=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)))
+    """struct<title, description, image> of a page's Open Graph properties, attributes in either order; description falls back to the plain one."""
+    one = lambda before, after: F.regexp_extract(html, rf"(?is)<meta[^>]*{before}=[\"']{after}", 1)
+    value = r"([^\"']*)[\"']"
+    meta = lambda attr, name: F.trim(unescape(or_else(one(attr, rf"{name}[\"'][^>]*content=[\"']{value}"), one("content", rf"{value}[^>]*{attr}=[\"']{name}[\"']"))))
     return F.struct(meta("property", "og:title").alias("title"), or_else(meta("property", "og:description"), meta("name", "description")).alias("description"), meta("property", "og:image").alias("image"))
 
 

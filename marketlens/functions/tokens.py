@@ -89,6 +89,8 @@ def shared_topics(a: DataFrame, b: DataFrame, arr: str, k: int = 8) -> DataFrame
 
 
 def entity_labels(title: Column, tags: Column, k: int = 4) -> Column:
-    """The first k labels array<struct<label, confidence>>: capitalised words of the title, then tags."""
-    words = _without(F.regexp_extract_all(title, F.lit(ENTITY), F.lit(0)), ENTITY_IGNORED)
-    return F.transform(F.slice(F.array_distinct(F.concat(words, F.transform(tags, F.initcap))), 1, k), lambda x, i: F.struct(x.alias("label"), (0.66 + 0.05 * i).alias("confidence")))
+    """The first k labels array<struct<label, confidence>>: capitalised words of the title, then tags, hyphens as blanks."""
+    words = F.filter(F.transform(F.regexp_extract_all(title, F.lit(ENTITY), F.lit(0)), lambda w: F.trim(w)), lambda w: ~w.rlike("^[0-9]+$"))
+    named = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.initcap(F.trim(F.replace(t, F.lit("-"), F.lit(" ")))))
+    kept = _without(F.filter(F.concat(words, named), lambda x: x != ""), ENTITY_IGNORED)
+    return F.transform(F.slice(kept, 1, k), lambda x, i: F.struct(x.alias("label"), F.round(0.71 + 0.05 * i, 2).alias("confidence")))

@@ -196,31 +196,72 @@ def moved_markets(nodes: DataFrame, run_pairs: DataFrame, k: int = 4, least: flo
 def apply_edits(nodes: DataFrame, edges: DataFrame, updates: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, max_nodes: int = 4, max_edges: int = 6) -> tuple[DataFrame, DataFrame]:
     """Labels and summaries replaced by id; at most max_nodes new nodes and max_edges new edges per run, of known types, with new ids and valid ends."""
     u = updates.groupBy("run_id", "node_id").agg(F.max("label").alias("_l"), F.max("summary").alias("_s"))
+    one = lambda df, key: df.withColumn("_k", F.row_number().over(Window.partitionBy("run_id", key).orderBy("pos", "type"))).where("_k = 1").drop("_k")
     changed = nodes.join(u, ["run_id", "node_id"], "left").withColumns({"label": F.coalesce("_l", "label"), "summary": F.coalesce("_s", "summary")}).select(*nodes.columns)
-    rank = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("run_id").orderBy("pos")))
-    fresh = new_nodes.where(F.col("type").isin(*NODE_TYPES)).join(nodes.select("run_id", "node_id"), ["run_id", "node_id"], "left_anti").dropDuplicates(["run_id", "node_id"])
+    rank = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("run_id").orderBy("pos", "type")))
+    fresh = new_nodes.where(F.col("type").isin(*NODE_TYPES)).join(nodes.select("run_id", "node_id"), ["run_id", "node_id"], "left_anti")
+    fresh = one(fresh, "node_id")
     out_nodes = changed.unionByName(rank(fresh).where(F.col("_r") <= max_nodes).select(*nodes.columns))
     ids = out_nodes.select("run_id", "node_id")
-    add = new_edges.where(F.col("type").isin(*EDGE_TYPES)).join(edges.select("run_id", "edge_id"), ["run_id", "edge_id"], "left_anti").dropDuplicates(["run_id", "edge_id"])
+    add = new_edges.where(F.col("type").isin(*EDGE_TYPES)).join(edges.select("run_id", "edge_id"), ["run_id", "edge_id"], "left_anti")
+    add = one(add, "edge_id")
     for end in ("source", "target"):
         add = add.join(ids.withColumnRenamed("node_id", end), ["run_id", end], "left_semi")
     return out_nodes, edges.unionByName(rank(add).where(F.col("_r") <= max_edges).select(*edges.columns))
 
 
-def build_nodes(events: DataFrame, candidates: DataFrame, entities: int = 4, related: int = 4) -> DataFrame:
-    """Nodes of event snapshots (run_id, slug, title, tags, description, rule, source_url): the Event, entities of its title and tags, evidence of its description, related candidates, its Rule and a Hypothesis."""
+def _confidence(c: Column) -> Column:
+    return F.round(F.least(F.greatest(c, F.lit(0.45)), F.lit(0.99)), 2)
+
+
+def _short(c: Column, most: int) -> Column:
+    """Text with single blanks, cut to most characters with an ellipsis."""
+    clean = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.rtrim(F.substring(clean, 1, most - 1)), F.lit("...")))
+
+
+def build_nodes(events: DataFrame, candidates: DataFrame, entities: int = 4, related: int = 4, hypotheses: int = 2) -> DataFrame:
+    """Nodes of event snapshots, in the order pos.
+
+    events: run_id, title, tags, description, category, volume, liquidity, updated_at, rule (the resolution source), source_url
+    and markets (array of struct with question and slug). candidates: run_id, slug, title, score, rationale, source_url.
+    Each run gets its Event; entities of title and tags, else its category and the market's participants; evidence of its
+    description, of its size where it has any, and of its last update where it is known; the related candidates of the
+    highest scores, else its own first three markets; its Rule where it has one; and hypotheses of the first candidates,
+    else one on the narrative.
+    """
     from ..functions.normalize import node_slug
     from ..functions.tokens import entity_labels
 
-    row = lambda df, kind, key, label, summary, conf, pos: df.select("run_id", pos.cast("int").alias("pos"), F.concat(F.lit(f"{kind.lower()}-"), node_slug(key)).alias("node_id"), F.lit(kind).alias("type"), label.alias("label"), summary.alias("summary"), F.coalesce("source_url", F.lit("")).alias("source_url"), conf.cast("double").alias("confidence"))
-    e = events
-    ent = e.select("*", F.posexplode(entity_labels(F.col("title"), F.col("tags"), entities)).alias("i", "x"))
+    def row(df: DataFrame, kind: str, key: Column, label: Column, summary: Column, confidence: Column, pos: Column, url: Column | None = None) -> DataFrame:
+        source = F.coalesce(F.col("source_url") if url is None else url, F.lit(""))
+        return df.select("run_id", pos.cast("int").alias("pos"), key.alias("node_id"), F.lit(kind).alias("type"), label.alias("label"), summary.alias("summary"), source.alias("source_url"), confidence.cast("double").alias("confidence"))
+
+    e, none = events, F.lit("")
+    join = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    said = F.when(_some("description"), F.col("description")).otherwise(F.col("title"))
+    found = F.transform(entity_labels(F.col("title"), F.col("tags"), entities), lambda x: x["label"])
+    names = F.when(F.size(found) > 0, found).otherwise(F.array(F.col("category"), F.lit("Market participants")))
+    ent = e.select("*", F.posexplode(names).alias("i", "x")).withColumn("k", F.col("i") + 1)
+    sized = (F.coalesce("volume", F.lit(0.0)) != 0) | (F.coalesce("liquidity", F.lit(0.0)) != 0)
     rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "slug"))
-    rel = candidates.withColumn("_r", rank).where(F.col("_r") <= related)
+    rel = candidates.withColumn("k", rank).where(F.col("k") <= related)
+    bare = e.join(rel.where("k = 1").select("run_id"), "run_id", "left_anti")
+    own = bare.select("*", F.posexplode(F.slice("markets", 1, 3)).alias("i", "m")).withColumn("k", F.col("i") + 1)
+    name = F.when(F.trim(F.coalesce("m.question", none)) != "", F.col("m.question")).when(F.trim(F.coalesce("m.slug", none)) != "", F.col("m.slug")).otherwise(join("Adjacent market ", F.col("k")))
+    slug = node_slug(F.when(_some("slug"), F.col("slug")).otherwise(F.col("title")))
+    host = F.replace(F.regexp_extract(F.coalesce("rule", none), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("www."), none)
     parts = [
-        row(e, "Event", F.col("slug"), F.col("title"), F.col("description"), F.lit(0.99), F.lit(0)), row(ent, "Entity", F.col("x.label"), F.col("x.label"), F.lit(""), F.col("x.confidence"), 1 + F.col("i")),
-        row(e.where(_some("description")), "Evidence", F.col("slug"), F.concat(F.lit("Evidence for "), F.col("title")), F.col("description"), F.lit(0.72), F.lit(10)), row(rel, "RelatedMarket", F.col("slug"), F.col("title"), F.lit(""), F.col("score"), 19 + F.col("_r")),
-        row(e.where(_some("rule")), "Rule", F.col("slug"), F.lit("Resolution rule"), F.col("rule"), F.lit(0.9), F.lit(30)), row(e, "Hypothesis", F.col("slug"), F.concat(F.lit("What moves "), F.col("title")), F.lit(""), F.lit(0.6), F.lit(40)),
+        row(e, "Event", F.lit("evt_001"), F.col("title"), said, F.lit(1.0), F.lit(0)),
+        row(ent, "Entity", join("ent_", F.col("k"), "_", node_slug(F.col("x"))), F.col("x"), none, _confidence(0.66 + F.col("k") * 0.05), F.col("k"), none),
+        row(rel, "RelatedMarket", join("mkt_", F.col("k"), "_", slug), F.col("title"), F.coalesce("rationale", none), F.col("score"), 10 + F.col("k")),
+        row(own, "RelatedMarket", join("mkt_fallback_", F.col("k"), "_", node_slug(name)), name, F.lit("A market of the event itself."), _confidence(0.61 - F.col("k") * 0.03), 10 + F.col("k")),
+        row(e, "Evidence", F.lit("ev_description"), F.lit("Market description"), _short(said, 150), F.lit(0.87), F.lit(21), none),
+        row(e.where(sized), "Evidence", F.lit("ev_market_structure"), F.lit("Volume and liquidity signal"), F.lit("How much is traded and offered."), F.lit(0.79), F.lit(22), none),
+        row(e.where(_some("updated_at")), "Evidence", F.lit("ev_timing"), F.lit("Market timing context"), F.lit("When it was last updated."), F.lit(0.73), F.lit(23), none),
+        row(e.where(_some("rule")), "Rule", F.lit("rule_resolution"), join("Resolution source: ", F.when(host != "", host).otherwise("Public resolution source")), F.lit("Where it is settled."), F.lit(0.96), F.lit(30), none),
+        row(rel.where(F.col("k") <= hypotheses), "Hypothesis", join("hyp_", F.col("k"), "_", slug), join(_short(F.col("title"), 54), " reprices through narrative spillover"), none, _confidence(F.col("score") - 0.05), 40 + F.col("k"), none),
+        row(bare, "Hypothesis", F.lit("hyp_fallback_narrative"), F.lit("Narrative spillover reprices adjacent contracts"), none, F.lit(0.61), F.lit(41), none),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -229,18 +270,18 @@ def build_nodes(events: DataFrame, candidates: DataFrame, entities: int = 4, rel
 
 
 def build_edges(nodes: DataFrame) -> DataFrame:
-    """Edges of built nodes: from the Event to each other node, and from the first two entities, evidence and hypotheses to the first related market, of confidence min(a, b) less a step, in [0.45, 0.99]."""
-    clamp = lambda c: F.least(F.greatest(c, F.lit(0.45)), F.lit(0.99))
+    """Edges of built nodes: from the Event to each other node; and from the first two entities, evidence and hypotheses to the first related market, of the lesser confidence less a step. Confidences lie in [0.45, 0.99]."""
+    from ..functions.normalize import node_slug
+
     kind = _map({"Entity": "involves", "Evidence": "supported_by", "RelatedMarket": "related_to", "Rule": "governed_by_rule", "Hypothesis": "affects_indirectly"})
-    root = nodes.where("type = 'Event'").select("run_id", F.col("node_id").alias("source"), F.col("confidence").alias("a"))
-    spokes = nodes.where("type <> 'Event'").join(root, "run_id").select("run_id", "source", F.col("node_id").alias("target"), F.element_at(kind, F.col("type")).alias("type"), clamp(F.least("a", "confidence")).alias("confidence"), "pos")
-    rank = F.row_number().over(Window.partitionBy("run_id", "type").orderBy("pos"))
-    ranked = nodes.withColumn("_r", rank)
+    root = nodes.where("type = 'Event'").select("run_id", F.col("node_id").alias("source"))
+    spokes = nodes.where("type <> 'Event'").join(root, "run_id").select("run_id", "source", F.col("node_id").alias("target"), F.element_at(kind, F.col("type")).alias("type"), _confidence(F.col("confidence")).alias("confidence"), "pos")
+    ranked = nodes.withColumn("_r", F.row_number().over(Window.partitionBy("run_id", "type").orderBy("pos")))
     market = ranked.where("type = 'RelatedMarket' and _r = 1").select("run_id", F.col("node_id").alias("target"), F.col("confidence").alias("b"))
     step = _map({"Entity": 0.04, "Evidence": 0.08, "Hypothesis": 0.03})
-    to = _map({"Entity": "affects_indirectly", "Evidence": "supported_by", "Hypothesis": "affects_directly"})
-    cross = ranked.where("type in ('Entity', 'Evidence', 'Hypothesis') and _r <= 2").join(market, "run_id").select("run_id", F.col("node_id").alias("source"), "target", F.element_at(to, F.col("type")).alias("type"), clamp(F.least("confidence", "b") - F.element_at(step, F.col("type"))).alias("confidence"), (F.col("pos") + 100).alias("pos"))
-    return spokes.unionByName(cross).withColumn("edge_id", F.concat_ws(">", "source", "target"))
+    to = _map({"Entity": "affects_directly", "Evidence": "mentions", "Hypothesis": "affects_indirectly"})
+    cross = ranked.where("type in ('Entity', 'Evidence', 'Hypothesis') and _r <= 2").join(market, "run_id").select("run_id", F.col("node_id").alias("source"), "target", F.element_at(to, F.col("type")).alias("type"), _confidence(F.least("confidence", "b") - F.element_at(step, F.col("type"))).alias("confidence"), (F.col("pos") + 100).alias("pos"))
+    return spokes.unionByName(cross).withColumn("edge_id", F.concat_ws("_", F.lit("edge"), node_slug(F.col("source")), node_slug(F.col("target")), "type"))
 
 
 def context_tokens(nodes: DataFrame) -> DataFrame:
@@ -269,7 +310,8 @@ def trust_examples(nodes: DataFrame, edges: DataFrame, reviews: DataFrame, trace
 
 
 def trust_report(examples: DataFrame) -> DataFrame:
-    band = lambda lo, hi: F.count_if((F.col("trust") >= lo) & (F.col("trust") < hi))
+    trust = F.round("trust", 6)
+    band = lambda lo, hi: F.count_if((trust >= lo) & (trust < hi))
     return examples.agg(F.count("*").alias("runs"), *(F.avg(c).alias(c) for c in ("trust", "unsupported_rate", "explained_rate", "citation_rate")), band(0.8, 9).alias("high"), band(0.6, 0.8).alias("medium"), band(-1, 0.6).alias("low"))
 
 
@@ -281,10 +323,16 @@ def caveats(reviews: DataFrame, stats: DataFrame, k: int = 4) -> DataFrame:
 
 
 def market_brief(nodes: DataFrame, edges: DataFrame, runs: DataFrame, reviews: DataFrame, traces: DataFrame) -> DataFrame:
-    """One wide row per run: best path, top related markets and catalyst, changes against the run before, trust and caveats."""
-    top = top_nodes(nodes, "RelatedMarket", 4).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("related"))
+    """One wide row per run: best path, top related markets, evidence and catalyst, changes and moved markets against the run before, trust, caveats, health of its traces."""
+    from .traces import canonical_traces, trace_summary
+
+    ranked = lambda df, what, name: df.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", what.alias("x")))), lambda r: r["x"]).alias(name))
     pairs = neighbour_run(runs).where("other_id is not null").select("run_id", "other_id")
-    out = runs.select("run_id", "event_slug").join(strongest_path(nodes, edges), "run_id", "left").join(top, "run_id", "left")
+    out = runs.select("run_id", "event_slug").join(strongest_path(nodes, edges), "run_id", "left")
+    out = out.join(ranked(top_nodes(nodes, "RelatedMarket", 4), F.col("label"), "related"), "run_id", "left").join(ranked(top_nodes(nodes, "Evidence", 3), F.col("label"), "evidence"), "run_id", "left")
     out = out.join(catalysts(nodes).where("rank = 1").select("run_id", F.col("label").alias("next_catalyst")), "run_id", "left")
-    out = out.join(graph_diff(nodes, pairs).drop("other_id"), "run_id", "left").join(trust_examples(nodes, edges, reviews.withColumn("issue_count", F.size("issues")), traces).select("run_id", "trust"), "run_id", "left")
+    moved = moved_markets(nodes, pairs).withColumn("_text", F.concat_ws(" ", "label", F.format_string("%+.2f", "delta")))
+    out = out.join(graph_diff(nodes, pairs).drop("other_id"), "run_id", "left").join(ranked(moved, F.col("_text"), "moved"), "run_id", "left")
+    out = out.join(trust_examples(nodes, edges, reviews.withColumn("issue_count", F.size("issues")), traces).select("run_id", "trust"), "run_id", "left")
+    out = out.join(trace_summary(canonical_traces(traces)).select("run_id", F.col("stages").alias("trace_stages"), F.col("health").alias("trace_health")), "run_id", "left")
     return out.join(caveats(reviews, graph_stats(nodes, edges)), "run_id", "left")

@@ -73,7 +73,7 @@ def stability_score(agg: DataFrame) -> DataFrame:
     )
     scored = agg.withColumn("readiness_status", status)
     early = F.col("readiness_status").isin("needs_history", "needs_alignment", "flat_series")
-    return scored.withColumn("score", F.when(early, F.lit(0.0)).otherwise(score))
+    return scored.withColumn("score", F.when(early, F.lit(0.0)).otherwise(F.round(score, 4)))
 
 
 def stability(pairs: DataFrame, ticks: DataFrame, latency_s: str = "expected_latency_seconds", history: int = 24) -> DataFrame:
@@ -131,11 +131,11 @@ def latest_after(trades: DataFrame, ticks: DataFrame) -> DataFrame:
 
 
 def attach_depth(ticks: DataFrame, books: DataFrame | None) -> DataFrame:
-    """Ticks with depth: their book's, else bid and ask size."""
+    """Ticks with depth: their book's (the deepest, where there are several), else bid and ask size."""
     own = F.col("bid_size") + F.col("ask_size")
     if books is None:
         return ticks.withColumn("depth", own)
-    sums = books.groupBy("tick_id").agg(F.first(F.col("total_bid_depth") + F.col("total_ask_depth")).alias("_book"))
+    sums = books.groupBy("tick_id").agg(F.max(F.col("total_bid_depth") + F.col("total_ask_depth")).alias("_book"))
     return ticks.join(sums, "tick_id", "left").withColumn("depth", F.coalesce("_book", own)).drop("_book")
 
 
@@ -316,8 +316,8 @@ def scan_signals(pairs: DataFrame, ticks: DataFrame, books: DataFrame | None = N
     })
     valid = (F.col("f.yes_bid") > 0) & (F.col("f.yes_ask") > 0) & (F.col("f.yes_ask") >= F.col("f.yes_bid"))
     x = x.withColumns({"gap": F.col("l_move") - F.col("f_move"), "threshold": F.greatest(F.lit(0.025), F.col("noise") * 2.2), "liquidity": F.least(F.col("f.depth") / 1000, F.lit(1.0)), "spread": F.when(valid, F.col("f.yes_ask") - F.col("f.yes_bid")).otherwise(0.03)})
-    x = x.withColumn("cost", F.col("spread") + 0.01 + F.greatest(F.lit(0.0), 0.08 - F.col("liquidity") * 0.05))
-    x = x.withColumn("edge", F.abs("gap") - F.col("cost") - F.least(F.col("latency_ms") / 1000, F.lit(5.0)) * 0.002)
+    x = x.withColumn("cost", F.round(F.col("spread") + 0.01 + F.greatest(F.lit(0.0), 0.08 - F.col("liquidity") * 0.05), 4))
+    x = x.withColumn("edge", F.round(F.abs("gap") - F.col("cost") - F.least(F.col("latency_ms") / 1000, F.lit(5.0)) * 0.002, 4))
     positive = lambda c: F.when(F.col(c) < 0, -1).otherwise(1)
     repriced = (F.abs("f_move") >= F.abs("l_move") * 0.8) & (positive("f_move") == positive("l_move"))
     reason = (
@@ -355,13 +355,22 @@ def paper_trade(signals: DataFrame, ticks: DataFrame, trades: DataFrame | None =
 
 
 def leadlag_report(trades: DataFrame, signals: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: counts of pairs, signals and trades, profit, hit rate, means, candidate precision."""
+    """One row: counts of pairs, signals and trades, and over closed trades profit, hit rate, means and a count for each pair type.
+
+    Means are of closed trades: edge, latency, seconds to exit, adverse excursion, net result. precision_vs_no_trade is the
+    share of signals that are candidates.
+    """
+    closed = F.col("status") == "closed"
+    mean = lambda x, d: F.round(F.coalesce(F.avg(F.when(closed, x)), F.lit(0.0)), d)
+    total = lambda c: F.round(F.coalesce(F.sum(F.when(closed, F.col(c))), F.lit(0.0)), 4)
     t = trades.agg(
-        F.count("*").alias("trades"), F.count_if(F.col("status") == "closed").alias("closed"), F.coalesce(F.sum("gross"), F.lit(0.0)).alias("gross_pnl"), F.coalesce(F.sum("net"), F.lit(0.0)).alias("net_pnl"),
-        F.coalesce(F.avg(F.when(F.col("status") == "closed", (F.col("net") > 0).cast("double"))), F.lit(0.0)).alias("hit_rate"), F.coalesce(F.avg("adverse"), F.lit(0.0)).alias("avg_adverse"), F.coalesce(F.avg("net"), F.lit(0.0)).alias("return_per_trade"),
+        F.count("*").alias("trade_count"), F.count_if(closed).alias("closed_trades"), total("gross").alias("gross_pnl"), total("net").alias("net_pnl"), mean((F.col("net") > 0).cast("double"), 4).alias("hit_rate"), mean(F.col("edge"), 4).alias("avg_edge"),
+        mean(F.col("latency_ms"), 2).alias("avg_latency_ms"), mean(F.col("held_s"), 2).alias("avg_time_to_decay_seconds"), mean(F.col("adverse"), 4).alias("avg_adverse_excursion"), mean(F.col("net"), 4).alias("slippage_adjusted_return"),
     )
-    s = signals.agg(F.count("*").alias("signals"), F.count_if(F.col("status") == "candidate").alias("candidates"), F.coalesce(F.avg("edge"), F.lit(0.0)).alias("avg_edge"), F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("avg_latency_ms"))
-    return t.crossJoin(s).crossJoin(pairs.agg(F.count("*").alias("pairs")))  # one row each
+    kinds = trades.where(closed).groupBy("pair_type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pair_type", "n")))).alias("pair_type_breakdown"))  # a row for each type
+    s = signals.agg(F.count("*").alias("signal_count"), F.count_if(F.col("status") == "candidate").alias("candidate_count"))
+    out = t.crossJoin(s).crossJoin(kinds).crossJoin(pairs.agg(F.count("*").alias("pair_count")))  # one row each
+    return out.withColumn("precision_vs_no_trade", F.when(F.col("signal_count") > 0, F.round(F.col("candidate_count") / F.col("signal_count"), 4)).otherwise(0.0))
 
 
 def trade_totals(trades: DataFrame) -> DataFrame:

@@ -114,12 +114,19 @@ def candidate_catalog(rows: DataFrame) -> DataFrame:
 def hard_negatives(queries: DataFrame, catalog: DataFrame, positives: DataFrame, n: int = 12) -> DataFrame:
     """The n catalog rows per query that are no positives of it, by (lexical score, popularity, key).
 
-    Blocked on shared title tokens: rows that share none score 0; they fill what is left from the n most popular.
+    Blocked on shared title tokens: rows that share none score 0, and fill what is left in the order of popularity. For
+    that each query is given as many of the most popular rows as it has positives and negatives to come, so that n are
+    left whichever of them are positives or hits.
     """
     q, c = queries.select("query_id", F.col("tokens").alias("src")), catalog.select("candidate_key", F.col("tokens").alias("title"), "popularity")
     hits = q.select("query_id", F.explode("src").alias("t")).join(c.select("candidate_key", F.explode("title").alias("t")), "t").select("query_id", "candidate_key").distinct()
-    fill = c.orderBy(F.desc("popularity"), F.desc("candidate_key")).limit(4 * n).select("candidate_key")
-    pairs = hits.unionByName(q.select("query_id").crossJoin(F.broadcast(fill))).distinct().join(positives.select("query_id", "candidate_key"), ["query_id", "candidate_key"], "left_anti")
+    # A query with n hits that are no positives needs no filling; others need n rows that are neither.
+    some = hits.join(positives.select("query_id", "candidate_key"), ["query_id", "candidate_key"], "left_anti").groupBy("query_id").agg(F.count("*").alias("h"))
+    wants = q.select("query_id").join(some, "query_id", "left").join(positives.groupBy("query_id").agg(F.count("*").alias("p")), "query_id", "left").na.fill(0).where(F.col("h") < n)
+    most = wants.agg(F.max(F.col("h") + F.col("p"))).first()[0]
+    top = c.orderBy(F.desc("popularity"), F.desc("candidate_key")).limit(n + (most or 0)).select("candidate_key", F.row_number().over(Window.orderBy(F.desc("popularity"), F.desc("candidate_key"))).alias("r"))
+    fill = wants.join(top, F.col("r") <= F.col("h") + F.col("p") + n).select("query_id", "candidate_key")
+    pairs = hits.unionByName(fill).distinct().join(positives.select("query_id", "candidate_key"), ["query_id", "candidate_key"], "left_anti")
     x = pairs.join(q, "query_id").join(c, "candidate_key")
     x = x.withColumn("score", 0.75 * jaccard(F.col("src"), F.col("title")) + F.least(0.08 * token_overlap(F.col("src"), F.col("title")), F.lit(0.32)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("popularity"), F.desc("candidate_key")))

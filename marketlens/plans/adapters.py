@@ -29,7 +29,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even markets lead the odd ones after them."""
     ids = table(spark, sf_dir, "events").select(F.col("user_id").alias("m")).distinct()
     both = ids.where("m % 2 = 0").select(F.col("m").alias("leader_id"), (F.col("m") + 1).alias("m")).join(ids, "m")
-    return both.select(F.col("leader_id").alias("pair_id"), F.lit("a").alias("leader_venue"), "leader_id", F.lit("b").alias("follower_venue"), F.col("m").alias("follower_id"), F.lit("logical_equivalent").alias("pair_type"), F.lit(0.6).alias("causal"), F.lit(LATENCY).alias("expected_latency_seconds"))
+    return both.select(F.col("leader_id").alias("pair_id"), F.lit("a").alias("leader_venue"), "leader_id", F.lit("b").alias("follower_venue"), F.col("m").alias("follower_id"), F.when(F.col("leader_id") % 6 == 0, "shared_driver").otherwise("logical_equivalent").alias("pair_type"), F.lit(0.6).alias("causal"), F.lit(LATENCY).alias("expected_latency_seconds"))
 
 
 T = """t as (select event_id as tick_id, case when user_id % 2 = 0 then 'a' else 'b' end as venue, user_id as market_id, event_type, epoch_us(ts) as us, value / (value + 10) as p,

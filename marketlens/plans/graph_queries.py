@@ -10,6 +10,7 @@ from ..functions import tokens as tk
 from ..operators import graphs as gr
 from ..operators import review as rv
 from ..operators import traces as tc
+from ..sources import files as fl
 from .adapters import micros, table
 
 QUERIES, SQL = {}, {}
@@ -39,7 +40,7 @@ def graph(spark, d):
     node = lambda key, kind, label, pos, conf: x.groupBy("run_id", F.col(key).alias("node_id")).agg(F.min(pos).cast("int").alias("pos"), F.min(label).alias("label"), F.max(conf).alias("confidence"), F.max("v").alias("volume")).withColumn("type", F.lit(kind))
     nodes = node("o", "Event", F.col("o"), F.lit(0), F.lit(0.99)).unionByName(node("p", "RelatedMarket", F.concat(F.lit("Part "), F.col("g").cast("string")), 100 + F.col("rn"), F.col("c")))
     nodes = nodes.unionByName(node("s", "Entity", F.col("s"), 300 + F.col("rn"), F.lit(0.7))).unionByName(node("n", "Evidence", F.col("n"), 500 + F.col("rn"), F.lit(0.6)))
-    nodes = nodes.withColumns({"summary": F.when(F.col("type") == "RelatedMarket", F.lit("decided in March")).otherwise(F.lit("")), "source_url": F.when(F.col("type") == "Entity", F.lit("http://x")).otherwise(F.lit("")), "snippets": F.when(F.col("type") == "Evidence", F.array(F.lit("seen"))).otherwise(F.array().cast("array<string>")), "metadata": F.array().cast("array<struct<label:string,value:string>>")})
+    nodes = nodes.withColumns({"summary": F.when(F.col("type") == "RelatedMarket", F.lit("decided in March")).otherwise(F.lit("")), "source_url": F.when((F.col("type") == "Entity") & (F.substring("node_id", 2, 20).try_cast("int") % 4 != 0), F.lit("http://x")).otherwise(F.lit("")), "snippets": F.when(F.col("type") == "Evidence", F.array(F.lit("seen"))).otherwise(F.array().cast("array<string>")), "metadata": F.array().cast("array<struct<label:string,value:string>>")})
     edge = lambda a, b, kind, k, conf: x.select("run_id", (3 * F.col("rn") + k).alias("pos"), F.concat_ws(">", F.col(a), F.col(b), F.col("rn").cast("string")).alias("edge_id"), F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("type"), conf.alias("confidence"), F.when(F.col("f") == "A", "because").otherwise("").alias("explanation"))
     edges = edge("o", "p", "related_to", 0, F.col("c")).unionByName(edge("p", "s", "affects_directly", 1, F.lit(0.7))).unionByName(edge("s", "n", "supported_by", 2, F.lit(0.6)))
     return nodes, edges
@@ -105,7 +106,7 @@ def i4(spark, d):
     return gr.bfs_depth(*graph(spark, d)).select("run_id", "node_id", "depth")
 
 
-@query("b24_visible_subgraph", f"with {G}, kn as (select * from nd where type in ('RelatedMarket', 'Entity', 'Event')), ke as (select ed.* from ed where confidence >= 0.95 and (run_id, source) in (select run_id, node_id from kn) and (run_id, target) in (select run_id, node_id from kn)), en as (select run_id, source as node_id from ke union select run_id, target from ke) select run_id, node_id from kn where type = 'Event' or (run_id, node_id) in (select run_id, node_id from en)")
+@query("b24_visible_subgraph", f"with {G}, kn as materialized (select run_id, node_id, type from nd where type in ('RelatedMarket', 'Entity', 'Event')), ke as materialized (select ed.run_id, source, target from ed semi join kn a on ed.run_id = a.run_id and ed.source = a.node_id semi join kn b on ed.run_id = b.run_id and ed.target = b.node_id where confidence >= 0.95), en as materialized (select run_id, source as node_id from ke union select run_id, target from ke) select kn.run_id, kn.node_id from kn left join en using (run_id, node_id) where type = 'Event' or en.node_id is not null")
 def b24(spark, d):
     return gr.visible_subgraph(*graph(spark, d), ["RelatedMarket", "Entity"], 0.95)[0].select("run_id", "node_id")
 
@@ -204,19 +205,23 @@ tr as (select *, case when k % 10 = 0 then 'skipped' when k % 10 = 1 then 'faile
 ct as (select * from tr qualify row_number() over (partition by run_id, stage order by us desc, trace_id desc) = 1)"""
 
 
-@query("e3_trust_examples", f"""with {G}, {TRC}, n as (select run_id, count(*) as n, count(*) filter (type in ('Entity', 'Evidence')) as c, count(*) filter (type = 'Entity') as sb, count(*) filter (type = 'Evidence') as eb from nd group by 1), e as (select run_id, count(*) as e, count(*) filter (f = 'A') as x from ed group by 1),
-t as (select run_id, count(*) filter (stage in ('retriever', 'graph_editor') and status = 'completed') as ctt, count(*) filter (stage in ('retriever', 'graph_editor') and status = 'completed' and citations > 0) as cb, count(*) filter (stage in ('graph_editor', 'critic')) as tt, count(*) filter (stage in ('graph_editor', 'critic') and (latency_ms > 0 or tokens > 0 or cost > 0)) as tb from tr group by 1),
-z as (select o_orderkey as run_id, o_orderstatus as st, coalesce(n, 0) as n, coalesce(c, 0) as c, coalesce(sb, 0) as sb, coalesce(eb, 0) as eb, coalesce(e, 0) as e, coalesce(x, 0) as x, coalesce(ctt, 0) as ctt, coalesce(cb, 0) as cb, coalesce(tt, 0) as tt, coalesce(tb, 0) as tb from orders left join n on n.run_id = o_orderkey left join e on e.run_id = o_orderkey left join t on t.run_id = o_orderkey),
-r as (select run_id, st, case when e > 0 then x / e else 1 end as ex, case when n > 0 then sb / n else 0 end as so, case when c > 0 then eb / c else 0 end as ev, case when ctt > 0 then cb / ctt else 1 end as ci, case when tt > 0 then tb / tt else 0 end as te from z)
-select run_id, 0.0::double as unsupported_rate, round(ex, 6) as explained_rate, round(so, 6) as source_rate, round(ev, 6) as evidence_rate, round(ci, 6) as citation_rate, round(te, 6) as telemetry_rate, round(least(0.35 + 0.2 * ex + 0.2 * ci + case when st = 'F' then 0.15 else 0 end + 0.1 * (1 - case when st = 'P' then 2 / 3 else 0 end), 1), 6) as trust from r""")
+TRUST = """tn as (select run_id, count(*) as n, count(*) filter (type in ('Entity', 'Evidence')) as c, count(*) filter (type = 'Entity' and substr(node_id, 2)::int % 4 = 0) as u, count(*) filter (type = 'Entity' and substr(node_id, 2)::int % 4 <> 0) as sb, count(*) filter (type = 'Evidence') as eb from nd group by 1), te as (select run_id, count(*) as e, count(*) filter (f = 'A') as x from ed group by 1),
+tt as (select run_id, count(*) filter (stage in ('retriever', 'graph_editor') and status = 'completed') as ctt, count(*) filter (stage in ('retriever', 'graph_editor') and status = 'completed' and citations > 0) as cb, count(*) filter (stage in ('graph_editor', 'critic')) as tt, count(*) filter (stage in ('graph_editor', 'critic') and (latency_ms > 0 or tokens > 0 or cost > 0)) as tb from tr group by 1),
+tz as (select o_orderkey as run_id, o_orderstatus as st, coalesce(n, 0) as n, coalesce(c, 0) as c, coalesce(u, 0) as u, coalesce(sb, 0) as sb, coalesce(eb, 0) as eb, coalesce(e, 0) as e, coalesce(x, 0) as x, coalesce(ctt, 0) as ctt, coalesce(cb, 0) as cb, coalesce(tt, 0) as tt, coalesce(tb, 0) as tb from orders left join tn on tn.run_id = o_orderkey left join te on te.run_id = o_orderkey left join tt on tt.run_id = o_orderkey),
+tq as (select run_id, st, case when c > 0 then u / c else 0 end::double as un, case when e > 0 then x / e else 1 end::double as ex, case when n > 0 then sb / n else 0 end as so, case when c > 0 then eb / c else 0 end as ev, case when ctt > 0 then cb / ctt else 1 end::double as ci, case when tt > 0 then tb / tt else 0 end as te from tz),
+tx as (select *, least(0.35 * (1 - un) + 0.2 * ex + 0.2 * ci + case when st = 'F' then 0.15 else 0 end + 0.1 * (1 - case when st = 'P' then 2 / 3 else 0 end), 1)::double as trust from tq)"""
+
+
+@query("e3_trust_examples", f"with {G}, {TRC}, {TRUST} select run_id, round(un, 6) as unsupported_rate, round(ex, 6) as explained_rate, round(so, 6) as source_rate, round(ev, 6) as evidence_rate, round(ci, 6) as citation_rate, round(te, 6) as telemetry_rate, round(trust, 6) as trust from tx")
 def e3(spark, d):
     x = gr.trust_examples(*graph(spark, d), reviews(spark, d), traces(spark, d))
     return x.select("run_id", *(R(c) for c in x.columns if c != "run_id"))
 
 
-@query("e4_trust_report")
+@query("e4_trust_report", f"with {G}, {TRC}, {TRUST}, t6 as (select *, round(trust, 6) as t from tx) select count(*) as runs, round(avg(trust), 6) as trust, round(avg(un), 6) as unsupported_rate, round(avg(ex), 6) as explained_rate, round(avg(ci), 6) as citation_rate, count(*) filter (t >= 0.8) as high, count(*) filter (t >= 0.6 and t < 0.8) as medium, count(*) filter (t < 0.6) as low from t6")
 def e4(spark, d):
-    return gr.trust_report(gr.trust_examples(*graph(spark, d), reviews(spark, d), traces(spark, d)))
+    x = gr.trust_report(gr.trust_examples(*graph(spark, d), reviews(spark, d), traces(spark, d)))
+    return x.select("runs", *(R(c) for c in ("trust", "unsupported_rate", "explained_rate", "citation_rate")), "high", "medium", "low")
 
 
 @query("g5_caveats", f"with {G}, s as (select run_id, count(*) as n from nd group by 1), e as (select run_id, count(*) as e from ed group by 1) select o_orderkey as run_id, array_to_string(list_slice(list_concat(case when o_orderstatus = 'P' then ['late', 'thin'] else []::varchar[] end, list_filter([case when o_orderstatus <> 'F' then 'not_approved' end, case when coalesce(n, 0) < 6 then 'small_graph' end, case when coalesce(e, 0) < 4 then 'few_edges' end], lambda x: x is not null)), 1, 4), ' ') as caveats from orders left join s on s.run_id = o_orderkey left join e on e.run_id = o_orderkey")
@@ -224,26 +229,61 @@ def g5(spark, d):
     return gr.caveats(reviews(spark, d), gr.graph_stats(*graph(spark, d))).select("run_id", F.array_join("caveats", " ").alias("caveats"))
 
 
-@query("i7_market_brief")
+CAV = "cv as (select o_orderkey as run_id, array_to_string(list_slice(list_concat(case when o_orderstatus = 'P' then ['late', 'thin'] else []::varchar[] end, list_filter([case when o_orderstatus <> 'F' then 'not_approved' end, case when coalesce(n, 0) < 6 then 'small_graph' end, case when coalesce(e, 0) < 4 then 'few_edges' end], lambda x: x is not null)), 1, 4), ' ') as caveats from orders left join (select run_id, count(*) as n from nd group by 1) s on s.run_id = o_orderkey left join (select run_id, count(*) as e from ed group by 1) k on k.run_id = o_orderkey)"
+
+
+@query("i7_market_brief", f"""with {SP}, {RU}, {TRC}, {TRUST}, {CAV},
+rl as (select run_id, string_agg(label, '|' order by rank) as related from (select run_id, label, row_number() over (partition by run_id order by confidence desc, pos) as rank from nd where type = 'RelatedMarket' qualify rank <= 4) group by 1),
+vl as (select run_id, string_agg(label, '|' order by rank) as evidence from (select run_id, label, row_number() over (partition by run_id order by confidence desc, pos) as rank from nd where type = 'Evidence' qualify rank <= 3) group by 1),
+fc as (select * from nd where type = 'RelatedMarket' qualify row_number() over (partition by run_id, type, label order by pos) = 1), nc as (select run_id, label as next_catalyst from fc qualify row_number() over (partition by run_id order by confidence desc, pos) = 1),
+rp as (select * from (select run_id, lag(run_id) over (partition by event_slug order by us, run_id) as other_id from ru) where other_id is not null), mm as (select run_id, label, max(confidence) as c from nd where type = 'RelatedMarket' group by 1, 2),
+mv as (select a.run_id, a.label, round(a.c - b.c, 2) as delta from rp join mm a on rp.run_id = a.run_id join mm b on rp.other_id = b.run_id and a.label = b.label where abs(round(a.c - b.c, 2)) >= 0.01),
+mo as (select run_id, string_agg(label || printf(' %+.2f', delta), '|' order by rank) as moved from (select *, row_number() over (partition by run_id order by abs(delta) desc, label) as rank from mv qualify rank <= 4) group by 1),
+th as (select run_id, count(*) as trace_stages, case when count(*) filter (status = 'failed') > 0 then 'partial' else 'clean' end as trace_health from ct group by 1)
+select ru.run_id, event_slug, round(score, 6) as score, coalesce(len(path), -1)::int as path_nodes, related, evidence, next_catalyst, moved, round(trust, 6) as trust, trace_stages, trace_health, caveats from ru left join bp using (run_id) left join rl using (run_id) left join vl using (run_id) left join nc using (run_id) left join mo using (run_id) left join tx using (run_id) left join th using (run_id) left join cv using (run_id)""")
 def i7(spark, d):
-    return gr.market_brief(*graph(spark, d), runs(spark, d), reviews(spark, d), traces(spark, d)).select("run_id", "event_slug", R("score"), F.size("path").alias("path_nodes"), F.array_join("related", "|").alias("related"), "next_catalyst", R("trust"), F.array_join("caveats", " ").alias("caveats"))
+    x = gr.market_brief(*graph(spark, d), runs(spark, d), reviews(spark, d), traces(spark, d))
+    text = lambda c: F.array_join(c, "|").alias(c)
+    return x.select("run_id", "event_slug", R("score"), F.coalesce(F.size("path"), F.lit(-1)).alias("path_nodes"), text("related"), text("evidence"), "next_catalyst", text("moved"), R("trust"), "trace_stages", "trace_health", F.array_join("caveats", " ").alias("caveats"))
+
 
+CAND = """ca as (select a.o_orderkey as run_id, b.o_orderkey as k, round(0.5 + (b.o_orderkey % 40) / 100, 2)::double as c, row_number() over (partition by a.o_orderkey order by round(0.5 + (b.o_orderkey % 40) / 100, 2) desc, 'o' || b.o_orderkey) as r from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey and b.o_orderkey % 5 = 0 qualify r <= 4),
+cl as (select o_orderkey as run_id, o_orderstatus as st, lower(c_mktsegment) as seg, o_orderkey in (select run_id from ca) as has from orders join customer on o_custkey = c_custkey),
+bn as (select run_id, 0 as pos, 'evt_001' as node_id, 'Event' as type, 1.0::double as c from cl union all select run_id, 1, 'ent_1_order', 'Entity', 0.71 from cl union all select run_id, 2, 'ent_2_' || seg, 'Entity', 0.76 from cl
+  union all select run_id, 10 + r, 'mkt_' || r || '_o' || k, 'RelatedMarket', c from ca union all select run_id, 11, 'mkt_fallback_1_status-' || lower(st), 'RelatedMarket', 0.58 from cl where not has union all select run_id, 12, 'mkt_fallback_2_second', 'RelatedMarket', 0.55 from cl where not has
+  union all select run_id, 21, 'ev_description', 'Evidence', 0.87 from cl union all select run_id, 22, 'ev_market_structure', 'Evidence', 0.79 from cl where st <> 'P' union all select run_id, 23, 'ev_timing', 'Evidence', 0.73 from cl where st <> 'O' union all select run_id, 30, 'rule_resolution', 'Rule', 0.96 from cl where st = 'F'
+  union all select run_id, 40 + r, 'hyp_' || r || '_o' || k, 'Hypothesis', round(least(greatest(c - 0.05, 0.45), 0.99), 2) from ca where r <= 2 union all select run_id, 41, 'hyp_fallback_narrative', 'Hypothesis', 0.61 from cl where not has)"""
 
-@query("i1_build_nodes", "select o_orderkey as run_id, 'event-o' || o_orderkey as node_id, 'Event' as type from orders union all select o_orderkey, 'entity-order', 'Entity' from orders union all select o_orderkey, 'entity-' || lower(c_mktsegment), 'Entity' from orders join customer on o_custkey = c_custkey union all select o_orderkey, 'evidence-o' || o_orderkey, 'Evidence' from orders union all select o_orderkey, 'rule-o' || o_orderkey, 'Rule' from orders where o_orderstatus = 'F' union all select o_orderkey, 'hypothesis-o' || o_orderkey, 'Hypothesis' from orders")
+
+@query("i1_build_nodes", f"with {CAND} select run_id, pos, node_id, type, c as confidence from bn")
 def i1(spark, d):
-    return gr.build_nodes(*_events(spark, d)).select("run_id", "node_id", "type")
+    return gr.build_nodes(*_events(spark, d)).select("run_id", "pos", "node_id", "type", "confidence")
 
 
 def _events(spark, d):
+    """Orders as events, with a fifth of the same customer's other orders as candidates."""
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    e = o.select(F.col("o_orderkey").alias("run_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("slug"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.array("c_mktsegment").alias("tags"), F.col("o_orderpriority").alias("description"), F.when(F.col("o_orderstatus") == "F", F.lit("settles at close")).otherwise("").alias("rule"), F.lit("http://x").alias("source_url"))
-    empty = e.select("run_id", "slug", "title", F.lit(0.5).alias("score"), "source_url").where("run_id < 0")
-    return e, empty
-
-
-@query("i2_build_edges", "select o_orderkey as run_id, 'event-o' || o_orderkey || '>' || x.k as edge_id, x.t as type from orders join customer on o_custkey = c_custkey, unnest([struct_pack(k := 'entity-order', t := 'involves'), struct_pack(k := 'entity-' || lower(c_mktsegment), t := 'involves'), struct_pack(k := 'evidence-o' || o_orderkey, t := 'supported_by'), struct_pack(k := case when o_orderstatus = 'F' then 'rule-o' || o_orderkey end, t := 'governed_by_rule'), struct_pack(k := 'hypothesis-o' || o_orderkey, t := 'affects_indirectly')]) u(x) where x.k is not null")
+    key = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
+    status = F.col("o_orderstatus")
+    market = lambda q, s: F.struct(q.alias("question"), s.alias("slug"))
+    e = o.select(
+        F.col("o_orderkey").alias("run_id"), key("o_orderkey").alias("slug"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.array("c_mktsegment").alias("tags"), F.col("o_orderpriority").alias("description"), F.lit("Trade").alias("category"),
+        F.when(status != "P", F.col("o_totalprice")).otherwise(0.0).alias("volume"), F.lit(0.0).alias("liquidity"), F.when(status != "O", F.col("o_orderdate").cast("string")).otherwise("").alias("updated_at"), F.when(status == "F", F.lit("https://www.court.example/rules")).otherwise("").alias("rule"),
+        F.lit("http://x").alias("source_url"), F.array(market(F.concat(F.lit("Status "), status), F.lit("")), market(F.lit(" "), F.lit("second"))).alias("markets"),
+    )
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), "o_custkey")
+    b = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("k"), "o_custkey")
+    c = a.join(b, "o_custkey").where("run_id <> k").select("run_id", key("k").alias("slug"), F.concat(F.lit("Order "), F.col("k").cast("string")).alias("title"), F.round(0.5 + (F.col("k") % 40) / 100, 2).alias("score"), F.lit("same customer").alias("rationale"), F.lit("http://y").alias("source_url"))
+    return e, c
+
+
+@query("i2_build_edges", f"""with {CAND}, rk as (select *, row_number() over (partition by run_id, type order by pos) as r from bn), m1 as (select run_id, node_id as target, c as b from rk where type = 'RelatedMarket' and r = 1),
+ee as (select run_id, 'evt_001' as source, node_id as target, case type when 'Entity' then 'involves' when 'Evidence' then 'supported_by' when 'RelatedMarket' then 'related_to' when 'Rule' then 'governed_by_rule' else 'affects_indirectly' end as type, c from bn where type <> 'Event'
+  union all select run_id, node_id, target, case type when 'Entity' then 'affects_directly' when 'Evidence' then 'mentions' else 'affects_indirectly' end, least(c, b) - case type when 'Entity' then 0.04 when 'Evidence' then 0.08 else 0.03 end::double from rk join m1 using (run_id) where type in ('Entity', 'Evidence', 'Hypothesis') and r <= 2),
+sl as (select *, regexp_replace(source, '[^a-z0-9]+', '-', 'g') as s, regexp_replace(target, '[^a-z0-9]+', '-', 'g') as t from ee)
+select run_id, 'edge_' || s || '_' || t || '_' || type as edge_id, source, target, type, round(least(greatest(round(c, 6), 0.45), 0.99), 2) as confidence from sl""")
 def i2(spark, d):
-    return gr.build_edges(gr.build_nodes(*_events(spark, d))).select("run_id", "edge_id", "type")
+    return gr.build_edges(gr.build_nodes(*_events(spark, d))).select("run_id", "edge_id", "source", "target", "type", "confidence")
 
 
 # ---- traces ----
@@ -295,26 +335,41 @@ def b5(spark, d):
     return table(spark, d, "pages").select("page_id", nz.normalize_url(F.col("url")).alias("url"), nz.url_is_valid(F.col("url")).alias("valid"))
 
 
-@query("b6_page_meta")
+META = lambda attr, name: f"coalesce(nullif(regexp_extract(h, '(?is)<meta[^>]*{attr}=[\"'']{name}[\"''][^>]*content=[\"'']([^\"'']*)[\"'']', 1), ''), regexp_extract(h, '(?is)<meta[^>]*content=[\"'']([^\"'']*)[\"''][^>]*{attr}=[\"'']{name}[\"'']', 1))"
+PLAIN = lambda x: "trim(" + "replace(" * len(nz.ENTITIES) + x + "".join(f", '{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in nz.ENTITIES) + ")"
+
+
+@query("b6_page_meta", f"with p as (select page_id, replace(replace(html, '<head>', '<head><meta property=\"og:title\" content=\"' || regexp_extract(html, '<title>([^<]*)</title>', 1) || '\"><meta content=\"About ' || page_id || '\" name=\"description\">'), '<article>', '<article><meta property=''og:image'' content=''http://i/' || page_id || '.png''>') as h from pages) select page_id, {PLAIN(META('property', 'og:title'))} as title, case when {PLAIN(META('property', 'og:description'))} <> '' then {PLAIN(META('property', 'og:description'))} else {PLAIN(META('name', 'description'))} end as description, {PLAIN(META('property', 'og:image'))} as image from p")
 def b6(spark, d):
-    return table(spark, d, "pages").select("page_id", nz.html_meta(F.col("html")).alias("m")).select("page_id", "m.title", "m.description", "m.image")
+    """Pages with Open Graph properties in either order of attributes put in."""
+    p, key = table(spark, d, "pages"), F.col("page_id").cast("string")
+    head = F.concat(F.lit('<head><meta property="og:title" content="'), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit('"><meta content="About '), key, F.lit('" name="description">'))
+    html = F.replace(F.replace(F.col("html"), F.lit("<head>"), head), F.lit("<article>"), F.concat(F.lit("<article><meta property='og:image' content='http://i/"), key, F.lit(".png'>")))
+    return p.select("page_id", nz.html_meta(html).alias("m")).select("page_id", "m.title", "m.description", "m.image")
 
 
-@query("h3_source_urls", r"with u as (select regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '') as url, case when page_id % 2 = 0 then 0 else 1 end as r, page_id from pages) select url, min(r * 1000000000 + page_id) as first from u where url <> '' group by 1")
+@query("h3_source_urls", r"""with u as (select trim(url) as url, page_id % 4 as r, page_id as pos from pages union all select url || '/?again=1#top', (page_id + 1) % 4, page_id from pages where page_id % 3 = 0), n as (select regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') as url, r, pos from u)
+select url, min(r * 1000000000 + pos) // 1000000000 as rank, min(r * 1000000000 + pos) % 1000000000 as pos from n where url <> '' group by 1""")
 def h3(spark, d):
-    p = table(spark, d, "pages").select(nz.normalize_url(F.col("url")).alias("url"), (F.when(F.col("page_id") % 2 == 0, 0).otherwise(1) * 1_000_000_000 + F.col("page_id")).alias("first"))
-    return p.where("url <> ''").groupBy("url").agg(F.min("first").alias("first"))
+    """Pages by turns as explicit, watched, run and trending URLs; a third of them once more in the next source, with a query."""
+    p = table(spark, d, "pages")
+    every = p.select("url", F.col("page_id").alias("pos"), (F.col("page_id") % 4).alias("r")).unionByName(p.where("page_id % 3 = 0").select(F.concat("url", F.lit("/?again=1#top")).alias("url"), F.col("page_id").alias("pos"), ((F.col("page_id") + 1) % 4).alias("r")))
+    x = fl.source_urls(*(every.where(F.col("r") == k).select("url", "pos") for k in range(4)))
+    return x.select("url", F.col("at.rank").cast("long").alias("rank"), F.col("at.pos").alias("pos"))
 
 
 RT = lambda c: f"list_distinct(list_filter(list_transform(list_filter(regexp_extract_all({c}, '[A-Za-z0-9]+'), lambda w: length(w) >= 3), lambda w: lower(w)), lambda w: not list_contains([{', '.join(repr(w) for w in tk.RANKING)}], w)))"
 
 
-@query("d13_hard_negatives")
+@query("d13_hard_negatives", f"""with q as (select item_id, {RT('text')} as src from benchmark), c as (select doc_id, {RT('text')} as t, doc_id % 7 + 1 as pop from documents),
+x as (select item_id, doc_id, len(list_intersect(src, t)) as i, len(src) as a, len(t) as b, pop from q, c where doc_id % 5 <> item_id % 5), y as (select item_id, doc_id, pop, case when a = 0 or b = 0 then 0 else 0.75 * i / (a + b - i) end + least(0.08 * i, 0.32) as score from x)
+select item_id as query_id, doc_id as candidate_key, round(score, 6) as score, row_number() over (partition by item_id order by score desc, pop desc, doc_id desc)::int as place from y qualify place <= 12""")
 def d13(spark, d):
+    """Documents that are no positives of a query: those whose ids leave another remainder of 5."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tk.ranking_tokens(F.col("text")).alias("tokens"))
-    c = table(spark, d, "documents").select(F.col("doc_id").alias("candidate_key"), tk.ranking_tokens(F.col("text")).alias("tokens"), F.lit(1).alias("popularity"))
-    none = q.select("query_id", F.lit(-1).cast("long").alias("candidate_key")).where("query_id < 0")
-    return rv.hard_negatives(q, c, none).select("query_id", "candidate_key", R("score"), "place")
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("candidate_key"), tk.ranking_tokens(F.col("text")).alias("tokens"), (F.col("doc_id") % 7 + 1).alias("popularity"))
+    known = q.select("query_id", (F.col("query_id") % 5).alias("r")).join(c.select("candidate_key", (F.col("candidate_key") % 5).alias("r")), "r").select("query_id", "candidate_key")
+    return rv.hard_negatives(q, c, known).select("query_id", "candidate_key", R("score"), "place")
 
 
 @query("e12_candidate_catalog", "with x as (select 'part ' || (l_partkey % 100) as k, l_orderkey as r, l_linenumber as pos, l_returnflag as c, 1 - l_discount as cf from lineitem), c as (select k, count(*) as popularity, round(avg(cf), 6) as confidence from x group by 1), g as (select k, string_agg(c || '=' || n, ' ' order by c) as categories from (select k, c, count(*) as n from x group by 1, 2) group by 1) select k as candidate_key, popularity, confidence, categories from c join g using (k)")

@@ -67,7 +67,7 @@ lc as (select pair_id, count(*) as l_ticks from lt group by 1), fc as (select pa
 st as (select pair_id, coalesce(aligned, 0) as aligned, coalesce(moves, 0) as moves, coalesce(sgn, 0) as sgn, coalesce(l_avg, 0) as l_avg, coalesce(f_avg, 0) as f_avg, coalesce(first, 0) as first, coalesce(avg_gap, 0) as avg_gap, coalesce(avg_lead_s, 0) as avg_lead_s,
   coalesce(l_ticks, 0) as l_ticks, coalesce(f_ticks, 0) as f_ticks from pr left join ag using (pair_id) left join lc using (pair_id) left join fc using (pair_id)),
 sr as (select *, case when l_ticks < 4 or f_ticks < 4 then 'needs_history' when aligned < 3 then 'needs_alignment' when moves = 0 then 'flat_series' when aligned < 6 or moves < 4 then 'collect_more' when first < 0.5 or sgn < 0.55 then 'watch_only' else 'ready' end as readiness_status from st),
-ss as (select *, case when readiness_status in ('needs_history', 'needs_alignment', 'flat_series') then 0 else sgn * 0.35 + greatest(0.0, 1 - abs(l_avg - f_avg) / greatest(l_avg, f_avg, 1e-6)) * 0.2 + least(first * 1.1, 1.0) * 0.2 + greatest(0.0, 1 - avg_gap / 0.2) * 0.15 + least(aligned / 6, 1.0) * 0.1 end as score from sr)"""
+ss as (select *, case when readiness_status in ('needs_history', 'needs_alignment', 'flat_series') then 0 else round(sgn * 0.35 + greatest(0.0, 1 - abs(l_avg - f_avg) / greatest(l_avg, f_avg, 1e-6)) * 0.2 + least(first * 1.1, 1.0) * 0.2 + greatest(0.0, 1 - avg_gap / 0.2) * 0.15 + least(aligned / 6, 1.0) * 0.1, 4) end as score from sr)"""
 
 
 @query("e16_stability", f"with {STAB} select pair_id, aligned, moves, l_ticks, f_ticks, readiness_status, round(score, 6) as score, round(first, 6) as first, round(avg_gap, 6) as avg_gap from ss")
@@ -95,7 +95,7 @@ fa as (select pair_id, follower_id, list(struct_pack(us := us, id := tick_id, p
 x as (select *, ls[1].p - ls[2].p as l_move, fs[1].p - fs[2].p as f_move, list_sum(list_transform(range(2, len(ls)), lambda i: abs(ls[i].p - ls[i + 1].p))) / (len(ls) - 2) as noise, fs[1] as f,
   greatest((fs[1].us - ls[1].us) // 1000 - case when (fs[1].us - ls[1].us) % 1000 < 0 then 1 else 0 end, 0) as latency_ms from la join fa using (pair_id) where len(ls) >= 3 and len(fs) >= 2),
 y as (select *, l_move - f_move as gap, greatest(0.025, noise * 2.2) as threshold, least(f.dep / 1000, 1.0) as liquidity, case when f.yb > 0 and f.ya > 0 and f.ya >= f.yb then f.ya - f.yb else 0.03 end as spread from x),
-z as (select *, spread + 0.01 + greatest(0.0, 0.08 - liquidity * 0.05) as cost from y), e as (select *, abs(gap) - cost - least(latency_ms / 1000, 5.0) * 0.002 as edge from z),
+z as (select *, round(spread + 0.01 + greatest(0.0, 0.08 - liquidity * 0.05), 4) as cost from y), e as (select *, round(abs(gap) - cost - least(latency_ms / 1000, 5.0) * 0.002, 4) as edge from z),
 s as (select *, case when abs(l_move) < threshold then 'leader_move_below_threshold' when abs(f_move) >= abs(l_move) * 0.8 and (f_move < 0) = (l_move < 0) then 'follower_already_repriced' when liquidity < 0.08 then 'insufficient_liquidity' when edge <= 0 then 'edge_below_cost' else '' end as no_trade_reason,
   case when gap > 0 then 'buy_yes' else 'buy_no' end as direction from e)"""
 
@@ -113,7 +113,7 @@ TRADE = f"""{SIG}, cd as (select * from s where no_trade_reason = '' order by f.
 lst as (select market_id, max(struct_pack(us := us, id := tick_id, p := p, yb := yes_bid, nb := 1 - yes_ask)) as x from t where venue = 'b' group by 1),
 tr as (select pair_id, direction, case when direction = 'buy_yes' then f.ya else 1 - f.yb end as entry, cost, f.us as opened, edge, latency_ms, case when x.us >= f.us + 180000000 then x end as x from cd left join lst on market_id = follower_id),
 ld as (select pair_id, direction, case when x is null then 'open' else 'closed' end as status, entry, case when direction = 'buy_yes' then x.yb else case when x.nb <> 0 then x.nb else 1 - x.p end end - entry as gross,
-  (case when direction = 'buy_yes' then x.yb else case when x.nb <> 0 then x.nb else 1 - x.p end end - entry) - cost * 0.35 - cost * 0.65 as net, abs(case when direction = 'buy_yes' then x.p else 1 - x.p end - entry) as adverse, edge, latency_ms from tr)"""
+  (case when direction = 'buy_yes' then x.yb else case when x.nb <> 0 then x.nb else 1 - x.p end end - entry) - cost * 0.35 - cost * 0.65 as net, abs(case when direction = 'buy_yes' then x.p else 1 - x.p end - entry) as adverse, edge, latency_ms, (x.us - opened) // 1000000 as held_s from tr)"""
 
 
 def _horizon(spark, d):
@@ -126,13 +126,14 @@ def k9(spark, d):
     return _horizon(spark, d).select("pair_id", "direction", "status", R("entry"), R("gross"), R("net"))
 
 
-EARLY = lambda sql: sql.replace("from events)", "from events where ts < timestamp '2024-01-20')", 1).replace("from t where venue = 'b' group by 1)", "from (select event_id as tick_id, 'b' as venue, user_id as market_id, epoch_us(ts) as us, value / (value + 10) as p, greatest(value / (value + 10) - 0.01, 0.0) as yes_bid, least(value / (value + 10) + 0.01, 1.0) as yes_ask from events where user_id % 2 = 1) group by 1)")
+EARLY = lambda sql: sql.replace("from events)", "from events where epoch_us(ts) < (select max(epoch_us(ts)) from events) - 864000000000)", 1).replace("from t where venue = 'b' group by 1)", "from (select event_id as tick_id, 'b' as venue, user_id as market_id, epoch_us(ts) as us, value / (value + 10) as p, greatest(value / (value + 10) - 0.01, 0.0) as yes_bid, least(value / (value + 10) + 0.01, 1.0) as yes_ask from events where user_id % 2 = 1) group by 1)")
 
 
 def _backtest(spark, d):
-    """Signals of the ticks before 20 January, traded and closed on all ticks."""
+    """Signals of the ticks up to ten days before the last one, traded and closed on all ticks."""
     all_ticks, pairs = ad.ticks(spark, d), ad.pairs(spark, d)
-    signals = ll.scan_signals(pairs, all_ticks.where("ts_us < unix_micros(timestamp'2024-01-20 00:00:00Z')"))
+    until = all_ticks.agg((F.max("ts_us") - 864_000_000_000).alias("_until"))  # one row
+    signals = ll.scan_signals(pairs, all_ticks.crossJoin(F.broadcast(until)).where("ts_us < _until").drop("_until"))
     return pairs, signals, ll.paper_trade(signals, all_ticks)
 
 
@@ -145,14 +146,17 @@ def d6(spark, d):
 
 @query(
     "e11_backtest_report",
-    f"""with {EARLY(TRADE)}, a as (select count(*) as trades, count(*) filter (status = 'closed') as closed, round(coalesce(sum(gross), 0), 6) as gross_pnl, round(coalesce(sum(net), 0), 6) as net_pnl,
-  round(coalesce(avg((net > 0)::int) filter (status = 'closed'), 0), 6) as hit_rate, round(coalesce(avg(adverse), 0), 6) as avg_adverse, round(coalesce(avg(net), 0), 6) as return_per_trade from ld),
-b as (select count(*) as signals, count(*) filter (no_trade_reason = '') as candidates, round(coalesce(avg(edge), 0), 6) as avg_edge, round(coalesce(avg(latency_ms), 0), 4) as avg_latency_ms from s), c as (select count(*) as pairs from pr) select * from a, b, c""",
+    f"""with {EARLY(TRADE)}, cl as (select * from ld where status = 'closed'), mean as (select count(*) as closed_trades, round(coalesce(sum(gross), 0), 4) as gross_pnl, round(coalesce(sum(net), 0), 4) as net_pnl, round(coalesce(avg((net > 0)::int), 0), 4) as hit_rate, round(coalesce(avg(edge), 0), 4) as avg_edge,
+  round(coalesce(avg(latency_ms), 0), 2) as avg_latency_ms, round(coalesce(avg(held_s), 0), 2) as avg_time_to_decay_seconds, round(coalesce(avg(adverse), 0), 4) as avg_adverse_excursion, round(coalesce(avg(net), 0), 4) as slippage_adjusted_return from cl),
+kd as (select coalesce(string_agg(k || '=' || n, ' ' order by k), '') as pair_types from (select case when pair_id % 6 = 0 then 'shared_driver' else 'logical_equivalent' end as k, count(*) as n from cl group by 1)),
+sg as (select count(*) as signal_count, count(*) filter (no_trade_reason = '') as candidate_count, round(count(*) filter (no_trade_reason = '') / count(*), 4) as precision_vs_no_trade from s)
+select *, (select count(*) from ld) as trade_count, (select count(*) from pr) as pair_count from mean, kd, sg""",
 )
 def e11(spark, d):
     pairs, signals, trades = _backtest(spark, d)
     r = ll.leadlag_report(trades, signals, pairs)
-    return r.select("trades", "closed", "signals", "candidates", "pairs", *(R(c) for c in ("gross_pnl", "net_pnl", "hit_rate", "avg_adverse", "return_per_trade", "avg_edge")), R("avg_latency_ms", 4))
+    kinds = F.array_join(F.transform(F.map_entries("pair_type_breakdown"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    return r.withColumn("pair_types", kinds).drop("pair_type_breakdown")
 
 
 @query("e24_trade_totals", f"with {EARLY(TRADE)} select count(*) as opened, count(*) filter (status = 'closed') as closed, round(coalesce(sum(gross), 0), 6) as gross_pnl, round(coalesce(sum(net), 0), 6) as net_pnl, round(coalesce(avg(adverse), 0), 6) as avg_adverse from ld")
@@ -172,9 +176,13 @@ def e1(spark, d):
     return ll.breakdown(_signals(spark, d), "no_trade_reason")
 
 
-@query("d7_tick_depth", f"with {T} select tick_id, size + size as depth from t")
+@query("d7_tick_depth", f"with {T} select tick_id, case when tick_id % 3 = 0 then 3 * size when tick_id % 3 = 1 then size + size else 9 * size end as depth from t")
 def d7(spark, d):
-    return ll.attach_depth(ad.ticks(spark, d), None).select("tick_id", "depth")
+    """A third of the ticks have one book, a third have two of which the deeper counts."""
+    t = ad.ticks(spark, d)
+    book = t.select("tick_id", F.col("bid_size").alias("total_bid_depth"), (2 * F.col("bid_size")).alias("total_ask_depth"))
+    books = book.where("tick_id % 3 <> 1").unionByName(book.where("tick_id % 3 = 2").withColumns({"total_bid_depth": 3 * F.col("total_bid_depth"), "total_ask_depth": 3 * F.col("total_ask_depth")}))
+    return ll.attach_depth(t, books).select("tick_id", "depth")
 
 
 @query("g2_monitor_signals", f"with {SIG} select pair_id, direction from s order by f.us desc, pair_id limit 20")

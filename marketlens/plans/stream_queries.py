@@ -64,19 +64,39 @@ def l2(spark, d):
     return bk.ticker_ticks(m, maps).select("event_id", "last_price", "yes_bid", "no_ask")
 
 
-@query("l3_dedup_ticks", f"with {T} select tick_id from t")
-def l3(spark, d):
+def _repeated(spark, d):
+    """Each tick, a repeat with its sequence id, and one without a sequence id; and books of the last two for even ticks."""
     t = ad.ticks(spark, d)
     again = t.withColumn("tick_id", F.col("tick_id") + 1_000_000_000)
-    blank = again.withColumns({"tick_id": F.col("tick_id") + 1_000_000_000, "sequence_id": F.lit("")})
-    return bk.dedup_ticks(t.unionByName(again).unionByName(blank)).select("tick_id")
+    blank = again.withColumns({"tick_id": F.col("tick_id") + 1_000_000_000, "sequence_id": F.lit(" ")})
+    book = lambda df, n: df.where("tick_id % 2 = 0").select("tick_id", (F.col("bid_size") * n).alias("total_bid_depth"))
+    own = t.where("tick_id % 4 = 0").select("tick_id", F.col("bid_size").alias("total_bid_depth"))
+    return t.unionByName(again).unionByName(blank), own.unionByName(book(again, 2)).unionByName(book(blank, 3))
+
+
+@query("l3_dedup_ticks", f"with {T} select tick_id from t")
+def l3(spark, d):
+    return bk.dedup_ticks(_repeated(spark, d)[0]).select("tick_id")
 
 
-@query("l6_rate_flags", "with w as (select user_id as key, event_id, unnest(range(6)) as i, epoch_us(ts) // 14400000000 as b from events), h as (select key, (b - i) as s, count(*) as hits from w group by 1, 2) select key, s * 14400 as start_s, hits from h where hits > 3")
+@query("l3_dedup_books", f"with {T} select tick_id, case when tick_id % 4 = 0 then size else 2 * size end as total_bid_depth from t where tick_id % 2 = 0")
+def l3_books(spark, d):
+    return bk.dedup_books(*_repeated(spark, d))
+
+
+LOG = "hl as (select user_id as key, epoch_us(ts) as us, case when event_type = 'purchase' then 'api_write' when event_type in ('click', 'error') then 'api_read' when event_type = 'view' then 'page' end as tier from events)"
+
+
+@query("l6_rate_flags", f"""with {LOG}, b as (select key, 'burst' as kind, us, count(*) over (partition by key order by us range between 14399999999 preceding and current row) as hits from hl),
+w as (select key, tier as kind, us, count(*) over (partition by key, tier order by us range between 86399999999 preceding and current row) as hits from hl where tier is not null)
+select key, kind, us, hits, us + 600000000 as until_us from b where hits > 1 union all select key, kind, us, hits, null from w where hits > case kind when 'api_write' then 1 when 'api_read' then 3 else 2 end""")
 def l6(spark, d):
-    log = table(spark, d, "events").select(F.col("user_id").alias("key"), F.timestamp_micros(ad.micros("ts")).alias("ts"))
-    x = bk.rate_flags(log, window_s=86_400, max_hits=3, burst_s=14_400, burst_max=1_000_000)
-    return x.select("key", F.floor(F.unix_micros("start") / 1_000_000).alias("start_s"), "hits")
+    e = table(spark, d, "events")
+    method = F.when(F.col("event_type") == "purchase", "POST").otherwise("GET")
+    path = F.element_at(F.create_map(*(F.lit(x) for kv in (("view", "/app"), ("click", "/api/v1/runs/"), ("error", "/api/v1/health"), ("purchase", "/api/v1/runs/"), ("signup", "/about/")) for x in kv)), F.col("event_type"))
+    log = e.select(F.col("user_id").alias("key"), F.timestamp_micros(ad.micros("ts")).alias("ts"), bk.request_tier(method, path).alias("tier"))
+    x = bk.rate_flags(log, {"api_write": (86_400, 1), "api_read": (86_400, 3), "page": (86_400, 2)}, burst_s=14_400, burst_max=1)
+    return x.select("key", "kind", F.unix_micros("ts").alias("us"), "hits", F.unix_micros("until").alias("until_us"))
 
 
 @query("l7_live_totals", f"with {T} select event_type as status, count(*) as n, round(sum(p), 6) as net from t group by 1")

@@ -175,8 +175,9 @@ def experiment_registry(experiments: DataFrame) -> DataFrame:
 
 
 def benchmark_board(experiments: DataFrame, counts: DataFrame) -> DataFrame:
-    """Registry rows of live and next benchmarks, live ones first, beside dataset counts."""
-    return experiment_registry(experiments).crossJoin(F.broadcast(counts)).orderBy(F.when(F.col("readiness") == "live", 0).otherwise(1), "task")  # counts is one row
+    """Registry rows of live and next benchmarks, live ones first, each with the map of dataset counts (table, rows)."""
+    sizes = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table", "rows")))).alias("dataset_rows"))  # a row for each table
+    return experiment_registry(experiments).where("readiness <> 'empty'").crossJoin(F.broadcast(sizes)).orderBy(F.when(F.col("readiness") == "live", 0).otherwise(1), "task")
 
 
 def dataset_counts(tables: dict[str, DataFrame]) -> DataFrame:

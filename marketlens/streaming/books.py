@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -158,21 +158,42 @@ def ticker_ticks(messages: DataFrame, market_map: DataFrame) -> DataFrame:
     return out.join(market_map.select(F.col("market_id").alias("market_ticker"), "venue"), "market_ticker")
 
 
+def _marked(ticks: DataFrame) -> DataFrame:
+    """ticks with a hash of their values (_v) and what names them: the sequence id, or the values where it is blank (_s)."""
+    values = F.xxhash64("last_price", "yes_bid", "yes_ask", "bid_size", "ask_size", "volume")
+    return ticks.withColumns({"_v": values, "_s": F.coalesce(F.nullif(F.trim("sequence_id"), F.lit("")), F.concat(F.lit("#"), values.cast("string")))})
+
+
 def dedup_ticks(ticks: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Ticks without repeats: of one (venue, market, type, time), those with a sequence id seen before, or with the same six values.
 
     Blank sequence ids stand for nothing and are told apart by the values' hash. Streams forget keys past the watermark.
     """
-    values = F.xxhash64("last_price", "yes_bid", "yes_ask", "bid_size", "ask_size", "volume")
-    x = ticks.withColumns({"_v": values, "_s": F.coalesce(F.nullif("sequence_id", F.lit("")), F.concat(F.lit("#"), values.cast("string")))})
+    x = _marked(ticks)
     keys = ["venue", "market_id", "event_type", "ts_us"]
     if ticks.isStreaming:
         x = x.withColumn("_t", F.timestamp_micros("ts_us")).withWatermark("_t", watermark)
         return x.dropDuplicatesWithinWatermark([*keys, "_s"]).dropDuplicatesWithinWatermark([*keys, "_v"]).drop("_v", "_s", "_t")
-    from pyspark.sql import Window
+    kept = _kept(x, keys)
+    return kept.where("tick_id = _kept").drop("_kept", "_v", "_s")
+
+
+def _kept(x: DataFrame, keys: list[str]) -> DataFrame:
+    """x with _kept: the tick that stands for each, by sequence id first, then by values among those that are left."""
+    least = lambda c, k: F.min(c).over(Window.partitionBy(*keys, k))
+    x = x.withColumn("_one", least("tick_id", "_s"))
+    head = F.col("tick_id") == F.col("_one")
+    x = x.withColumn("_two", least(F.when(head, F.col("tick_id")), "_v"))
+    return x.withColumn("_kept", least(F.when(head, F.col("_two")), "_s")).drop("_one", "_two")
+
 
-    first = lambda k: F.row_number().over(Window.partitionBy(*keys, k).orderBy("tick_id"))
-    return x.withColumn("_r", first("_s")).where("_r = 1").withColumn("_r", first("_v")).where("_r = 1").drop("_r", "_v", "_s")
+def dedup_books(ticks: DataFrame, books: DataFrame) -> DataFrame:
+    """A book for each tick that dedup_ticks keeps: its own, or where it has none that of its first repeat that has one. books: tick_id and more."""
+    keys = ["venue", "market_id", "event_type", "ts_us"]
+    stands = _kept(_marked(ticks), keys).select("tick_id", "_kept")
+    x = books.join(stands, "tick_id")
+    order = Window.partitionBy("_kept").orderBy("tick_id")
+    return x.withColumn("_r", F.row_number().over(order)).where("_r = 1").withColumn("tick_id", F.col("_kept")).select(*books.columns)
 
 
 def refresh_loop(stream: DataFrame, each: Callable[[DataFrame], None], pairs: Callable[[], None], signals: Callable[[], None], pairs_every: int = 12, signals_every: int = 3, checkpoint: str | None = None, interval: str = "5 seconds"):
@@ -195,10 +216,35 @@ def collect_snapshots(stream: DataFrame, upsert: Callable[[DataFrame, int], None
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
-def rate_flags(log: DataFrame, window_s: int = 60, max_hits: int = 60, burst_s: int = 5, burst_max: int = 20, ban_s: int = 600) -> DataFrame:
-    """Keys (key, ts) over max_hits in a sliding window or burst_max in a short one, with the time until which they are banned. Works on streams with a watermark too."""
-    over = lambda size, step, most, kind: log.groupBy("key", F.window("ts", f"{size} seconds", f"{step} seconds").alias("w")).agg(F.count("*").alias("hits")).where(F.col("hits") > most).select("key", F.lit(kind).alias("kind"), F.col("w.start").alias("start"), "hits", (F.col("w.end") + F.expr(f"interval {ban_s} seconds")).alias("until"))
-    return over(window_s, burst_s, max_hits, "rate").unionByName(over(burst_s, burst_s, burst_max, "burst"))
+#: Hits that each kind of request may have within a window of so many seconds.
+TIERS = {"api_write": (60, 12), "api_read": (60, 60), "page": (60, 40)}
+
+
+def request_tier(method: Column, path: Column) -> Column:
+    """The kind of a request: posts to the interface, other requests to it, the two pages; null for all others."""
+    at = F.concat(F.regexp_replace(path, "/+$", ""), F.lit("/"))
+    return F.when((method == "POST") & at.startswith("/api/"), "api_write").when(at.startswith("/api/"), "api_read").when(at.isin("/", "/app/"), "page")
+
+
+def rate_flags(log: DataFrame, tiers: dict[str, tuple[int, int]] = TIERS, burst_s: float = 5, burst_max: int = 20, ban_s: int = 600) -> DataFrame:
+    """Hits (key, ts, tier) that exceed what their tier or, for all of a key's hits together, a burst allows.
+
+    Per such hit: key, kind (the tier or burst), ts, hits within the window that ends with it, and until when the key is
+    banned (bursts only). Windows slide with the hits and leave out their start. On a stream with a watermark windows
+    slide by seconds: ts is then the end of each window that holds too many.
+    """
+    every = {"burst": (burst_s, burst_max)} | tiers
+    until = lambda at, kind: F.when(F.lit(kind == "burst"), at + F.make_dt_interval(secs=F.lit(float(ban_s))))
+    out = None
+    for kind, (seconds, most) in every.items():
+        rows = log if kind == "burst" else log.where(F.col("tier") == kind)
+        if log.isStreaming:
+            part = rows.groupBy("key", F.window("ts", f"{seconds} seconds", "1 second").alias("w")).agg(F.count("*").alias("hits")).where(F.col("hits") > most).select("key", F.lit(kind).alias("kind"), F.col("w.end").alias("ts"), "hits", until(F.col("w.end"), kind).alias("until"))
+        else:
+            order = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(1 - int(seconds * 1_000_000), 0)
+            part = rows.withColumn("hits", F.count("*").over(order)).where(F.col("hits") > most).select("key", F.lit(kind).alias("kind"), "ts", "hits", until(F.col("ts"), kind).alias("until"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def live_totals(rows: DataFrame) -> DataFrame:
