@@ -13,7 +13,7 @@ EXPORTS = {
     "graph_runs": (["run_id", "event_slug", "event_title", "mode", "status", "created_us"], ["created_us"]), "watchlists": (["slug", "title", "is_featured"], ["title"]),
     "market_snapshots": (["snapshot_id", "event_slug", "ts_us", "status", "p", "volume", "liquidity", "open_interest"], ["ts_us"]), "resolution_labels": (["snapshot_id", "event_slug", "resolved_outcome", "resolved_probability", "source"], ["snapshot_id"]),
     "experiments": (["task", "title", "dataset_version", "metrics", "created_us"], ["created_us"]), "judgments": (["judgment_id", "run_id", "candidate_key", "usefulness_label", "reviewer_key", "updated_us"], ["run_id"]),
-    "consensus": (["run_id", "candidate_key", "label", "agreement_rate", "reviewers", "state"], ["run_id"]), "agent_traces": (["trace_id", "run_id", "stage", "status", "latency_ms", "tokens", "cost_usd"], ["created_us"]),
+    "consensus": (["run_id", "candidate_key", "label", "agreement_rate", "reviewers", "state"], ["run_id"]), "agent_traces": (["trace_id", "run_id", "stage", "status", "latency_ms", "tokens", "cost_usd", "created_us"], ["created_us"]),
     "market_map": (["venue", "market_id", "title", "tags", "volume", "liquidity", "is_active"], ["venue", "market_id"]), "ticks": (["tick_id", "venue", "market_id", "ts_us", "last_price", "yes_bid", "yes_ask"], ["ts_us"]),
     "books": (["tick_id", "venue", "market_id", "total_bid_depth", "total_ask_depth"], ["tick_id"]), "leadlag_pairs": (["pair_id", "pair_type", "composite", "is_trade_eligible"], ["pair_id"]),
     "leadlag_signals": (["pair_id", "status", "direction", "edge", "cost", "latency_ms", "no_trade_reason"], ["pair_id"]), "paper_trades": (["pair_id", "direction", "status", "entry", "exit", "gross", "net"], ["pair_id"]),
@@ -126,21 +126,27 @@ def page(df: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -
 
 
 def export_dataset(tables: dict[str, DataFrame], out: str, fmt: str = "parquet") -> list[str]:
-    """Writes each table of EXPORTS that is given, with its columns, sorted within files; returns their names."""
+    """Writes each table of EXPORTS that is given, with its columns (nulls for those it lacks), sorted within files; returns their names."""
     done = []
     for name, (cols, order) in EXPORTS.items():
         if name in tables:
             df = tables[name]
-            df.sortWithinPartitions(*[c for c in order if c in df.columns]).select(*[c for c in cols if c in df.columns]).write.mode("overwrite").format(fmt).save(f"{out}/{name}")
+            whole = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols))
+            whole.sortWithinPartitions(*order).write.mode("overwrite").format(fmt).save(f"{out}/{name}")
             done.append(name)
     return done
 
 
 def register_tables(spark: SparkSession, out: str, fmt: str = "parquet") -> list[str]:
-    """A view for each exported table under out."""
-    names = [n for n in EXPORTS if _exists(spark, f"{out}/{n}")]
-    for name in names:
-        spark.read.format(fmt).load(f"{out}/{name}").createOrReplaceTempView(name)
+    """A view for each table of EXPORTS under out, an empty one for those that were not exported; returns the names of the others."""
+    names = []
+    for name, (cols, _) in EXPORTS.items():
+        if _exists(spark, f"{out}/{name}"):
+            df = spark.read.format(fmt).load(f"{out}/{name}")
+            names.append(name)
+        else:
+            df = spark.createDataFrame([], ", ".join(f"{c} string" for c in cols))
+        df.createOrReplaceTempView(name)
     return names
 
 

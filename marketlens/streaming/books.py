@@ -196,8 +196,8 @@ def dedup_books(ticks: DataFrame, books: DataFrame) -> DataFrame:
     return x.withColumn("_r", F.row_number().over(order)).where("_r = 1").withColumn("tick_id", F.col("_kept")).select(*books.columns)
 
 
-def refresh_loop(stream: DataFrame, each: Callable[[DataFrame], None], pairs: Callable[[], None], signals: Callable[[], None], pairs_every: int = 12, signals_every: int = 3, checkpoint: str | None = None, interval: str = "5 seconds"):
-    """Starts a query that hands on each batch, and refreshes pairs and signals every so many batches."""
+def refresh_loop(stream: DataFrame, each: Callable[[DataFrame], None], pairs: Callable[[], None], signals: Callable[[], None], pairs_every: int = 12, signals_every: int = 3, checkpoint: str | None = None, interval: str = "5 seconds", available_now: bool = False):
+    """Starts a query that hands on each batch, and refreshes pairs and signals every so many batches; with available_now it ends with what is there."""
 
     def run(batch: DataFrame, n: int) -> None:
         each(batch)
@@ -206,7 +206,8 @@ def refresh_loop(stream: DataFrame, each: Callable[[DataFrame], None], pairs: Ca
         if n % signals_every == 0:
             signals()
 
-    out = stream.writeStream.foreachBatch(run).trigger(processingTime=interval)
+    out = stream.writeStream.foreachBatch(run)
+    out = out.trigger(availableNow=True) if available_now else out.trigger(processingTime=interval)
     return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
 
 
