@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import kept
 from ..shipping import ready
 
 FEATURES = ["p", "extremeness", "log_volume", "log_liquidity", "log_open_interest", "related", "evidence", "has_related", "has_evidence"]
@@ -147,9 +148,18 @@ def logistic(x: np.ndarray, y: np.ndarray, epochs: int = 400, rate: float = 0.2,
 
 
 def expanding_folds(df: DataFrame, order: list[str], min_train: int = 8) -> DataFrame:
-    """df with its position in order (1 ..), and fold: the position where it is evaluated, null for the first min_train rows."""
-    at = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("ord", at).withColumn("fold", F.when(F.col("ord") > min_train, F.col("ord")))
+    """df with its position in order (1 ..), and fold: the position where it is evaluated, null for the first min_train rows.
+
+    Rows are dealt out by ranges of the order and numbered within each; the numbers of rows of the ranges before, a row
+    for each range, are added. Ties in order fall into one range and stand there in no set order.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    id_ = F.monotonically_increasing_id()  # the range in the upper 31 bits, the place in it in the lower 33
+    rows = kept(parts.withColumn("_id", id_), "ordered").withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(before), "_part").withColumn("ord", (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_id", "_part", "_at", "_before")
+    return out.withColumn("fold", F.when(F.col("ord") > min_train, F.col("ord")))
 
 
 def fit_logistic(df: DataFrame, by: str, features: list[str] = FEATURES, epochs: int = 400) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+
 # Allowed types, bonuses of edge types on a path, how direct an edge type is, month and event words.
 NODE_TYPES = ["Event", "Entity", "RelatedMarket", "Evidence", "Rule", "Hypothesis"]
 EDGE_TYPES = ["mentions", "involves", "supported_by", "related_to", "affects_directly", "affects_indirectly", "governed_by_rule"]
@@ -76,18 +78,23 @@ def _adjacency(edges: DataFrame) -> DataFrame:
     return one("source", "target").unionByName(one("target", "source"))
 
 
+def _starts(nodes: DataFrame) -> DataFrame:
+    return nodes.where("type = 'Event'").groupBy("run_id").agg(F.min_by("node_id", "pos").alias("at"))
+
+
 def strongest_path(nodes: DataFrame, edges: DataFrame, max_edges: int = 4, min_edges: int = 2) -> DataFrame:
     """Per run with such a path: the best simple path from its first Event node, by the sum of confidence and bonus; the first in edge order on ties.
 
-    Frontiers grow by joins within a run; a path's own nodes are what it has visited. Growth is bounded by a run's size.
+    Frontiers grow by joins within a run; a path's own nodes are what it has visited. Neighbours and each frontier are
+    written once. A node of degree g gives its run up to g ** max_edges paths, which are spread over all tasks.
     """
-    start = nodes.where("type = 'Event'").groupBy("run_id").agg(F.min_by("node_id", "pos").alias("at"))
-    adjacency = _adjacency(edges)
-    paths = start.select("run_id", "at", F.array("at").alias("path"), F.array().cast("array<int>").alias("order"), F.lit(0.0).alias("score"))
+    adjacency = kept(_adjacency(edges).select("run_id", "at", "to", "pos", "w"), "adjacency")
+    paths = _starts(nodes).select("run_id", "at", F.array("at").alias("path"), F.array().cast("array<int>").alias("order"), F.lit(0.0).alias("score"))
     best = None
     for k in range(1, max_edges + 1):
         paths = paths.join(adjacency, ["run_id", "at"]).where(~F.array_contains("path", F.col("to")))
         paths = paths.select("run_id", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("order", F.array(F.col("pos").cast("int"))).alias("order"), (F.col("score") + F.col("w")).alias("score"))
+        paths = kept(paths, "paths") if k < max_edges else paths
         if k >= min_edges:
             # array order is negated element by element, so that the largest is the first in edge order.
             top = paths.groupBy("run_id").agg(F.max(F.struct("score", F.transform("order", lambda x: -x).alias("o"), "path")).alias("b"))
@@ -96,12 +103,13 @@ def strongest_path(nodes: DataFrame, edges: DataFrame, max_edges: int = 4, min_e
 
 
 def bfs_depth(nodes: DataFrame, edges: DataFrame, most: int = 4) -> DataFrame:
-    """Depth of each node from its run's first Event; most where it is further away or out of reach."""
-    reach = nodes.where("type = 'Event'").groupBy("run_id").agg(F.min_by("node_id", "pos").alias("node_id")).withColumn("depth", F.lit(0))
-    adjacency = _adjacency(edges).select("run_id", F.col("at").alias("node_id"), "to").distinct()
+    """Depth of each node from its run's first Event; most where it is further away or out of reach. Neighbours and each frontier are written once."""
+    adjacency = kept(_adjacency(edges).select("run_id", F.col("at").alias("node_id"), "to").distinct(), "adjacency")
+    reach = kept(_starts(nodes).select("run_id", F.col("at").alias("node_id"), F.lit(0).alias("depth")), "reach")
     front = reach
     for k in range(1, most):
         front = front.join(adjacency, ["run_id", "node_id"]).select("run_id", F.col("to").alias("node_id")).distinct().join(reach, ["run_id", "node_id"], "left_anti").withColumn("depth", F.lit(k))
+        front = kept(front, "front")
         reach = reach.unionByName(front)
     return nodes.select("run_id", "node_id").distinct().join(reach, ["run_id", "node_id"], "left").na.fill({"depth": most})
 

@@ -137,8 +137,9 @@ def usefulness_benchmark(judgments: DataFrame, candidates: DataFrame, min_candid
     """Judged candidates of runs with min_candidates of them and a positive one: scores' metrics per run come from ranking_metrics on these rows."""
     judged = consensus(judgments).where(F.col("reviewers") >= min_reviewers)
     x = attach_judgments(candidates, judged).where("label is not null").withColumn("relevance", F.col("mean_relevance"))
-    keep = x.groupBy("run_id").agg(F.count("*").alias("n"), F.max("relevance").alias("top")).where((F.col("n") >= min_candidates) & (F.col("top") > 0)).select("run_id")
-    return x.join(keep, "run_id", "left_semi")
+    run = Window.partitionBy("run_id")  # judgments are attached once, not once more for the runs to keep
+    kept = x.withColumns({"_n": F.count("*").over(run), "_top": F.max("relevance").over(run)})
+    return kept.where((F.col("_n") >= min_candidates) & (F.col("_top") > 0)).drop("_n", "_top")
 
 
 def golden_eval(metrics: DataFrame, strategy: str = "baseline") -> DataFrame:

@@ -50,9 +50,20 @@ def a8(spark, d):
     return bk.parse_messages(lines(spark, d).unionByName(bad)).select("hash", "event_type", "asset_id", "ts_us")
 
 
-@query("l1_orderbook_ticks")
+BOOK = f"""ms as (select user_id::varchar as market_id, event_id, event_id::varchar as hash, epoch_us(ts) // 1000 * 1000 as ts_us, {KIND} as kind, event_id % 2 = 0 as y, value / (value + 10) as p, greatest(value / (value + 10) - 0.01, 0.01) as bid, least(value / (value + 10) + 0.01, 0.99) as ask, coalesce(regexp_extract(props, '[0-9]+')::double, 0) as k from events),
+wr as (select *, kind in ('best_bid_ask', 'price_change', 'book') as top, case when kind = 'book' or (kind = 'price_change' and k > 0) then k end as size, case when kind in ('price_change', 'last_trade_price') and k > 0 then k end as traded from ms),
+st as (select market_id, ts_us, kind as event_type, hash as sequence_id,
+  coalesce(last_value(case when y and top then bid end ignore nulls) over w, 0) as yb, coalesce(last_value(case when y and top then ask end ignore nulls) over w, 0) as ya, coalesce(last_value(case when not y and top then bid end ignore nulls) over w, 0) as nb, coalesce(last_value(case when not y and top then ask end ignore nulls) over w, 0) as na,
+  coalesce(last_value(case when y then size end ignore nulls) over w, 0) as ys, coalesce(last_value(case when not y then size end ignore nulls) over w, 0) as ns, coalesce(last_value(case when y then p end ignore nulls) over w, 0) as yl, coalesce(last_value(case when not y then p end ignore nulls) over w, 0) as nl, coalesce(last_value(traded ignore nulls) over w, 0) as trade_size
+  from wr window w as (partition by market_id order by ts_us, hash rows between unbounded preceding and current row)),
+s1 as (select *, case when yb <> 0 then yb when na <> 0 then 1 - na else 0 end as yes_bid, case when ya <> 0 then ya when nb <> 0 then 1 - nb else 0 end as yes_ask from st),
+s2 as (select *, case when nb <> 0 then nb when yes_ask <> 0 then 1 - yes_ask else 0 end as no_bid, case when na <> 0 then na when yes_bid <> 0 then 1 - yes_bid else 0 end as no_ask from s1)"""
+
+
+@query("l1_orderbook_ticks", f"with {BOOK} select market_id, ts_us, event_type, sequence_id, round(case when yl <> 0 then yl when nl <> 0 then 1 - nl when yes_bid <> 0 and yes_ask <> 0 then (yes_bid + yes_ask) / 2 when yes_bid <> 0 then yes_bid else yes_ask end, 9) as last_price, round(yes_bid, 9) as yes_bid, round(yes_ask, 9) as yes_ask, round(no_bid, 9) as no_bid, round(no_ask, 9) as no_ask, case when ys <> 0 then ys else ns end as bid_size, case when ys <> 0 then ys else ns end as ask_size, trade_size from s2")
 def l1(spark, d):
-    return bk.orderbook_ticks(bk.parse_messages(lines(spark, d)), assets(spark, d))
+    x = bk.orderbook_ticks(bk.parse_messages(lines(spark, d)), assets(spark, d)).drop("status")
+    return x.withColumns({c: F.round(c, 9) for c in ("last_price", "yes_bid", "yes_ask", "no_bid", "no_ask")})
 
 
 @query("l2_ticker_ticks", "select event_id, value / 100 as last_price, greatest(value - 1, 0) / 100 as yes_bid, 1 - greatest(value - 1, 0) / 100 as no_ask from (select event_id, least(value, 99.5) as value from events)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Temporary folders of local sessions that name none.
 _own: dict[str, str] = {}
@@ -26,3 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/marketlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to a folder of its own and read back, so that what made it runs once."""
+    out = new_dir(df.sparkSession, label)
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)

@@ -120,16 +120,55 @@ def with_sides(messages: DataFrame, assets: DataFrame) -> DataFrame:
     return messages.withColumn("_a", key).join(F.broadcast(assets.select(F.col("asset_id").alias("_a"), F.col("market_id").cast("string").alias("market_id"), "side")) if not assets.isStreaming and assets.count() <= 1_000_000 else assets.select(F.col("asset_id").alias("_a"), F.col("market_id").cast("string").alias("market_id"), "side"), "_a").drop("_a")
 
 
+def _folded(rows: DataFrame) -> DataFrame:
+    """The ticks of a batch: each field of a market's state is what the last message up to now wrote into it.
+
+    A window in the order of (time, hash) by market, which spills; no market's messages are gathered.
+    """
+    num = lambda c: nz.to_float(F.col(c))
+    kind, side = F.col("event_type"), F.col("side")
+    is_ = lambda *k: kind.isin(*k)
+    done, book = is_("market_resolved"), is_("book")
+    yes = F.when(side == "yes", 1.0).otherwise(0.0)
+    level = lambda x: F.struct(nz.to_float(x["price"]).alias("price"), nz.to_float(F.coalesce(x["size"], x["quantity"])).alias("size"))
+    best = {}
+    for name, sign in (("bid", 1), ("ask", -1)):
+        some = F.filter(F.transform(F.coalesce(f"{name}s", F.array().cast(schemas.LEVELS)), level), lambda x: (x["price"] > 0) | (x["size"] > 0))
+        best[name] = F.array_max(F.transform(some, lambda x, i: F.struct((x["price"] * sign).alias("rank"), (-i).alias("i"), x["price"].alias("price"), x["size"].alias("size"))))  # noqa: B023
+    x = rows.where(is_("book", "best_bid_ask", "price_change", "last_trade_price", "market_resolved")).withColumns({"_bid": best["bid"], "_ask": best["ask"]})
+    top, positive = is_("best_bid_ask", "price_change"), lambda c: F.when(c > 0, c)
+    write = {"status": F.when(done, "resolved").when(F.coalesce("status", F.lit("")) != "", F.lower("status")), "trade_size": F.when(is_("price_change", "last_trade_price"), positive(num("size")))}
+    for s, value in (("yes", yes), ("no", 1 - yes)):
+        mine = side == s
+        for name in ("bid", "ask"):
+            size = F.when(is_("price_change"), num("size")).otherwise(num(f"{name}_size"))
+            write[f"{s}_{name}"] = F.when(done, value).when(book & mine, F.col(f"_{name}.price")).when(top & mine & (num(f"best_{name}") > 0), nz.clip_probability(num(f"best_{name}")))
+            write[f"{s}_{name}_size"] = F.when(book & mine, F.col(f"_{name}.size")).when(top & mine, positive(size))
+        write[f"{s}_last"] = F.when(done, value).when(mine & (num("price") > 0), nz.clip_probability(num("price")))
+    order = Window.partitionBy("market_id").orderBy("ts_us", F.col("hash").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.select("market_id", "ts_us", "event_type", "hash", "asset_id", *(v.alias(f"_{k}") for k, v in write.items()))
+    x = x.select("market_id", "ts_us", "event_type", "hash", "asset_id", *(F.coalesce(F.last(f"_{k}", ignorenulls=True).over(order), F.lit("open") if k == "status" else F.lit(0.0)).alias(k) for k in write))
+    over = F.col("status") == "resolved"
+    other = lambda own, from_: F.when(F.col(own) != 0, F.col(own)).when(over | (F.col(from_) == 0), 0.0).otherwise(nz.clip_probability(1 - F.col(from_)))
+    x = x.withColumns({"yes_bid": other("yes_bid", "no_ask"), "yes_ask": other("yes_ask", "no_bid")})
+    x = x.withColumns({"no_bid": other("no_bid", "yes_ask"), "no_ask": other("no_ask", "yes_bid")})
+    mid = F.when((F.col("yes_bid") != 0) & (F.col("yes_ask") != 0), (F.col("yes_bid") + F.col("yes_ask")) / 2).when(F.col("yes_bid") != 0, F.col("yes_bid")).otherwise(F.col("yes_ask"))
+    last = F.when(F.col("yes_last") != 0, F.col("yes_last")).when(over, 0.0).when(F.col("no_last") != 0, nz.clip_probability(1 - F.col("no_last"))).otherwise(mid)
+    sequence = F.when(F.coalesce("hash", F.lit("")) != "", F.col("hash")).otherwise(F.concat_ws(":", F.coalesce("asset_id", F.lit("None")), F.col("ts_us").cast("string")))
+    either = lambda a, b: F.when(F.col(a) != 0, F.col(a)).otherwise(F.col(b))
+    return x.select("market_id", "ts_us", "event_type", sequence.alias("sequence_id"), "status", last.alias("last_price"), "yes_bid", "yes_ask", "no_bid", "no_ask", either("yes_bid_size", "no_ask_size").alias("bid_size"), either("yes_ask_size", "no_bid_size").alias("ask_size"), "trade_size")
+
+
 def orderbook_ticks(messages: DataFrame, assets: DataFrame) -> DataFrame:
     """A full tick for every message that changes its market's book: sides replaced by books, tops by updates, NO prices completing YES ones.
 
-    On a stream the state of each market is a value in the state store, with a day to live; a batch is folded per market in the
-    order of (time, hash). Both give the same ticks for messages in order.
+    On a stream the state of each market is a value in the state store, with a day to live; a batch is folded by a window in
+    the order of (time, hash). Both give the same ticks for messages in order.
     """
     ready(messages.sparkSession)
     rows = with_sides(messages, assets)
     if not messages.isStreaming:
-        return rows.groupBy("market_id").applyInPandas(lambda part: _ticks(_fresh(), part), TICK)
+        return _folded(rows)
 
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
