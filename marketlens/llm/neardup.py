@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, exp, log, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, read, semi_by_size, write_table
@@ -137,13 +137,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def parities(texts: DataFrame, size: int) -> DataFrame:
-    """cls and the full parity of its set. texts: cls, text."""
+    """cls, its set as hashes (shingles), and the set's full parity. texts: cls, text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"cls": batch["cls"], "parity": [full_parity(shingle_set(x, size)) for x in batch["text"]]})
+            sets = [shingle_set(x, size) for x in batch["text"]]
+            yield pd.DataFrame({"cls": batch["cls"], "parity": [full_parity(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    return texts.select("cls", "text").mapInPandas(run, "cls binary, parity array<long>")
+    return texts.select("cls", "text").mapInPandas(run, "cls binary, parity array<long>, shingles array<long>")
+
+
+def rare_pairs(sets: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes, one of them in some (cls), that may have percent % similarity: they share one of the rarest shingles of both.
+
+    sets: cls, shingles. Of n shingles the floor((100 - percent) n / 100) + 1 rarest among sets are looked at, which loses no
+    pair; shingles of one set alone count among them but lead nowhere. So texts that share no more than a template don't meet.
+    """
+    rows = sets.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    shared = rows.join(rows.groupBy("s").agg(F.count("*").alias("d")).where("d > 1"), "s")
+    own = Window.partitionBy("cls")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("d", "s"))
+    rare = shared.withColumn("r", place).where(F.col("r") * 100 <= (100 - percent) * F.col("n") + 100).select("s", "cls", "n")
+    side = lambda df, k: df.select("s", F.col("cls").alias(k), F.col("n").alias(f"n{k}"))
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    pairs = side(rare.join(some, "cls"), "a").join(side(rare, "b"), "s").where((F.col("a") != F.col("b")) & fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -171,15 +189,41 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text", miss: float = 1e-5, slack: float = 0.17) -> DataFrame:
+def _margin(percent: int, deviations: float = 6.0) -> float:
+    """How far below its true similarity a full parity may put a pair at the threshold: deviations standard deviations, at worst.
+
+    The odd bits of d elements thrown on b bits number (b - sum of x) / 2, where x is 1 or -1 by a bit's parity, with mean
+    (1 - 2 / b) ** d and, for two bits, (1 - 4 / b) ** d of their product. The similarity is (m - d) / (m + d), m being the
+    sum of both sizes; pairs with more elements than the bits can tell are not judged by them.
+    """
+    worst, b = 0.0, FULL_BITS
+    for m in range(8, int(b * 0.4 * (100 + percent) / (100 - percent)) + 8, 8):
+        d = m * (100 - percent) / (100 + percent)
+        one, two = (1 - 2 / b) ** d, (1 - 4 / b) ** d
+        ones = sqrt(max(b * (1 - one * one) + b * (b - 1) * (two - one * one), 0.0)) / 2
+        worst = max(worst, 2 * m / (m + d) ** 2 * ones / exp(-2 * d / b))
+    return deviations * worst
+
+
+def _slack(percent: int, deviations: float = 6.0) -> float:
+    """How far below its true similarity an odd sketch may put a pair at the threshold: samples differ by chance, and bits hide some."""
+    share, b = percent / 100, BITS
+    d = 2 * SAMPLES * (1 - share)
+    one, two = (1 - 2 / b) ** d, (1 - 4 / b) ** d
+    ones = sqrt(max(b * (1 - one * one) + b * (b - 1) * (two - one * one), 0.0)) / 2
+    return deviations * sqrt(share * (1 - share) / SAMPLES + (ones / exp(-2 * d / b) / (2 * SAMPLES)) ** 2)
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text", miss: float = 1e-5) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept.
 
     Two rows are linked where 100 times the intersection of their sets of size-word shingles is at least percent times
     the union. Rows with equal sets are one class, however many. Classes meet in bands of four MinHash values, so many
     that a pair at the threshold meets in none with a chance of at most miss. In each band's group every class is
     compared with one pivot, chosen anew by each band; where a group still spans several components, the classes outside its
-    largest one are compared with all of its others. Pairs whose odd sketches put them more than slack below the threshold (about
-    five standard deviations) are dropped; all others are confirmed on full sets unless other links join them anyway.
+    largest one are compared with all that share one of their rarest shingles. Pairs whose odd sketches put them six standard
+    deviations below the threshold, and in that last round those whose parity sketches of full sets do, are dropped; all
+    others are confirmed on full sets unless other links join them anyway.
 
     A row without text or words has no shingles and is linked with nothing: component_id is its doc_id, as for any row
     by itself. Rows without a doc_id take part; a component_id is null only where all ids of a component are. kept is
@@ -189,6 +233,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, doc_id: s
     bands = max(2, ceil(log(miss) / log(1 - (percent / 100) ** ROWS)))
     if bands * ROWS > SAMPLES:
         raise ValueError("the threshold is too low for this many samples")
+    margin, slack = _margin(percent), _slack(percent)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     members = write_table(sketches(rows, size, bands), "sketches")
     full = members.where("n > 0")
@@ -235,23 +280,23 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, doc_id: s
     if second.limit(1).count():
         links = links.unionByName(check(second))
         roots = components(links)
-    # At last, in groups that hold several components, classes outside the largest against all others. These few get a
-    # parity sketch of their full sets, which leaves only pairs close to the threshold; each pair is taken in its first common band.
+    # At last, of the classes in groups that hold several components, those outside a group's largest one against all
+    # of them. They meet by rare shingles, not by bands, in which a template would bring all its texts together; a parity
+    # sketch of their full sets leaves only pairs close to the threshold.
     rooted = groups.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("main")).where("k > 1")
-    rooted = write_table(rooted.join(mixed.select("key", "main"), "key").select("key", "band", "cls", "root", (F.col("root") == F.col("main")).alias("major")), "mixed")
-    sharp = write_table(parities(texts(rooted.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct()), size), "parities")
-    rooted = rooted.join(classes.select("cls", "n", "sketch", "bands").join(sharp, "cls"), "cls")
-    side = lambda df, k, *more: df.select("key", F.col("cls").alias(k), *(F.col(c).alias(f"{n}{k}") for n, c in (("r", "root"), ("n", "n"), ("s", "sketch"), ("f", "parity"), ("k", "bands"))), *more)
-    minor, other = side(rooted.where("not major"), "a", "band"), side(rooted, "b", "major")
-    once = F.col("major") | (F.col("a") < F.col("b"))
+    rooted = rooted.join(mixed.select("key", "main"), "key").groupBy("cls", "root").agg(F.bool_or(F.col("root") != F.col("main")).alias("minor"))
+    rooted = write_table(rooted, "mixed")
+    sharp = write_table(parities(texts(rooted.select(F.col("cls").alias("a"), F.col("cls").alias("b"))), size), "parities")
+    met = write_table(rare_pairs(sharp, rooted.where("minor").select("cls"), percent), "met")
+    known = rooted.join(classes.select("cls", "n", "sketch").join(sharp.select("cls", "parity"), "cls"), "cls")
+    side = lambda k: known.select(F.col("cls").alias(k), *(F.col(c).alias(f"{n}{k}") for n, c in (("r", "root"), ("n", "n"), ("s", "sketch"), ("f", "parity"))))
     alike = estimate(F.col("sa"), F.col("sb")) >= percent / 100 - slack
-    known = (F.col("na") + F.col("nb")) * (100 - percent) < F.lit(FULL_BITS * 0.4) * (100 + percent)
-    close = ~known | (full_estimate(F.col("fa"), F.col("fb"), F.col("na"), F.col("nb")) >= percent / 100 - 0.03)
-    first_common = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), True) == F.col("band") + 1
-    third = minor.join(other, "key").where((F.col("ra") != F.col("rb")) & once & fits & alike & close & first_common).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    third = write_table(third.join(pairs, ["a", "b"], "left_anti").distinct(), "third")
+    long = (F.col("na") + F.col("nb")) * (100 - percent) >= F.lit(FULL_BITS * 0.4) * (100 + percent)
+    close = long | (full_estimate(F.col("fa"), F.col("fb"), F.col("na"), F.col("nb")) >= percent / 100 - margin)
+    third = met.join(side("a"), "a").join(side("b"), "b").where((F.col("ra") != F.col("rb")) & alike & close).select("a", "b")
+    third = write_table(third.join(pairs, ["a", "b"], "left_anti"), "third")
     if third.limit(1).count():
         links = links.unionByName(check(third))
         roots = components(links)
