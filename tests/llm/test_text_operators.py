@@ -581,6 +581,26 @@ def test_near_duplicates(spark, odd, docs, empty):
     assert neardup.near_duplicates(odd).count() == len(ODD) and neardup.near_duplicates(empty).count() == 0
 
 
+def test_rare_pairs_lose_no_pair(spark):
+    """All pairs of sets at the threshold or above share a rare shingle; texts that share a template of half their words don't meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    base = [rng.integers(0, 1 << 62, 60) for _ in range(12)]
+    sets = [np.unique(np.concatenate((b[: 60 - k], rng.integers(0, 1 << 62, k)))) for b in base for k in (0, 3, 6, 9, 14)]
+    template = rng.integers(0, 1 << 62, 40)
+    alike = [np.concatenate((template, rng.integers(0, 1 << 62, 40))) for _ in range(30)]
+    rows = [(k.to_bytes(2, "big"), x.tolist()) for k, x in enumerate([*sets, *alike])]
+    df = spark.createDataFrame(rows, "cls binary, shingles array<long>")
+    for percent in (80, 85):
+        got = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in neardup.rare_pairs(df, df.select("cls"), percent).collect()}
+        every = [set(x) for _, x in rows]
+        want = {(a, b) for b in range(len(rows)) for a in range(b) if 100 * len(every[a] & every[b]) >= percent * len(every[a] | every[b])}
+        assert want and want <= got and not [p for p in got if min(p) >= len(sets)]
+    for percent in (80, 85):
+        assert 0.02 < neardup._margin(percent) < 0.06 and 0.15 < neardup._slack(percent) < 0.25
+
+
 def test_sketch_estimates():
     import numpy as np
 
