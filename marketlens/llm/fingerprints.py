@@ -57,9 +57,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, run_bytes: int = 4 << 20, quantiles: int = 64) -> DataFrame:
-    """Adds next_text and next_sigs: those of the row that follows by descending doc_id, and for the last row of the first.
+    """Adds sigs, and next_text and next_sigs: those of the row that follows by descending doc_id, and for the last row of the first.
 
-    docs has doc_id (an integer), text and sigs. Rows are dealt into runs of ids of about run_bytes of text, eight or so to a
+    docs has doc_id (an integer) and text; only these are shuffled. Rows are dealt into runs of ids of about run_bytes of text, eight or so to a
     task: by quantiles, within them by equal steps, rows without an id, which come last, by the hash of their text. Each run is given the first
     row of the run after it as a guest, so that a window over a run finds every row's follower. Only the quantiles reach
     the driver; the table of runs has a row for each. Rows that repeat an id follow by the hash of their text.
@@ -87,7 +87,7 @@ def with_next(docs: DataFrame, run_bytes: int = 4 << 20, quantiles: int = 64) ->
     guests = rows.join(F.broadcast(heads) if small(heads, 1_000_000) else heads, "_run").where(head).withColumn("_run", F.col("_to")).select(rows.columns)
     dealt = rows.withColumn("_guest", F.lit(0)).unionByName(guests.withColumn("_guest", F.lit(1)))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (facts["all"] or 0) // (8 * run_bytes))
-    dealt = dealt.repartition(tasks, "_run")
+    dealt = dealt.repartition(tasks, "_run").withColumn("sigs", signatures(F.col("text")))
     order = Window.partitionBy("_run").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "_tie")
     found = dealt.withColumns({"next_text": F.lead("text").over(order), "next_sigs": F.lead("sigs").over(order)})
     return found.where("_guest = 0").drop("_run", "_guest", "_tie")
@@ -129,7 +129,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     rows give a row each; extra columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("sigs", signatures(F.col("text"))))
+    rows = with_next(rows)
     half = F.expr("length(text) div 2").cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
