@@ -284,7 +284,7 @@ def test_fingerprints(spark, odd, docs, empty):
         assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()
     for size in (40_000, 3_000):  # several runs, also of rows without an id and of single rows
         many = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
-        found = fingerprints.with_next(many.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sigs", F.array("text")), size, 7)
+        found = fingerprints.with_next(many.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), size, 7)
         ranked = sorted(((r.doc_id is None, -(r.doc_id or 0), r.h, r.text, r.next_text) for r in found.withColumn("h", F.xxhash64("text")).collect()), key=lambda r: r[:3])
         assert all(a[4] == b[3] for a, b in zip(ranked, [*ranked[1:], ranked[0]], strict=True))
     one = docs.limit(1)
