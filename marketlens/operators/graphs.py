@@ -29,12 +29,13 @@ def _some(c: str) -> Column:
 
 
 def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per run: counts by type, confidences, density e / (n (n - 1)) and edge-type diversity."""
-    n = nodes.groupBy("run_id").agg(F.count("*").alias("node_count"), *(F.count_if(F.col("type") == t).alias(f"n_{t.lower()}") for t in NODE_TYPES), F.avg("confidence").alias("avg_node_confidence"), F.sum(F.when(F.col("type") == "RelatedMarket", F.col("volume")).otherwise(0.0)).alias("related_volume"))
+    """Per run: counts by type, confidences, density e / (n (n - 1)), edge-type diversity, and the volume of related markets against the event's."""
+    n = nodes.groupBy("run_id").agg(F.count("*").alias("node_count"), *(F.count_if(F.col("type") == t).alias(f"n_{t.lower()}") for t in NODE_TYPES), F.avg("confidence").alias("avg_node_confidence"), F.sum(F.when(F.col("type") == "RelatedMarket", F.col("volume")).otherwise(0.0)).alias("related_volume"), F.coalesce(F.max(F.when(F.col("type") == "Event", F.col("volume"))), F.lit(0.0)).alias("event_volume"))
     e = edges.groupBy("run_id").agg(F.count("*").alias("edge_count"), F.avg("confidence").alias("avg_edge_confidence"), F.min("confidence").alias("min_edge_confidence"), F.max("confidence").alias("max_edge_confidence"), F.size(F.collect_set("type")).alias("edge_type_diversity"))
     x = n.join(e, "run_id", "left").na.fill(0)
     most = F.when(F.col("node_count") > 1, F.col("node_count") * (F.col("node_count") - 1)).otherwise(1)
-    return x.withColumn("density", F.col("edge_count") / most)
+    ratio = F.when(F.col("event_volume") != 0, F.col("related_volume") / F.col("event_volume")).otherwise(0.0)
+    return x.withColumns({"density": F.col("edge_count") / most, "related_volume_ratio": ratio})
 
 
 def graph_quality(features: DataFrame, expanded: str | None = None) -> DataFrame:
@@ -47,6 +48,14 @@ def graph_quality(features: DataFrame, expanded: str | None = None) -> DataFrame
     return features.withColumn("quality", F.round(F.least(s, F.lit(0.95)), 2))
 
 
+def citations(nodes: DataFrame, k: int = 8) -> DataFrame:
+    """Per run: the distinct source URLs of its nodes, where each first stands, the first k."""
+    first = nodes.where(_some("source_url")).groupBy("run_id", "source_url").agg(F.min("pos").alias("pos"))
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("pos", "source_url"))
+    kept_ = first.withColumn("_r", rank).where(F.col("_r") <= k)
+    return kept_.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "source_url"))), lambda x: x["source_url"]).alias("citations"))
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy("run_id").agg(F.count("*").alias("nodes"), F.countDistinct("type").alias("node_types"))
     return n.join(edges.groupBy("run_id").agg(F.count("*").alias("edges")), "run_id", "left").na.fill(0)
@@ -145,12 +154,28 @@ def edge_scores(edges: DataFrame) -> DataFrame:
     return x.withColumn("signal_score", F.rint((F.col("confidence_score") + F.col("directness_score") + F.col("explanation_score")) / 3).cast("int"))
 
 
-def clean_nodes(nodes: DataFrame) -> DataFrame:
-    """Metadata without a label or value and blank snippets dropped; an empty summary or source title filled in."""
-    return nodes.withColumns({
+def clean_nodes(nodes: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Metadata without a label or value and blank snippets dropped; what is empty filled in.
+
+    A summary is filled with the page's description, the event's, or type and label; the source's title with the page's or
+    the label, its description with the page's or the summary; the URL of an Event or RelatedMarket with the event's. An
+    Event takes title, description and URL of the event where they are given. events: run_id, event_title,
+    event_description, event_url. page_title and page_description (landed pages) may be columns of nodes.
+    """
+    has = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("string")
+    facts = ["event_title", "event_description", "event_url"]
+    x = nodes.join(events.select("run_id", *facts), "run_id", "left") if events is not None else nodes.withColumns({c: F.lit(None).cast("string") for c in facts})
+    first = lambda *cs: F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cs), F.lit(""))
+    event = F.col("type") == "Event"
+    x = x.withColumns({"source_title": has("source_title"), "source_description": has("source_description"), "_title": has("page_title"), "_text": has("page_description")})
+    x = x.withColumn("summary", F.when(event & _some("event_description"), F.col("event_description")).otherwise(first(F.col("summary"), F.col("_text"), F.col("event_description"), F.concat(F.col("type"), F.lit(": "), F.col("label")))))
+    x = x.withColumns({
+        "source_title": F.when(event & _some("event_title"), F.col("event_title")).otherwise(first(F.col("source_title"), F.col("_title"), F.col("label"))), "source_description": F.when(event & _some("event_description"), F.col("event_description")).otherwise(first(F.col("source_description"), F.col("_text"), F.col("summary"))),
+        "source_url": F.when(event & _some("event_url"), F.col("event_url")).when(F.col("type").isin("Event", "RelatedMarket"), first(F.col("source_url"), F.col("event_url"))).otherwise(first(F.col("source_url"))),
+    })
+    return x.drop(*facts, "_title", "_text").withColumns({
         "metadata": F.filter(F.coalesce("metadata", F.array().cast("array<struct<label:string,value:string>>")), lambda m: (F.trim(m["label"]) != "") & (F.trim(m["value"]) != "")),
         "snippets": F.filter(F.transform(F.coalesce("snippets", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda s: s != ""),
-        "summary": F.when(_some("summary"), F.col("summary")).otherwise(F.concat(F.col("type"), F.lit(": "), F.col("label"))),
     })
 
 
@@ -161,7 +186,8 @@ def top_nodes(nodes: DataFrame, type_: str, k: int) -> DataFrame:
 
 def catalysts(nodes: DataFrame, k: int = 5) -> DataFrame:
     """Per run: nodes that name a month, quarter or scheduled event, one per (type, label), the k of most confidence."""
-    hit = nodes.where(F.concat_ws(" ", "label", "summary").rlike(CATALYST))
+    said = [c for c in ("label", "summary", "description") if c in nodes.columns]
+    hit = nodes.where(_some("label") & F.concat_ws(" ", *said).rlike(CATALYST))
     first = F.row_number().over(Window.partitionBy("run_id", "type", "label").orderBy("pos"))
     rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("confidence"), "pos"))
     return hit.withColumn("_f", first).where("_f = 1").drop("_f").withColumn("rank", rank).where(F.col("rank") <= k)
@@ -185,11 +211,26 @@ def previous_run(runs: DataFrame, by: str = "event_slug", fallback: str = "sourc
 
 
 def graph_diff(nodes: DataFrame, run_pairs: DataFrame, k: int = 5) -> DataFrame:
-    """Per (run_id, other_id): nodes by (type, label) that the run added and lost against the other, the first k in order."""
-    keys = nodes.select("run_id", F.concat_ws(":", "type", "label").alias("key")).groupBy("run_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    """Per (run_id, other_id): labels of the nodes, told apart by (type, label), that the run added and lost against the other, the first k in order; of added evidence the first 3; and by how many nodes they differ."""
+    keys = nodes.groupBy("run_id").agg(F.collect_set(F.struct("label", "type")).alias("keys"))
     x = run_pairs.join(keys, "run_id").join(keys.select(F.col("run_id").alias("other_id"), F.col("keys").alias("old")), "other_id")
-    cut = lambda a, b: F.slice(F.array_sort(F.array_except(a, b)), 1, k)
-    return x.select("run_id", "other_id", cut("keys", "old").alias("added"), cut("old", "keys").alias("removed"))
+    labels = lambda a, b, n, kind=None: F.slice(F.array_sort(F.transform(F.filter(F.array_except(a, b), lambda r: (r["label"] != "") & ((r["type"] == kind) if kind else F.lit(True))), lambda r: r["label"])), 1, n)
+    return x.select("run_id", "other_id", labels("keys", "old", k).alias("added"), labels("old", "keys", k).alias("removed"), labels("keys", "old", 3, "Evidence").alias("added_evidence"), (F.size("keys") - F.size("old")).alias("node_delta"))
+
+
+def graph_changes(nodes: DataFrame, edges: DataFrame, run_pairs: DataFrame) -> DataFrame:
+    """graph_diff with edge_delta, the market that moved most, status (changed or stable) and a summary in words."""
+    sizes = edges.select("run_id", "source", "target", "type").distinct().groupBy("run_id").agg(F.count("*").alias("e"))
+    x = graph_diff(nodes, run_pairs).join(sizes, "run_id", "left").join(sizes.select(F.col("run_id").alias("other_id"), F.col("e").alias("f")), "other_id", "left").na.fill(0, ["e", "f"])
+    top = moved_markets(nodes, run_pairs).where("rank = 1").select("run_id", "other_id", F.col("label").alias("moved"), F.col("delta").alias("moved_delta"))
+    x = x.join(top, ["run_id", "other_id"], "left").withColumn("edge_delta", F.col("e") - F.col("f"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    bits = F.array_compact(F.array(
+        F.when(F.size("added") > 0, text(F.size("added"), " new nodes surfaced")), F.when(F.size("removed") > 0, text(F.size("removed"), " nodes dropped")),
+        F.when(F.col("edge_delta") != 0, text(F.abs("edge_delta"), F.when(F.col("edge_delta") > 0, " more").otherwise(" fewer"), " edges than the prior run")),
+        F.when(F.col("moved").isNotNull(), text("top related confidence moved ", F.when(F.col("moved_delta") > 0, "up").otherwise("down"), " in ", F.col("moved"))),
+    ))
+    return x.drop("e", "f").withColumns({"status": F.when(F.size(bits) > 0, "changed").otherwise("stable"), "summary": F.array_join(bits, "; ")})
 
 
 def moved_markets(nodes: DataFrame, run_pairs: DataFrame, k: int = 4, least: float = 0.01) -> DataFrame:
@@ -202,10 +243,16 @@ def moved_markets(nodes: DataFrame, run_pairs: DataFrame, k: int = 4, least: flo
 
 
 def apply_edits(nodes: DataFrame, edges: DataFrame, updates: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, max_nodes: int = 4, max_edges: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Labels and summaries replaced by id; at most max_nodes new nodes and max_edges new edges per run, of known types, with new ids and valid ends."""
-    u = updates.groupBy("run_id", "node_id").agg(F.max("label").alias("_l"), F.max("summary").alias("_s"))
+    """Labels, summaries and source URLs replaced by id; at most max_nodes new nodes and max_edges new edges per run, of known types, with new ids and valid ends. A source URL without http, https or a host is replaced by the Event's."""
+    event = nodes.where("type = 'Event'").groupBy("run_id").agg(F.min_by("source_url", "pos").alias("_event"))
+    plausible = lambda c: F.coalesce(F.col(c).rlike(r"^https?://[^/?#\s]+"), F.lit(False))
+    if "source_url" in new_nodes.columns:
+        new_nodes = new_nodes.join(event, "run_id", "left").withColumn("source_url", F.when(plausible("source_url"), F.col("source_url")).otherwise(F.coalesce("_event", F.lit("")))).drop("_event")
+    url = F.max("source_url") if "source_url" in updates.columns else F.max(F.lit(None).cast("string"))
+    u = updates.groupBy("run_id", "node_id").agg(F.max("label").alias("_l"), F.max("summary").alias("_s"), F.nullif(url, F.lit("")).alias("_u"))
     one = lambda df, key: df.withColumn("_k", F.row_number().over(Window.partitionBy("run_id", key).orderBy("pos", "type"))).where("_k = 1").drop("_k")
-    changed = nodes.join(u, ["run_id", "node_id"], "left").withColumns({"label": F.coalesce("_l", "label"), "summary": F.coalesce("_s", "summary")}).select(*nodes.columns)
+    changed = nodes.join(u, ["run_id", "node_id"], "left").join(event, "run_id", "left")
+    changed = changed.withColumns({"label": F.coalesce("_l", "label"), "summary": F.coalesce("_s", "summary"), "source_url": F.when(F.col("_u").isNull(), F.col("source_url")).when(plausible("_u"), F.col("_u")).otherwise(F.coalesce("_event", F.lit("")))}).select(*nodes.columns)
     rank = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("run_id").orderBy("pos", "type")))
     fresh = new_nodes.where(F.col("type").isin(*NODE_TYPES)).join(nodes.select("run_id", "node_id"), ["run_id", "node_id"], "left_anti")
     fresh = one(fresh, "node_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import asset_hits, driver_hits, jaccard, theme_tokens, token_overlap, tokens, topic_tokens
+from ..functions.tokens import asset_hits, driver_hits, jaccard, shared_topics, theme_tokens, token_overlap, tokens, topic_tokens
 
 # Weights of pair types.
 PAIR_WEIGHTS = {"logical_equivalent": 1.0, "shared_driver": 0.9, "narrative_spillover": 0.75}
@@ -261,11 +261,17 @@ def top_pairs(pairs: DataFrame, k: int = 5) -> DataFrame:
     return pairs.orderBy(F.desc("composite"), F.desc("semantic"), F.desc("resolution"), "l_market_id", "r_market_id").limit(k)
 
 
-def coverage_status(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: what keeps the venues from live pairs, with counts and the best pair's score."""
+def coverage_status(pairs: DataFrame, left: DataFrame, right: DataFrame, min_score: float = 0.38) -> DataFrame:
+    """One row: what keeps the venues from live pairs, with counts, the best pair's score, the topics both share, and the nearest miss where no pair reaches min_score.
+
+    pairs may hold pairs below min_score (score_pairs with a lower one): they count for the near miss alone.
+    """
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    p = pairs.agg(F.count("*").alias("pairs"), F.count_if("is_trade_eligible").alias("eligible"), F.max("composite").alias("best"))
-    row = n(left, "left_markets").crossJoin(n(right, "right_markets")).crossJoin(p)  # three rows of counts
+    good = F.col("composite") >= min_score
+    miss = F.max_by(F.concat_ws(" / ", F.col("l_market_id").cast("string"), F.col("r_market_id").cast("string")), F.struct(F.round("composite", 9), -F.col("l_market_id"), -F.col("r_market_id")))
+    p = pairs.agg(F.count_if(good).alias("pairs"), F.count_if(good & F.col("is_trade_eligible")).alias("eligible"), F.max(F.when(good, F.col("composite"))).alias("best"), F.when(F.count_if(good) == 0, miss).alias("near_miss"))
+    topics = shared_topics(left, right, "topics").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("t"), "token"))), lambda x: x["token"]).alias("shared_topics"))  # eight rows
+    row = n(left, "left_markets").crossJoin(n(right, "right_markets")).crossJoin(p).crossJoin(topics)  # one row each
     status = F.when((F.col("left_markets") == 0) | (F.col("right_markets") == 0), "needs_sync").when(F.col("eligible") > 0, "candidate_pairs_live").when(F.col("pairs") > 0, "watch_only").otherwise("insufficient_overlap")
     return row.withColumn("status", status)
 
@@ -285,10 +291,11 @@ def catalog_priority(df: DataFrame, venue: str, reference: DataFrame | None = No
     return out.withColumn("priority", 4 * F.col("overlap") + worth + priced + granular + F.when(F.col("overlap") > 0, 3.0).otherwise(0.0)).drop("_t", "_o")
 
 
-def cap_per_group(df: DataFrame, group: str, priority: str, cap: int = 2, limit: int = 40, tie: str = "market_id") -> DataFrame:
-    """The limit first rows by priority, at most cap of a group; then others by priority where room is left."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(priority), tie))
-    return df.withColumn("_late", (rank > cap).cast("int")).orderBy("_late", F.desc(priority), tie).limit(limit).drop("_late")
+def cap_per_group(df: DataFrame, group: str, priority: str, cap: int = 2, limit: int = 40, tie: str = "market_id", only: str | None = None) -> DataFrame:
+    """The limit first rows by priority, at most cap of a group, of rows where only is positive; then others by priority where room is left."""
+    fit = F.col(only) > 0 if only else F.lit(True)
+    rank = F.row_number().over(Window.partitionBy(group, "_fit").orderBy(F.desc(priority), tie))
+    return df.withColumn("_fit", fit).withColumn("_late", (~F.col("_fit") | (rank > cap)).cast("int")).drop("_fit").orderBy("_late", F.desc(priority), tie).limit(limit).drop("_late")
 
 
 def best_per(df: DataFrame, key: list[str], priority: str, tie: str) -> DataFrame:
@@ -350,7 +357,7 @@ def paper_trade(signals: DataFrame, ticks: DataFrame, trades: DataFrame | None =
     own = price(F.col("x.last_price"), 1 - F.col("x.last_price"))
     return out.select(
         "pair_id", "pair_type", "direction", "leader_tick", "follower_tick", F.when(done, "closed").otherwise("open").alias("status"), "entry", "exit", (F.col("exit") - F.col("entry")).alias("gross"),
-        (F.col("exit") - F.col("entry") - F.col("fee") - F.col("slippage")).alias("net"), F.when(done, F.abs(own - F.col("entry"))).alias("adverse"), "edge", "latency_ms", F.when(done, F.floor((F.col("x.ts_us") - F.col("opened_us")) / 1_000_000)).alias("held_s"),
+        (F.col("exit") - F.col("entry") - F.col("fee") - F.col("slippage")).alias("net"), F.when(done, F.abs(own - F.col("entry"))).alias("adverse"), "edge", "latency_ms", F.when(done, F.floor((F.col("x.ts_us") - F.col("opened_us")) / 1_000_000)).alias("held_s"), "opened_us",
     )
 
 
@@ -384,10 +391,16 @@ def breakdown(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
 
 
-def monitor_lists(pairs: DataFrame, signals: DataFrame, trades: DataFrame) -> dict[str, DataFrame]:
-    """The newest or best rows a monitor shows: 24 pairs, 20 signals, 20 trades."""
-    return {
-        "pairs": pairs.orderBy(F.desc("composite"), "pair_id").limit(24) if "composite" in pairs.columns else pairs.orderBy("pair_id").limit(24),
-        "signals": signals.orderBy(F.desc("quote.ts_us"), "pair_id").limit(20),
-        "trades": trades.orderBy(F.desc("net"), "pair_id").limit(20),
-    }
+def monitor_lists(pairs: DataFrame, signals: DataFrame, trades: DataFrame, backtests: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The newest or best rows a monitor shows: 24 pairs, 20 signals, 20 trades and 3 backtests (experiments)."""
+    best = [F.desc("composite"), F.col("pair_id")] if "composite" in pairs.columns else [F.col("pair_id")]
+    out = {"pairs": pairs.orderBy(*best).limit(24), "signals": signals.orderBy(F.desc("quote.ts_us"), "pair_id").limit(20), "trades": trades.orderBy(F.desc("opened_us"), "pair_id").limit(20)}
+    if backtests is not None:
+        out["backtests"] = backtests.where("task = 'leadlag'").orderBy(F.desc("created_us"), "title").limit(3)
+    return out
+
+
+def pair_detail(pairs: DataFrame, signals: DataFrame, trades: DataFrame, pair_id: int, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A pair with its k newest signals and trades."""
+    one = lambda df: df.where(F.col("pair_id") == pair_id)
+    return one(pairs), one(signals).orderBy(F.desc("quote.ts_us"), "leader_tick").limit(k), one(trades).orderBy(F.desc("opened_us"), "leader_tick").limit(k)

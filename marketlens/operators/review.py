@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import market_key, market_key_aliases, reviewer_key
-from ..functions.tokens import jaccard, token_diff, token_overlap
+from ..functions.tokens import jaccard, ranking_tokens, token_diff, token_overlap
 
 LABELS = ["core", "watch", "reject"]
 
@@ -105,10 +105,15 @@ def compare_rankings(candidates: DataFrame, baseline: str = "baseline", model: s
 
 
 def candidate_catalog(rows: DataFrame) -> DataFrame:
-    """Per candidate key over all runs: first title and summary by (run order, pos), times selected, mean confidence, categories with counts."""
+    """Per candidate key over all runs: first title and summary by (run order, pos), times selected, mean confidence, categories with counts, tokens of the title, and of title, summary and all metadata (array<string>, if rows have it)."""
     base = rows.groupBy("candidate_key").agg(F.min_by("title", F.struct("run_order", "pos")).alias("title"), F.min_by("summary", F.struct("run_order", "pos")).alias("summary"), F.count("*").alias("popularity"), F.avg("confidence").alias("confidence"))
     cats = rows.groupBy("candidate_key", "category").agg(F.count("*").alias("n")).groupBy("candidate_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
-    return base.join(cats, "candidate_key")
+    title, summary = ranking_tokens(F.col("title")), ranking_tokens(F.col("title"), F.col("summary"))
+    out = base.join(cats, "candidate_key").withColumns({"title_tokens": F.array_sort(title), "_own": summary})
+    if "metadata" in rows.columns:
+        pooled = rows.select("candidate_key", F.explode(ranking_tokens(F.array_join("metadata", " "))).alias("t")).groupBy("candidate_key").agg(F.collect_set("t").alias("_meta"))  # distinct tokens only
+        out = out.join(pooled, "candidate_key", "left").withColumn("_own", F.array_union("_own", F.coalesce("_meta", F.array().cast("array<string>")))).drop("_meta")
+    return out.withColumn("full_tokens", F.array_sort("_own")).drop("_own")
 
 
 def hard_negatives(queries: DataFrame, catalog: DataFrame, positives: DataFrame, n: int = 12) -> DataFrame:
@@ -154,19 +159,22 @@ def discovery_score(tags: Column, terms: Column, same_category: Column, volume:
     return F.least(F.greatest(s, F.lit(0.45)), F.lit(0.94))
 
 
-def discover_related(events: DataFrame, k: int = 4) -> DataFrame:
-    """The k best other open events of each event that share a tag, a term or the category, by discovery_score.
+def discover_related(events: DataFrame, k: int = 4, enough: int = 12, most_traded: int = 40) -> DataFrame:
+    """The k best other open events of each event that share a tag, a term or the category, by discovery_score to two decimals.
 
-    events: slug, tags, terms, category, volume, liquidity. Candidates meet by equi-join on tags and terms; of the events of a category the
-    40 most traded stand in for all, as only those without tag or term in common need it.
+    events: slug, tags, terms, category, volume, liquidity. Candidates carry one of the event's first three tags; where
+    these are fewer than enough, the most_traded events of all join them.
     """
-    keys = events.select("slug", F.explode(F.array_union(F.transform("tags", lambda t: F.concat(F.lit("#"), F.lower(t))), F.col("terms"))).alias("key"))
-    met = keys.join(keys.withColumnRenamed("slug", "other"), "key").where("slug <> other").select("slug", "other").distinct()
-    place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("volume"), "slug"))
-    traded = events.select("category", F.col("slug").alias("other"), place.alias("r")).where("r <= 40").select("category", "other")
-    met = met.unionByName(events.select("slug", "category").join(traded, "category").where("slug <> other").select("slug", "other")).distinct()
+    mine = events.select("slug", F.explode(F.transform(F.slice("tags", 1, 3), F.lower)).alias("tag"))
+    theirs = events.select(F.col("slug").alias("other"), F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag"))
+    met = mine.join(theirs, "tag").where("slug <> other").select("slug", "other").distinct()
+    few = events.select("slug").join(met.groupBy("slug").agg(F.count("*").alias("n")).where(F.col("n") >= enough), "slug", "left_anti")
+    traded = events.orderBy(F.desc("volume"), "slug").limit(most_traded).select(F.col("slug").alias("other"))
+    met = met.unionByName(few.crossJoin(F.broadcast(traded)).where("slug <> other").select("slug", "other")).distinct()  # most_traded rows
     side = lambda n, p: events.select(F.col("slug").alias(n), *(F.col(c).alias(f"{p}{c}") for c in ("tags", "terms", "category", "volume", "liquidity")))
+    low = lambda c: F.transform(c, F.lower)
     x = met.join(side("slug", "a_"), "slug").join(side("other", "b_"), "other")
-    x = x.withColumn("score", discovery_score(token_overlap(F.col("a_tags"), F.col("b_tags")), token_overlap(F.col("a_terms"), F.col("b_terms")), F.col("a_category") == F.col("b_category"), F.col("b_volume"), F.col("b_liquidity")))
+    x = x.withColumns({"_tags": token_overlap(low("a_tags"), low("b_tags")), "_terms": token_overlap(F.col("a_terms"), F.col("b_terms")), "_same": F.col("a_category") == F.col("b_category")})
+    x = x.where("_tags > 0 or _terms > 0 or _same").withColumn("score", F.round(discovery_score(F.col("_tags"), F.col("_terms"), F.col("_same"), F.col("b_volume"), F.col("b_liquidity")), 2))
     rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("score"), "other"))
     return x.withColumn("rank", rank).where(F.col("rank") <= k).select("slug", "other", "score", "rank")

@@ -36,12 +36,13 @@ def trace_summary(traces: DataFrame) -> DataFrame:
     return traces.groupBy("run_id").agg(F.count("*").alias("stages"), n("completed").alias("completed"), n("fallback").alias("fallback"), n("failed").alias("failed"), F.sum("latency_ms").alias("total_latency_ms"), F.sum("tokens").alias("total_tokens"), F.sum("citations").alias("citations"), health.alias("health"))
 
 
-def coverage_metrics(runs: DataFrame, nodes: DataFrame, traces: DataFrame) -> DataFrame:
-    """One row: runs, mean nodes a run, mean of the runs' best related market, mean traces a run."""
-    n = nodes.groupBy("run_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("type") == "RelatedMarket", F.col("confidence"))).alias("best"))
+def coverage_metrics(runs: DataFrame, nodes: DataFrame, traces: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: runs, means a run of nodes, edges, evidence, related markets and traces, and the mean of the runs' best related market."""
+    n = nodes.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "Evidence").alias("v"), F.count_if(F.col("type") == "RelatedMarket").alias("m"), F.max(F.when(F.col("type") == "RelatedMarket", F.col("confidence"))).alias("best"))
     t = traces.groupBy("run_id").agg(F.count("*").alias("t"))
-    x = runs.select("run_id").join(n, "run_id", "left").join(t, "run_id", "left").na.fill(0, ["n", "t"])
-    return x.agg(F.count("*").alias("runs"), F.avg("n").alias("avg_nodes"), F.coalesce(F.avg("best"), F.lit(0.0)).alias("avg_best_related"), F.avg("t").alias("avg_traces"))
+    e = edges.groupBy("run_id").agg(F.count("*").alias("e"))
+    x = runs.select("run_id").join(n, "run_id", "left").join(e, "run_id", "left").join(t, "run_id", "left").na.fill(0, ["n", "v", "m", "e", "t"])
+    return x.agg(F.count("*").alias("runs"), F.avg("n").alias("avg_nodes"), F.avg("e").alias("avg_edges"), F.avg("v").alias("avg_evidence_nodes"), F.avg("m").alias("avg_related_markets"), F.coalesce(F.avg("best"), F.lit(0.0)).alias("avg_best_related"), F.avg("t").alias("avg_traces"))
 
 
 def backfill_traces(runs: DataFrame, traces: DataFrame) -> DataFrame:

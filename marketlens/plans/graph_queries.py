@@ -51,14 +51,14 @@ nd as (select run_id, o as node_id, 0 as pos, o as label, 0.99::double as confid
   union all select run_id, s, min(300 + rn), s, 0.7::double, max(v), 'Entity' from gx group by run_id, s union all select run_id, n, min(500 + rn), n, 0.6::double, max(v), 'Evidence' from gx group by run_id, n),
 ed as (select run_id, 3 * rn as pos, o || '>' || p || '>' || rn as edge_id, o as source, p as target, 'related_to' as type, c as confidence, f from gx union all select run_id, 3 * rn + 1, p || '>' || s || '>' || rn, p, s, 'affects_directly', 0.7::double, f from gx union all select run_id, 3 * rn + 2, s || '>' || n || '>' || rn, s, n, 'supported_by', 0.6::double, f from gx)"""
 
-FE = f"""{G}, fn as (select run_id, count(*) as node_count, count(*) filter (type = 'RelatedMarket') as n_relatedmarket, count(*) filter (type = 'Evidence') as n_evidence, avg(confidence) as avg_node_confidence, sum(case when type = 'RelatedMarket' then volume else 0 end) as related_volume from nd group by 1),
+FE = f"""{G}, fn as (select run_id, count(*) as node_count, count(*) filter (type = 'RelatedMarket') as n_relatedmarket, count(*) filter (type = 'Evidence') as n_evidence, avg(confidence) as avg_node_confidence, sum(case when type = 'RelatedMarket' then volume else 0 end) as related_volume, max(volume) filter (type = 'Event') as event_volume from nd group by 1),
 fe as (select run_id, count(*) as edge_count, avg(confidence) as avg_edge_confidence, min(confidence) as min_edge_confidence, max(confidence) as max_edge_confidence, count(distinct type)::int as edge_type_diversity from ed group by 1),
 ff as (select *, edge_count / case when node_count > 1 then node_count * (node_count - 1) else 1 end as density from fn join fe using (run_id))"""
 
 
-@query("e13_graph_features", f"with {FE} select run_id, node_count, n_relatedmarket, n_evidence, edge_count, edge_type_diversity, round(avg_node_confidence, 9) as avg_node_confidence, round(avg_edge_confidence, 9) as avg_edge_confidence, min_edge_confidence, max_edge_confidence, round(density, 9) as density, round(related_volume, 2) as related_volume from ff")
+@query("e13_graph_features", f"with {FE} select run_id, node_count, n_relatedmarket, n_evidence, edge_count, edge_type_diversity, round(avg_node_confidence, 9) as avg_node_confidence, round(avg_edge_confidence, 9) as avg_edge_confidence, min_edge_confidence, max_edge_confidence, round(density, 9) as density, round(related_volume, 2) as related_volume, round(related_volume / event_volume, 6) as related_volume_ratio from ff")
 def e13(spark, d):
-    return gr.graph_features(*graph(spark, d)).select("run_id", "node_count", "n_relatedmarket", "n_evidence", "edge_count", "edge_type_diversity", R("avg_node_confidence", 9), R("avg_edge_confidence", 9), "min_edge_confidence", "max_edge_confidence", R("density", 9), R("related_volume", 2))
+    return gr.graph_features(*graph(spark, d)).select("run_id", "node_count", "n_relatedmarket", "n_evidence", "edge_count", "edge_type_diversity", R("avg_node_confidence", 9), R("avg_edge_confidence", 9), "min_edge_confidence", "max_edge_confidence", R("density", 9), R("related_volume", 2), R("related_volume_ratio"))
 
 
 @query("k13_graph_quality", f"with {FE} select run_id, round(least(0.5 + case when node_count >= 8 then 0.1 else 0 end + case when n_relatedmarket >= 2 then 0.08 else 0 end + case when n_evidence >= 2 then 0.07 else 0 end + case when avg_edge_confidence > 0.7 + 1e-12 then 0.05 else 0 end + case when edge_type_diversity >= 4 then 0.05 else 0 end + case when density > 0.1 then 0.03 else 0 end, 0.95)::double, 2) as quality from ff")
@@ -121,9 +121,20 @@ def b25e(spark, d):
     return gr.edge_scores(graph(spark, d)[1]).select("run_id", "edge_id", "confidence_score", "directness_score", "explanation_score", "signal_score")
 
 
-@query("b26_clean_nodes", f"with {G} select run_id, node_id, case when type = 'RelatedMarket' then 'decided in March' else type || ': ' || label end as summary from nd")
+@query("b26_clean_nodes", f"with {G} select run_id, node_id, case when type = 'Event' then 'Told ' || run_id when type = 'RelatedMarket' then 'decided in March' when type = 'Evidence' then 'page text' else 'Told ' || run_id end as summary, case when type = 'Event' then 'Run ' || run_id when type = 'Evidence' then 'page' else label end as source_title, case when type = 'Event' then 'Told ' || run_id when type = 'RelatedMarket' then 'decided in March' when type = 'Evidence' then 'page text' else 'Told ' || run_id end as source_description, case when type in ('Event', 'RelatedMarket') then 'http://e/' || run_id when type = 'Entity' and substr(node_id, 2)::int % 4 <> 0 then 'http://x' else '' end as source_url from nd")
 def b26(spark, d):
-    return gr.clean_nodes(graph(spark, d)[0]).select("run_id", "node_id", "summary")
+    nodes = graph(spark, d)[0]
+    page = lambda text: F.when(F.col("type") == "Evidence", text)
+    nodes = nodes.withColumns({"page_title": page("page"), "page_description": page("page text")})
+    key = F.col("run_id").cast("string")
+    events = nodes.where("type = 'Event'").select("run_id", F.concat(F.lit("Run "), key).alias("event_title"), F.concat(F.lit("Told "), key).alias("event_description"), F.concat(F.lit("http://e/"), key).alias("event_url"))
+    return gr.clean_nodes(nodes, events).select("run_id", "node_id", "summary", "source_title", "source_description", "source_url")
+
+
+@query("e14_citations", f"with {G}, u as (select run_id, 'http://x/' || (pos % 12) as url, min(pos) as pos from nd group by 1, 2), r as (select *, row_number() over (partition by run_id order by pos, url) as k from u qualify k <= 8) select run_id, string_agg(url, ' ' order by k) as citations from r group by 1")
+def e14_citations(spark, d):
+    nodes = graph(spark, d)[0].withColumn("source_url", F.concat(F.lit("http://x/"), (F.col("pos") % 12).cast("string")))
+    return gr.citations(nodes).select("run_id", F.array_join("citations", " ").alias("citations"))
 
 
 @query("g4_top_related", f"with {G} select run_id, node_id, row_number() over (partition by run_id order by confidence desc, pos)::int as rank from nd where type = 'RelatedMarket' qualify rank <= 3")
@@ -165,9 +176,23 @@ def _pairs(spark, d):
     return gr.neighbour_run(runs(spark, d)).where("other_id is not null").select("run_id", "other_id")
 
 
-@query("h1_graph_diff", f"with {DF} select a.run_id, other_id, array_to_string(list_slice(list_sort(list_filter(a.keys, lambda x: not list_contains(b.keys, x))), 1, 5), ' ') as added, array_to_string(list_slice(list_sort(list_filter(b.keys, lambda x: not list_contains(a.keys, x))), 1, 5), ' ') as removed from rp join ky a on rp.run_id = a.run_id join ky b on rp.other_id = b.run_id")
+LESS = lambda a, b, n, more="": f"list_slice(list_sort(list_transform(list_filter({a}.keys, lambda x: not list_contains({b}.keys, x){more}), lambda x: split_part(x, ':', 2))), 1, {n})"
+
+
+@query("h1_graph_diff", f"with {DF} select a.run_id, other_id, array_to_string({LESS('a', 'b', 5)}, ' ') as added, array_to_string({LESS('b', 'a', 5)}, ' ') as removed, array_to_string({LESS('a', 'b', 3, ' and starts_with(x, ' + chr(39) + 'Evidence' + chr(39) + ')')}, ' ') as added_evidence, (len(a.keys) - len(b.keys))::int as node_delta from rp join ky a on rp.run_id = a.run_id join ky b on rp.other_id = b.run_id")
 def h1(spark, d):
-    return gr.graph_diff(graph(spark, d)[0], _pairs(spark, d)).select("run_id", "other_id", F.array_join("added", " ").alias("added"), F.array_join("removed", " ").alias("removed"))
+    x = gr.graph_diff(graph(spark, d)[0], _pairs(spark, d))
+    return x.select("run_id", "other_id", *(F.array_join(c, " ").alias(c) for c in ("added", "removed", "added_evidence")), "node_delta")
+
+
+MV = "mm as (select run_id, label, max(confidence) as c from nd where type = 'RelatedMarket' group by 1, 2), dl as (select a.run_id, other_id, a.label, round(a.c - b.c, 2) as delta from rp join mm a on rp.run_id = a.run_id join mm b on rp.other_id = b.run_id and a.label = b.label where abs(round(a.c - b.c, 2)) >= 0.01)"
+
+
+@query("h2_graph_changes", f"""with {DF}, {MV}, es as (select run_id, count(*) as e from (select distinct run_id, source, target, type from ed) group by 1), tm as (select * from dl qualify row_number() over (partition by run_id, other_id order by abs(delta) desc, label) = 1),
+z as (select rp.run_id, rp.other_id, coalesce(x.e, 0) - coalesce(y.e, 0) as edge_delta, len({LESS('a', 'b', 5)}) as na, len({LESS('b', 'a', 5)}) as nr, tm.label as moved, tm.delta as md from rp join ky a on rp.run_id = a.run_id join ky b on rp.other_id = b.run_id left join es x on x.run_id = rp.run_id left join es y on y.run_id = rp.other_id left join tm on tm.run_id = rp.run_id and tm.other_id = rp.other_id)
+select run_id, other_id, edge_delta, case when na > 0 or nr > 0 or edge_delta <> 0 or moved is not null then 'changed' else 'stable' end as status, concat_ws('; ', case when na > 0 then na || ' new nodes surfaced' end, case when nr > 0 then nr || ' nodes dropped' end, case when edge_delta <> 0 then abs(edge_delta) || case when edge_delta > 0 then ' more' else ' fewer' end || ' edges than the prior run' end, case when moved is not null then 'top related confidence moved ' || case when md > 0 then 'up' else 'down' end || ' in ' || moved end) as summary from z""")
+def h2_changes(spark, d):
+    return gr.graph_changes(*graph(spark, d), _pairs(spark, d)).select("run_id", "other_id", "edge_delta", "status", "summary")
 
 
 @query("h2_moved_markets", f"with {DF}, mm as (select run_id, label, max(confidence) as c from nd where type = 'RelatedMarket' group by 1, 2), dl as (select a.run_id, other_id, a.label, round(a.c - b.c, 2) as delta from rp join mm a on rp.run_id = a.run_id join mm b on rp.other_id = b.run_id and a.label = b.label where abs(round(a.c - b.c, 2)) >= 0.01) select run_id, other_id, label, delta, row_number() over (partition by run_id, other_id order by abs(delta) desc, label)::int as rank from dl qualify rank <= 4")
@@ -175,13 +200,14 @@ def h2(spark, d):
     return gr.moved_markets(graph(spark, d)[0], _pairs(spark, d)).withColumn("other_id", F.col("other_id"))
 
 
-@query("i5_apply_edits", f"with {G} select run_id, node_id, case when type = 'Event' then 'Edited' else label end as label from nd union all select distinct run_id, 'new-' || run_id, 'Fresh' from nd where type = 'Event'")
+@query("i5_apply_edits", f"with {G} select run_id, node_id, case when type = 'Event' then 'Edited' else label end as label, case when type = 'Event' then 'http://new/' || run_id when type = 'Entity' and substr(node_id, 2)::int % 4 <> 0 then 'http://x' else '' end as url from nd union all select distinct run_id, 'new-' || run_id, 'Fresh', '' from nd where type = 'Event'")
 def i5(spark, d):
+    """Of two new nodes of one id and two types one is of a known type; its URL is none, so that it takes the Event's, which had none before."""
     nodes, edges = graph(spark, d)
     event = nodes.where("type = 'Event'")
-    updates = event.select("run_id", "node_id", F.lit("Edited").alias("label"), F.lit(None).cast("string").alias("summary"))
-    fresh = event.withColumns({"node_id": F.concat(F.lit("new-"), F.col("run_id").cast("string")), "label": F.lit("Fresh"), "type": F.lit("Hypothesis")})
-    return gr.apply_edits(nodes, edges, updates, fresh.unionByName(fresh.withColumn("type", F.lit("Bad"))), edges.limit(0))[0].select("run_id", "node_id", "label")
+    updates = event.select("run_id", "node_id", F.lit("Edited").alias("label"), F.lit(None).cast("string").alias("summary"), F.concat(F.lit("http://new/"), F.col("run_id").cast("string")).alias("source_url"))
+    fresh = event.withColumns({"node_id": F.concat(F.lit("new-"), F.col("run_id").cast("string")), "label": F.lit("Fresh"), "type": F.lit("Hypothesis"), "source_url": F.lit("javascript:x")})
+    return gr.apply_edits(nodes, edges, updates, fresh.unionByName(fresh.withColumn("type", F.lit("Bad"))), edges.limit(0))[0].select("run_id", "node_id", "label", F.col("source_url").alias("url"))
 
 
 @query("i6_context_tokens", f"with {G}, t as (select run_id, unnest(list_filter(list_transform(list_filter(regexp_extract_all(label, '[A-Za-z0-9]+'), lambda w: length(w) >= 3), lambda w: lower(w)), lambda w: not list_contains(['all', 'the'], w))) as t from nd where type in ('Entity', 'Evidence')) select run_id, array_to_string(list_sort(list(distinct t)), ' ') as tokens from t group by 1")
@@ -309,10 +335,11 @@ def e2(spark, d):
     return x.select("trace_count", "completed", "failed", "total_tokens", "llm_count", *(R(c) for c in x.columns if c.endswith("_rate") or c.startswith("avg_")))
 
 
-@query("e10_coverage", f"with {G}, {TRC}, n as (select run_id, count(*) as n, max(confidence) filter (type = 'RelatedMarket') as best from nd group by 1), t as (select run_id, count(*) as t from tr group by 1) select count(*) as runs, round(avg(coalesce(n, 0)), 6) as avg_nodes, round(avg(best), 6) as avg_best_related, round(avg(coalesce(t, 0)), 6) as avg_traces from orders left join n on n.run_id = o_orderkey left join t on t.run_id = o_orderkey")
+@query("e10_coverage", f"with {G}, {TRC}, n as (select run_id, count(*) as n, count(*) filter (type = 'Evidence') as v, count(*) filter (type = 'RelatedMarket') as m, max(confidence) filter (type = 'RelatedMarket') as best from nd group by 1), e as (select run_id, count(*) as e from ed group by 1), t as (select run_id, count(*) as t from tr group by 1) select count(*) as runs, round(avg(coalesce(n, 0)), 6) as avg_nodes, round(avg(coalesce(e, 0)), 6) as avg_edges, round(avg(coalesce(v, 0)), 6) as avg_evidence_nodes, round(avg(coalesce(m, 0)), 6) as avg_related_markets, round(avg(best), 6) as avg_best_related, round(avg(coalesce(t, 0)), 6) as avg_traces from orders left join n on n.run_id = o_orderkey left join e on e.run_id = o_orderkey left join t on t.run_id = o_orderkey")
 def e10(spark, d):
-    x = tc.coverage_metrics(runs(spark, d), graph(spark, d)[0], traces(spark, d))
-    return x.select("runs", R("avg_nodes"), R("avg_best_related"), R("avg_traces"))
+    nodes, edges = graph(spark, d)
+    x = tc.coverage_metrics(runs(spark, d), nodes, traces(spark, d), edges)
+    return x.select("runs", *(R(c) for c in x.columns if c != "runs"))
 
 
 @query("j5_backfill_traces", f"with {TRC}, s as (select o_orderkey as run_id, unnest(['planner', 'retriever', 'graph_editor', 'verifier', 'critic']) as stage from orders) select run_id, stage, case when stage = 'planner' then 'completed' else 'skipped' end as status from s where (run_id, stage) not in (select run_id, stage from tr)")
@@ -372,12 +399,12 @@ def d13(spark, d):
     return rv.hard_negatives(q, c, known).select("query_id", "candidate_key", R("score"), "place")
 
 
-@query("e12_candidate_catalog", "with x as (select 'part ' || (l_partkey % 100) as k, l_orderkey as r, l_linenumber as pos, l_returnflag as c, 1 - l_discount as cf from lineitem), c as (select k, count(*) as popularity, round(avg(cf), 6) as confidence from x group by 1), g as (select k, string_agg(c || '=' || n, ' ' order by c) as categories from (select k, c, count(*) as n from x group by 1, 2) group by 1) select k as candidate_key, popularity, confidence, categories from c join g using (k)")
+@query("e12_candidate_catalog", "with x as (select 'part ' || (l_partkey % 100) as k, l_orderkey as r, l_linenumber as pos, l_returnflag as c, 1 - l_discount as cf from lineitem), c as (select k, count(*) as popularity, round(avg(cf), 6) as confidence from x group by 1), g as (select k, string_agg(c || '=' || n, ' ' order by c) as categories from (select k, c, count(*) as n from x group by 1, 2) group by 1), f as (select k, array_to_string(list_sort(list_distinct(list_concat(['title', 'words'], list(distinct 'flag' || lower(c))))), ' ') as full_tokens from x group by 1) select k as candidate_key, popularity, confidence, categories, 'title' as title_tokens, full_tokens from c join g using (k) join f using (k)")
 def e12(spark, d):
-    x = table(spark, d, "lineitem").select(F.concat(F.lit("part "), (F.col("l_partkey") % 100).cast("string")).alias("candidate_key"), F.col("l_orderkey").alias("run_order"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("category"), (1 - F.col("l_discount")).alias("confidence"), F.lit("t").alias("title"), F.lit("s").alias("summary"))
+    x = table(spark, d, "lineitem").select(F.concat(F.lit("part "), (F.col("l_partkey") % 100).cast("string")).alias("candidate_key"), F.col("l_orderkey").alias("run_order"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("category"), (1 - F.col("l_discount")).alias("confidence"), F.lit("Title").alias("title"), F.lit("the words").alias("summary"), F.array(F.concat(F.lit("Flag"), F.col("l_returnflag")), F.lit("of")).alias("metadata"))
     c = rv.candidate_catalog(x)
     text = F.array_join(F.transform(F.map_entries("categories"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
-    return c.select("candidate_key", "popularity", R("confidence"), text.alias("categories"))
+    return c.select("candidate_key", "popularity", R("confidence"), text.alias("categories"), *(F.array_join(t, " ").alias(t) for t in ("title_tokens", "full_tokens")))
 
 
 @query("k5_ranking_scores", f"with q as (select item_id, {RT('text')} as src from benchmark), c as (select doc_id, {RT('text')} as t from documents), x as (select item_id, doc_id, len(list_intersect(src, t)) as i, len(src) as a, len(t) as b from q, c) select item_id, doc_id, round(0.75 * i / (a + b - i) + least(0.08 * i, 0.32), 6) as baseline from x where i >= 1")
@@ -389,10 +416,12 @@ def k5(spark, d):
     return rv.ranking_scores(x).select("item_id", "doc_id", R("baseline"))
 
 
-@query("d14_discover_related", "with e as (select p_partkey as k, p_brand as b, p_type as c, p_retailprice as v from part), x as (select a.k, o.k as other, round(least(greatest(0.42 + 0.11 + case when a.c = o.c then 0.08 else 0 end + least(log10(o.v + 1) / 18, 0.09) + least(log10(o.v / 2 + 1) / 24, 0.05), 0.45), 0.94), 6) as score from e a join e o on a.b = o.b and a.k <> o.k) select k as slug, max(score) as best from x group by 1")
+@query("d14_discover_related", """with e as (select p_partkey as k, p_brand as b, p_type as c, p_retailprice as v, p_size % 5 as g from part), mt as (select a.k, o.k as other from e a join e o on a.b || a.g = o.b || o.g and a.k <> o.k), fw as (select k from e where k not in (select k from mt group by 1 having count(*) >= 12)), tp as (select k as other from e order by v desc, k limit 40),
+cd as (select * from mt union select fw.k, other from fw, tp where fw.k <> other), x as (select cd.k, other, a.b || a.g = o.b || o.g as tag, a.c = o.c as same, o.v from cd join e a on a.k = cd.k join e o on o.k = cd.other),
+s as (select k, other, round(least(greatest(0.42 + case when tag then 0.11 else 0 end + case when same then 0.08 else 0 end + least(log10(v + 1) / 18, 0.09) + least(log10(v / 2 + 1) / 24, 0.05), 0.45), 0.94), 2) as score from x where tag or same) select k as slug, other, score, row_number() over (partition by k order by score desc, other)::int as rank from s qualify rank <= 4""")
 def d14(spark, d):
-    e = table(spark, d, "part").select(F.col("p_partkey").alias("slug"), F.array("p_brand").alias("tags"), F.array().cast("array<string>").alias("terms"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("volume"), (F.col("p_retailprice") / 2).alias("liquidity"))
-    return rv.discover_related(e).where("rank = 1").select("slug", F.round("score", 6).alias("best"))
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("slug"), F.array(F.concat("p_brand", (F.col("p_size") % 5).cast("string"))).alias("tags"), F.array().cast("array<string>").alias("terms"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("volume"), (F.col("p_retailprice") / 2).alias("liquidity"))
+    return rv.discover_related(e)
 
 
 @query("c8_entity_labels", "select o_orderkey, 'Order|' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) as labels from orders join customer on o_custkey = c_custkey")

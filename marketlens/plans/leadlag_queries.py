@@ -185,10 +185,24 @@ def d7(spark, d):
     return ll.attach_depth(t, books).select("tick_id", "depth")
 
 
-@query("g2_monitor_signals", f"with {SIG} select pair_id, direction from s order by f.us desc, pair_id limit 20")
+@query("g2_monitor_lists", f"""with {TRADE}, p as (select 'pairs' as list, pair_id, row_number() over (order by pair_id) as place from pr qualify place <= 24), q as (select 'signals' as list, pair_id, row_number() over (order by f.us desc, pair_id) as place from s qualify place <= 20),
+w as (select 'trades' as list, pair_id, row_number() over (order by opened desc, pair_id) as place from tr qualify place <= 20) select list, pair_id from p union all select list, pair_id from q union all select list, pair_id from w""")
 def g2(spark, d):
     s = _signals(spark, d)
-    return ll.monitor_lists(ad.pairs(spark, d), s, ll.paper_trade(s, ad.ticks(spark, d)))["signals"].select("pair_id", "direction")
+    out = None
+    for name, df in ll.monitor_lists(ad.pairs(spark, d), s, ll.paper_trade(s, ad.ticks(spark, d))).items():
+        part = df.select(F.lit(name).alias("list"), "pair_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("g2_pair_detail", f"with {TRADE}, o as (select min(pair_id) as k from cd) select 'pair' as kind, pair_id, null as leader_tick from pr, o where pair_id = k union all select 'signal', pair_id, ls[1].id from s, o where pair_id = k union all select 'trade', tr.pair_id, s.ls[1].id from tr join s using (pair_id), o where pair_id = k")
+def g2_detail(spark, d):
+    """The first pair with a candidate signal, its signals and trades."""
+    s, pairs = _signals(spark, d), ad.pairs(spark, d)
+    one = s.where("status = 'candidate'").agg(F.min("pair_id")).first()[0]
+    pair, signals, trades = ll.pair_detail(pairs, s, ll.paper_trade(s, ad.ticks(spark, d)), -1 if one is None else one)
+    return pair.select(F.lit("pair").alias("kind"), "pair_id", F.lit(None).cast("long").alias("leader_tick")).unionByName(signals.select(F.lit("signal").alias("kind"), "pair_id", "leader_tick")).unionByName(trades.select(F.lit("trade").alias("kind"), "pair_id", "leader_tick"))
 
 
 # ---- catalog and pairs ----
@@ -277,10 +291,11 @@ def g1(spark, d):
     return ll.top_pairs(_scored(spark, d)).select("l_market_id", "r_market_id", R("composite"))
 
 
-@query("k15_coverage", f"with {PS}, n as (select count(*) filter (venue = 'a') as left_markets, count(*) filter (venue = 'b') as right_markets from ms), q as (select count(*) as pairs, 0::bigint as eligible, round(max(composite), 6) as best from s5 where js > 0 and composite >= 0.38) select *, case when left_markets = 0 or right_markets = 0 then 'needs_sync' when pairs > 0 then 'watch_only' else 'insufficient_overlap' end as status from n, q")
+@query("k15_coverage", f"with {PS}, n as (select count(*) filter (venue = 'a') as left_markets, count(*) filter (venue = 'b') as right_markets from ms), q as (select count(*) filter (composite >= 0.99) as pairs, 0::bigint as eligible, round(max(composite) filter (composite >= 0.99), 6) as best, case when count(*) filter (composite >= 0.99) = 0 then max_by(l || ' / ' || r, (round(composite, 9), -l, -r)) end as near_miss from s5 where js > 0 and composite >= 0.38), ta as (select token, count(*) as n from (select unnest(topics) as token from mt where venue = 'a') group by 1), tb as (select token, count(*) as n from (select unnest(topics) as token from mt where venue = 'b') group by 1), tc as (select token, ta.n + tb.n as total from ta join tb using (token) order by total desc, token limit 8), td as (select coalesce(string_agg(token, ' ' order by total desc, token), '') as shared_topics from tc) select *, case when left_markets = 0 or right_markets = 0 then 'needs_sync' when pairs > 0 then 'watch_only' else 'insufficient_overlap' end as status from n, q, td")
 def k15(spark, d):
+    """With a bar that no pair reaches, so that the nearest miss is told."""
     a, b = _catalog(spark, d)
-    return ll.coverage_status(_scored(spark, d), a, b).withColumn("best", F.round("best", 6))
+    return ll.coverage_status(_scored(spark, d), a, b, 0.99).withColumns({"best": F.round("best", 6), "shared_topics": F.array_join("shared_topics", " ")})
 
 
 @query("k7_priority_first", f"with {MT} select market_id, round(ln(1 + volume + liquidity) + 0.15 * least(len(theme), 10) + case when len(list_intersect(toks, {DR})) > 0 then 1 else 0 end + case when len(list_intersect(toks, {AS})) > 0 then 0.5 else 0 end, 6) as priority from mt where venue = 'a'")
@@ -305,9 +320,9 @@ def k7b(spark, d):
     return _second(spark, d).select("market_id", "overlap", R("priority"))
 
 
-@query("f8_diversity_cap", f"with {K7B} select market_id, tag as event_slug from (select *, row_number() over (partition by tag order by round(priority, 6) desc, market_id) as rn from pp) order by (rn > 2)::int, round(priority, 6) desc, market_id limit 40")
+@query("f8_diversity_cap", f"with {K7B} select market_id, tag as event_slug from (select *, row_number() over (partition by tag, overlap > 0 order by round(priority, 6) desc, market_id) as rn from pp) order by (overlap = 0 or rn > 2)::int, round(priority, 6) desc, market_id limit 40")
 def f8(spark, d):
-    return ll.cap_per_group(_second(spark, d).withColumn("priority", F.round("priority", 6)), "event_slug", "priority").select("market_id", "event_slug")
+    return ll.cap_per_group(_second(spark, d).withColumn("priority", F.round("priority", 6)), "event_slug", "priority", only="overlap").select("market_id", "event_slug")
 
 
 @query("f9_best_per_event", f"with {K7B} select market_id, tag as event_slug from pp qualify row_number() over (partition by tag order by round(priority, 6) desc, market_id) = 1")

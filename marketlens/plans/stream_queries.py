@@ -191,6 +191,13 @@ def e19(spark, d):
     return fl.dataset_counts({n: table(spark, d, n) for n in ("orders", "part", "events")})
 
 
+@query("e19_landing_stats", "with r as (select o_orderkey, o_custkey, o_orderstatus, o_orderdate from orders), n as (select 'Order ' || o_orderkey as t, row_number() over (order by o_orderdate desc, o_orderkey desc) as k from r qualify k <= 5) select count(*) as runs, count(distinct o_custkey) as events, count(*) filter (o_orderstatus = 'F') as completed, (select string_agg(t, '|' order by k) from n) as recent_titles from r")
+def e19_landing(spark, d):
+    o = table(spark, d, "orders")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("event_slug"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("event_title"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), ad.micros("o_orderdate").alias("created_us"))
+    return fl.landing_stats(runs).withColumn("recent_titles", F.array_join("recent_titles", "|"))
+
+
 @query("a11_experiment", "select 'leadlag' as task, count(*)::double as ticks, round(avg(value), 6) as mean_value from events")
 def a11(spark, d):
     m = table(spark, d, "events").agg(F.count("*").alias("ticks"), F.avg("value").alias("mean_value"))

@@ -186,6 +186,12 @@ def benchmark_board(experiments: DataFrame, counts: DataFrame) -> DataFrame:
     return experiment_registry(experiments).where("readiness <> 'empty'").crossJoin(F.broadcast(sizes)).orderBy(F.when(F.col("readiness") == "live", 0).otherwise(1), "task")
 
 
+def landing_stats(runs: DataFrame, k: int = 5) -> DataFrame:
+    """One row: how many runs, events and finished runs there are, and the titles of the k newest."""
+    newest = runs.orderBy(F.desc("created_us"), F.desc("run_id")).limit(k).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("created_us")).alias("at"), (-F.col("run_id")).alias("id"), "event_title"))), lambda x: x["event_title"]).alias("recent_titles"))
+    return runs.agg(F.count("*").alias("runs"), F.countDistinct("event_slug").alias("events"), F.count_if(F.col("status") == "completed").alias("completed")).crossJoin(newest)  # one row each
+
+
 def dataset_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """table and rows, a row for each given table."""
     return union_feeds(*(df.agg(F.lit(name).alias("table"), F.count("*").alias("rows")) for name, df in tables.items()))
