@@ -407,13 +407,18 @@ def e12(spark, d):
     return c.select("candidate_key", "popularity", R("confidence"), text.alias("categories"), *(F.array_join(t, " ").alias(t) for t in ("title_tokens", "full_tokens")))
 
 
-@query("k5_ranking_scores", f"with q as (select item_id, {RT('text')} as src from benchmark), c as (select doc_id, {RT('text')} as t from documents), x as (select item_id, doc_id, len(list_intersect(src, t)) as i, len(src) as a, len(t) as b from q, c) select item_id, doc_id, round(0.75 * i / (a + b - i) + least(0.08 * i, 0.32), 6) as baseline from x where i >= 1")
+K5 = f"""q as (select item_id, {RT('text')} as src, {RT("text || ' was not'")} as ctx from benchmark), c as (select doc_id, {RT('text')} as t, {RT("coalesce(text, '') || ' ' || source || ' src'")} as f from documents),
+x as (select item_id, doc_id, len(list_intersect(src, t)) as i, len(src) as a, len(t) as b, len(list_intersect(src, f)) as j, len(list_intersect(ctx, f)) as m, len(ctx) as g, len(f) as h, doc_id % 2 = item_id % 2 as same, doc_id % 12 as pop from q, c),
+k as (select *, 0.75 * i / (a + b - i) + least(0.08 * i, 0.32) as baseline, 0.4 * j / (a + h - j) + 0.35 * m / (g + h - m) + least(0.08 * (m - j), 0.24) + case when same then 0.08 else 0 end - least(0.01 * pop, 0.08) as context from x where i >= 1)"""
+
+
+@query("k5_ranking_scores", f"with {K5} select item_id, doc_id, round(baseline, 6) as baseline, round(context, 6) as context from k")
 def k5(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", tk.ranking_tokens(F.col("text")).alias("src"))
-    c = table(spark, d, "documents").select("doc_id", tk.ranking_tokens(F.col("text")).alias("title"))
+    q = table(spark, d, "benchmark").select("item_id", tk.ranking_tokens(F.col("text")).alias("src"), tk.ranking_tokens(F.concat("text", F.lit(" was not"))).alias("ctx"))
+    c = table(spark, d, "documents").select("doc_id", tk.ranking_tokens(F.col("text")).alias("title"), tk.ranking_tokens(F.col("text"), F.col("source"), F.lit("src")).alias("full"), (F.col("doc_id") % 12 + 1).alias("popularity"))
     met = q.select("item_id", F.explode("src").alias("t")).join(c.select("doc_id", F.explode("title").alias("t")), "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("i"))
-    x = met.join(q, "item_id").join(c, "doc_id").withColumns({"full": F.col("title"), "ctx": F.col("src"), "same_category": F.lit(False), "popularity": F.lit(1)})
-    return rv.ranking_scores(x).select("item_id", "doc_id", R("baseline"))
+    x = met.join(q, "item_id").join(c, "doc_id").withColumn("same_category", F.col("doc_id") % 2 == F.col("item_id") % 2)
+    return rv.ranking_scores(x).select("item_id", "doc_id", R("baseline"), R("context"))
 
 
 @query("d14_discover_related", """with e as (select p_partkey as k, p_brand as b, p_type as c, p_retailprice as v, p_size % 5 as g from part), mt as (select a.k, o.k as other from e a join e o on a.b || a.g = o.b || o.g and a.k <> o.k), fw as (select k from e where k not in (select k from mt group by 1 having count(*) >= 12)), tp as (select k as other from e order by v desc, k limit 40),
