@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Temporary folders of local sessions that name none.
 _own: dict[str, str] = {}
+#: Folders named so far, in order.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/marketlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/marketlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def mark() -> int:
+    """How many folders were named so far: where drop() may begin."""
+    return len(_made)
+
+
+def drop(spark: SparkSession, since: int, *keep: str) -> None:
+    """Deletes the folders named since a mark, but for keep: for callers that have written what was made of them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [x for x in _made[since:] if x not in keep]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    _made[since:] = [x for x in _made[since:] if x in keep]
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
