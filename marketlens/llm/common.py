@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import kept, new_dir, shared_dir  # noqa: F401
 from ..shipping import ready
 
 #: The six ASCII white-space characters that separate words.
@@ -15,32 +13,9 @@ SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-#: Temporary folders of local sessions that name none.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one where unset (local use)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-        root = _own[app]
-    return root.rstrip("/")
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/marketlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back with the same schema."""
-    path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df, label)
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
