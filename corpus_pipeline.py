@@ -61,15 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. What a stage wrote on its way is deleted once its own result is written."""
+    from marketlens import scratch
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        since = scratch.mark()
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = _written(docs, name)
+            path, schema = scratch.new_dir(spark, f"stage-{name}"), docs.schema
+            docs.write.parquet(path)
+            docs = spark.read.schema(schema).parquet(path)
+            scratch.drop(spark, since, path)
     return docs
-
-
-def _written(docs: DataFrame, name: str) -> DataFrame:
-    from marketlens.llm.common import write_table
-
-    return write_table(docs, f"stage-{name}")
