@@ -39,9 +39,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small(df: DataFrame, max_rows: int) -> bool:
-    """Whether df has at most max_rows rows: the size check before a broadcast."""
-    return df.count() <= max_rows
+def small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> bool:
+    """Whether df has at most max_rows rows and about max_bytes: the size check before a broadcast."""
+
+    def width(name: str, kind) -> Column:
+        if kind.typeName() == "array":
+            return F.coalesce(F.size(name), F.lit(0)) * 8 * len(getattr(kind.elementType, "fields", [0]))
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16 if kind.typeName() in ("string", "binary") else F.lit(16)
+
+    total = F.lit(0)
+    for f in df.schema.fields:
+        total = total + width(f.name, f.dataType)
+    seen = df.agg(F.count("*").alias("n"), F.sum(total.cast("long")).alias("size")).first()
+    return seen["n"] <= max_rows and (seen["size"] or 0) <= max_bytes
 
 
 def semi_by_size(df: DataFrame, keys: DataFrame, on: list[str], max_rows: int = 2_000_000) -> DataFrame:
