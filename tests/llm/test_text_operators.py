@@ -452,6 +452,12 @@ def test_passages_cut(spark, odd, empty):
     assert passages.repeated_passages(odd).where("doc_id = 5").count() == 0 and passages.repeated_passages(empty).count() == 0
 
 
+def test_word_spans():
+    for text in ("", " ", "one", "  two\twords \n", "ünï ✓\x0bcode\u00a0x 𝔘 y", "a\x1cb c"):
+        starts, ends = passages.word_spans(text)
+        assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == words(text)
+
+
 def test_compact_windows_cover_each_run_once():
     import numpy as np
 
