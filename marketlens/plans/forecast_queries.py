@@ -209,6 +209,15 @@ def b28(spark, d):
     return _valid(spark, d).select("run_id", "candidate_key", "reviewer_key", "usefulness_label", "judgment_id")
 
 
+@query("b28_rejected_judgments", "select l_orderkey as run_id, l_orderkey * 100000000 + l_partkey * 100 + l_linenumber as judgment_id from lineitem where l_linenumber % 4 = 3 or l_linenumber % 5 = 4")
+def b28_rejected(spark, d):
+    """Judgments with a label that isn't one, and without a title."""
+    j = judgments(spark, d)
+    rank = F.col("candidate_rank")
+    j = j.withColumns({"usefulness_label": F.when(rank % 4 == 3, "maybe").otherwise(F.concat(F.lit(" "), F.upper("usefulness_label"))), "candidate_title": F.when(rank % 5 == 4, " ").otherwise(F.col("candidate_title"))})
+    return rv.validate_judgments(j)[1].select("run_id", "judgment_id")
+
+
 @query("e5_consensus", f"with {J} select run_id, candidate_key, label, round(agreement_rate, 6) as agreement_rate, round(mean_relevance, 6) as mean_relevance, judgments, reviewers::int as reviewers, state, latest_us from con")
 def e5(spark, d):
     return rv.consensus(_valid(spark, d)).select("run_id", "candidate_key", "label", R("agreement_rate"), R("mean_relevance"), "judgments", "reviewers", "state", "latest_us")

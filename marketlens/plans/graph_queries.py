@@ -362,6 +362,15 @@ def b5(spark, d):
     return table(spark, d, "pages").select("page_id", nz.normalize_url(F.col("url")).alias("url"), nz.url_is_valid(F.col("url")).alias("valid"))
 
 
+@query("b5_event_urls", "select page_id, 'page-' || page_id as slug, page_id % 3 = 0 and page_id % 4 <> 1 as valid from pages")
+def b5_events(spark, d):
+    """URLs of a venue: event pages below its host, other pages there, and pages that only look alike."""
+    key = F.col("page_id").cast("string")
+    host = F.element_at(F.array(F.lit("https://market.example"), F.lit("https://market.example.evil"), F.lit("http://www.Market.example:80"), F.lit("https://market.example")), (F.col("page_id") % 4 + 1).cast("int"))
+    url = F.concat(host, F.when(F.col("page_id") % 3 == 0, F.lit("/event/")).otherwise(F.lit("/markets/")), F.lit("page-"), key, F.lit("/?tab=1#top"))
+    return table(spark, d, "pages").select("page_id", nz.url_slug(url).alias("slug"), nz.url_is_valid(url, "market.example").alias("valid"))
+
+
 META = lambda attr, name: f"coalesce(nullif(regexp_extract(h, '(?is)<meta[^>]*{attr}=[\"'']{name}[\"''][^>]*content=[\"'']([^\"'']*)[\"'']', 1), ''), regexp_extract(h, '(?is)<meta[^>]*content=[\"'']([^\"'']*)[\"''][^>]*{attr}=[\"'']{name}[\"'']', 1))"
 PLAIN = lambda x: "trim(" + "replace(" * len(nz.ENTITIES) + x + "".join(f", '{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in nz.ENTITIES) + ")"
 

@@ -286,6 +286,16 @@ def d2(spark, d):
     return _scored(spark, d).select("l_market_id", "r_market_id", "pair_type", R("composite"))
 
 
+@query("k3_composite", f"with {PS}, c3 as (select l, r, pair_type, resolution, causal, (0.35 * semantic + 0.30 * causal + 0.20 * resolution + 0.15 * ((l + r) % 10) / 10) * case pair_type when 'logical_equivalent' then 1.0 when 'shared_driver' then 0.9 else 0.75 end as composite from s4 where js > 0) select l as l_market_id, r as r_market_id, round(composite, 6) as composite, round(composite, 9) >= 0.58 and resolution >= 0.35 and causal >= 0.5 and (l + r) % 3 <> 0 as is_trade_eligible, case when pair_type = 'logical_equivalent' then 45 else 120 end as expected_latency_seconds from c3 where round(composite, 9) >= 0.38")
+def k3(spark, d):
+    """Pairs with a stability of their own, two thirds of them ready."""
+    a, b = _catalog(spark, d)
+    c = ll.candidate_pairs(a, b)
+    n = F.col("l_market_id") + F.col("r_market_id")
+    stable = c.select("l_venue", "l_market_id", "r_venue", "r_market_id", ((n % 10) / 10).alias("score"), F.when(n % 3 != 0, "ready").otherwise("watch_only").alias("readiness_status"))
+    return ll.score_pairs(c, stable).select("l_market_id", "r_market_id", R("composite"), "is_trade_eligible", "expected_latency_seconds")
+
+
 @query("g1_top_pairs", f"with {PS} select l as l_market_id, r as r_market_id, round(composite, 6) as composite from s5 where js > 0 and composite >= 0.38 order by s5.composite desc, semantic desc, resolution desc, l, r limit 5")
 def g1(spark, d):
     return ll.top_pairs(_scored(spark, d)).select("l_market_id", "r_market_id", R("composite"))

@@ -159,10 +159,12 @@ def b14(spark, d):
     return fl.flatten_events(landed(spark, d)).select("slug", "title", "status", F.array_join("tags", ",").alias("tags"), F.array_join("outcomes", ",").alias("outcomes"), "category")
 
 
-@query("b27_polled_ticks", "select p_partkey::varchar as market_id, 0.4::double as last_price, 0.4 - 0.01::double as yes_bid, 1 - (0.4 - 0.01::double) as no_ask from part")
+@query("b27_polled_ticks", "select p_partkey::varchar as market_id, 0.4::double as last_price, 0.4 - 0.01::double as yes_bid, 1 - (0.4 - 0.01::double) as no_ask, case when p_partkey % 2 = 0 then p_size::double else 0 end as bid_size, case when p_partkey % 2 = 0 then 2.0 * p_size else 0 end::double as ask_size from part")
 def b27(spark, d):
+    """Polled markets, half of them with a book whose depth is taken."""
     r = fl.venue_a_rows(landed(spark, d))
-    return fl.polled_to_ticks(r, F.timestamp_seconds(F.lit(0))).select("market_id", "last_price", "yes_bid", "no_ask")
+    books = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.lit("a").alias("venue"), F.col("p_partkey").cast("string").alias("market_id"), F.col("p_size").cast("double").alias("total_bid_depth"), (F.col("p_size") * 2.0).alias("total_ask_depth"))
+    return fl.polled_to_ticks(r, F.timestamp_seconds(F.lit(0)), books).select("market_id", "last_price", "yes_bid", "no_ask", "bid_size", "ask_size")
 
 
 @query("a10_trending", "select p_partkey::varchar as slug from part where trim(p_name) <> '' order by p_retailprice desc, slug limit 20")

@@ -249,3 +249,51 @@ def test_path_beats_plain_search(spark):
     assert abs(r.score - walk(0, [0], 0)) < 1e-9
     depth = {x.node_id: x.depth for x in gr.bfs_depth(nodes, e).collect()}
     assert depth == {"n0": 0, "n1": 1, "n2": 2, "n3": 1, "n4": 1, "n5": 2}
+
+
+def test_rate_flags_slide(spark, tmp_path):
+    """21 hits in 4.8 seconds across a border of five seconds are a burst; tiers count their own requests only."""
+    rows = [("a", 3.0 + 0.24 * k, "GET", "/about") for k in range(21)] + [("b", 0.5 * k, "GET", "/about") for k in range(21)]
+    rows += [("c", 4.0 * k, "POST", "/api/v1/runs/") for k in range(14)] + [("d", 4.0 * k, "GET", "/api/v1/runs/") for k in range(14)]
+    log = spark.createDataFrame(rows, "key string, s double, method string, path string").select("key", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")).alias("ts"), bk.request_tier(F.col("method"), F.col("path")).alias("tier"))
+    got = sorted((r.key, r.kind, r.hits, r.until is None) for r in bk.rate_flags(log).collect())
+    assert got == [("a", "burst", 21, False), ("c", "api_write", 13, True), ("c", "api_write", 14, True)]
+    log.write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")).withWatermark("ts", "1 second")
+    q = bk.rate_flags(stream).writeStream.format("memory").queryName("flags").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert {(r.key, r.kind) for r in spark.table("flags").collect()} <= {("a", "burst"), ("c", "api_write")}
+
+
+def test_a_repeat_keeps_its_book(spark):
+    """Ticks 1 to 3 repeat 0, by sequence id or by values; only 3 has a book, which 0 gets. Tick 4 has one of its own."""
+    rows = [(0, "x", 0.5), (1, "x", 0.6), (2, "", 0.5), (3, " ", 0.5), (4, "y", 0.7), (5, "y", 0.7)]
+    t = spark.createDataFrame([(k, "a", 1, "t", 7, s, p, 0.1, 0.2, 1.0, 1.0, 1.0) for k, s, p in rows], "tick_id long, venue string, market_id long, event_type string, ts_us long, sequence_id string, last_price double, yes_bid double, yes_ask double, bid_size double, ask_size double, volume double")
+    books = spark.createDataFrame([(3, 30.0), (4, 40.0), (5, 50.0)], "tick_id long, total_bid_depth double")
+    assert sorted(r.tick_id for r in bk.dedup_ticks(t).collect()) == [0, 4]
+    assert sorted(map(tuple, bk.dedup_books(t, books).collect())) == [(0, 30.0), (4, 40.0)]
+
+
+def test_folds_number_rows_through_ranges(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 503).alias("ts_us"), F.col("id").alias("snapshot_id")).repartition(7)
+    got = sorted((r.ord, r.ts_us, r.fold) for r in fc.expanding_folds(df, ["ts_us", "snapshot_id"]).collect())
+    want = sorted(k * 7919 % 503 for k in range(500))
+    assert got == [(k + 1, t, k + 1 if k >= 8 else None) for k, t in enumerate(want)]
+
+
+def test_builder_falls_back(spark):
+    """An event without candidates, size, rule or names: its category and markets stand in; one with a candidate links it."""
+    e = spark.createDataFrame(
+        [(1, "s1", "what next", [], None, "Oil", 0.0, 0.0, "", "", "http://e", [("", "m-one"), ("Second?", "")]), (2, "s2", "Iran talks", ["us-iran"], "d", "X", 5.0, 0.0, "now", "https://www.host.org/a", "http://e", [])],
+        "run_id long, slug string, title string, tags array<string>, description string, category string, volume double, liquidity double, updated_at string, rule string, source_url string, markets array<struct<question:string,slug:string>>",
+    )
+    c = spark.createDataFrame([(2, "near", "Near it", 0.8, "why", "http://n")], "run_id long, slug string, title string, score double, rationale string, source_url string")
+    nodes = gr.build_nodes(e, c)
+    by = {}
+    for r in nodes.orderBy("run_id", "pos").collect():
+        by.setdefault(r.run_id, []).append((r.node_id, r.label, r.confidence))
+    assert [x[0] for x in by[1]] == ["evt_001", "ent_1_oil", "ent_2_market-participants", "mkt_fallback_1_m-one", "mkt_fallback_2_second", "ev_description", "hyp_fallback_narrative"]
+    assert [x[0] for x in by[2]] == ["evt_001", "ent_1_iran", "ent_2_us-iran", "mkt_1_near", "ev_description", "ev_market_structure", "ev_timing", "rule_resolution", "hyp_1_near"]
+    assert ("rule_resolution", "Resolution source: host.org", 0.96) in by[2] and ("hyp_1_near", "Near it reprices through narrative spillover", 0.75) in by[2]
+    edges = {(r.source, r.target, r.type): r.confidence for r in gr.build_edges(nodes).where("run_id = 2").collect()}
+    assert edges["ent_1_iran", "mkt_1_near", "affects_directly"] == 0.67 and edges["ev_description", "mkt_1_near", "mentions"] == 0.72 and edges["hyp_1_near", "mkt_1_near", "affects_indirectly"] == 0.72
