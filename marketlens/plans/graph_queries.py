@@ -281,7 +281,7 @@ bn as (select run_id, 0 as pos, 'evt_001' as node_id, 'Event' as type, 1.0::doub
   union all select run_id, 40 + r, 'hyp_' || r || '_o' || k, 'Hypothesis', round(least(greatest(c - 0.05, 0.45), 0.99), 2) from ca where r <= 2 union all select run_id, 41, 'hyp_fallback_narrative', 'Hypothesis', 0.61 from cl where not has)"""
 
 
-@query("i1_build_nodes", f"with {CAND} select run_id, pos, node_id, type, c as confidence from bn")
+@query("i1_build_nodes", f"with {CAND} select run_id, pos::int as pos, node_id, type, c as confidence from bn")
 def i1(spark, d):
     return gr.build_nodes(*_events(spark, d)).select("run_id", "pos", "node_id", "type", "confidence")
 
