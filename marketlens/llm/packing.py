@@ -29,11 +29,6 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """
     if path in _encoders:
         return _encoders[path]
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    encode = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
     if ranks := _byte_ranks(path):
         import public_tokenizers
         import tiktoken
@@ -47,7 +42,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
             def __missing__(self, word: str) -> bytes:
                 ids = bare(" " + word)
-                if len(self) < 250_000:
+                if len(self) < 100_000:
                     self[word] = ids
                 return ids
 
@@ -59,6 +54,12 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
             first, *rest = text.split(" ")
             return np.frombuffer(b"".join([bare(first), *map(known.__getitem__, rest)]), dtype="<u4")
 
+    else:
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        encode = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
     _encoders[path] = encode
     return encode
 

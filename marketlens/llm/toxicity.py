@@ -58,7 +58,7 @@ def dense_features(text: str, weights: dict[str, float], known: dict[str, tuple]
         if x is None:
             own = forms(w)
             x = max((weights.get(f, 0.0) for f in own), default=0.0), tuple(k for f in own if (k := f"2:{f}") in weights)
-            if len(known) < 200_000:
+            if len(known) < 50_000:
                 known[w] = x
         return x
 
