@@ -1,6 +1,6 @@
 """The queries of the text operators, and their SQL where SQL can express them."""
 
-from . import bpe, fingerprints, neardup, packing, passages, quality, secrets, sharding, toxicity, warc
+from . import bpe, fingerprints, licenses, neardup, packing, passages, quality, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substring_dedup": passages.op8_substring_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_near_dedup": neardup.op10_near_dedup,
+    "op12_license_scans": licenses.op12_license_scans,
 }
 
 SQL = {
