@@ -65,15 +65,18 @@ def backfill_labels(snapshots: DataFrame, labels: DataFrame, refreshed: DataFram
 def upsert_latest(target: DataFrame, updates: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """target with updates applied by key, the last by order of several winning; and one row counting created, updated and skipped (equal) ones.
 
-    One shuffle by key of both sides. Columns are those of target; a null-safe comparison of all of them decides what changed.
+    One shuffle by key of both sides. Columns are those of target; a null-safe comparison of all of them decides what changed. Where
+    order is one of them, a row of target that is newer by it stays, and the update is skipped.
     """
     cols = target.columns
     rest = [c for c in cols if c not in keys]
     last = updates.groupBy(*keys).agg(F.max(F.struct(order, F.struct(*rest).alias("v"))).alias("m")).select(*keys, F.col("m.v").alias("new"))
     both = target.select(*keys, F.struct(*rest).alias("old")).join(last, keys, "full_outer")
-    kind = F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull(), "created").when(F.col("old").eqNullSafe(F.col("new")), "skipped").otherwise("updated")
+    older = F.col(f"new.{order}") < F.col(f"old.{order}") if order in rest else F.lit(False)
+    same = F.col("old").eqNullSafe(F.col("new")) | older
+    kind = F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull(), "created").when(same, "skipped").otherwise("updated")
     both = both.withColumn("_kind", kind)
-    rows = both.select(*keys, F.coalesce("new", "old").alias("v")).select(*keys, "v.*").select(*cols)
+    rows = both.select(*keys, F.when(F.col("_kind") == "skipped", F.col("old")).otherwise(F.coalesce("new", "old")).alias("v")).select(*keys, "v.*").select(*cols)
     return rows, both.agg(*(F.count_if(F.col("_kind") == k).alias(k) for k in ("created", "updated", "skipped")))
 
 

@@ -9,8 +9,10 @@ from ..operators import leadlag as ll
 from ..scratch import new_dir
 from ..sources import files as fl
 from ..streaming import books as bk
+from ..streaming import snapshots as sn
 from . import adapters as ad
 from .adapters import M, P, T, table
+from .forecast_queries import S, snapshots
 
 QUERIES, SQL = {}, {}
 
@@ -149,18 +151,23 @@ def l4(spark, d):
 
 @query("l5_collect_snapshots", "select o_custkey as event_slug, count(*) as days, round(sum(v), 2) as volume from (select o_custkey, o_orderdate, max_by(o_totalprice, o_orderkey) as v from orders group by 1, 2) group by 1")
 def l5(spark, d):
-    """Snapshots that arrive in batches, upserted by slug and time: of one time the last by id stays."""
-    src, out, at = new_dir(spark, "snapshots"), new_dir(spark, "collected"), new_dir(spark, "checkpoint")
+    """Snapshots that arrive in three batches, in an order of their own: of one slug and time the largest id stays."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("event_slug"), ad.micros("o_orderdate").alias("ts_us"), F.col("o_orderkey").alias("snapshot_id"), F.col("o_totalprice").alias("volume"))
-    o.repartitionByRange(3, "snapshot_id").write.parquet(src)
-    versions = []
-
-    def upsert(batch, n):
-        target = spark.read.schema(batch.schema).parquet(versions[-1]) if versions else batch.limit(0)
-        rows, _ = fc.upsert_snapshots(target, batch)
-        versions.append(f"{out}/{n}")
-        rows.write.mode("overwrite").parquet(versions[-1])
-
-    bk.collect_snapshots(spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src), upsert, at, available_now=True).awaitTermination()
-    newest = fc.latest_by(spark.read.schema(o.schema).parquet(versions[-1]), ["event_slug", "ts_us"], [F.desc("snapshot_id")])
-    return newest.groupBy("event_slug").agg(F.count("*").alias("days"), F.round(F.sum("volume"), 2).alias("volume"))
+    rows = _collected(spark, o)
+    return rows.groupBy("event_slug").agg(F.count("*").alias("days"), F.round(F.sum("volume"), 2).alias("volume"))
+
+
+def _collected(spark, rows, files=3):
+    """rows landed as files by snapshot_id and collected one after the other."""
+    src, out, at = new_dir(spark, "snapshots"), new_dir(spark, "collected"), new_dir(spark, "checkpoint")
+    rows.repartitionByRange(files, "snapshot_id").write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sn.collect_snapshots(stream, out, at, available_now=True, buckets=8).awaitTermination()
+    return sn.collected_snapshots(spark, out, rows.schema)
+
+
+@query("l5_collected_labels", f"with {S}, k as (select * from ts qualify row_number() over (partition by event_slug, us order by snapshot_id desc) = 1), kd as (select event_slug, outcome from k where status = 'closed' and price >= 0.99 qualify row_number() over (partition by event_slug order by us desc, snapshot_id desc) = 1) select kd.outcome, count(*) as snapshots, count(distinct event_slug) as slugs from k join kd using (event_slug) group by 1")
+def l5_labels(spark, d):
+    """Labels of the snapshots collected in three batches."""
+    labels = fc.label_families(_collected(spark, snapshots(spark, d)))
+    return labels.groupBy(F.col("resolved_outcome").alias("outcome")).agg(F.count("*").alias("snapshots"), F.countDistinct("event_slug").alias("slugs"))

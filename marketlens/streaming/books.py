@@ -250,12 +250,6 @@ def refresh_loop(stream: DataFrame, each: Callable[[DataFrame], None], pairs: Ca
     return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
 
 
-def collect_snapshots(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
-    """Starts a query that upserts each batch of snapshots."""
-    out = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if available_now else out).start()
-
-
 #: Hits that each kind of request may have within a window of so many seconds.
 TIERS = {"api_write": (60, 12), "api_read": (60, 60), "page": (60, 40)}
 
