@@ -91,24 +91,41 @@ def _starts(nodes: DataFrame) -> DataFrame:
     return nodes.where("type = 'Event'").groupBy("run_id").agg(F.min_by("node_id", "pos").alias("at"))
 
 
-def strongest_path(nodes: DataFrame, edges: DataFrame, max_edges: int = 4, min_edges: int = 2) -> DataFrame:
-    """Per run with such a path: the best simple path from its first Event node, by the sum of confidence and bonus; the first in edge order on ties.
-
-    Frontiers grow by joins within a run; a path's own nodes are what it has visited. Neighbours and each frontier are
-    written once. A node of degree g gives its run up to g ** max_edges paths, which are spread over all tasks.
+def strongest_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per run with such a path: the best simple path of two to four edges from its first Event node, by the sum of confidence and bonus; the first in edge order on ties.
+
+    Sums that agree to nine decimals are ties; of parallel edges only the best counts. A path is a head of two edges and a
+    tail of none to two that meet in its middle node. A tail must avoid the run's first node and the one node between it and the
+    middle, so that three tails for each node are enough: the best, and the best without either of that one's nodes. In the same way a
+    tail's last edge is among the three best of the node before. Thus all tables have as many rows as edges at most, whatever the
+    nodes' degrees, and all joins are on run and node.
     """
-    adjacency = kept(_adjacency(edges).select("run_id", "at", "to", "pos", "w"), "adjacency")
-    paths = _starts(nodes).select("run_id", "at", F.array("at").alias("path"), F.array().cast("array<int>").alias("order"), F.lit(0.0).alias("score"))
-    best = None
-    for k in range(1, max_edges + 1):
-        paths = paths.join(adjacency, ["run_id", "at"]).where(~F.array_contains("path", F.col("to")))
-        paths = paths.select("run_id", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("order", F.array(F.col("pos").cast("int"))).alias("order"), (F.col("score") + F.col("w")).alias("score"))
-        paths = kept(paths, "paths") if k < max_edges else paths
-        if k >= min_edges:
-            # array order is negated element by element, so that the largest is the first in edge order.
-            top = paths.groupBy("run_id").agg(F.max(F.struct("score", F.transform("order", lambda x: -x).alias("o"), "path")).alias("b"))
-            best = top if best is None else best.unionByName(top)
-    return best.groupBy("run_id").agg(F.max("b").alias("b")).select("run_id", "b.score", "b.path")
+    unit, most = F.round(F.col("w") * 1e9).cast("long"), F.lit(2**62)
+    one = _adjacency(edges).where(F.col("at") != F.col("to")).groupBy("run_id", "at", "to").agg(F.max(F.struct(unit.alias("u"), (-F.col("pos")).cast("long").alias("o"), "w")).alias("e"))
+    starts = _starts(nodes).select("run_id", F.col("at").alias("start"))
+    adjacency = kept(one.join(starts, "run_id").where(F.col("to") != F.col("start")).select("run_id", "at", "to", "start", "e.*"), "adjacency")
+    first, rest = adjacency.where("at = start"), adjacency.where("at <> start")
+
+    rank = F.row_number().over(Window.partitionBy("run_id", "at").orderBy(F.desc("u"), F.desc("o"), "to"))
+    three = rest.withColumn("_r", rank).where("_r <= 3").groupBy("run_id", "at").agg(F.sort_array(F.collect_list(F.struct("_r", "u", "o", "w", "to"))).alias("next"))
+    hops = rest.select("run_id", F.col("at").alias("x"), F.col("to").alias("y"), "u", "o", "w").join(three.withColumnRenamed("at", "y"), ["run_id", "y"], "left")
+    tail = lambda u, o, w, z: F.struct((F.col("u") + u).alias("u"), F.col("o").alias("o3"), o.alias("o4"), "y", z.alias("z"), F.col("w").alias("w3"), w.alias("w4"))
+    alone = F.array(tail(F.lit(0).cast("long"), most, F.lit(0.0), F.lit("")))
+    after = F.slice(F.filter(F.coalesce("next", F.array()), lambda n: n["to"] != F.col("x")), 1, 2)
+    tails = hops.select("run_id", "x", F.explode(F.concat(alone, F.transform(after, lambda n: tail(n["u"], n["o"], n["w"], n["to"])))).alias("t"))
+    tails = tails.withColumn("best", F.max("t").over(Window.partitionBy("run_id", "x")))
+    without = lambda node: F.max(F.when((F.col("t.y") != F.col(node)) & (F.col("t.z") != F.col(node)), F.col("t")))
+    tails = tails.groupBy("run_id", "x").agg(F.max("best").alias("best"), without("best.y").alias("not_y"), without("best.z").alias("not_z"))
+
+    heads = first.select("run_id", "start", F.col("to").alias("at"), F.col("u").alias("u1"), F.col("o").alias("o1"), F.col("w").alias("w1")).join(rest.drop("start"), ["run_id", "at"])
+    heads = heads.select("run_id", "start", F.col("at").alias("a"), F.col("to").alias("x"), (F.col("u1") + F.col("u")).alias("u"), "o1", F.col("o").alias("o2"), (F.col("w1") + F.col("w")).alias("w"))
+    t = F.when(F.col("best.y") == F.col("a"), F.col("not_y")).when(F.col("best.z") == F.col("a"), F.col("not_z")).otherwise(F.col("best"))
+    both = heads.join(tails, ["run_id", "x"], "left").withColumn("t", t)
+    path = lambda u, o3, o4, score, *more: F.struct(u.alias("u"), "o1", "o2", o3.alias("o3"), o4.alias("o4"), score.alias("score"), F.array("start", "a", "x", *more).alias("path"))
+    whole = path(F.col("u") + F.col("t.u"), F.col("t.o3"), F.col("t.o4"), F.col("w") + F.col("t.w3") + F.col("t.w4"), "t.y", "t.z")
+    short = path(F.col("u"), most, most, F.col("w"))
+    out = both.groupBy("run_id").agg(F.max(F.array_max(F.array(short, F.when(F.col("t").isNotNull(), whole)))).alias("b"))
+    return out.select("run_id", "b.score", F.filter("b.path", lambda x: x != "").alias("path"))
 
 
 def bfs_depth(nodes: DataFrame, edges: DataFrame, most: int = 4) -> DataFrame:
