@@ -6,10 +6,16 @@ target, type, confidence, explanation. Both are keyed by run_id, so that one has
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from heapq import nlargest
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import kept
+from ..shipping import ready
 
 # Allowed types, bonuses of edge types on a path, how direct an edge type is, month and event words.
 NODE_TYPES = ["Event", "Entity", "RelatedMarket", "Evidence", "Rule", "Hypothesis"]
@@ -91,18 +97,88 @@ def _starts(nodes: DataFrame) -> DataFrame:
     return nodes.where("type = 'Event'").groupBy("run_id").agg(F.min_by("node_id", "pos").alias("at"))
 
 
-def strongest_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def strongest_path(nodes: DataFrame, edges: DataFrame, held: int = 5000) -> DataFrame:
     """Per run with such a path: the best simple path of two to four edges from its first Event node, by the sum of confidence and bonus; the first in edge order on ties.
 
     Sums that agree to nine decimals are ties; of parallel edges only the best counts. A path is a head of two edges and a
     tail of none to two that meet in its middle node. A tail must avoid the run's first node and the one node between it and the
     middle, so that three tails for each node are enough: the best, and the best without either of that one's nodes. In the same way a
-    tail's last edge is among the three best of the node before. Thus all tables have as many rows as edges at most, whatever the
-    nodes' degrees, and all joins are on run and node.
+    tail's last edge is among the three best of the node before. Thus the work grows with the edges, whatever the nodes' degrees.
+    Runs of at most `held` edges meet in one shuffle, and a task holds one of them at a time; larger ones take joins on run and node.
     """
-    unit, most = F.round(F.col("w") * 1e9).cast("long"), F.lit(2**62)
-    one = _adjacency(edges).where(F.col("at") != F.col("to")).groupBy("run_id", "at", "to").agg(F.max(F.struct(unit.alias("u"), (-F.col("pos")).cast("long").alias("o"), "w")).alias("e"))
+    ready(edges.sparkSession)
+    whole = edges.where(F.col("run_id").isNotNull() & (F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target")))
+    large = kept(whole.groupBy("run_id").count().where(F.col("count") > held).select("run_id"), "large-runs")
     starts = _starts(nodes).select("run_id", F.col("at").alias("start"))
+    if large.isEmpty():
+        return _small_runs(starts, whole)
+    big = F.broadcast(large) if large.count() <= 1_000_000 else large
+    part = lambda df, how: df.join(big, "run_id", how)
+    return _small_runs(part(starts, "left_anti"), part(whole, "left_anti")).unionByName(_large_runs(part(starts, "left_semi"), part(whole, "left_semi")))
+
+
+def _weight() -> tuple[Column, Column]:
+    w = F.col("confidence") + F.coalesce(F.try_element_at(_map(BONUS), F.col("type")), F.lit(0.0))
+    return w, F.round(w * 1e9).cast("long")
+
+
+def best_path(start: str, edges: Iterable[tuple[int, str, str, float, int]]) -> tuple[float, list[str]] | None:
+    """strongest_path of one run: edges are (position, one end, other end, weight, weight in units of 1e-9)."""
+    near: dict[str, dict[str, tuple[int, int, float]]] = {}
+    for pos, a, b, w, u in edges:
+        e = (u, -pos, w)
+        for at, to in ((a, b), (b, a)):
+            if to != start and (old := near.setdefault(at, {}).get(to)) is None or to != start and e > old:
+                near[at][to] = e
+    three = {at: nlargest(3, ((u, o, to, w) for to, (u, o, w) in by.items())) for at, by in near.items() if at != start}
+    known: dict[str, tuple] = {}
+
+    def tails(x: str) -> tuple:
+        if x not in known:
+            found = [(u, o, 2**62, y, "", w, 0.0) for y, (u, o, w) in near.get(x, {}).items()]
+            found += [(t[0] + u, t[1], o, t[3], z, t[5], w) for t in found for u, o, z, w in [n for n in three.get(t[3], ()) if n[2] != x][:2]]
+            best = max(found, default=None)
+            known[x] = (best, *(max((t for t in found if node not in (t[3], t[4])), default=None) for node in (best and best[3], best and best[4])))
+        return known[x]
+
+    out = None
+    for a, (u1, o1, w1) in near.get(start, {}).items():
+        for x, (u2, o2, w2) in near.get(a, {}).items():
+            best, not_y, not_z = tails(x)
+            t = not_y if best and best[3] == a else not_z if best and best[4] == a else best
+            paths = [(u1 + u2, o1, o2, 2**62, 2**62, w1 + w2, [start, a, x])]
+            if t:
+                paths.append((u1 + u2 + t[0], o1, o2, t[1], t[2], w1 + w2 + t[5] + t[6], [start, a, x, t[3], t[4]]))
+            out = max(paths if out is None else [out, *paths])
+    return out and (out[5], [n for n in out[6] if n])
+
+
+def _small_runs(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    w, u = _weight()
+    kind = edges.schema["run_id"].dataType.simpleString()
+    rows = edges.select("run_id", F.col("pos").cast("long").alias("pos"), "source", "target", w.alias("w"), u.alias("u"))
+    first = starts.select("run_id", F.lit(None).cast("long").alias("pos"), F.col("start").alias("source"), F.lit("").alias("target"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("u"))
+    sorted_ = rows.unionByName(first).repartition("run_id").sortWithinPartitions("run_id", F.col("pos").asc_nulls_first())
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = (r for b in batches for r in zip(b["run_id"].tolist(), b["pos"].isna().tolist(), b["pos"].fillna(0).astype("int64").tolist(), *(b[c].tolist() for c in ("source", "target", "w", "u")), strict=True))
+        out: list[tuple] = []
+        for run, group in groupby(stream, key=lambda r: r[0]):
+            head = next(group)
+            best = best_path(head[3], (r[2:] for r in group)) if head[1] else None
+            if best:
+                out.append((run, *best))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["run_id", "score", "path"])
+                out = []
+        yield pd.DataFrame(out, columns=["run_id", "score", "path"])
+
+    return sorted_.mapInPandas(solve, f"run_id {kind}, score double, path array<string>")
+
+
+def _large_runs(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    most = F.lit(2**62)
+    one = _adjacency(edges).groupBy("run_id", "at", "to").agg(F.max(F.struct(F.round(F.col("w") * 1e9).cast("long").alias("u"), (-F.col("pos")).cast("long").alias("o"), "w")).alias("e"))
     adjacency = kept(one.join(starts, "run_id").where(F.col("to") != F.col("start")).select("run_id", "at", "to", "start", "e.*"), "adjacency")
     first, rest = adjacency.where("at = start"), adjacency.where("at <> start")
 

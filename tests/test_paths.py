@@ -38,8 +38,8 @@ def walked(nodes, edges):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_like_a_walk(spark, seed):
+@pytest.mark.parametrize(("seed", "held"), [(0, 5000), (1, 9), (2, 0)])
+def test_like_a_walk(spark, seed, held):
     rng = random.Random(seed)
     nodes, edges = [], []
     for run in range(120):
@@ -50,7 +50,7 @@ def test_like_a_walk(spark, seed):
             a, b = rng.randint(0, n - 1), rng.randint(0, n - 1)
             edges.append((run, pos, f"e{pos}", f"n{a}", f"n{b}", rng.choice([*gr.EDGE_TYPES, "unknown"]), rng.choice(grades)))
     edges.append((0, 99, "e99", "", "n0", "mentions", 0.9))
-    got = gr.strongest_path(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)).collect()
+    got = gr.strongest_path(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), held).collect()
     assert {r.run_id: (round(r.score * 1e9), r.path) for r in got} == walked(nodes, [e for e in edges if e[3]])
 
 
