@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import asset_hits, driver_hits, jaccard, shared_topics, theme_tokens, token_overlap, tokens, topic_tokens
+from ..functions.tokens import asset_hits, driver_hits, jaccard, shared_topics, theme_tokens, token_df, token_overlap, tokens, topic_tokens
+from ..scratch import kept
 
 # Weights of pair types.
 PAIR_WEIGHTS = {"logical_equivalent": 1.0, "shared_driver": 0.9, "narrative_spillover": 0.75}
@@ -175,12 +176,16 @@ def with_tokens(markets: DataFrame) -> DataFrame:
 SIDE = ["venue", "market_id", "toks", "theme", "title_theme", "topics", "window_toks", "liquidity", "volume", "open_interest"]
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, mode: str = "blocked") -> DataFrame:
+def candidate_pairs(left: DataFrame, right: DataFrame, mode: str = "blocked", min_score: float = 0.38, stability: float = 1.0) -> DataFrame:
     """Pairs of left and right markets (with_tokens) that could reach the least composite score.
 
     blocked: pairs that share a token, and pairs of markets with empty title themes; no other pair can score 0.38. Distinct
-    pairs are found from ids alone and joined to the token sets afterwards. cross: all pairs, for small catalogs.
+    pairs are found from ids alone and joined to the token sets afterwards. bounded: pairs that could reach min_score with at most
+    this stability, by what they must share for it (bounded_pairs): a token that many markets have makes few of them.
+    cross: all pairs, for small catalogs.
     """
+    if mode == "bounded":
+        return bounded_pairs(left, right, min_score, stability)
     name = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in SIDE))
     a, b = name(left, "l"), name(right, "r")
     if mode == "cross":
@@ -192,6 +197,90 @@ def candidate_pairs(left: DataFrame, right: DataFrame, mode: str = "blocked") ->
     return pairs.join(a, ["l_venue", "l_market_id"]).join(b, ["r_venue", "r_market_id"])
 
 
+def _jaccard_keys(rule: int, arr: Column, t: float, is_left: bool, classes: int = 20) -> Column:
+    """Keys by which sets of tokens (the rarest first) with a Jaccard similarity of t or more meet.
+
+    Sets of n and m tokens must share t (n + m) / (1 + t) of them, so that one of these is among the first tokens of either, all but
+    that number less one. Sizes are taken by powers of two: a set has keys for each class of sizes that its partner may have.
+    """
+    n = F.size(arr)
+    own = F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+
+    def keys(c: Column) -> Column:
+        low = F.pow(F.lit(2.0), c)
+        shared = F.ceil(t * (n + F.greatest(low, t * n)) / (1 + t) - 1e-9)
+        fits = (2 * low - 1 >= t * n - 1e-9) & (low * t <= n + 1e-9)
+        first = F.slice(arr, F.lit(1), F.when(fits, F.greatest(n - shared + 1, F.lit(0))).otherwise(0).cast("int"))
+        a, b = (own, c) if is_left else (c, own)
+        return F.transform(first, lambda x: F.xxhash64(F.lit(rule), a, b, x))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(classes)), keys))
+
+
+def _bounds(min_score: float, stability: float) -> dict[str, float | None]:
+    """What pairs must have in common to reach min_score, from the weights of pair_similarity, pair_direction and pair_composite.
+
+    Pairs of the two heavier types share two topics, a title, or tokens by the thresholds of their type. A narrative pair
+    needs 0.35 semantic + 0.3 causal + 0.2 resolution >= need. Without a topic and with little theme in common its causal score is 0.35 at most:
+    then all rests on its tokens (tokens). With one topic in common the semantic score is 0.22: then the resolution must come
+    from the window (window) or titles, or the causal score from drivers and assets (strength).
+    """
+    need = min_score / PAIR_WEIGHTS["narrative_spillover"] - 0.15 * stability - 1e-9
+    one = need - 0.35 * 0.22
+    causal = (one - 0.2 * 0.8 * 0.3) / 0.3
+    return {"tokens": min((need - 0.3 * 0.35 - 0.2) / 0.35, 0.22), "window": one <= 0.3 * 0.95 + 0.2, "strength": causal - 0.42 if causal <= 0.95 else None}
+
+
+def bounded_pairs(left: DataFrame, right: DataFrame, min_score: float = 0.38, stability: float = 1.0, cell: int = 1000) -> DataFrame:
+    """candidate_pairs by what a pair must share to reach min_score with at most this stability; no pair that can is lost.
+
+    One join on keys: tokens of sets that are similar enough (all tokens, themes, titles), the rarest first, so that a set's commonest
+    tokens are no keys; equal titles, of which the empty ones are one class; all but the commonest of a market's topics, as two are
+    shared or the topic goes with a window or with drivers and assets. Where a key would make more than cell ** 2 pairs, both
+    sides are dealt into groups of about cell markets, each of which meets each of the other side in a cell of its own: no task gets a
+    heavy key whole. Scores that low bounds rule out nothing for (tokens under 0.05) ask for mode="blocked".
+    """
+    b = _bounds(min_score, stability)
+    if b["tokens"] < 0.05:
+        raise ValueError("min_score is too low for bounds: use blocked or cross")
+    ids = ["venue", "market_id"]
+    df = token_df(left, "toks").unionByName(token_df(right, "toks")).groupBy("token").agg(F.sum("df").alias("df"))
+    df = kept(df, "frequencies")
+
+    def keyed(markets: DataFrame, p: str) -> DataFrame:
+        is_left = p == "l"
+        ranked = markets.select(*ids, F.explode("toks").alias("token")).join(df, "token").groupBy(*ids).agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("_toks"))
+        m = markets.join(ranked, ids, "left").withColumn("_toks", F.coalesce("_toks", F.array().cast("array<string>")))
+        among = lambda c: F.filter("_toks", lambda x: F.array_contains(F.col(c), x))
+        m = once(m, {"_theme": among("theme"), "_title": among("title_theme"), "_topics": among("topics"), "_p": 0.18 * driver_hits(F.col("toks")) + 0.05 * asset_hits(F.col("toks")), "_a": 0.08 * asset_hits(F.col("toks"))})
+        by = lambda rule, arr: F.transform(arr, lambda x: F.xxhash64(F.lit(rule), x))
+        parts = [_jaccard_keys(1, F.col("_toks"), b["tokens"], is_left), _jaccard_keys(2, F.col("_theme"), min(0.15, b["tokens"]), is_left), _jaccard_keys(3, F.col("_title"), 0.3, is_left)]
+        parts += [F.array(F.xxhash64(F.lit(4), F.array_join("title_theme", " "))), by(5, F.slice("_topics", 1, F.greatest(F.size("_topics") - 1, F.lit(0))))]
+        if b["window"]:
+            parts.append(F.flatten(F.transform("_topics", lambda x: F.transform("window_toks", lambda w: F.xxhash64(F.lit(6), x, w)))))
+        if b["strength"] is not None:
+            strong = F.greatest("_p", "_a") >= b["strength"] / 2
+            some = F.when(strong, by(7 if is_left else 8, F.col("_topics"))).otherwise(F.array().cast("array<bigint>"))
+            parts += [some, by(8 if is_left else 7, F.col("_topics"))]
+        return kept(m.select(*(F.col(c).alias(f"{p}_{c}") for c in ids), F.explode(F.array_distinct(F.concat(*parts))).alias("key")), f"keys-{p}")
+
+    a, c = keyed(left, "l"), keyed(right, "r")
+    count = lambda x, n: x.groupBy("key").agg(F.count("*").alias(n))
+    heavy = count(a, "nl").join(count(c, "nr"), "key").where(F.col("nl") * F.col("nr") > cell * cell)
+    heavy = kept(heavy.select("key", F.ceil(F.col("nl") / cell).cast("int").alias("gl"), F.ceil(F.col("nr") / cell).cast("int").alias("gr")), "heavy")
+    side = F.broadcast(heavy) if heavy.count() <= 1_000_000 else heavy
+
+    def dealt(x: DataFrame, p: str, own: str, other: str) -> DataFrame:
+        mine = F.coalesce(F.pmod(F.xxhash64(f"{p}_venue", f"{p}_market_id"), F.col(own)), F.lit(0)).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        return x.join(side, "key", "left").select(f"{p}_venue", f"{p}_market_id", "key", mine.alias(own), theirs.alias(other))
+
+    pairs = dealt(a, "l", "gl", "gr").join(dealt(c, "r", "gr", "gl"), ["key", "gl", "gr"]).select("l_venue", "l_market_id", "r_venue", "r_market_id").distinct()
+    name = lambda x, p: x.select(*(F.col(k).alias(f"{p}_{k}") for k in SIDE))
+    out = pairs.join(name(left, "l"), ["l_venue", "l_market_id"]).join(name(right, "r"), ["r_venue", "r_market_id"])
+    return out.select(*(f"{p}_{k}" for p in "lr" for k in SIDE))
+
+
 def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """df with cols, each computed once a row however often later expressions and filters use it.
 

@@ -263,7 +263,7 @@ def _catalog(spark, d):
 
 
 def _scored(spark, d):
-    return ll.score_pairs(ll.candidate_pairs(*_catalog(spark, d)))
+    return ll.score_pairs(ll.candidate_pairs(*_catalog(spark, d), mode="bounded", stability=0.0))
 
 
 @query("d1_candidate_pairs", f"with {PS} select l as l_market_id, r as r_market_id from c where js > 0")
@@ -286,6 +286,14 @@ def d2(spark, d):
     return _scored(spark, d).select("l_market_id", "r_market_id", "pair_type", R("composite"))
 
 
+@query("d2_possible_pairs", f"with {PS}, c2 as (select *, composite + 0.15 * case pair_type when 'logical_equivalent' then 1.0 when 'shared_driver' then 0.9 else 0.75 end as possible from s5) select l as l_market_id, r as r_market_id, round(possible, 6) as possible from c2 where round(possible, 9) >= 0.38")
+def d2_possible(spark, d):
+    """Pairs that would do with full stability."""
+    pairs = ll.candidate_pairs(*_catalog(spark, d), mode="bounded")
+    scored = ll.pair_composite(ll.pair_direction(ll.pair_similarity(pairs)).withColumns({"stability": F.lit(1.0), "ready": F.lit(False)}), 0.38 - 1e-9)
+    return scored.where(F.round("composite", 9) >= 0.38).select("l_market_id", "r_market_id", F.round("composite", 6).alias("possible"))
+
+
 @query("k3_composite", f"with {PS}, c3 as (select l, r, pair_type, resolution, causal, (0.35 * semantic + 0.30 * causal + 0.20 * resolution + 0.15 * ((l + r) % 10) / 10) * case pair_type when 'logical_equivalent' then 1.0 when 'shared_driver' then 0.9 else 0.75 end as composite from s4 where js > 0) select l as l_market_id, r as r_market_id, round(composite, 6) as composite, round(composite, 9) >= 0.58 and resolution >= 0.35 and causal >= 0.5 and (l + r) % 3 <> 0 as is_trade_eligible, case when pair_type = 'logical_equivalent' then 45 else 120 end as expected_latency_seconds from c3 where round(composite, 9) >= 0.38")
 def k3(spark, d):
     """Pairs with a stability of their own, two thirds of them ready."""
