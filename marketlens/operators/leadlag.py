@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import asset_hits, driver_hits, jaccard, shared_topics, theme_tokens, token_df, token_overlap, tokens, topic_tokens
 from ..scratch import kept
+from .joins import grid_join
 
 # Weights of pair types.
 PAIR_WEIGHTS = {"logical_equivalent": 1.0, "shared_driver": 0.9, "narrative_spillover": 0.75}
@@ -236,9 +237,8 @@ def bounded_pairs(left: DataFrame, right: DataFrame, min_score: float = 0.38, st
 
     One join on keys: tokens of sets that are similar enough (all tokens, themes, titles), the rarest first, so that a set's commonest
     tokens are no keys; equal titles, of which the empty ones are one class; all but the commonest of a market's topics, as two are
-    shared or the topic goes with a window or with drivers and assets. Where a key would make more than cell ** 2 pairs, both
-    sides are dealt into groups of about cell markets, each of which meets each of the other side in a cell of its own: no task gets a
-    heavy key whole. Scores that low bounds rule out nothing for (tokens under 0.05) ask for mode="blocked".
+    shared or the topic goes with a window or with drivers and assets. Heavy keys are spread over tasks (grid_join). Scores
+    that low bounds rule out nothing for (tokens under 0.05) ask for mode="blocked".
     """
     b = _bounds(min_score, stability)
     if b["tokens"] < 0.05:
@@ -265,17 +265,7 @@ def bounded_pairs(left: DataFrame, right: DataFrame, min_score: float = 0.38, st
         return kept(m.select(*(F.col(c).alias(f"{p}_{c}") for c in ids), F.explode(F.array_distinct(F.concat(*parts))).alias("key")), f"keys-{p}")
 
     a, c = keyed(left, "l"), keyed(right, "r")
-    count = lambda x, n: x.groupBy("key").agg(F.count("*").alias(n))
-    heavy = count(a, "nl").join(count(c, "nr"), "key").where(F.col("nl") * F.col("nr") > cell * cell)
-    heavy = kept(heavy.select("key", F.ceil(F.col("nl") / cell).cast("int").alias("gl"), F.ceil(F.col("nr") / cell).cast("int").alias("gr")), "heavy")
-    side = F.broadcast(heavy) if heavy.count() <= 1_000_000 else heavy
-
-    def dealt(x: DataFrame, p: str, own: str, other: str) -> DataFrame:
-        mine = F.coalesce(F.pmod(F.xxhash64(f"{p}_venue", f"{p}_market_id"), F.col(own)), F.lit(0)).cast("int")
-        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
-        return x.join(side, "key", "left").select(f"{p}_venue", f"{p}_market_id", "key", mine.alias(own), theirs.alias(other))
-
-    pairs = dealt(a, "l", "gl", "gr").join(dealt(c, "r", "gr", "gl"), ["key", "gl", "gr"]).select("l_venue", "l_market_id", "r_venue", "r_market_id").distinct()
+    pairs = grid_join(a, c, ["key"], cell).select("l_venue", "l_market_id", "r_venue", "r_market_id").distinct()
     name = lambda x, p: x.select(*(F.col(k).alias(f"{p}_{k}") for k in SIDE))
     out = pairs.join(name(left, "l"), ["l_venue", "l_market_id"]).join(name(right, "r"), ["r_venue", "r_market_id"])
     return out.select(*(f"{p}_{k}" for p in "lr" for k in SIDE))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import market_key, market_key_aliases, reviewer_key
 from ..functions.tokens import jaccard, ranking_tokens, token_diff, token_overlap
+from ..scratch import kept
+from .joins import grid_join
 
 LABELS = ["core", "watch", "reject"]
 
@@ -116,23 +118,63 @@ def candidate_catalog(rows: DataFrame) -> DataFrame:
     return out.withColumn("full_tokens", F.array_sort("_own")).drop("_own")
 
 
-def hard_negatives(queries: DataFrame, catalog: DataFrame, positives: DataFrame, n: int = 12) -> DataFrame:
+def _lexical(shared: Column, query: Column, title: Column) -> Column:
+    """The lexical score from the numbers of shared words, of the query's and of the title's."""
+    return F.when(shared > 0, 0.75 * (shared / (query + title - shared))).otherwise(0.0) + F.least(0.08 * shared, F.lit(0.32))
+
+
+def negative_candidates(queries: DataFrame, catalog: DataFrame, positives: DataFrame, n: int = 12, seeds: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Pairs (query_id, candidate_key) among which each query's n best negatives by lexical score are, and the queries that have n: query_id and least.
+
+    A query's words are taken the rarest first. Each of the first eight gives it seeds, the shortest catalog rows that have it; its n-th best
+    seed that is no positive has the least score to reach. A row of b words that does must share so many words with the query that it has one of
+    all but its commonest words, less one: the words that most rows have are looked up only for queries and sizes of rows (by powers
+    of two) where so little is enough. Queries with fewer than n seeds look up all their words. Shared words are counted from the join, so
+    that no pair is scored which isn't met.
+    """
+    words = lambda df, id_: df.select(id_, F.explode(F.array_distinct("tokens")).alias("t"))
+    index = kept(catalog.select("candidate_key", F.size(F.array_distinct("tokens")).alias("b"), F.explode(F.array_distinct("tokens")).alias("t")).withColumn("c", F.floor(F.log2("b")).cast("int")), "index")
+    df = index.groupBy("t").agg(F.count("*").alias("df"))
+    rank = Window.partitionBy("query_id").orderBy("df", "t")
+    mine = words(queries, "query_id").join(df, "t", "left").na.fill(0, ["df"])
+    mine = kept(mine.withColumns({"i": F.row_number().over(rank), "a": F.count("*").over(Window.partitionBy("query_id"))}).where("df > 0"), "query-words")
+    known = positives.select("query_id", "candidate_key").distinct()
+
+    heads = index.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy("b", "candidate_key"))).where(F.col("r") <= seeds)
+    first = mine.where("i <= 8").join(heads, "t").select("query_id", "candidate_key").distinct().join(known, ["query_id", "candidate_key"], "left_anti")
+    sized = first.join(queries.select("query_id", F.array_distinct("tokens").alias("q")), "query_id").join(catalog.select("candidate_key", F.array_distinct("tokens").alias("d")), "candidate_key")
+    scored = sized.select("query_id", "candidate_key", _lexical(token_overlap(F.col("q"), F.col("d")), F.size("q"), F.size("d")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    least = kept(scored.withColumn("r", place).where(F.col("r") == n).select("query_id", (F.col("score") - 1e-9).alias("least")), "least")
+
+    classes = F.explode(F.sequence(F.lit(0), F.lit(30))).alias("c")
+    low = F.pow(F.lit(2.0), "c")
+    best = lambda shared: _lexical(shared, F.col("a"), F.greatest(low, shared))
+    shares = F.filter(F.sequence(F.lit(1), F.col("a").cast("int")), lambda s: (s <= 2 * low - 1) & (best(s) >= F.col("least")))
+    present = index.select("c").distinct()  # one row for each power of two
+    needs = mine.select("query_id", "a").distinct().join(least, "query_id", "left").na.fill(-1.0, ["least"]).select("*", classes).join(F.broadcast(present), "c").withColumn("least_shared", F.array_min(shares)).where("least_shared is not null")
+    asked = mine.select("query_id", "t", "i", "a").join(needs.select("query_id", "c", "least_shared"), "query_id").where("i <= a - least_shared + 1").select("query_id", "t", "c")
+    met = grid_join(kept(asked, "asked"), index.select("candidate_key", "t", "c"), ["t", "c"]).select("query_id", "candidate_key").distinct()
+    return met.join(known, ["query_id", "candidate_key"], "left_anti"), least
+
+
+def hard_negatives(queries: DataFrame, catalog: DataFrame, positives: DataFrame, n: int = 12, seeds: int = 64) -> DataFrame:
     """The n catalog rows per query that are no positives of it, by (lexical score, popularity, key).
 
-    Blocked on shared title tokens: rows that share none score 0, and fill what is left in the order of popularity. For
-    that each query is given as many of the most popular rows as it has positives and negatives to come, so that n are
-    left whichever of them are positives or hits.
+    Those that share a word come from negative_candidates. Rows that share none score 0, and fill what is left in the order of
+    popularity. For that each query with fewer than n others is given as many of the most popular rows as it has positives and
+    negatives to come, so that n are left whichever of them are positives or hits.
     """
     q, c = queries.select("query_id", F.col("tokens").alias("src")), catalog.select("candidate_key", F.col("tokens").alias("title"), "popularity")
-    hits = q.select("query_id", F.explode("src").alias("t")).join(c.select("candidate_key", F.explode("title").alias("t")), "t").select("query_id", "candidate_key").distinct()
-    # A query with n hits that are no positives needs no filling; others need n rows that are neither.
-    some = hits.join(positives.select("query_id", "candidate_key"), ["query_id", "candidate_key"], "left_anti").groupBy("query_id").agg(F.count("*").alias("h"))
-    wants = q.select("query_id").join(some, "query_id", "left").join(positives.groupBy("query_id").agg(F.count("*").alias("p")), "query_id", "left").na.fill(0).where(F.col("h") < n)
+    met, least = negative_candidates(queries, catalog, positives, n, seeds)
+    met = kept(met, "met")
+    some = met.groupBy("query_id").agg(F.count("*").alias("h"))
+    rest = q.select("query_id").join(least, "query_id", "left_anti").join(some, "query_id", "left")
+    wants = kept(rest.join(positives.groupBy("query_id").agg(F.count("*").alias("p")), "query_id", "left").na.fill(0).where(F.col("h") < n), "wants")
     most = wants.agg(F.max(F.col("h") + F.col("p"))).first()[0]
     top = c.orderBy(F.desc("popularity"), F.desc("candidate_key")).limit(n + (most or 0)).select("candidate_key", F.row_number().over(Window.orderBy(F.desc("popularity"), F.desc("candidate_key"))).alias("r"))
-    fill = wants.join(top, F.col("r") <= F.col("h") + F.col("p") + n).select("query_id", "candidate_key")
-    pairs = hits.unionByName(fill).distinct().join(positives.select("query_id", "candidate_key"), ["query_id", "candidate_key"], "left_anti")
-    x = pairs.join(q, "query_id").join(c, "candidate_key")
+    fill = wants.join(top, F.col("r") <= F.col("h") + F.col("p") + n).select("query_id", "candidate_key").join(positives.select("query_id", "candidate_key"), ["query_id", "candidate_key"], "left_anti")
+    x = met.unionByName(fill).distinct().join(q, "query_id").join(c, "candidate_key")
     x = x.withColumn("score", 0.75 * jaccard(F.col("src"), F.col("title")) + F.least(0.08 * token_overlap(F.col("src"), F.col("title")), F.lit(0.32)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("popularity"), F.desc("candidate_key")))
     return x.withColumn("place", place).where(F.col("place") <= n).select("query_id", "candidate_key", "score", "popularity", "place")
@@ -159,16 +201,60 @@ def discovery_score(tags: Column, terms: Column, same_category: Column, volume:
     return F.least(F.greatest(s, F.lit(0.45)), F.lit(0.94))
 
 
-def discover_related(events: DataFrame, k: int = 4, enough: int = 12, most_traded: int = 40) -> DataFrame:
+def related_candidates(events: DataFrame, k: int = 4, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Pairs (slug, other) among which are the k best of all that carry one of an event's first three tags; and the slugs that meet more than limit others.
+
+    A key is a tag and what else two events share: more tags, terms, the category. Events with a key of at most limit events meet
+    them all. Of a larger one they meet the k + 1 that are best by what the key and the other event's size make of the
+    score: an event that shares nothing else is no better than these. One that shares more meets it under a longer key, and
+    so on; what adds nothing to the score (a fourth tag, a fifth term) makes no key.
+    """
+    low = F.array_distinct(F.transform("tags", F.lower))
+    mark = lambda p, arr: F.transform(arr, lambda x: F.concat(F.lit(p), x))
+    shares = F.concat(mark("c:", F.array_compact(F.array("category"))), mark("t:", low), mark("w:", F.array_distinct("terms")))
+    size = F.least(F.log10(F.col("volume") + 1) / 18, F.lit(0.09)) + F.least(F.log10(F.col("liquidity") + 1) / 24, F.lit(0.05))
+    rows = kept(events.select("slug", low.alias("_low"), F.transform(F.slice("tags", 1, 3), F.lower).alias("_first"), F.array_sort(F.coalesce(shares, mark("t:", low))).alias("has"), size.alias("size")), "events")
+    opened = lambda tags, name: rows.select(F.col("slug").alias(name), "has", "size", F.explode(F.array_distinct(mark("t:", F.col(tags)))).alias("tag")).withColumns({"key": F.array("tag")})
+    mine, theirs = opened("_first", "slug"), opened("_low", "other")
+    out = crowded = None
+    while True:
+        heavy = kept(theirs.groupBy("key").count().where(F.col("count") > limit).select("key"), "heavy-keys")
+        n = heavy.count()
+        side = F.broadcast(heavy) if n <= 1_000_000 else heavy
+        part = lambda df, how: df.join(side, "key", how) if n else df.where("true" if how == "left_anti" else "false")  # noqa: B023, E731
+        pair = lambda a, b: a.select("slug", "key").join(b.select("other", "key"), "key").where("slug <> other").select("slug", "other")
+        found = pair(part(mine, "left_anti"), part(theirs, "left_anti"))
+        out = found if out is None else out.unionByName(found)
+        large = part(mine, "left_semi")
+        crowded = large.select("slug").distinct() if crowded is None else crowded
+        if not n:
+            return out.distinct(), crowded
+        many = lambda p, most: F.least(F.size(F.filter("key", lambda x: x.startswith(p))), F.lit(most))
+        base = 0.42 + 0.11 * many("t:", 3) + 0.05 * many("w:", 4) + 0.08 * many("c:", 1)
+        score = F.round(F.least(F.greatest(base + F.col("size"), F.lit(0.45)), F.lit(0.94)), 2)
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(score), "other"))
+        best = part(theirs, "left_semi").withColumn("_r", rank).where(F.col("_r") <= k + 1)
+        out = out.unionByName(pair(large, best))
+
+        def longer(df: DataFrame) -> DataFrame:
+            last = F.when(F.size("key") > 1, F.element_at("key", -1)).otherwise("")
+            room = lambda x: F.when(x.startswith("t:"), many("t:", 3) < 3).when(x.startswith("w:"), many("w:", 4) < 4).otherwise(True)  # noqa: E731, B023
+            more = F.filter("has", lambda x: (x > last) & (x != F.col("tag")) & room(x))
+            return df.withColumn("_x", F.explode(more)).withColumn("key", F.concat("key", F.array("_x"))).drop("_x")
+
+        mine, theirs = kept(longer(large), "longer-keys"), kept(longer(part(theirs, "left_semi")), "longer-keys")
+
+
+def discover_related(events: DataFrame, k: int = 4, enough: int = 12, most_traded: int = 40, limit: int = 50) -> DataFrame:
     """The k best other open events of each event that share a tag, a term or the category, by discovery_score to two decimals.
 
-    events: slug, tags, terms, category, volume, liquidity. Candidates carry one of the event's first three tags; where
-    these are fewer than enough, the most_traded events of all join them.
+    events: slug, tags, terms, category, volume, liquidity. Candidates carry one of the event's first three tags
+    (related_candidates, which leaves out those that can't be among the k); where these are fewer than enough, the
+    most_traded events of all join them.
     """
-    mine = events.select("slug", F.explode(F.transform(F.slice("tags", 1, 3), F.lower)).alias("tag"))
-    theirs = events.select(F.col("slug").alias("other"), F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag"))
-    met = mine.join(theirs, "tag").where("slug <> other").select("slug", "other").distinct()
-    few = events.select("slug").join(met.groupBy("slug").agg(F.count("*").alias("n")).where(F.col("n") >= enough), "slug", "left_anti")
+    met, crowded = related_candidates(events, k, max(limit, enough + 1))
+    met = kept(met, "met")
+    few = events.select("slug").join(met.groupBy("slug").agg(F.count("*").alias("n")).where(F.col("n") >= enough), "slug", "left_anti").join(crowded, "slug", "left_anti")
     traded = events.orderBy(F.desc("volume"), "slug").limit(most_traded).select(F.col("slug").alias("other"))
     met = met.unionByName(few.crossJoin(F.broadcast(traded)).where("slug <> other").select("slug", "other")).distinct()  # most_traded rows
     side = lambda n, p: events.select(F.col("slug").alias(n), *(F.col(c).alias(f"{p}{c}") for c in ("tags", "terms", "category", "volume", "liquidity")))
