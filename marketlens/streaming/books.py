@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,10 +14,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import normalize as nz
 from ..shipping import ready
+from .ordered import in_order
 
-STATE = "ts_us long, status string, yes_bid double, yes_ask double, no_bid double, no_ask double, yes_bid_size double, yes_ask_size double, no_bid_size double, no_ask_size double, yes_last double, no_last double, trade_size double"
-FIELDS = [x.split()[0] for x in STATE.split(", ")]
-TICK = "market_id string, ts_us long, event_type string, sequence_id string, status string, last_price double, yes_bid double, yes_ask double, no_bid double, no_ask double, bid_size double, ask_size double, trade_size double"
+#: What messages write into a market's state: a status and eleven numbers.
+FIELDS = ["status", "trade_size", *(f"{s}_{n}" for s in ("yes", "no") for n in ("bid", "bid_size", "ask", "ask_size", "last"))]
+STATE = ", ".join(f"{c} {'string' if c == 'status' else 'double'}" for c in FIELDS)
+STATES = "market_id string, ts_us long, event_type string, hash string, asset_id string, " + STATE
 
 
 def parse_messages(lines: DataFrame) -> DataFrame:
@@ -46,85 +51,14 @@ def read_message_stream(spark: SparkSession, path: str | None = None, kafka: dic
     return parse_messages(lines)
 
 
-def _fold(state: dict, m: dict) -> dict | None:
-    """The tick after a message, or None where it changes nothing; state is updated in place.
-
-    A message older than the state is dropped unless it is a whole book.
-    """
-    kind, side, num = m["event_type"], m["side"], lambda k: float(nz_number(m.get(k)))
-    if m["ts_us"] < state["ts_us"] and kind != "book":
-        return None
-    if kind not in ("book", "best_bid_ask", "price_change", "last_trade_price", "market_resolved"):
-        return None
-    state["ts_us"] = max(state["ts_us"], m["ts_us"])
-    if m.get("status"):
-        state["status"] = str(m["status"]).lower()
-    clip = lambda x: min(max(x, 0.0), 1.0)
-    if kind == "market_resolved":
-        yes = 1.0 if side == "yes" else 0.0
-        state.update(status="resolved", yes_last=yes, no_last=1 - yes, yes_bid=yes, yes_ask=yes, no_bid=1 - yes, no_ask=1 - yes)
-    elif kind == "book":
-        for name, best in (("bid", max), ("ask", min)):
-            levels = [(nz_number(x["price"]), nz_number(x["size"] if x["size"] is not None else x["quantity"])) for x in (m.get(f"{name}s") if m.get(f"{name}s") is not None else [])]
-            levels = [x for x in levels if x[0] > 0 or x[1] > 0]
-            if levels:
-                price, size = best(levels, key=lambda x: x[0])
-                state[f"{side}_{name}"], state[f"{side}_{name}_size"] = price, size
-        if num("price") > 0:
-            state[f"{side}_last"] = clip(num("price"))
-    else:
-        sizes = ("size", "size") if kind == "price_change" else ("bid_size", "ask_size")
-        if kind != "last_trade_price":
-            for name, size in zip(("bid", "ask"), sizes, strict=True):
-                if num(f"best_{name}") > 0:
-                    state[f"{side}_{name}"] = clip(num(f"best_{name}"))
-                if num(size) > 0:
-                    state[f"{side}_{name}_size"] = num(size)
-        if num("price") > 0:
-            state[f"{side}_last"] = clip(num("price"))
-        if kind != "best_bid_ask" and num("size") > 0:
-            state["trade_size"] = num("size")
-    s = state
-    done = s["status"] == "resolved"
-    yes_bid = s["yes_bid"] or (0.0 if done else clip(1 - s["no_ask"]) if s["no_ask"] else 0.0)
-    yes_ask = s["yes_ask"] or (0.0 if done else clip(1 - s["no_bid"]) if s["no_bid"] else 0.0)
-    no_bid = s["no_bid"] or (0.0 if done else clip(1 - yes_ask) if yes_ask else 0.0)
-    no_ask = s["no_ask"] or (0.0 if done else clip(1 - yes_bid) if yes_bid else 0.0)
-    last = s["yes_last"] or (0.0 if done else clip(1 - s["no_last"]) if s["no_last"] else (yes_bid + yes_ask) / 2 if yes_bid and yes_ask else yes_bid or yes_ask)
-    return {
-        "market_id": m["market_id"], "ts_us": m["ts_us"], "event_type": kind, "sequence_id": m.get("hash") or f"{m['asset_id']}:{m['ts_us']}", "status": s["status"], "last_price": last, "yes_bid": yes_bid, "yes_ask": yes_ask,
-        "no_bid": no_bid, "no_ask": no_ask, "bid_size": s["yes_bid_size"] or s["no_ask_size"], "ask_size": s["yes_ask_size"] or s["no_bid_size"], "trade_size": s["trade_size"],
-    }
-
-
-def nz_number(x: object) -> float:
-    try:
-        v = float(x)
-    except (TypeError, ValueError):
-        return 0.0
-    return v if v == v and abs(v) != float("inf") else 0.0
-
-
-def _fresh() -> dict:
-    return {k: 0.0 for k in FIELDS} | {"ts_us": 0, "status": "open"}
-
-
-def _ticks(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-    out = [t for m in rows.sort_values(["ts_us", "hash"], kind="stable", na_position="first").to_dict("records") if (t := _fold(state, m))]
-    return pd.DataFrame(out, columns=[x.split()[0] for x in TICK.split(", ")])
-
-
 def with_sides(messages: DataFrame, assets: DataFrame) -> DataFrame:
     """Messages with market_id and side by asset; a resolution by its winning asset. Messages of unknown assets go."""
     key = F.when(F.col("event_type") == "market_resolved", F.col("winning_asset_id")).otherwise(F.col("asset_id"))
     return messages.withColumn("_a", key).join(F.broadcast(assets.select(F.col("asset_id").alias("_a"), F.col("market_id").cast("string").alias("market_id"), "side")) if not assets.isStreaming and assets.count() <= 1_000_000 else assets.select(F.col("asset_id").alias("_a"), F.col("market_id").cast("string").alias("market_id"), "side"), "_a").drop("_a")
 
 
-def _folded(rows: DataFrame) -> DataFrame:
-    """The ticks of a batch: each field of a market's state is what the last message up to now wrote into it.
-
-    A window in the order of (time, hash) by market, which spills; no market's messages are gathered.
-    """
+def _writes(rows: DataFrame) -> DataFrame:
+    """What each message writes into its market's state: null where it leaves a field as it is."""
     num = lambda c: nz.to_float(F.col(c))
     kind, side = F.col("event_type"), F.col("side")
     is_ = lambda *k: kind.isin(*k)
@@ -145,9 +79,11 @@ def _folded(rows: DataFrame) -> DataFrame:
             write[f"{s}_{name}"] = F.when(done, value).when(book & mine, F.col(f"_{name}.price")).when(top & mine & (num(f"best_{name}") > 0), nz.clip_probability(num(f"best_{name}")))
             write[f"{s}_{name}_size"] = F.when(book & mine, F.col(f"_{name}.size")).when(top & mine, positive(size))
         write[f"{s}_last"] = F.when(done, value).when(mine & (num("price") > 0), nz.clip_probability(num("price")))
-    order = Window.partitionBy("market_id").orderBy("ts_us", F.col("hash").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.select("market_id", "ts_us", "event_type", "hash", "asset_id", *(v.alias(f"_{k}") for k, v in write.items()))
-    x = x.select("market_id", "ts_us", "event_type", "hash", "asset_id", *(F.coalesce(F.last(f"_{k}", ignorenulls=True).over(order), F.lit("open") if k == "status" else F.lit(0.0)).alias(k) for k in write))
+    return x.select("market_id", "ts_us", "event_type", "hash", "asset_id", *(write[k].alias(k) for k in FIELDS))
+
+
+def _as_ticks(x: DataFrame) -> DataFrame:
+    """Ticks of states: NO prices complete YES ones, and the last price falls back on the other side or the middle."""
     over = F.col("status") == "resolved"
     other = lambda own, from_: F.when(F.col(own) != 0, F.col(own)).when(over | (F.col(from_) == 0), 0.0).otherwise(nz.clip_probability(1 - F.col(from_)))
     x = x.withColumns({"yes_bid": other("yes_bid", "no_ask"), "yes_ask": other("yes_ask", "no_bid")})
@@ -159,34 +95,41 @@ def _folded(rows: DataFrame) -> DataFrame:
     return x.select("market_id", "ts_us", "event_type", sequence.alias("sequence_id"), "status", last.alias("last_price"), "yes_bid", "yes_ask", "no_bid", "no_ask", either("yes_bid_size", "no_ask_size").alias("bid_size"), either("yes_ask_size", "no_bid_size").alias("ask_size"), "trade_size")
 
 
-def orderbook_ticks(messages: DataFrame, assets: DataFrame) -> DataFrame:
-    """A full tick for every message that changes its market's book: sides replaced by books, tops by updates, NO prices completing YES ones.
+def _filled(rows: DataFrame) -> DataFrame:
+    """The states of a batch: each field is what the last message up to now wrote into it.
 
-    On a stream the state of each market is a value in the state store, with a day to live; a batch is folded by a window in
-    the order of (time, hash). Both give the same ticks for messages in order.
+    A window in the order of (time, hash) by market, which spills; no market's messages are gathered.
     """
-    ready(messages.sparkSession)
-    rows = with_sides(messages, assets)
-    if not messages.isStreaming:
-        return _folded(rows)
+    order = Window.partitionBy("market_id").orderBy("ts_us", F.col("hash").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("market_id", "ts_us", "event_type", "hash", "asset_id", *(F.coalesce(F.last(k, ignorenulls=True).over(order), F.lit("open") if k == "status" else F.lit(0.0)).alias(k) for k in FIELDS))
 
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-    class Fold(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.book = handle.getValueState("book", STATE, ttlDurationMs=86_400_000)
+def _fill(key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """The same of a market's messages that are due, from the state before them. What is older than that goes, but for books."""
+    newest, *before = state or (0, "open", *[0.0] * (len(FIELDS) - 1))
+    rows = rows[(rows["ts_us"] >= newest) | (rows["event_type"] == "book")].copy()
+    for k, x in zip(FIELDS, before, strict=True):
+        kept = rows[k].where(rows[k].notna()).ffill()
+        rows[k] = kept.where(kept.notna(), x)
+    rows = rows.astype({k: float for k in FIELDS[1:]} | {"ts_us": "int64"})
+    rows.insert(0, "market_id", key[0])
+    last = [rows[k].iloc[-1] for k in FIELDS] if len(rows) else before
+    newest = max([newest, *rows["ts_us"].tolist()])
+    return (newest, str(last[0]), *map(float, last[1:])), rows[["market_id", "ts_us", "event_type", "hash", "asset_id", *FIELDS]]
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            state = dict(zip(FIELDS, self.book.get(), strict=True)) if self.book.exists() else _fresh()
-            out = _ticks(state, pd.concat(list(rows)))
-            self.book.update(tuple(state[k] for k in FIELDS))
-            yield out
 
-        def close(self) -> None:
-            pass
+def orderbook_ticks(messages: DataFrame, assets: DataFrame, watermark: str | None = None) -> DataFrame:
+    """A full tick for every message that changes its market's book: sides replaced by books, tops by updates, NO prices completing YES ones.
 
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy("market_id").transformWithStateInPandas(Fold(), TICK, "append", "processingTime")
+    Messages count in the order of (time, hash); a batch is folded by a window. On a stream with a watermark they wait in the state until it has passed
+    them, so that those out of order within it make the ticks that a batch of them makes; later ones are dropped.
+    Without one the messages of a trigger count at once, and of those older than the state only books. A market
+    without messages for a day is forgotten.
+    """
+    rows = _writes(with_sides(messages, assets))
+    if not messages.isStreaming:
+        return _as_ticks(_filled(rows))
+    return _as_ticks(in_order(rows, ["market_id"], "ts_us", ["hash"], "newest long, " + STATE, _fill, STATES, watermark))
 
 
 def ticker_ticks(messages: DataFrame, market_map: DataFrame) -> DataFrame:
@@ -235,6 +178,40 @@ def dedup_books(ticks: DataFrame, books: DataFrame) -> DataFrame:
     return x.withColumn("_r", F.row_number().over(order)).where("_r = 1").withColumn("tick_id", F.col("_kept")).select(*books.columns)
 
 
+def _stand(key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[None, pd.DataFrame]:
+    """The kept ticks of one time, each with its own book or that of its first repeat that has one."""
+    kept: list[list] = []
+    by_name, by_value = {}, {}
+    for r in rows.to_dict("records"):
+        at = by_name.get(r["name"])
+        if at is None:
+            at = by_value.get(r["value"])
+            if at is None:
+                at = len(kept)
+                by_value[r["value"]] = at
+                kept.append([r["row"], r["book"]])
+            by_name[r["name"]] = at
+        if pd.isna(kept[at][1]):
+            kept[at][1] = r["book"]
+    return None, pd.DataFrame([(tick, None if pd.isna(book) else book) for tick, book in kept], columns=["row", "book"])
+
+
+def dedup_with_books(ticks: DataFrame, book: list[str], watermark: str = "10 minutes") -> DataFrame:
+    """A stream of ticks (book: columns of their own that are null where a tick has no book) without repeats, as dedup_ticks and dedup_books make of a batch.
+
+    Ticks of one (venue, market, type, time) wait until the watermark has passed that time, so that a repeat's book is there
+    whenever within it the repeat comes; they count in the order of tick_id.
+    """
+    keys = ["venue", "market_id", "event_type", "ts_us"]
+    tick, books = (F.to_json(F.struct(*cols)) for cols in ([c for c in ticks.columns if c not in book], book))
+    some = F.when(F.coalesce(*(F.col(c).cast("string") for c in book)).isNotNull(), books)
+    rows = _marked(ticks).select(*keys, F.col("ts_us").alias("us"), "tick_id", F.col("_s").alias("name"), F.col("_v").alias("value"), tick.alias("row"), some.alias("book"))
+    out = in_order(rows, keys, "us", ["tick_id"], "x int", _stand, "row string, book string", watermark, keep_s=0)
+    kinds = lambda cols: ", ".join(f"`{c}` {ticks.schema[c].dataType.simpleString()}" for c in cols)
+    parsed = out.select(F.from_json("row", kinds([c for c in ticks.columns if c not in book])).alias("t"), F.from_json("book", kinds(book)).alias("b"))
+    return parsed.select(*(F.col(f"b.{c}" if c in book else f"t.{c}").alias(c) for c in ticks.columns))
+
+
 def refresh_loop(stream: DataFrame, each: Callable[[DataFrame], None], pairs: Callable[[], None], signals: Callable[[], None], pairs_every: int = 12, signals_every: int = 3, checkpoint: str | None = None, interval: str = "5 seconds", available_now: bool = False):
     """Starts a query that hands on each batch, and refreshes pairs and signals every so many batches; with available_now it ends with what is there."""
 
@@ -260,27 +237,102 @@ def request_tier(method: Column, path: Column) -> Column:
     return F.when((method == "POST") & at.startswith("/api/"), "api_write").when(at.startswith("/api/"), "api_read").when(at.isin("/", "/app/"), "page")
 
 
-def rate_flags(log: DataFrame, tiers: dict[str, tuple[int, int]] = TIERS, burst_s: float = 5, burst_max: int = 20, ban_s: int = 600) -> DataFrame:
+def rate_flags(log: DataFrame, tiers: dict[str, tuple[int, int]] = TIERS, burst_s: float = 5, burst_max: int = 20, ban_s: int = 600, watermark: str = "10 seconds") -> DataFrame:
     """Hits (key, ts, tier) that exceed what their tier or, for all of a key's hits together, a burst allows.
 
     Per such hit: key, kind (the tier or burst), ts, hits within the window that ends with it, and until when the key is
-    banned (bursts only). Windows slide with the hits and leave out their start. On a stream with a watermark windows
-    slide by seconds: ts is then the end of each window that holds too many.
+    banned (bursts only). Windows slide with the hits and leave out their start; hits of one time count together. A stream gives the
+    same flags, each once the watermark has passed its hit: a key's state holds the hits of the longest window.
     """
     every = {"burst": (burst_s, burst_max)} | tiers
+    if log.isStreaming:
+        spans = {k: (int(s * 1_000_000), most) for k, (s, most) in every.items()}
+        rows = log.select("key", "ts", F.unix_micros("ts").alias("us"), "tier")
+        out = in_order(rows, ["key"], "us", ["tier"], "times array<bigint>, tiers array<string>", partial(_flagged, spans), "key string, kind string, us long, hits long", watermark, keep_s=int(max(s for s, _ in every.values())) + 1)
+        at = F.timestamp_micros("us")
+        return out.select("key", "kind", at.alias("ts"), "hits", F.when(F.col("kind") == "burst", at + F.make_dt_interval(secs=F.lit(float(ban_s)))).alias("until"))
     until = lambda at, kind: F.when(F.lit(kind == "burst"), at + F.make_dt_interval(secs=F.lit(float(ban_s))))
     out = None
     for kind, (seconds, most) in every.items():
         rows = log if kind == "burst" else log.where(F.col("tier") == kind)
-        if log.isStreaming:
-            part = rows.groupBy("key", F.window("ts", f"{seconds} seconds", "1 second").alias("w")).agg(F.count("*").alias("hits")).where(F.col("hits") > most).select("key", F.lit(kind).alias("kind"), F.col("w.end").alias("ts"), "hits", until(F.col("w.end"), kind).alias("until"))
-        else:
-            order = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(1 - int(seconds * 1_000_000), 0)
-            part = rows.withColumn("hits", F.count("*").over(order)).where(F.col("hits") > most).select("key", F.lit(kind).alias("kind"), "ts", "hits", until(F.col("ts"), kind).alias("until"))
+        order = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(1 - int(seconds * 1_000_000), 0)
+        part = rows.withColumn("hits", F.count("*").over(order)).where(F.col("hits") > most).select("key", F.lit(kind).alias("kind"), "ts", "hits", until(F.col("ts"), kind).alias("until"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _flagged(spans: dict[str, tuple[int, int]], key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """rate_flags of a key's hits that are due, beside those that its state holds."""
+    times, tiers = (np.array(list(state[0]), dtype=np.int64), list(state[1])) if state else (np.array([], dtype=np.int64), [])
+    at, tier = np.r_[times, rows["us"].astype("int64")], np.array([*tiers, *rows["tier"]], dtype=object)
+    new = np.arange(len(at)) >= len(times)
+    out = []
+    for kind, (span, most) in spans.items():
+        mine = np.full(len(at), True) if kind == "burst" else tier == kind
+        t = at[mine]
+        hits = np.searchsorted(t, t, "right") - np.searchsorted(t, t - span + 1, "left")
+        out += [(key[0], kind, int(x), int(n)) for x, n in zip(t[new[mine] & (hits > most)], hits[new[mine] & (hits > most)], strict=True)]
+    held = at > at[-1] - max(span for span, _ in spans.values())
+    return (at[held].tolist(), [None if pd.isna(x) else x for x in tier[held]]), pd.DataFrame(out, columns=["key", "kind", "us", "hits"])
+
+
+OUTCOME = "key string, us long, tier string, outcome string"
+
+
+def request_outcomes(log: DataFrame, tiers: dict[str, tuple[int, int]] = TIERS, burst_s: float = 5, burst_max: int = 20, ban_s: int = 600, watermark: str = "10 seconds") -> DataFrame:
+    """What a limiter answers to each hit (key, ts, tier and, where hits may be, suspicious), in the order of time: one of
+    allowed, limited (its tier's window is full), burst and suspicious (either bans the key for ban_s seconds), blocked (the key is banned).
+
+    Only hits that a window has room for count in it, and none while the key is banned, so that an answer depends on the ones
+    before it: a key's hits are read one by one, on batches from its sorted rows, on streams once the watermark has passed
+    them. The state is the ban and the hits counted in each window, as many as it has room for.
+    """
+    spans = {k: (int(s * 1_000_000), most) for k, (s, most) in ({"burst": (burst_s, burst_max)} | tiers).items()}
+    odd = F.coalesce(F.col("suspicious"), F.lit(False)) if "suspicious" in log.columns else F.lit(False)
+    rows = log.select("key", "ts", F.unix_micros("ts").alias("us"), "tier", odd.alias("odd"))
+    fold = partial(_answered, spans, ban_s * 1_000_000)
+    if log.isStreaming:
+        keep = int(max([burst_s, ban_s, *(s for s, _ in tiers.values())])) + 1
+        return in_order(rows, ["key"], "us", ["tier", "odd"], "until long, kinds array<string>, times array<bigint>", fold, OUTCOME, watermark, keep_s=keep)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for batch in batches:
+            for key, part in batch.groupby("key", sort=False):
+                state = state if key == at else None
+                at = key
+                state, out = fold((key,), state, part)
+                yield out
+
+    ready(log.sparkSession)
+    return rows.where("key is not null").drop("ts").repartition("key").sortWithinPartitions("key", "us", "tier", "odd").mapInPandas(run, OUTCOME)
+
+
+def _answered(spans: dict[str, tuple[int, int]], ban: int, key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    until, seen = (state[0], {}) if state else (-1, {})
+    for kind, t in zip(*state[1:], strict=True) if state else ():
+        seen.setdefault(kind, deque()).append(t)
+
+    def room(kind: str, now: int) -> bool:
+        span, most = spans[kind]
+        window = seen.setdefault(kind, deque())
+        while window and window[0] <= now - span:
+            window.popleft()
+        if len(window) < most:
+            window.append(now)
+            return True
+        return False
+
+    out = []
+    for now, tier, odd in zip(rows["us"].tolist(), rows["tier"], rows["odd"], strict=True):
+        known = tier in spans and tier != "burst"
+        answer = "blocked" if now <= until else "suspicious" if odd else "burst" if not room("burst", now) else "limited" if known and not room(tier, now) else "allowed"
+        until = now + ban if answer in ("suspicious", "burst") else until
+        out.append((key[0], now, tier if isinstance(tier, str) else None, answer))
+    flat = [(k, t) for k, window in seen.items() for t in window]
+    return (until, [k for k, _ in flat], [t for _, t in flat]), pd.DataFrame(out, columns=["key", "us", "tier", "outcome"])
+
+
 def live_totals(rows: DataFrame) -> DataFrame:
     """Totals by status of signals or trades (status, net) as they arrive; run in update mode."""
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("net").alias("net"))
