@@ -31,15 +31,16 @@ def pair_series(pairs: DataFrame, ticks: DataFrame, role: str) -> DataFrame:
     return ticks.join(keys, ["venue", "market_id"])
 
 
-def nearest_asof(leader: DataFrame, follower: DataFrame, by: str, tolerance_s: float | str) -> DataFrame:
+def nearest_asof(leader: DataFrame, follower: DataFrame, by: str, tolerance_s: float | str, most: int = 1_000_000) -> DataFrame:
     """Each leader tick with the follower tick nearest in time, at most tolerance_s (a number, or a column of leader) away; the earlier one on ties.
 
     One shuffle by key and one sort: both series are put in time order, and each leader tick takes the last follower
-    tick before it and the first after it. Of followers at one time the last by id counts as the one before.
+    tick before it and the first after it. Of followers at one time the last by id counts as the one before. A key with more than
+    `most` ticks is cut into slices of time of about so many, each of which gets the last follower before it and the first after it.
     """
     side = lambda df, kind: df.select(by, "ts_us", F.lit(kind).alias("kind"), "tick_id", F.struct("ts_us", "tick_id", "last_price").alias("tick"), (F.col(tolerance_s) if isinstance(tolerance_s, str) and kind else F.lit(None if isinstance(tolerance_s, str) else float(tolerance_s))).cast("double").alias("tol"))
-    both = side(follower, 0).unionByName(side(leader, 1))
-    order = Window.partitionBy(by).orderBy("ts_us", "kind", "tick_id")
+    both = _sliced(side(follower, 0).unionByName(side(leader, 1)), by, most)
+    order = Window.partitionBy(by, "slice").orderBy("ts_us", "kind", "tick_id")
     own = F.when(F.col("kind") == 0, F.col("tick"))
     both = both.withColumn("prev", F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("next", F.first(own, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))).where("kind = 1")
@@ -49,6 +50,29 @@ def nearest_asof(leader: DataFrame, follower: DataFrame, by: str, tolerance_s: f
     return out.select(by, F.col("ts_us").alias("l_us"), F.col("tick.tick_id").alias("l_id"), F.col("tick.last_price").alias("l_price"), F.col("f.ts_us").alias("f_us"), F.col("f.tick_id").alias("f_id"), F.col("f.last_price").alias("f_price"))
 
 
+def _sliced(both: DataFrame, by: str, most: int, fine: int = 1000) -> DataFrame:
+    """both series with slice: 0, or for keys of more than `most` rows one of up to `fine` slices of time by quantiles; and copies of the followers next to each slice's borders."""
+    large = kept(both.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > most), "large-series")
+    n = large.count()
+    if not n:
+        return both.withColumn("slice", F.lit(0))
+    side = F.broadcast(large) if n <= 100_000 else large
+    marks = both.join(side, by).groupBy(by).agg(F.percentile_approx("ts_us", [k / fine for k in range(1, fine)], 10_000).alias("_q"), F.max("_n").alias("_n"))
+    # Every so many of the fine quantiles, so that a slice holds about `most` rows.
+    step = F.greatest(F.floor(F.lit(fine * most) / F.col("_n")), F.lit(1))
+    marks = kept(marks.select(by, F.array_distinct(F.filter("_q", lambda x, i: (i + 1) % step == 0)).alias("_q")), "slices")
+    bounds = F.broadcast(marks) if n <= 10_000 else marks
+    placed = both.join(bounds, by, "left").withColumn("slice", F.when(F.col("_q").isNull(), 0).otherwise(F.size(F.filter("_q", lambda x: x <= F.col("ts_us")))))
+    mine = F.when(F.col("kind") == 0, F.col("tick"))
+    ends = placed.where("_q is not null").groupBy(by, "slice").agg(F.max(mine).alias("last"), F.min(mine).alias("first"))
+    slices = Window.partitionBy(by).orderBy("slice")  # of a large key, one row a slice
+    before = F.last("last", ignorenulls=True).over(slices.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", ignorenulls=True).over(slices.rowsBetween(1, Window.unboundedFollowing))
+    guests = ends.withColumns({"_before": before, "_after": after}).select(by, "slice", F.explode(F.array_compact(F.array("_before", "_after"))).alias("tick"))
+    guests = guests.select(by, F.col("tick.ts_us").alias("ts_us"), F.lit(0).alias("kind"), F.col("tick.tick_id").alias("tick_id"), "tick", F.lit(None).cast("double").alias("tol"), "slice")
+    return placed.drop("_q").unionByName(guests)
+
+
 def drop_repeats(aligned: DataFrame, by: str = "pair_id") -> DataFrame:
     """Aligned rows without those that repeat the row before."""
     order = Window.partitionBy(by).orderBy("l_us", "l_id")

@@ -71,6 +71,21 @@ def test_asof_equals_all_pairs(spark):
         assert got.get(i) == (best[1] if abs(best[3] - t) <= 7_000_000 else None)
 
 
+def test_asof_of_a_hot_pair(spark):
+    """A pair with nine tenths of all ticks, cut into slices: the same rows, and no partition key holds many."""
+    import random
+
+    rng = random.Random(8)
+    side = lambda n, base: [(rng.choice([1] * 9 + [2]), base + k, rng.random(), rng.choice([rng.randrange(0, 900), rng.randrange(400, 410)]) * 1_000_000, float(rng.choice([3, 40]))) for k in range(n)]
+    ddl = "pair_id int, tick_id int, last_price double, ts_us long, tol double"
+    a, b = spark.createDataFrame(side(700, 0), ddl), spark.createDataFrame(side(300, 5000), ddl)
+    rows = lambda most, tol: sorted(map(tuple, ll.nearest_asof(a, b.drop("tol"), "pair_id", tol, most).collect()))
+    for tol in (7.0, "tol"):
+        assert rows(50, tol) == rows(10**9, tol)
+    both = a.select("pair_id", "ts_us", F.lit(1).alias("kind"), "tick_id", F.struct("ts_us", "tick_id", "last_price").alias("tick"), "tol")
+    assert ll._sliced(both, "pair_id", 50).groupBy("pair_id", "slice").count().agg(F.max("count")).first()[0] < 150
+
+
 def markets(spark, rows):
     df = spark.createDataFrame([(v, i, t, "", g, "2026-03-18", 120000.0, 80000.0, 60000.0, True) for v, i, t, g in rows], "venue string, market_id long, title string, resolution_text string, tags array<string>, resolution_window string, volume double, liquidity double, open_interest double, is_active boolean")
     return ll.with_tokens(df)
