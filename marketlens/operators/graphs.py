@@ -67,6 +67,15 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(edges.groupBy("run_id").agg(F.count("*").alias("edges")), "run_id", "left").na.fill(0)
 
 
+def verifier_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per run: source-backed, evidence-backed and unsupported nodes (conceptual ones with neither source, snippets nor metadata), edges without explanation, and completed or fallback."""
+    held = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    bare = F.col("type").isin(*CONCEPTUAL) & ~_some("source_url") & ~held("snippets") & ~held("metadata")
+    n = nodes.groupBy("run_id").agg(F.count_if(_some("source_url")).alias("source_backed"), F.count_if(held("snippets")).alias("evidence_backed"), F.count_if(bare).alias("unsupported"))
+    x = n.join(edges.groupBy("run_id").agg(F.count_if(~_some("explanation")).alias("unexplained")), "run_id", "left").na.fill(0)
+    return x.withColumn("status", F.when((F.col("unsupported") == 0) & (F.col("unexplained") == 0), "completed").otherwise("fallback"))
+
+
 def structural_review(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per run: what its graph lacks, whether it is approved, and 0.88 or 0.63."""
     n = nodes.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "RelatedMarket").alias("m"))

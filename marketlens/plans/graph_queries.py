@@ -72,6 +72,11 @@ def e14(spark, d):
     return gr.graph_stats(*graph(spark, d))
 
 
+@query("e14_verifier_report", f"with {G}, n as (select run_id, count(*) filter (type = 'Entity' and substr(node_id, 2)::int % 4 <> 0) as source_backed, count(*) filter (type = 'Evidence') as evidence_backed, count(*) filter (type = 'Entity' and substr(node_id, 2)::int % 4 = 0) as unsupported from nd group by 1), x as (select run_id, count(*) filter (f <> 'A') as unexplained from ed group by 1) select n.*, unexplained, case when unsupported = 0 and unexplained = 0 then 'completed' else 'fallback' end as status from n join x using (run_id)")
+def e14_verifier(spark, d):
+    return gr.verifier_report(*graph(spark, d))
+
+
 @query("e17_structural_review", f"with {G}, x as (select run_id, count(*) as n from nd group by 1) select run_id, case when n < 6 then 'few_nodes no_indirect_edge' else 'no_indirect_edge' end as issues, false as approved, 0.63::double as quality from x")
 def e17(spark, d):
     return gr.structural_review(*graph(spark, d)).select("run_id", F.array_join("issues", " ").alias("issues"), "approved", F.col("quality").cast("double").alias("quality"))
@@ -348,6 +353,32 @@ def j5(spark, d):
     return tc.backfill_traces(r, traces(spark, d)).select("run_id", "stage", "status")
 
 
+def _saved_runs(spark, d):
+    """Orders as runs with payloads of several shapes, and traces that some of them have already."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    t = lambda x: x.cast("string")
+    cust = F.concat(F.lit('"http://m/'), t(F.col("o_custkey")), F.lit('"'))
+    pipe = F.concat(F.lit('[{"stage": "planner", "status": "completed", "latency_ms": 3}, {"stage": " verifier ", "status": "fallback", "latency_ms": "'), t(k % 100), F.lit('", "cost_usd": 0.5, "citations": ["http://v", " "]}, {"no": 1}, {"stage": "planner", "status": ""}]'))
+    flow = F.lit('[{"step": "llm_expansion", "status": "running"}, {"step": "llm_expansion", "status": "failed"}, {"step": "llm_review", "status": "checked"}]')
+    nodes = F.concat(F.lit('[{"id": 1, "type": "RelatedMarket", "source_url": '), cust, F.lit('}, {"id": "e", "type": "Entity", "evidence_snippets": '), F.when(k % 7 == 0, F.lit("[]")).otherwise(F.lit('[{"quote": "x"}, "y"]')), F.lit("}]"))
+    review = F.when(k % 5 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"approved": '), F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit("false")), F.lit(', "issues": [{"a": 1}]}')))
+    whole = F.concat(F.lit('{"run": {"agent_pipeline": '), F.when(k % 4 == 0, pipe).otherwise(F.lit("null")), F.lit(', "workflow": '), F.when(k % 3 == 0, flow).otherwise(F.lit("[]")), F.lit(', "review": '), review, F.lit('}, "graph": {"nodes": '), nodes, F.lit(', "edges": [{"explanation": "so"}]}}'))
+    runs = o.select(k.alias("run_id"), F.lit("http://home").alias("source_url"), F.when(k % 2 == 0, "agent-enriched").otherwise("seed").alias("mode"), F.when(k % 11 == 0, F.lit("{broken")).otherwise(whole).alias("payload"), F.when(k % 13 == 0, F.lit('[{"step": "llm_expansion", "status": "logged"}]')).alias("workflow_log"))
+    trace = lambda mod, stage, status, n: o.where(k % mod == 0).select((k * 10 + n).alias("trace_id"), k.alias("run_id"), F.lit(stage).alias("stage"), F.lit(status).alias("status"), (k % 50 + n).cast("long").alias("latency_ms"), F.lit(7).cast("long").alias("token_input"), F.lit(2).cast("long").alias("token_output"), F.lit(0.25).alias("cost_usd"), F.array(F.lit("http://old")).alias("citations"))
+    return runs, trace(6, "llm_expansion", "completed", 1).unionByName(trace(12, "llm_expansion", "partial", 2)).unionByName(trace(10, "retriever", "completed", 3)).unionByName(trace(4, "llm_review", "completed", 4))
+
+
+@query("j5_rebuilt_traces", """with o as (select o_orderkey as k, o_custkey as c, o_orderkey % 11 = 0 as broken from orders),
+f as (select *, case when not broken and k % 3 = 0 then 'failed' when k % 13 = 0 then 'logged' end as expansion, case when not broken and k % 3 = 0 then 'checked' end as reviewed, not broken and k % 5 <> 0 as judged, not broken and k % 4 = 0 as piped from o),
+s as (select k as run_id, 'planner' as stage, 'completed' as status, 0::bigint as latency_ms, 0::double as cost_usd, case when piped then '' else 'http://home' end as citations, case when piped then 'payload' else 'rebuilt' end as origin from f
+ union all select k, 'retriever', case when broken then 'fallback' else 'completed' end, 0, 0, case when broken then 'http://home' else 'http://home http://m/' || c end, 'rebuilt' from f where k % 10 <> 0
+ union all select k, 'graph_editor', coalesce(expansion, case when k % 12 = 0 then 'partial' when k % 6 = 0 then 'completed' end, case when k % 2 = 0 then 'completed' else 'skipped' end), case when k % 12 = 0 then k % 50 + 2 when k % 6 = 0 then k % 50 + 1 else 0 end, case when k % 6 = 0 then 0.25 else 0 end, case when k % 6 = 0 then 'http://old' when broken then '' else 'http://m/' || c end, 'rebuilt' from f
+ union all select k, 'verifier', case when piped then 'fallback' when not broken and k % 7 = 0 then 'fallback' else 'completed' end, case when piped then k % 100 else 0 end, case when piped then 0.5 else 0 end, case when piped then 'http://v' when broken then '' else 'http://m/' || c end, case when piped then 'payload' else 'rebuilt' end from f
+ union all select k, 'critic', case when not judged then 'skipped' else coalesce(reviewed, case when k % 2 = 0 then 'completed' else 'fallback' end) end, case when judged and k % 4 = 0 then k % 50 + 4 else 0 end, case when judged and k % 4 = 0 then 0.25 else 0 end, '', 'rebuilt' from f) select * from s""")
+def j5_rebuilt(spark, d):
+    return tc.rebuild_traces(*_saved_runs(spark, d)).select("run_id", "stage", "status", "latency_ms", "cost_usd", F.array_join("citations", " ").alias("citations"), "origin")
+
+
 @query("j6_repair_traces", f"with {TRC} select trace_id, case when cost = 0 and tokens > 0 then round(tokens / 1000000 * 3.0, 6) else cost end::double as cost_usd, 'anthropic' as provider from tr")
 def j6(spark, d):
     t = traces(spark, d).withColumns({"model": F.lit("claude-sonnet-4"), "token_input": F.col("tokens"), "token_output": F.lit(0)})

@@ -181,6 +181,18 @@ def test_backfill_twice(spark):
     assert first.count() == 5 and tc.backfill_traces(runs, first).count() == 0
 
 
+def test_rebuilt_twice(spark):
+    """Records that were rebuilt are traces from then on; overwriting gives all five stages; odd payloads count as empty."""
+    runs = spark.createDataFrame([(1, "u", "seed", None, None), (2, "u", "seed", "[1]", "x"), (3, None, None, '{"run": {"agent_pipeline": {"stage": "planner"}}, "graph": 7}', "{}"), (4, "u", "seed", '{"run": {"agent_pipeline": [{"stage": "critic", "latency_ms": "x"}]}, "context": {"related_candidates": [{"snapshot": {"canonical_url": "v"}}, {"snapshot": {"canonical_url": "", "source_url": "w"}}]}}', None)], "run_id long, source_url string, mode string, payload string, workflow_log string")
+    none = spark.createDataFrame([], "trace_id long, run_id long, stage string, status string, latency_ms long, token_input long, token_output long, cost_usd double, citations array<string>")
+    first = tc.rebuild_traces(runs, none)
+    assert first.count() == 20
+    by = {(r.run_id, r.stage): r for r in first.collect()}
+    assert by[4, "retriever"].citations == ["u", "v", "w"] and by[4, "critic"].origin == "payload" and by[1, "retriever"].status == "fallback" and by[3, "graph_editor"].status == "skipped"
+    have = first.withColumn("trace_id", F.lit(1).cast("long")).select(none.columns)
+    assert tc.rebuild_traces(runs, have).count() == 0 and tc.rebuild_traces(runs, have, overwrite=True).count() == 20
+
+
 def test_normalisers(spark):
     x = spark.createDataFrame([("5.5", 55.0, "1710000000000", " http://a.b/event/x-y/?q=1#f ", '["Yes","No"]', ["Fed", " fed ", "", "Rates"])], "a string, c double, t string, u string, j string, g array<string>")
     r = x.select(nz.to_float(F.col("a")).alias("a"), nz.to_float(F.lit("nan")).alias("n"), nz.cents_or_dollars(F.col("c")).alias("c"), F.unix_seconds(nz.parse_event_time(F.col("t"), F.timestamp_seconds(F.lit(0)))).alias("t"), nz.normalize_url(F.col("u")).alias("u"), nz.url_slug(F.col("u")).alias("s"), nz.url_is_valid(F.trim("u"), "a.b").alias("v"), nz.json_string_list(F.col("j")).alias("j"), nz.json_string_list(F.lit("x")).alias("k"), nz.distinct_ci(F.col("g")).alias("g"), nz.humanize(F.lit("total_cost-usd")).alias("h"), nz.trace_cost(F.lit("claude-opus-4-1"), F.lit(1_000_000), F.lit(0)).alias("p")).first()
