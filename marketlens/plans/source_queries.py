@@ -92,6 +92,27 @@ def a3(spark, d):
     return fl.union_feeds(*parts)
 
 
+@query("a3_export_values", f"with {T}, {P}, {M} select 'ticks ' || venue as part, count(*) as rows, round(sum(p), 6) as total, max(us)::varchar as last from t group by venue union all select 'market_map', count(*), round(sum(volume), 2), max(tag) from m union all select 'leadlag_pairs', count(*), 0::double, max(pair_id)::varchar from pr union all select 'graph_runs', count(*), 0::double, max(o_orderkey)::varchar from orders")
+def a3_values(spark, d):
+    """Values of an export read back, in the types of its columns."""
+    out = _exported(spark, d)
+    read = lambda name: spark.read.schema(fl.export_schema(name)).parquet(f"{out}/{name}")
+    part = lambda df, name, total, last: df.agg(F.count("*").alias("rows"), total.alias("total"), last.cast("string").alias("last")).withColumn("part", name)
+    zero, longest = F.lit(0.0), lambda c: F.max(F.col(c).cast("long"))
+    ticks = read("ticks").groupBy(F.concat(F.lit("ticks "), "venue").alias("part")).agg(F.count("*").alias("rows"), F.round(F.sum("last_price"), 6).alias("total"), F.max("ts_us").cast("string").alias("last"))
+    rest = [part(read("market_map"), F.lit("market_map"), F.round(F.sum("volume"), 2), F.max(F.get("tags", F.lit(0)))), part(read("leadlag_pairs"), F.lit("leadlag_pairs"), zero, longest("pair_id")), part(read("graph_runs"), F.lit("graph_runs"), zero, longest("run_id"))]
+    for x in rest:
+        ticks = ticks.unionByName(x)
+    return ticks
+
+
+@query("a4_saved_tables", f"with {M} select venue, count(*) as markets, round(sum(volume), 2) as volume, 0::double as net, 0::bigint as watched from m group by 1")
+def a4_saved(spark, d):
+    """Saved tables of an export: those never exported are there in their own types."""
+    fl.register_tables(spark, _exported(spark, d), database="exported")
+    return spark.sql("select venue, count(*) as markets, round(sum(volume), 2) as volume, (select coalesce(sum(net), 0.0D) from exported.paper_trades where gross > 0) as net, (select count(*) from exported.watchlists where is_featured) as watched from exported.market_map group by venue")
+
+
 @query("a4_register_tables", f"with {M}, s as (select venue, count(*) as markets, round(sum(volume), 2) as volume from m group by 1) select venue, markets, volume, 0::bigint as trades, 0::bigint as watched, (select count(*) from orders) as runs from s")
 def a4(spark, d):
     """Views of an export asked by SQL; of tables without rows, and of those never exported, too."""

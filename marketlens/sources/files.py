@@ -22,6 +22,19 @@ EXPORTS = {
 }
 
 
+#: Types of the columns of exports that aren't text: the same in every table that has the column.
+EXPORT_TYPES = {
+    **dict.fromkeys(["snapshot_id", "judgment_id", "trace_id", "tick_id", "pair_id", "created_us", "updated_us", "ts_us", "latency_ms", "tokens", "reviewers", "relevance", "target"], "bigint"),
+    **dict.fromkeys(["p", "volume", "liquidity", "open_interest", "resolved_probability", "agreement_rate", "cost_usd", "last_price", "yes_bid", "yes_ask", "total_bid_depth", "total_ask_depth", "composite", "edge", "cost", "entry", "exit", "gross", "net", "extremeness", "log_volume", "log_liquidity", "baseline", "context", "unsupported_rate", "explained_rate", "citation_rate", "trust"], "double"),
+    **dict.fromkeys(["is_featured", "is_active", "is_trade_eligible"], "boolean"), "tags": "array<string>", "metrics": "map<string,double>",
+}
+
+
+def export_schema(name: str) -> str:
+    """The columns of a table of an export with their types."""
+    return ", ".join(f"{c} {EXPORT_TYPES.get(c, 'string')}" for c in EXPORTS[name][0])
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, asked of the store that Spark reads it from."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -126,27 +139,38 @@ def page(df: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -
 
 
 def export_dataset(tables: dict[str, DataFrame], out: str, fmt: str = "parquet") -> list[str]:
-    """Writes each table of EXPORTS that is given, with its columns (nulls for those it lacks), sorted within files; returns their names."""
+    """Writes each table of EXPORTS that is given, with its columns in their types (nulls for those it lacks), sorted within files; returns their names."""
     done = []
     for name, (cols, order) in EXPORTS.items():
         if name in tables:
             df = tables[name]
-            whole = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols))
+            whole = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(EXPORT_TYPES.get(c, "string")).alias(c) for c in cols))
             whole.sortWithinPartitions(*order).write.mode("overwrite").format(fmt).save(f"{out}/{name}")
             done.append(name)
     return done
 
 
-def register_tables(spark: SparkSession, out: str, fmt: str = "parquet") -> list[str]:
-    """A view for each table of EXPORTS under out, an empty one for those that were not exported; returns the names of the others."""
+def register_tables(spark: SparkSession, out: str, fmt: str = "parquet", database: str | None = None) -> list[str]:
+    """A view for each table of EXPORTS under out, an empty one of the same columns for those that were not exported; returns the names of the others.
+
+    With a database they are saved tables there, each dropped and made anew over its files; a table without rows is described as a full one is.
+    """
     names = []
-    for name, (cols, _) in EXPORTS.items():
-        if _exists(spark, f"{out}/{name}"):
-            df = spark.read.format(fmt).load(f"{out}/{name}")
+    if database:
+        spark.sql(f"create database if not exists {database} location '{out}/_database'")
+    for name in EXPORTS:
+        path, there = f"{out}/{name}", _exists(spark, f"{out}/{name}")
+        if there:
             names.append(name)
+        if database:
+            if not there:
+                path = f"{out}/_empty/{name}"
+                spark.createDataFrame([], export_schema(name)).write.mode("overwrite").format(fmt).save(path)
+            spark.sql(f"drop table if exists {database}.{name}")
+            spark.sql(f"create table {database}.{name} ({export_schema(name)}) using {fmt} location '{path}'")
         else:
-            df = spark.createDataFrame([], ", ".join(f"{c} string" for c in cols))
-        df.createOrReplaceTempView(name)
+            df = spark.read.schema(export_schema(name)).format(fmt).load(path) if there else spark.createDataFrame([], export_schema(name))
+            df.createOrReplaceTempView(name)
     return names
 
 

@@ -257,6 +257,11 @@ def test_files(spark, tmp_path):
     done = fl.export_dataset({"leadlag_pairs": spark.createDataFrame([(1, "x", 0.5, True)], "pair_id long, pair_type string, composite double, is_trade_eligible boolean")}, str(tmp_path / "out"))
     assert done == ["leadlag_pairs"] and fl.register_tables(spark, str(tmp_path / "out")) == done and spark.table("leadlag_pairs").count() == 1
     assert len(fl.EXPORTS) == 17
+    full = {n: spark.createDataFrame([], fl.export_schema(n)) for n in fl.EXPORTS}
+    assert len(fl.export_dataset(full, str(tmp_path / "all"))) == 17 == len(fl.register_tables(spark, str(tmp_path / "all"), database="whole"))
+    assert fl.register_tables(spark, str(tmp_path / "out"), database="partly") == done and spark.table("partly.leadlag_pairs").count() == 1
+    described = lambda d, n: [(r.col_name, r.data_type) for r in spark.sql(f"describe {d}.{n}").collect()]
+    assert all(described("whole", n) == described("partly", n) for n in fl.EXPORTS) and ("net", "double") in described("partly", "paper_trades")
 
 
 def test_path_beats_plain_search(spark):
