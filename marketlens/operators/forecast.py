@@ -145,11 +145,15 @@ def logistic(x: np.ndarray, y: np.ndarray, epochs: int = 400, rate: float = 0.2,
     z, w, prior = (x - means) / scales, np.zeros(x.shape[1]), y.mean()
     b = np.log(prior / (1 - prior))
     for _ in range(epochs):
-        e = 1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y
+        e = sigmoid(z @ w + b) - y
         w, b = w - rate * (z.T @ e / len(y) + decay * w), b - rate * e.mean()
     return w, b, means, scales
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def expanding_folds(df: DataFrame, order: list[str], min_train: int = 8) -> DataFrame:
     """df with its position in order (1 ..), and fold: the position where it is evaluated, null for the first min_train rows.
 
@@ -165,18 +169,86 @@ def expanding_folds(df: DataFrame, order: list[str], min_train: int = 8) -> Data
     return out.withColumn("fold", F.when(F.col("ord") > min_train, F.col("ord")))
 
 
-def fit_logistic(df: DataFrame, by: str, features: list[str] = FEATURES, epochs: int = 400) -> DataFrame:
-    """Per group: prior, weights, bias, means and scales of a logistic model of target; weights are null where a group has one class."""
+def fit_logistic(df: DataFrame, by: str, features: list[str] = FEATURES, epochs: int = 400, held: int = 500_000) -> DataFrame:
+    """Per group: prior, weights, bias, means and scales of a logistic model of target; weights are null where a group has one class.
+
+    Groups of at most `held` rows are fitted where they meet. The rows of larger ones stay where they are: each step adds up gradients
+    over all of them (descend). There may be as many groups as a table of a row for each, which is counted, can hold.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         y = part["target"].to_numpy(float)
         m = logistic(part[features].to_numpy(float), y, epochs)
         row = [part[by].iloc[0], float(np.clip(y.mean(), 1e-6, 1 - 1e-6))] + ([m[0], float(m[1]), m[2], m[3]] if m else [None, None, None, None])
-        return pd.DataFrame([row], columns=[by, "prior", "weights", "bias", "means", "scales"])
+        return pd.DataFrame([row], columns=[by, *MODEL_COLUMNS])
 
     ready(df.sparkSession)
     kind = df.schema[by].dataType.simpleString()
-    return df.groupBy(by).applyInPandas(run, f"{by} {kind}, prior double, weights array<double>, bias double, means array<double>, scales array<double>")
+    large = [r[by] for r in df.groupBy(by).count().where(F.col("count") > held).select(by).collect()]  # at most rows / held of them
+    small = df.where(~F.coalesce(F.col(by).isin(large), F.lit(False))) if large else df
+    out = small.select(by, "target", *features).groupBy(by).applyInPandas(run, f"{by} {kind}, {MODEL}")
+    return out.unionByName(descend(df.where(F.col(by).isin(large)), by, large, features, epochs)) if large else out
+
+
+MODEL = "prior double, weights array<double>, bias double, means array<double>, scales array<double>"
+MODEL_COLUMNS = [x.split()[0] for x in MODEL.split(", ")]
+
+
+def descend(df: DataFrame, by: str, models: list, features: list[str] = FEATURES, epochs: int = 400, rate: float = 0.2, decay: float = 0.001, before: bool = False) -> DataFrame:
+    """fit_logistic for some groups, or with before for models of all rows whose group comes before theirs, by as many jobs as there are steps.
+
+    Rows are written once and stay in their partitions: a step hands out the models' weights, and each task returns the sums of its rows'
+    gradients, ten numbers for each model; no row is copied into the models that it belongs to. Models are few (a year or a month each).
+    """
+    spark, n = df.sparkSession, len(features)
+    models, kind = sorted(models), df.schema[by].dataType.simpleString()
+    rows = kept(df.select(by, F.col("target").cast("double").alias("target"), *(F.col(c).cast("double").alias(c) for c in features)), "training")
+
+    def member(group: pd.Series) -> np.ndarray:
+        g = group.to_numpy()[:, None]
+        return (g < np.array(models) if before else g == np.array(models)).astype(float)
+
+    def summed(f, width: int) -> np.ndarray:
+        """The sum over all rows of f(x, y, member): models x width numbers."""
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(models), width))
+            for b in batches:
+                total += f(b[features].to_numpy(float), b["target"].to_numpy(float), member(b[by]))
+            yield pd.DataFrame({"k": np.arange(len(models) * width), "v": total.ravel()})
+
+        sums = rows.mapInPandas(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        return np.array([r.v for r in sorted(sums)] or np.zeros(len(models) * width)).reshape(len(models), width)
+
+    first = summed(lambda x, y, m: np.hstack([m.sum(0)[:, None], m.T @ y[:, None], m.T @ x]), n + 2)
+    count = np.maximum(first[:, 0], 1)
+    means = first[:, 2:] / count[:, None]
+    spread = summed(lambda x, y, m: np.stack([(m[:, [k]] * (x - means[k]) ** 2).sum(0) for k in range(len(models))]), n)
+    scales = np.sqrt(spread / count[:, None])
+    scales[scales <= 1e-12 * (1 + np.abs(means))] = 1.0
+    share = first[:, 1] / count
+    prior = np.clip(share, 1e-6, 1 - 1e-6)
+    weights, bias = np.zeros((len(models), n)), np.log(prior / (1 - prior))
+    for _ in range(epochs):
+        w, c = weights, bias
+
+        def gradient(x: np.ndarray, y: np.ndarray, m: np.ndarray, w: np.ndarray = w, c: np.ndarray = c) -> np.ndarray:
+            out = np.zeros((len(models), n + 1))
+            for k in range(len(models)):
+                mine = m[:, k] > 0
+                z = (x[mine] - means[k]) / scales[k]
+                e = sigmoid(z @ w[k] + c[k]) - y[mine]
+                out[k] = [*(z.T @ e), e.sum()]
+            return out
+
+        g = summed(gradient, n + 1) / count[:, None]
+        weights, bias = weights - rate * (g[:, :n] + decay * weights), bias - rate * g[:, n]
+    out = []
+    for k, name in enumerate(models):
+        fit = [weights[k].tolist(), float(bias[k]), means[k].tolist(), scales[k].tolist()] if 0 < share[k] < 1 else [None] * 4
+        if first[k, 0]:
+            out.append((name, float(prior[k]), *fit))
+    return spark.createDataFrame(out, f"{by} {kind}, {MODEL}")
 
 
 def predict_logistic(df: DataFrame, models: DataFrame, by: str, features: list[str] = FEATURES) -> DataFrame:
@@ -187,12 +259,12 @@ def predict_logistic(df: DataFrame, models: DataFrame, by: str, features: list[s
     return x.withColumn("model_probability", F.when(F.col("weights").isNull(), F.col("prior")).otherwise(1 / (1 + F.exp(-F.least(F.greatest(dot, F.lit(-30.0)), F.lit(30.0)))))).drop("prior", "weights", "bias", "means", "scales")
 
 
-def forecast_backtest(examples: DataFrame, min_train: int = 8, mode: str = "blocks", block: str = "block", sample: int | None = None) -> DataFrame:
+def forecast_backtest(examples: DataFrame, min_train: int = 8, mode: str = "blocks", block: str = "block", sample: int | None = None, held: int = 500_000, epochs: int = 400) -> DataFrame:
     """examples evaluated by models fitted on what came before them.
 
     exact: a model for each evaluated row, of all rows before it; quadratic, for parity on small data. blocks: a model for
-    each value of block (say a month), of the rows of earlier blocks; a distributed logistic regression when pyspark.ml is asked
-    for by mode ml. Rows before the first min_train are not evaluated.
+    each value of block (say a month), of the rows of earlier blocks: of up to `held` rows in one task for each, beyond by gradients summed
+    over all rows (descend), which copies none; a logistic regression of pyspark.ml when asked for by mode ml. Rows before the first min_train are not evaluated.
     """
     if mode == "exact":
         rows = expanding_folds(examples, ["ts_us", "snapshot_id"], min_train)
@@ -205,7 +277,11 @@ def forecast_backtest(examples: DataFrame, min_train: int = 8, mode: str = "bloc
     folds = blocks.select(F.col(block).alias("f"), before.alias("seen")).where(F.col("seen") >= min_train).select("f")
     if mode == "ml":
         return _ml_backtest(examples, folds, block)
-    models = fit_logistic(examples.join(F.broadcast(folds), F.col(block) < F.col("f")), "f")
+    if examples.count() > held:
+        ready(examples.sparkSession)
+        models = descend(examples, block, [r.f for r in folds.collect()], epochs=epochs, before=True).withColumnRenamed(block, "f")  # a row for each block
+    else:
+        models = fit_logistic(examples.join(F.broadcast(folds), F.col(block) < F.col("f")), "f", epochs=epochs, held=held)
     return predict_logistic(examples.withColumn("f", F.col(block)), models, "f").drop("f")
 
 

@@ -71,6 +71,22 @@ def test_asof_equals_all_pairs(spark):
         assert got.get(i) == (best[1] if abs(best[3] - t) <= 7_000_000 else None)
 
 
+def test_descent_like_one_task(spark):
+    """Gradients summed over all rows give the models that one task does; a group of one class has a prior alone."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(g, k, rng.random(), rng.random() * 9, 5.0, int(rng.random() < 0.3 + 0.1 * g) if g < 3 else 1) for g in range(4) for k in range(40)]
+    df = spark.createDataFrame(rows, "block int, snapshot_id int, a double, b double, c double, target int").repartition(3)
+    near = lambda x, y: x is None and y is None or abs(x - y) < 1e-9
+    flat = lambda r: [r.prior, r.bias, *(r.weights or []), *(r.means or []), *(r.scales or [])]
+    one, many = ({r.block: flat(r) for r in fc.fit_logistic(df, "block", ["a", "b", "c"], 12, held).collect()} for held in (1000, 0))
+    assert set(one) == {0, 1, 2, 3} and all(len(one[g]) == len(many[g]) and all(map(near, one[g], many[g])) for g in one) and one[3][1] is None
+    x = df.withColumns({f: F.col("a") * (i + 1) if i % 2 else F.col("b") for i, f in enumerate(fc.FEATURES)}).withColumn("ts_us", F.col("block"))
+    runs = [{(r.block, r.snapshot_id): r.model_probability for r in fc.forecast_backtest(x, held=held, epochs=7).collect()} for held in (1000, 0)]
+    assert len(runs[0]) == 120 and set(runs[0]) == set(runs[1]) and all(near(runs[0][k], runs[1][k]) for k in runs[0])
+
+
 def test_asof_of_a_hot_pair(spark):
     """A pair with nine tenths of all ticks, cut into slices: the same rows, and no partition key holds many."""
     import random
