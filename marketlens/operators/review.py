@@ -132,17 +132,18 @@ def negative_candidates(queries: DataFrame, catalog: DataFrame, positives: DataF
     of two) where so little is enough. Queries with fewer than n seeds look up all their words. Shared words are counted from the join, so
     that no pair is scored which isn't met.
     """
-    words = lambda df, id_: df.select(id_, F.explode(F.array_distinct("tokens")).alias("t"))
-    index = kept(catalog.select("candidate_key", F.size(F.array_distinct("tokens")).alias("b"), F.explode(F.array_distinct("tokens")).alias("t")).withColumn("c", F.floor(F.log2("b")).cast("int")), "index")
+    once = lambda df, id_: kept(df.select(id_, F.array_distinct("tokens").alias("own")), "words")
+    asking, rows = once(queries, "query_id"), once(catalog, "candidate_key")
+    index = kept(rows.select("candidate_key", F.size("own").alias("b"), F.explode("own").alias("t")).withColumn("c", F.floor(F.log2("b")).cast("int")), "index")
     df = index.groupBy("t").agg(F.count("*").alias("df"))
     rank = Window.partitionBy("query_id").orderBy("df", "t")
-    mine = words(queries, "query_id").join(df, "t", "left").na.fill(0, ["df"])
+    mine = asking.select("query_id", F.explode("own").alias("t")).join(df, "t", "left").na.fill(0, ["df"])
     mine = kept(mine.withColumns({"i": F.row_number().over(rank), "a": F.count("*").over(Window.partitionBy("query_id"))}).where("df > 0"), "query-words")
     known = positives.select("query_id", "candidate_key").distinct()
 
     heads = index.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy("b", "candidate_key"))).where(F.col("r") <= seeds)
     first = mine.where("i <= 8").join(heads, "t").select("query_id", "candidate_key").distinct().join(known, ["query_id", "candidate_key"], "left_anti")
-    sized = first.join(queries.select("query_id", F.array_distinct("tokens").alias("q")), "query_id").join(catalog.select("candidate_key", F.array_distinct("tokens").alias("d")), "candidate_key")
+    sized = first.join(asking.withColumnRenamed("own", "q"), "query_id").join(rows.withColumnRenamed("own", "d"), "candidate_key")
     scored = sized.select("query_id", "candidate_key", _lexical(token_overlap(F.col("q"), F.col("d")), F.size("q"), F.size("d")).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     least = kept(scored.withColumn("r", place).where(F.col("r") == n).select("query_id", (F.col("score") - 1e-9).alias("least")), "least")
@@ -165,7 +166,8 @@ def hard_negatives(queries: DataFrame, catalog: DataFrame, positives: DataFrame,
     popularity. For that each query with fewer than n others is given as many of the most popular rows as it has positives and
     negatives to come, so that n are left whichever of them are positives or hits.
     """
-    q, c = queries.select("query_id", F.col("tokens").alias("src")), catalog.select("candidate_key", F.col("tokens").alias("title"), "popularity")
+    queries, catalog = kept(queries.select("query_id", "tokens"), "queries"), kept(catalog.select("candidate_key", "tokens", "popularity"), "catalog")
+    q, c = queries.withColumnRenamed("tokens", "src"), catalog.withColumnRenamed("tokens", "title")
     met, least = negative_candidates(queries, catalog, positives, n, seeds)
     met = kept(met, "met")
     some = met.groupBy("query_id").agg(F.count("*").alias("h"))
