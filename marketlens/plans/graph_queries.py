@@ -46,10 +46,10 @@ def graph(spark, d):
     return nodes, edges
 
 
-G = """gx as (select l_orderkey as run_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as rn, 'o' || l_orderkey as o, 'p' || l_partkey as p, 's' || l_suppkey as s, 'n' || s_nationkey as n, 1 - l_discount as c, l_extendedprice as v, l_partkey % 50 as g, l_returnflag as f from lineitem join supplier on l_suppkey = s_suppkey),
-nd as (select run_id, o as node_id, 0 as pos, o as label, 0.99::double as confidence, max(v) as volume, 'Event' as type from gx group by run_id, o union all select run_id, p, min(100 + rn), min('Part ' || g), max(c), max(v), 'RelatedMarket' from gx group by run_id, p
+G = """gx as materialized (select l_orderkey as run_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as rn, 'o' || l_orderkey as o, 'p' || l_partkey as p, 's' || l_suppkey as s, 'n' || s_nationkey as n, 1 - l_discount as c, l_extendedprice as v, l_partkey % 50 as g, l_returnflag as f from lineitem join supplier on l_suppkey = s_suppkey),
+nd as materialized (select run_id, o as node_id, 0 as pos, o as label, 0.99::double as confidence, max(v) as volume, 'Event' as type from gx group by run_id, o union all select run_id, p, min(100 + rn), min('Part ' || g), max(c), max(v), 'RelatedMarket' from gx group by run_id, p
   union all select run_id, s, min(300 + rn), s, 0.7::double, max(v), 'Entity' from gx group by run_id, s union all select run_id, n, min(500 + rn), n, 0.6::double, max(v), 'Evidence' from gx group by run_id, n),
-ed as (select run_id, 3 * rn as pos, o || '>' || p || '>' || rn as edge_id, o as source, p as target, 'related_to' as type, c as confidence, f from gx union all select run_id, 3 * rn + 1, p || '>' || s || '>' || rn, p, s, 'affects_directly', 0.7::double, f from gx union all select run_id, 3 * rn + 2, s || '>' || n || '>' || rn, s, n, 'supported_by', 0.6::double, f from gx)"""
+ed as materialized (select run_id, 3 * rn as pos, o || '>' || p || '>' || rn as edge_id, o as source, p as target, 'related_to' as type, c as confidence, f from gx union all select run_id, 3 * rn + 1, p || '>' || s || '>' || rn, p, s, 'affects_directly', 0.7::double, f from gx union all select run_id, 3 * rn + 2, s || '>' || n || '>' || rn, s, n, 'supported_by', 0.6::double, f from gx)"""
 
 FE = f"""{G}, fn as (select run_id, count(*) as node_count, count(*) filter (type = 'RelatedMarket') as n_relatedmarket, count(*) filter (type = 'Evidence') as n_evidence, avg(confidence) as avg_node_confidence, sum(case when type = 'RelatedMarket' then volume else 0 end) as related_volume, max(volume) filter (type = 'Event') as event_volume from nd group by 1),
 fe as (select run_id, count(*) as edge_count, avg(confidence) as avg_edge_confidence, min(confidence) as min_edge_confidence, max(confidence) as max_edge_confidence, count(distinct type)::int as edge_type_diversity from ed group by 1),
@@ -278,9 +278,9 @@ def i7(spark, d):
     return x.select("run_id", "event_slug", R("score"), F.coalesce(F.size("path"), F.lit(-1)).alias("path_nodes"), text("related"), text("evidence"), "next_catalyst", text("moved"), R("trust"), "trace_stages", "trace_health", F.array_join("caveats", " ").alias("caveats"))
 
 
-CAND = """ca as (select a.o_orderkey as run_id, b.o_orderkey as k, round(0.5 + (b.o_orderkey % 40) / 100, 2)::double as c, row_number() over (partition by a.o_orderkey order by round(0.5 + (b.o_orderkey % 40) / 100, 2) desc, 'o' || b.o_orderkey) as r from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey and b.o_orderkey % 5 = 0 qualify r <= 4),
-cl as (select o_orderkey as run_id, o_orderstatus as st, lower(c_mktsegment) as seg, o_orderkey in (select run_id from ca) as has from orders join customer on o_custkey = c_custkey),
-bn as (select run_id, 0 as pos, 'evt_001' as node_id, 'Event' as type, 1.0::double as c from cl union all select run_id, 1, 'ent_1_order', 'Entity', 0.71 from cl union all select run_id, 2, 'ent_2_' || seg, 'Entity', 0.76 from cl
+CAND = """ca as materialized (select a.o_orderkey as run_id, b.o_orderkey as k, round(0.5 + (b.o_orderkey % 40) / 100, 2)::double as c, row_number() over (partition by a.o_orderkey order by round(0.5 + (b.o_orderkey % 40) / 100, 2) desc, 'o' || b.o_orderkey) as r from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey and b.o_orderkey % 5 = 0 qualify r <= 4),
+cl as materialized (select o_orderkey as run_id, o_orderstatus as st, lower(c_mktsegment) as seg, o_orderkey in (select run_id from ca) as has from orders join customer on o_custkey = c_custkey),
+bn as materialized (select run_id, 0 as pos, 'evt_001' as node_id, 'Event' as type, 1.0::double as c from cl union all select run_id, 1, 'ent_1_order', 'Entity', 0.71 from cl union all select run_id, 2, 'ent_2_' || seg, 'Entity', 0.76 from cl
   union all select run_id, 10 + r, 'mkt_' || r || '_o' || k, 'RelatedMarket', c from ca union all select run_id, 11, 'mkt_fallback_1_status-' || lower(st), 'RelatedMarket', 0.58 from cl where not has union all select run_id, 12, 'mkt_fallback_2_second', 'RelatedMarket', 0.55 from cl where not has
   union all select run_id, 21, 'ev_description', 'Evidence', 0.87 from cl union all select run_id, 22, 'ev_market_structure', 'Evidence', 0.79 from cl where st <> 'P' union all select run_id, 23, 'ev_timing', 'Evidence', 0.73 from cl where st <> 'O' union all select run_id, 30, 'rule_resolution', 'Rule', 0.96 from cl where st = 'F'
   union all select run_id, 40 + r, 'hyp_' || r || '_o' || k, 'Hypothesis', round(least(greatest(c - 0.05, 0.45), 0.99), 2) from ca where r <= 2 union all select run_id, 41, 'hyp_fallback_narrative', 'Hypothesis', 0.61 from cl where not has)"""
