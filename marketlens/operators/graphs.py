@@ -316,8 +316,11 @@ def graph_diff(nodes: DataFrame, run_pairs: DataFrame, k: int = 5) -> DataFrame:
     """Per (run_id, other_id): labels of the nodes, told apart by (type, label), that the run added and lost against the other, the first k in order; of added evidence the first 3; and by how many nodes they differ."""
     keys = nodes.groupBy("run_id").agg(F.collect_set(F.struct("label", "type")).alias("keys"))
     x = run_pairs.join(keys, "run_id").join(keys.select(F.col("run_id").alias("other_id"), F.col("keys").alias("old")), "other_id")
-    labels = lambda a, b, n, kind=None: F.slice(F.array_sort(F.transform(F.filter(F.array_except(a, b), lambda r: (r["label"] != "") & ((r["type"] == kind) if kind else F.lit(True))), lambda r: r["label"])), 1, n)
-    return x.select("run_id", "other_id", labels("keys", "old", k).alias("added"), labels("old", "keys", k).alias("removed"), labels("keys", "old", 3, "Evidence").alias("added_evidence"), (F.size("keys") - F.size("old")).alias("node_delta"))
+    delta = (F.size("keys") - F.size("old")).alias("node_delta")
+    both = F.struct(F.array_except("keys", "old").alias("plus"), F.array_except("old", "keys").alias("minus"), delta)
+    x = x.select("run_id", "other_id", F.inline(F.array(both)))  # a generator: each difference is made once
+    labels = lambda c, n, kind=None: F.slice(F.array_sort(F.transform(F.filter(c, lambda r: (r["label"] != "") & ((r["type"] == kind) if kind else F.lit(True))), lambda r: r["label"])), 1, n)
+    return x.select("run_id", "other_id", labels("plus", k).alias("added"), labels("minus", k).alias("removed"), labels("plus", 3, "Evidence").alias("added_evidence"), "node_delta")
 
 
 def graph_changes(nodes: DataFrame, edges: DataFrame, run_pairs: DataFrame) -> DataFrame:

@@ -102,12 +102,29 @@ LOG = "hl as (select user_id as key, epoch_us(ts) as us, case when event_type =
 w as (select key, tier as kind, us, count(*) over (partition by key, tier order by us range between 86399999999 preceding and current row) as hits from hl where tier is not null)
 select key, kind, us, hits, us + 600000000 as until_us from b where hits > 1 union all select key, kind, us, hits, null from w where hits > case kind when 'api_write' then 1 when 'api_read' then 3 else 2 end""")
 def l6(spark, d):
+    x = bk.rate_flags(_log(spark, d), {"api_write": (86_400, 1), "api_read": (86_400, 3), "page": (86_400, 2)}, burst_s=14_400, burst_max=1)
+    return x.select("key", "kind", F.unix_micros("ts").alias("us"), "hits", F.unix_micros("until").alias("until_us"))
+
+
+def _log(spark, d):
     e = table(spark, d, "events")
     method = F.when(F.col("event_type") == "purchase", "POST").otherwise("GET")
     path = F.element_at(F.create_map(*(F.lit(x) for kv in (("view", "/app"), ("click", "/api/v1/runs/"), ("error", "/api/v1/health"), ("purchase", "/api/v1/runs/"), ("signup", "/about/")) for x in kv)), F.col("event_type"))
-    log = e.select(F.col("user_id").alias("key"), F.timestamp_micros(ad.micros("ts")).alias("ts"), bk.request_tier(method, path).alias("tier"))
-    x = bk.rate_flags(log, {"api_write": (86_400, 1), "api_read": (86_400, 3), "page": (86_400, 2)}, burst_s=14_400, burst_max=1)
-    return x.select("key", "kind", F.unix_micros("ts").alias("us"), "hits", F.unix_micros("until").alias("until_us"))
+    return e.select(F.col("user_id").alias("key"), F.timestamp_micros(ad.micros("ts")).alias("ts"), bk.request_tier(method, path).alias("tier"))
+
+
+@query("l6_request_outcomes", f"""with recursive {LOG}, o as (select *, row_number() over (partition by key order by us, tier nulls first) as n from hl),
+s as (select distinct key, 0::bigint as n, -1::bigint as until, []::bigint[] as b, []::bigint[] as w, []::bigint[] as r, []::bigint[] as p, null::bigint as us, null::varchar as tier, null::varchar as outcome from hl union all
+ select key, n, case when outcome = 'burst' then us + 3600000000 else until end, case when outcome = 'blocked' then b when outcome = 'burst' then fb else list_append(fb, us) end,
+  case when tier = 'api_write' and outcome = 'allowed' then list_append(ft, us) else w end, case when tier = 'api_read' and outcome = 'allowed' then list_append(ft, us) else r end, case when tier = 'page' and outcome = 'allowed' then list_append(ft, us) else p end, us, tier, outcome
+ from (select *, case when us <= until then 'blocked' when len(fb) >= 2 then 'burst' when tier is not null and len(ft) >= case tier when 'api_write' then 1 when 'api_read' then 3 else 2 end then 'limited' else 'allowed' end as outcome
+  from (select s.key, o.n, until, b, w, r, p, o.us, o.tier, list_filter(b, lambda x: x > o.us - 14400000000) as fb, list_filter(case o.tier when 'api_write' then w when 'api_read' then r else p end, lambda x: x > o.us - 864000000000) as ft from s join o on o.key = s.key and o.n = s.n + 1)))
+select key, us, tier, outcome from s where n > 0""")
+def l6_outcomes(spark, d):
+    """Answers to all requests: windows of ten days and four hours, bans of an hour."""
+    log = _log(spark, d).withColumn("key", F.col("key").cast("string"))
+    x = bk.request_outcomes(log, {"api_write": (864_000, 1), "api_read": (864_000, 3), "page": (864_000, 2)}, burst_s=14_400, burst_max=2, ban_s=3600)
+    return x.select(F.col("key").cast("long").alias("key"), "us", "tier", "outcome")
 
 
 @query("l7_live_totals", f"with {T} select event_type as status, count(*) as n, round(sum(p), 6) as net from t group by 1")

@@ -127,6 +127,22 @@ def test_repeats_bring_books(spark, tmp_path):
     assert sorted(map(tuple, out.where("tick_id < 1000000").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_live_totals_on_a_stream(spark, tmp_path):
+    """Totals after each of five files: the last update of each status is the batch's total."""
+    rng = random.Random(6)
+    rows = [{"status": rng.choice(["open", "won", "lost"]), "net": rng.randint(-50, 50) / 4} for _ in range(200)]
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(5):
+        (src / f"{k}.json").write_text("\n".join(map(json.dumps, rows[k * 40 : k * 40 + 40])))
+    stream = spark.readStream.schema("status string, net double").option("maxFilesPerTrigger", 1).json(str(src))
+    seen = {}
+    put = lambda batch, n: seen.update({r.status: (n, r.n, r.net) for r in batch.collect()})
+    bk.live_totals(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    want = bk.live_totals(spark.createDataFrame([tuple(r.values()) for r in rows], "status string, net double")).collect()
+    assert {k: v[1:] for k, v in seen.items()} == {r.status: (r.n, r.net) for r in want} and max(n for n, _, _ in seen.values()) == 4
+
+
 def test_store_must_be_named(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
     try:
