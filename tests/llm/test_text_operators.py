@@ -492,6 +492,58 @@ def test_chain_of_near_copies(spark):
         assert sum(3 * k + i in got for k in range(200)) >= 190
 
 
+def test_line_of_many_texts(spark):
+    """2,000 texts of their own around one line of 46 words are hardly compared; a near passage beside the line in some is found."""
+    import numpy as np
+
+    from marketlens import scratch
+
+    rng, rows = np.random.default_rng(19), []
+    new = lambda n: [f"h{x}" for x in rng.integers(0, 10**9, n)]
+    line, beside = new(46), new(30)
+    for i in range(2000):
+        own = [*beside[:12], f"e{i}", *beside[13:]] if i % 100 == 7 else new(30)
+        rows.append((i, " ".join(new(40) + line + own + new(40))))
+    since = scratch.mark()
+    got = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i for i in range(2000) if i % 100 == 7 and i != 7}
+    assert got == want
+    compared = spark.read.parquet(*[x for x in scratch._made[since:] if "/partners-" in x]).count()
+    assert compared < 10 * 2000
+
+
+def test_telling_shingles_lose_no_partner():
+    """Rows that may share a passage share a shingle that is looked up; a line in all rows is left out."""
+    import numpy as np
+
+    rng, least = np.random.default_rng(23), 10
+    crowd = rng.integers(0, 1 << 30, (200, 2 * (least + 18) + 1)).astype(np.int32)
+    mid = crowd.shape[1] // 2
+    crowd[:, mid - 4 : mid + 4] = np.arange(8)
+    for row in range(0, 200, 3):  # longer or shorter parts of another common text, on either side
+        n = int(rng.integers(1, 9))
+        if row % 2:
+            crowd[row, mid + 4 : mid + 4 + n] = 100 + np.arange(n)
+        else:
+            crowd[row, mid - 4 - n : mid - 4] = 200 + np.arange(n)
+    values, n = np.unique(crowd, return_counts=True)
+    core = values[np.argsort(-n, kind="stable")][: (n * passages.CORE >= 200).sum()]
+    asked = passages.telling(crowd, [core] * 200, least)
+    assert not np.isin(crowd[asked], np.arange(8)).all() and not asked[1][mid - 4 : mid + 4].any()
+    met = 0
+    for i in range(200):
+        good = passages.may_share(np.repeat(crowd[i : i + 1], 200, axis=0), crowd, least)
+        good[i] = False
+        met += int(good.sum())
+        assert all(np.isin(crowd[i][asked[i]], crowd[j]).any() for j in np.flatnonzero(good))
+    assert met > 100
+
+
+def test_passages_want_integer_ids(spark):
+    with pytest.raises(TypeError):
+        passages.repeated_passages(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_near_passages_against_all_pairs(spark, docs):
     """Of the documents that hold a run of 46 shingles similar to one of an earlier document by 0.8 or more, nine tenths are found."""
     import numpy as np
