@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,13 +37,21 @@ def _kind(c: str) -> int:
     return 0 if c.isspace() else 1 if c.isalpha() else 2 if c.isnumeric() else 3
 
 
+#: Letters and punctuation beyond ASCII whose kind no version of Unicode has changed: accented Latin, Greek, Cyrillic, Hebrew, Arabic, dashes and
+#: quotes, kana, Chinese characters, Hangul, full-width punctuation.
+_SETTLED = re.compile(
+    "[\\x00-\\x1b\\x20-\\x7f\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff\\u0391-\\u03a1\\u03a3-\\u03c9\\u0401\\u0410-\\u044f\\u0451\\u05d0-\\u05ea\\u0621-\\u063a\\u0641-\\u064a"
+    "\\u2010-\\u2027\\u3001\\u3002\\u3041-\\u3094\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3\\uff01-\\uff0f]"
+)
+
+
 def _hard(before: str, after: str) -> bool:
     """Whether the pattern splits between two characters whatever stands around them.
 
     No match goes on from a character that isn't white space to one that is, nor from a letter or number to a
-    character of another kind. ASCII characters only: of others, libraries may take different views.
+    character of another kind. Settled characters only: of others, libraries may take different views.
     """
-    if not (before.isascii() and after.isascii()) or "\x1c" <= before <= "\x1f" or "\x1c" <= after <= "\x1f":
+    if not (_SETTLED.match(before) and _SETTLED.match(after)):
         return False
     a, b = _kind(before), _kind(after)
     return (a != 0 and b == 0) or (a in (1, 2) and a != b)

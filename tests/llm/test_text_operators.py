@@ -357,6 +357,22 @@ def test_bpe_against_library(spark, odd, docs, empty):
     assert bpe.encode_documents(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_in_other_scripts():
+    """Long texts of other scripts, mixed and alone, in small and usual leaves: the ids of the library."""
+    import random
+
+    rng = random.Random(29)
+    codec = bpe._codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    scripts = [(0x410, 0x44F), (0x4E00, 0x9FA5), (0x3041, 0x3094), (0xAC00, 0xD7A3), (0x621, 0x63A), (0xC0, 0xFF), (0x391, 0x3A1), (0x61, 0x7A)]
+    marks = [" ", " ", ", ", ". ", "\n", "\n\n  ", "\u3002", "\uff0c", "\u2014", "'s ", "\u2019", " 12", "\u0301", "\u00a0", "\u3000", "\t", "\U0001f600", "\u0967", "\u00bd", "_", "\x1c"]
+    for k in range(60):
+        chosen = [rng.choice(scripts)] if k % 2 else scripts
+        text = "".join("".join(chr(rng.randint(*rng.choice(chosen))) for _ in range(rng.randint(1, 9))) + rng.choice(marks) * rng.randint(1, 2) for _ in range(500))
+        want = codec[0].encode_ordinary(text)
+        assert bpe.encode(text, codec) == want and bpe.encode(text, codec, 16) == want
+        assert bpe.decode(want, codec) == text.encode()
+
+
 # ---- passages ----
 
 
