@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,16 @@ def mark() -> int:
 
 def drop(spark: SparkSession, since: int, *keep: str) -> None:
     """Deletes the folders named since a mark, but for keep: for callers that have written what was made of them."""
+    delete(spark, [x for x in _made[since:] if x not in keep])
+    _made[since:] = [x for x in _made[since:] if x in keep]
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes folders that new_dir named; a folder that is gone already is passed over."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [x for x in _made[since:] if x not in keep]:
+    for path in paths:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-    _made[since:] = [x for x in _made[since:] if x in keep]
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
