@@ -52,8 +52,8 @@ def delete(spark: SparkSession, paths: Iterable[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df written to a folder of its own and read back, so that what made it runs once."""
+def kept(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df written (with options of the Parquet writer) to a folder of its own and read back, so that what made it runs once."""
     out = new_dir(df.sparkSession, label)
-    df.write.parquet(out)
+    df.write.options(**options).parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
