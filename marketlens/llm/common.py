@@ -27,10 +27,10 @@ def freeing_shuffles(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back with the same schema."""
+def write_table(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Cuts lineage: writes df as Parquet (with options of the writer) into the shared folder and reads it back with the same schema."""
     with freeing_shuffles(df.sparkSession):
-        return kept(df, label)
+        return kept(df, label, **options)
 
 
 def drop_tables(*tables: DataFrame) -> None:
@@ -66,7 +66,7 @@ def small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> bool:
     def width(name: str, kind) -> Column:
         if kind.typeName() == "array":
             return F.coalesce(F.size(name), F.lit(0)) * 8 * len(getattr(kind.elementType, "fields", [0]))
-        return F.coalesce(F.octet_length(name), F.lit(0)) + 16 if kind.typeName() in ("string", "binary") else F.lit(16)
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16 if kind.typeName() in ("string", "binary") else F.lit(16 * max(len(getattr(kind, "fields", [])), 1))
 
     total = F.lit(0)
     for f in df.schema.fields:
