@@ -53,3 +53,25 @@ def test_odd_catalogs(spark):
     assert ll.bounded_pairs(left.where("false"), right).count() == 0 == ll.bounded_pairs(left, right.where("false")).count()
     with pytest.raises(ValueError):
         ll.bounded_pairs(left, right, 0.2)
+
+
+@pytest.mark.parametrize("mode", ["blocked", "bounded"])
+def test_pairs_are_not_shuffled(spark, mode):
+    """Markets go to their keys, with what scores need: nothing is exchanged once pairs are made, and each comes once."""
+    left, right = catalog(spark, 6, 120)
+    pairs = ll.candidate_pairs(left, right, mode)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 3 and "Aggregate" not in plan  # one of markets, at most one a side for heavy keys
+    ids = [(r.l_market_id, r.r_market_id) for r in pairs.select("l_market_id", "r_market_id").collect()]
+    assert len(ids) == len(set(ids)) > 100
+
+
+def test_own_stability(spark):
+    """Stability in columns of pairs gives what the join with a table of it gives."""
+    left, right = catalog(spark, 7, 120)
+    keys = ["l_venue", "l_market_id", "r_venue", "r_market_id"]
+    n = F.col("l_market_id") + F.col("r_market_id")
+    every = ll.candidate_pairs(left, right, "cross")
+    table = every.select(*keys, ((n % 10) / 10).alias("score"), F.when(n % 3 != 0, "ready").otherwise("watch_only").alias("readiness_status"))
+    own = ll.bounded_pairs(left, right).withColumns({"stability": (n % 10) / 10, "ready": n % 3 != 0})
+    assert found(ll.score_pairs(own)) == found(ll.score_pairs(every, table)) != {}
