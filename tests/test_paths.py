@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from marketlens.operators import graphs as gr
 
@@ -63,3 +65,21 @@ def test_hub_is_not_squared(spark):
     edges = edge("'hub'", "'n' || id", "id / 40000.0D", 0).unionByName(edge("'n' || id", f"'n' || (id + 1) % {n}", "0.5D", 1)).unionByName(edge("'n' || id", f"'n' || (id + 2) % {n}", "0.5D", 2))
     r = gr.strongest_path(nodes, edges).first()
     assert r.path[:2] == ["hub", f"n{n - 1}"] and len(r.path) == 5 and abs(r.score - ((n - 1) / 40000 + 1.5 + 4 * 0.02)) < 1e-9
+
+
+def test_sides_dealt_by_run(spark):
+    """Runs whose nodes and edges come out of shuffles by run, the edges much larger: each run's rows still meet in one task."""
+    n = 3000
+    ids = spark.range(n).select(F.col("id").alias("run_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    edges = ids.groupBy("run_id", "k").agg(F.max(F.lit("why " * 200)).alias("explanation")).withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy("k")))
+    edges = edges.select("run_id", "pos", F.concat(F.lit("e"), "pos").alias("edge_id"), F.when(F.col("k") % 2 == 0, "o").otherwise(F.concat(F.lit("p"), F.col("k") - 1)).alias("source"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("p"), "k")).otherwise(F.concat(F.lit("s"), "k")).alias("target"), F.lit("related_to").alias("type"), F.lit(0.9).alias("confidence"), "explanation")
+    nodes = spark.range(n).select(F.col("id").alias("run_id"), F.lit("o").alias("node_id"), F.lit("Event").alias("type"), F.lit(0).alias("pos"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"), spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    try:
+        got = gr.strongest_path(nodes, edges).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", before[1])
+    assert {(r.run_id, tuple(r.path)) for r in got} == {(k, ("o", "p0", "s1")) for k in range(n)}
