@@ -54,7 +54,7 @@ BOOK = f"""ms as (select user_id::varchar as market_id, event_id, event_id::varc
 wr as (select *, kind in ('best_bid_ask', 'price_change', 'book') as top, case when kind = 'book' or (kind = 'price_change' and k > 0) then k end as size, case when kind in ('price_change', 'last_trade_price') and k > 0 then k end as traded from ms),
 st as (select market_id, ts_us, kind as event_type, hash as sequence_id,
   coalesce(last_value(case when y and top then bid end ignore nulls) over w, 0) as yb, coalesce(last_value(case when y and top then ask end ignore nulls) over w, 0) as ya, coalesce(last_value(case when not y and top then bid end ignore nulls) over w, 0) as nb, coalesce(last_value(case when not y and top then ask end ignore nulls) over w, 0) as na,
-  coalesce(last_value(case when y then size end ignore nulls) over w, 0) as ys, coalesce(last_value(case when not y then size end ignore nulls) over w, 0) as ns, coalesce(last_value(case when y then p end ignore nulls) over w, 0) as yl, coalesce(last_value(case when not y then p end ignore nulls) over w, 0) as nl, coalesce(last_value(traded ignore nulls) over w, 0) as trade_size
+  coalesce(last_value(case when y then size end ignore nulls) over w, 0) as ys, coalesce(last_value(case when not y then size end ignore nulls) over w, 0) as ns, coalesce(last_value(case when y and p > 0 then p end ignore nulls) over w, 0) as yl, coalesce(last_value(case when not y and p > 0 then p end ignore nulls) over w, 0) as nl, coalesce(last_value(traded ignore nulls) over w, 0) as trade_size
   from wr window w as (partition by market_id order by ts_us, hash rows between unbounded preceding and current row)),
 s1 as (select *, case when yb <> 0 then yb when na <> 0 then 1 - na else 0 end as yes_bid, case when ya <> 0 then ya when nb <> 0 then 1 - nb else 0 end as yes_ask from st),
 s2 as (select *, case when nb <> 0 then nb when yes_ask <> 0 then 1 - yes_ask else 0 end as no_bid, case when na <> 0 then na when yes_bid <> 0 then 1 - yes_bid else 0 end as no_ask from s1)"""
