@@ -132,7 +132,7 @@ def l7(spark, d):
     return bk.live_totals(ad.ticks(spark, d).select(F.col("event_type").alias("status"), F.col("last_price").alias("net"))).withColumn("net", F.round("net", 6))
 
 
-@query("b12_book_levels", "select event_id, round(k * 3, 6) as depth, round(1 - p, 9) as no_price from (select event_id, regexp_extract(props, '[0-9]+')::double as k, value / (value + 10) as p from events)")
+@query("b12_book_levels", "select event_id, round(k * 3, 6) as depth, case when p > 0 or k > 0 then round(1 - p, 9) end as no_price from (select event_id, regexp_extract(props, '[0-9]+')::double as k, value / (value + 10) as p from events)")
 def b12(spark, d):
     k, p = F.get_json_object("props", "$.k").cast("double"), F.col("value") / (F.col("value") + 10)
     level = lambda price, size: F.struct(price.cast("string").alias("price"), size.cast("string").alias("size"))
