@@ -74,6 +74,8 @@ def test_sides_dealt_by_run(spark):
     edges = ids.groupBy("run_id", "k").agg(F.max(F.lit("why " * 200)).alias("explanation")).withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy("k")))
     edges = edges.select("run_id", "pos", F.concat(F.lit("e"), "pos").alias("edge_id"), F.when(F.col("k") % 2 == 0, "o").otherwise(F.concat(F.lit("p"), F.col("k") - 1)).alias("source"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("p"), "k")).otherwise(F.concat(F.lit("s"), "k")).alias("target"), F.lit("related_to").alias("type"), F.lit(0.9).alias("confidence"), "explanation")
     nodes = spark.range(n).select(F.col("id").alias("run_id"), F.lit("o").alias("node_id"), F.lit("Event").alias("type"), F.lit(0).alias("pos"))
+    plan = gr.strongest_path(nodes, edges)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("Union")  # above it: else adaptive execution may merge partitions of each side on its own
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"), spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
