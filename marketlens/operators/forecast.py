@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,52 +199,71 @@ MODEL_COLUMNS = [x.split()[0] for x in MODEL.split(", ")]
 def descend(df: DataFrame, by: str, models: list, features: list[str] = FEATURES, epochs: int = 400, rate: float = 0.2, decay: float = 0.001, before: bool = False) -> DataFrame:
     """fit_logistic for some groups, or with before for models of all rows whose group comes before theirs, by as many jobs as there are steps.
 
-    Rows are written once and stay in their partitions: a step hands out the models' weights, and each task returns the sums of its rows'
-    gradients, ten numbers for each model; no row is copied into the models that it belongs to. Models are few (a year or a month each).
+    Rows are written once, as matrices of up to 10,000 rows of one group: a step hands out the models' weights, and each task returns the sums
+    of its rows' gradients, ten numbers for each model; no row is copied into the models that it belongs to, and all of them take a matrix
+    at once, by products of matrices. The rows are centred and scaled by the last model's means and scales, and each model's own are put
+    into its weights. Models are few (a year or a month each).
     """
     spark, n = df.sparkSession, len(features)
     models, kind = sorted(models), df.schema[by].dataType.simpleString()
-    rows = kept(df.select(by, F.col("target").cast("double").alias("target"), *(F.col(c).cast("double").alias(c) for c in features)), "training")
+    rows = kept(df.select(by, F.col("target").cast("double").alias("target"), *(F.col(c).cast("double").alias(c) for c in features)).where(F.col(by).isNotNull()).sortWithinPartitions(by), "training")
 
-    def member(group: pd.Series) -> np.ndarray:
-        g = group.to_numpy()[:, None]
-        return (g < np.array(models) if before else g == np.array(models)).astype(float)
+    def mine(group) -> slice:
+        """The models that rows of a group belong to: those after it, or its own."""
+        return slice(bisect_right(models, group), len(models)) if before else slice(bisect_left(models, group), bisect_right(models, group))
 
     def summed(f, width: int) -> np.ndarray:
-        """The sum over all rows of f(x, y, member): models x width numbers."""
+        """The sum over all rows of f(x, y, models), which gives width numbers for each of their models: models x width."""
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(models), width))
             for b in batches:
-                total += f(b[features].to_numpy(float), b["target"].to_numpy(float), member(b[by]))
+                for group, g in b.groupby(by):
+                    total[mine(group)] += f(g[features].to_numpy(float), g["target"].to_numpy(float), mine(group))
             yield pd.DataFrame({"k": np.arange(len(models) * width), "v": total.ravel()})
 
         sums = rows.mapInPandas(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
         return np.array([r.v for r in sorted(sums)] or np.zeros(len(models) * width)).reshape(len(models), width)
 
-    first = summed(lambda x, y, m: np.hstack([m.sum(0)[:, None], m.T @ y[:, None], m.T @ x]), n + 2)
+    first = summed(lambda x, y, ks: np.tile([len(y), y.sum(), *x.sum(0)], (len(models[ks]), 1)), n + 2)
     count = np.maximum(first[:, 0], 1)
     means = first[:, 2:] / count[:, None]
-    spread = summed(lambda x, y, m: np.stack([(m[:, [k]] * (x - means[k]) ** 2).sum(0) for k in range(len(models))]), n)
+    spread = summed(lambda x, y, ks: np.array([((x - m) ** 2).sum(0) for m in means[ks]]).reshape(-1, n), n)
     scales = np.sqrt(spread / count[:, None])
     scales[scales <= 1e-12 * (1 + np.abs(means))] = 1.0
     share = first[:, 1] / count
     prior = np.clip(share, 1e-6, 1 - 1e-6)
     weights, bias = np.zeros((len(models), n)), np.log(prior / (1 - prior))
+    middle, unit = (means[-1], scales[-1]) if models else (np.zeros(n), np.ones(n))
+    off, wide = (means - middle) / unit, scales / unit
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(*mine(group).indices(len(models))[:2], np.column_stack([(g[features].to_numpy(float) - middle) / unit, g["target"].to_numpy(float)]).tobytes()) for group, g in b.groupby(by)]
+            yield pd.DataFrame([x for x in found if x[0] < x[1]], columns=["lo", "hi", "rows"])
+
+    packed = kept(rows.mapInPandas(pack, "lo int, hi int, rows binary"), "matrices", compression="none")
     for _ in range(epochs):
-        w, c = weights, bias
-
-        def gradient(x: np.ndarray, y: np.ndarray, m: np.ndarray, w: np.ndarray = w, c: np.ndarray = c) -> np.ndarray:
-            out = np.zeros((len(models), n + 1))
-            for k in range(len(models)):
-                mine = m[:, k] > 0
-                z = (x[mine] - means[k]) / scales[k]
-                e = sigmoid(z @ w[k] + c[k]) - y[mine]
-                out[k] = [*(z.T @ e), e.sum()]
-            return out
-
-        g = summed(gradient, n + 1) / count[:, None]
-        weights, bias = weights - rate * (g[:, :n] + decay * weights), bias - rate * g[:, n]
+        total = np.zeros((len(models), n + 1))
+        w, c = weights / wide, bias - (weights * off / wide).sum(1)
+
+        def gradient(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, c: np.ndarray = c) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(c), n + 1))
+            for b in batches:
+                for lo, hi, data in zip(b.column("lo").to_pylist(), b.column("hi").to_pylist(), b.column("rows"), strict=True):
+                    whole = np.frombuffer(data.as_buffer()).reshape(-1, n + 1)
+                    for i in range(0, len(whole), 2000):
+                        x, y = whole[i : i + 2000, :n], whole[i : i + 2000, n:]
+                        e = sigmoid(x @ w[lo:hi].T + c[lo:hi]) - y
+                        out[lo:hi, :n] += e.T @ x
+                        out[lo:hi, n] += e.sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+
+        for r in packed.mapInArrow(gradient, "sums binary").collect():  # a row for each task, in the order of tasks
+            total += np.frombuffer(r.sums).reshape(len(models), n + 1)
+        g = total / count[:, None]
+        slope = (g[:, :n] - off * g[:, n:]) / wide
+        weights, bias = weights - rate * (slope + decay * weights), bias - rate * g[:, n]
     out = []
     for k, name in enumerate(models):
         fit = [weights[k].tolist(), float(bias[k]), means[k].tolist(), scales[k].tolist()] if 0 < share[k] < 1 else [None] * 4
@@ -272,6 +293,7 @@ def forecast_backtest(examples: DataFrame, min_train: int = 8, mode: str = "bloc
         train = rows.join(folds, F.col("ord") < F.col("f"))
         models = fit_logistic(train, "f")
         return predict_logistic(rows.where("fold is not null").withColumn("f", F.col("fold")), models, "f").drop("f")
+    examples = kept(examples, "examples")  # counted, fitted and scored
     blocks = examples.groupBy(block).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
     folds = blocks.select(F.col(block).alias("f"), before.alias("seen")).where(F.col("seen") >= min_train).select("f")

@@ -6,6 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from marketlens.operators import forecast as fc
 from marketlens.operators import graphs as gr
 from marketlens.plans import adapters, catalog, graph_queries
 
@@ -41,3 +42,14 @@ def test_violations_are_listed_as_often_as_they_stand(spark):
     got = sorted(gr.validate_graph(n, e).collect(), key=str)
     want = [(1, "duplicate_node", "a"), (1, "duplicate_edge", "e"), (1, "node_type", "a"), (1, "node_type", "a"), (1, "node_label", "a"), (1, "node_label", "a"), (1, "edge_type", "e"), (1, "edge_type", None), (1, "dangling_target", "e"), (1, "dangling_source", None), (None, "dangling_source", "f"), (None, "dangling_target", "f")]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_steps_read_matrices_and_shuffle_nothing(spark, monkeypatch):
+    """Rows of far and narrow values, which are written as a matrix a group and file, give the models of one task."""
+    made, kept = {}, fc.kept
+    monkeypatch.setattr(fc, "kept", lambda df, label, **options: made.setdefault(label, kept(df, label, **options)))
+    df = spark.range(600).selectExpr("id % 3 as block", "1e6 + (id * 7919) % 101 as a", "(id * 31) % 17 / 1e3 as b", "4.0 as c", "cast((id * 7919) % 101 + id % 40 > 70 as int) as target").repartition(2)
+    one, many = ({r.block: r for r in fc.fit_logistic(df, "block", ["a", "b", "c"], 30, held).collect()} for held in (1000, 0))
+    for k in one:
+        assert all(abs(x - y) < 1e-8 for x, y in zip([one[k].bias, *one[k].weights], [many[k].bias, *many[k].weights], strict=True))
+    assert made["matrices"].count() <= 3 * 2 and set(made["matrices"].columns) == {"lo", "hi", "rows"}
