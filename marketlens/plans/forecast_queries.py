@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nz
 from ..operators import forecast as fc
 from ..operators import review as rv
-from .adapters import micros, table
+from .adapters import dealt, micros, table
 
 QUERIES, SQL = {}, {}
 
@@ -185,8 +185,10 @@ def b22(spark, d):
 # ---- judgments: line items reviewed by suppliers ----
 
 
-def judgments(spark, d):
+def judgments(spark, d, by_run=True):
+    """Dealt by run, which serves all that is grouped by run and more."""
     x = table(spark, d, "lineitem")
+    x = dealt(x, d, "lineitem", "l_orderkey") if by_run else x
     label = F.when(F.col("l_returnflag") == "A", "core").when(F.col("l_returnflag") == "N", "watch").otherwise("reject")
     key = F.concat(F.lit("Market  "), (F.col("l_partkey") % 5).cast("string"))
     return x.select(F.col("l_orderkey").alias("run_id"), key.alias("candidate_key"), key.alias("candidate_title"), label.alias("usefulness_label"), F.concat(F.lit("Reviewer "), F.col("l_suppkey").cast("string")).alias("reviewer"), F.col("l_linenumber").alias("candidate_rank"), (1 - F.col("l_discount")).alias("confidence"), micros("l_shipdate").alias("updated_us"), (F.col("l_orderkey") * 100_000_000 + F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("judgment_id"))
@@ -212,7 +214,7 @@ def b28(spark, d):
 @query("b28_rejected_judgments", "select l_orderkey as run_id, l_orderkey * 100000000 + l_partkey * 100 + l_linenumber as judgment_id from lineitem where l_linenumber % 4 = 3 or l_linenumber % 5 = 4")
 def b28_rejected(spark, d):
     """Judgments with a label that isn't one, and without a title."""
-    j = judgments(spark, d)
+    j = judgments(spark, d, by_run=False)
     rank = F.col("candidate_rank")
     j = j.withColumns({"usefulness_label": F.when(rank % 4 == 3, "maybe").otherwise(F.concat(F.lit(" "), F.upper("usefulness_label"))), "candidate_title": F.when(rank % 5 == 4, " ").otherwise(F.col("candidate_title"))})
     return rv.validate_judgments(j)[1].select("run_id", "judgment_id")

@@ -53,3 +53,9 @@ def test_steps_read_matrices_and_shuffle_nothing(spark, monkeypatch):
     for k in one:
         assert all(abs(x - y) < 1e-8 for x, y in zip([one[k].bias, *one[k].weights], [many[k].bias, *many[k].weights], strict=True))
     assert made["matrices"].count() <= 3 * 2 and set(made["matrices"].columns) == {"lo", "hi", "rows"}
+
+
+@pytest.mark.parametrize("name", ["d11_attach_judgments", "k14_review_priority", "e22_usefulness_rows", "e23_golden_compare", "f12_review_queue", "f10_ranked", "e6_review_summary"])
+def test_judgments_are_attached_once(spark, sf_dir, name):
+    text = plan(catalog.QUERIES[name](spark, sf_dir))
+    assert "collect_set" not in text and text.count("lineitem.parquet") <= 3 and text.count("Join") <= 3
