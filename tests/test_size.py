@@ -59,3 +59,8 @@ def test_steps_read_matrices_and_shuffle_nothing(spark, monkeypatch):
 def test_judgments_are_attached_once(spark, sf_dir, name):
     text = plan(catalog.QUERIES[name](spark, sf_dir))
     assert "collect_set" not in text and text.count("lineitem.parquet") <= 3 and text.count("Join") <= 3
+
+
+def test_built_nodes_are_made_once(spark, sf_dir):
+    text = plan(catalog.QUERIES["i2_build_edges"](spark, sf_dir))
+    assert "orders.parquet" not in text and "customer.parquet" not in text
