@@ -174,15 +174,16 @@ def l4(spark, d):
 def l5(spark, d):
     """Snapshots that arrive in three batches, in an order of their own: of one slug and time the largest id stays."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("event_slug"), ad.micros("o_orderdate").alias("ts_us"), F.col("o_orderkey").alias("snapshot_id"), F.col("o_totalprice").alias("volume"))
-    rows = _collected(spark, o)
+    rows = _collected(spark, d, o)
     return rows.groupBy("event_slug").agg(F.count("*").alias("days"), F.round(F.sum("volume"), 2).alias("volume"))
 
 
-def _collected(spark, rows, files=3):
-    """rows landed as files by snapshot_id and collected one after the other."""
+def _collected(spark, d, rows, batches=3):
+    """rows landed as files by snapshot_id and collected in some batches, of more files where there are more orders (one for each 4 MB), so that a task reads no more."""
+    files = max(1, -(-ad.size(spark, d, "orders") // (batches * (4 << 20))))
     src, out, at = new_dir(spark, "snapshots"), new_dir(spark, "collected"), new_dir(spark, "checkpoint")
-    rows.repartitionByRange(files, "snapshot_id").write.parquet(src)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    rows.repartitionByRange(batches * files, "snapshot_id").write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(src)
     sn.collect_snapshots(stream, out, at, available_now=True, buckets=8).awaitTermination()
     return sn.collected_snapshots(spark, out, rows.schema)
 
@@ -190,5 +191,5 @@ def _collected(spark, rows, files=3):
 @query("l5_collected_labels", f"with {S}, k as (select * from ts qualify row_number() over (partition by event_slug, us order by snapshot_id desc) = 1), kd as (select event_slug, outcome from k where status = 'closed' and price >= 0.99 qualify row_number() over (partition by event_slug order by us desc, snapshot_id desc) = 1) select kd.outcome, count(*) as snapshots, count(distinct event_slug) as slugs from k join kd using (event_slug) group by 1")
 def l5_labels(spark, d):
     """Labels of the snapshots collected in three batches."""
-    labels = fc.label_families(_collected(spark, snapshots(spark, d)))
+    labels = fc.label_families(_collected(spark, d, snapshots(spark, d)))
     return labels.groupBy(F.col("resolved_outcome").alias("outcome")).agg(F.count("*").alias("snapshots"), F.countDistinct("event_slug").alias("slugs"))

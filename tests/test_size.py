@@ -64,3 +64,15 @@ def test_judgments_are_attached_once(spark, sf_dir, name):
 def test_built_nodes_are_made_once(spark, sf_dir):
     text = plan(catalog.QUERIES["i2_build_edges"](spark, sf_dir))
     assert "orders.parquet" not in text and "customer.parquet" not in text
+
+
+def test_more_landed_files_give_the_same_snapshots(spark, sf_dir, monkeypatch):
+    from marketlens.plans import source_queries as sq
+
+    monkeypatch.setattr(adapters, "size", lambda *_: 40 << 20)
+    at, made = {}, sq.new_dir
+    monkeypatch.setattr(sq, "new_dir", lambda s, label: at.setdefault(label, made(s, label)))
+    many = sorted(map(tuple, catalog.QUERIES["l5_collect_snapshots"](spark, sf_dir).collect()))
+    assert len(spark.read.parquet(at["snapshots"]).inputFiles()) > 8 and spark.read.parquet(f"{at['collected']}/reports/*").count() == 3
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    assert [r[0] for r in many] == sorted(r[0] for r in o.select("o_custkey").distinct().collect())
