@@ -675,6 +675,19 @@ def test_rare_pairs_lose_no_pair(spark):
         assert 0.02 < neardup._margin(percent) < 0.06 and 0.15 < neardup._slack(percent) < 0.25
 
 
+def test_rare_pairs_of_many_near_copies(spark):
+    """Copies of one text that all differ in more than the threshold allows don't meet; nor do classes of one root."""
+    base = list(range(1, 149))
+    far = [(k.to_bytes(2, "big"), base[13:] + [1000 * k + x for x in range(1000, 1013)]) for k in range(60)]
+    df = spark.createDataFrame(far, "cls binary, shingles array<long>")
+    assert neardup.rare_pairs(df, df.select("cls"), 85).count() == 0
+    near = [(k.to_bytes(2, "big"), base[3:] + [1000 * k + x for x in range(1000, 1003)]) for k in range(60)]
+    df = spark.createDataFrame(near, "cls binary, shingles array<long>")
+    assert neardup.rare_pairs(df, df.select("cls"), 85).count() == 60 * 59 // 2
+    roots = df.select("cls", F.lit(b"one").alias("root")).where(F.col("cls") != (0).to_bytes(2, "big"))
+    assert neardup.rare_pairs(df, df.select("cls"), 85, roots).count() == 59
+
+
 def test_sketch_estimates():
     import numpy as np
 
