@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, doc_id: s
     alike = estimate(F.col("sa"), F.col("sb")) >= percent / 100 - slack
     long = (F.col("na") + F.col("nb")) * (100 - percent) >= F.lit(FULL_BITS * 0.4) * (100 + percent)
     close = long | (full_estimate(F.col("fa"), F.col("fb"), F.col("na"), F.col("nb")) >= percent / 100 - margin)
-    third = met.join(side("a"), "a").join(side("b"), "b").where(alike & close).select("a", "b")
+    third = write_table(met.join(side("a"), "a").join(side("b"), "b").where(alike & close).select("a", "b"), "close")  # or all that met are looked up in pairs
     third = write_table(third.join(pairs, ["a", "b"], "left_anti"), "third")
     if third.limit(1).count():
         links = links.unionByName(check(third))
