@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import tokens as tk
@@ -75,3 +76,43 @@ def test_own_stability(spark):
     table = every.select(*keys, ((n % 10) / 10).alias("score"), F.when(n % 3 != 0, "ready").otherwise("watch_only").alias("readiness_status"))
     own = ll.bounded_pairs(left, right).withColumns({"stability": (n % 10) / 10, "ready": n % 3 != 0})
     assert found(ll.score_pairs(own)) == found(ll.score_pairs(every, table)) != {}
+
+
+def repeated(spark, n=600):
+    """Markets of twelve titles and four windows, each with sizes of its own."""
+    left, right = catalog(spark, 8, 12)
+    texts = left.unionByName(right).drop("venue", "market_id", "volume", "liquidity")
+    ids = spark.range(n).selectExpr("case when id % 2 = 0 then 'a' else 'b' end as venue", "id as market_id", "id * 977.0 as volume", "(id % 3) * 9000.0 as liquidity", "id div 2 % 12 as _k")
+    numbered = texts.withColumn("_k", F.row_number().over(Window.orderBy("title", "window_toks", "toks")) - 1)
+    m = ids.join(F.broadcast(numbered), "_k").drop("_k").persist()
+    return m.where("venue = 'a'"), m.where("venue = 'b'")
+
+
+@pytest.mark.parametrize("stability", [0.0, 1.0])
+def test_equal_token_sets_are_compared_once(spark, monkeypatch, stability):
+    """300 x 300 markets of twelve texts: at most 144 are compared, and every market's pairs come out with its own sizes."""
+    left, right = repeated(spark)
+    met = []
+    monkeypatch.setattr(ll, "meet", lambda *a, meet=ll.meet, **k: met.append(meet(*a, **k)) or met[-1])
+    ready = {"stability": F.lit(stability), "ready": F.lit(False)}
+    got = found(ll.score_pairs(ll.similar_pairs(left, right, 0.38, stability).withColumns(ready)))
+    assert 0 < met[0].count() <= 144
+    assert got == found(ll.score_pairs(ll.candidate_pairs(left, right, "cross").withColumns(ready))) and len(got) > 5000
+
+
+def test_members_are_dealt_into_rows(spark):
+    left, right = repeated(spark, 200)
+    few, many = ll.alike(left), ll.alike(left, 3)
+    assert many.agg(F.max(F.size("members"))).first()[0] <= 3 < few.agg(F.max(F.size("members"))).first()[0]
+    ids = lambda x: sorted(r[0] for r in x.select(F.explode("members.market_id")).collect())
+    assert ids(few) == ids(many) == list(range(0, 200, 2))
+
+
+def test_keys_of_one_side_are_not_shuffled(spark, monkeypatch):
+    """Only keys that both sides have are joined, each with what comes before it: markets of words of their own and one in common have one."""
+    sides = []
+    monkeypatch.setattr(ll, "grid_join", lambda a, b, *x, join=ll.grid_join: sides.extend([a, b]) or join(a, b, *x))
+    df = spark.range(400).selectExpr("case when id % 2 = 0 then 'a' else 'b' end as venue", "id as market_id", "concat('crypto own', id, ' other', id) as title", "'' as resolution_text", "cast(array() as array<string>) as tags", "concat('window', id) as resolution_window", "1.0 as volume", "1.0 as liquidity", "1.0 as open_interest")
+    m = ll.with_tokens(df)
+    assert ll.candidate_pairs(m.where("venue = 'a'"), m.where("venue = 'b'")).count() == 200 * 200
+    assert [x.count() for x in sides] == [200, 200]
