@@ -76,3 +76,32 @@ def test_more_landed_files_give_the_same_snapshots(spark, sf_dir, monkeypatch):
     assert len(spark.read.parquet(at["snapshots"]).inputFiles()) > 8 and spark.read.parquet(f"{at['collected']}/reports/*").count() == 3
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     assert [r[0] for r in many] == sorted(r[0] for r in o.select("o_custkey").distinct().collect())
+
+
+def test_brief_makes_its_graph_once(spark, sf_dir, monkeypatch):
+    """Parts of the brief read written nodes and edges, not lines, and leave no shuffle of lines to the last step."""
+    made, settled = {}, gr.settled
+    monkeypatch.setattr(gr, "settled", lambda df, label, **options: made.setdefault(label, (df, settled(df, label, **options)))[1])
+    text = plan(catalog.QUERIES["i7_market_brief"](spark, sf_dir))
+    assert "lineitem.parquet" not in text and {"nodes", "edges", "paths", "changes", "moved", "trust"} <= set(made)
+    assert all(("lineitem.parquet" in plan(df)) == (label in ("nodes", "edges")) for label, (df, _) in made.items() if label in ("nodes", "edges", "changes", "moved"))
+
+
+def test_paths_need_no_edge_ids(spark, sf_dir):
+    """Neither those of small runs nor those of large ones."""
+    nodes, edges = (x.where("run_id % 40 = 0") for x in graph_queries.graph(spark, sf_dir))
+    one, two = (sorted((r.run_id, round(r.score, 9), r.path) for r in gr.strongest_path(nodes, edges.drop("edge_id"), held=h).collect()) for h in (5000, 2))
+    assert one == two != []
+
+
+def test_settled_tables_leave_no_shuffle_files(spark, tmp_path):
+    """What a settled table shuffled is gone once it is written; the setting of the session stays."""
+    from marketlens.scratch import settled
+
+    top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: sum(1 for f in top.getAllFiles().toSeq().mkString("\n").split("\n") if "shuffle_" in f)
+    x = spark.range(20_000).withColumn("k", F.col("id") % 997).groupBy("k").agg(F.collect_list("id").alias("ids"))
+    before = count()
+    assert settled(x, "rows").count() == 997
+    assert count() <= before + 4  # the count's own
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
