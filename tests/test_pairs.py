@@ -116,3 +116,17 @@ def test_keys_of_one_side_are_not_shuffled(spark, monkeypatch):
     m = ll.with_tokens(df)
     assert ll.candidate_pairs(m.where("venue = 'a'"), m.where("venue = 'b'")).count() == 200 * 200
     assert [x.count() for x in sides] == [200, 200]
+
+
+def test_parts_of_sets_are_counted_right(spark):
+    """What sides share is as by intersection, whether their sets are equal, nested or apart."""
+    every = ll.candidate_pairs(*catalog(spark, 9, 80), "cross")
+    got = ll.pair_similarity(every)
+    shared = lambda k: F.size(F.array_intersect(f"l_{k}", f"r_{k}"))
+    similar = lambda k: F.when(shared(k) > 0, shared(k) / F.size(F.array_union(f"l_{k}", f"r_{k}"))).otherwise(0.0)
+    wrong = (F.col("overlap") != shared("theme")) | (F.col("n_shared") != shared("topics"))
+    for name, k in (("j_all", "toks"), ("j_theme", "theme"), ("j_title", "title_theme"), ("j_window", "window_toks")):
+        wrong |= F.abs(F.col(name) - similar(k)) > 1e-12
+    assert got.count() > 1000 and got.where(wrong).count() == 0
+    nested = (F.size("l_theme") < F.size("l_toks")) & (F.size("r_topics") < F.size("r_toks"))
+    assert got.where(nested).count() > 0 and got.where("size(l_window_toks) = 0 and size(r_window_toks) = 0").count() > 0
